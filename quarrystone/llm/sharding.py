@@ -52,19 +52,19 @@ def find_splitters(keys: DataFrame, shards: int = SHARDS, tolerance: float = TOL
         path = F.array(*[digit(k) for k in range(level)]) if level else F.array().cast("array<int>")
         here = F.concat_ws(",", path.cast("array<string>"))
         wanted = [",".join(map(str, p)) for p in prefixes]  # at most one a splitter
-        rows = keys.select(here.alias("prefix"), digit(level).alias("cell"), "size").filter(F.col("prefix").isin(wanted)).groupBy("prefix", "cell").agg(F.sum("size").alias("bytes")).collect()
-        cells: dict[tuple[int, ...], dict[int, int]] = {p: {} for p in prefixes}
+        rows = keys.select(here.alias("prefix"), digit(level).alias("cell"), "size").filter(F.col("prefix").isin(wanted)).groupBy("prefix", "cell").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
+        cells: dict[tuple[int, ...], dict[int, tuple[int, int]]] = {p: {} for p in prefixes}
         for r in rows:
-            cells[tuple(map(int, r["prefix"].split(","))) if r["prefix"] else ()][r["cell"]] = r["bytes"]
+            cells[tuple(map(int, r["prefix"].split(","))) if r["prefix"] else ()][r["cell"]] = r["bytes"], r["n"]
         for i, (prefix, below) in list(open_.items()):
             for cell in range(CELLS):
-                inside = cells[prefix].get(cell, 0)
+                inside, n = cells[prefix].get(cell, (0, 0))
                 if below + inside >= targets[i]:
                     break
                 below += inside
-            # The border before or behind the cell, whichever is nearer; else go on inside.
+            # The border before or behind the cell, whichever is nearer; else go on inside, unless one row fills the cell.
             near, at = min((abs(below - targets[i]), cell), (abs(below + inside - targets[i]), cell + 1))
-            if near <= tolerance * total / shards or level == DIGITS - 1:
+            if near <= tolerance * total / shards or n == 1 or level == DIGITS - 1:
                 done[i] = (*prefix, at)
                 del open_[i]
             else:
