@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystone.llm import chat_format, fingerprints, packing, sharding, token_counts
+from quarrystone.llm import chat_format, fingerprints, near_dedup, packing, sharding, token_counts
 from quarrystone.llm.shared import small_batches
 
 #: Where the public tokenizer files lie; a parameter of the operators.
@@ -36,6 +36,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file(WORD_TOKENIZER))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 #: The control-string conversation that the contract adds.
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
@@ -67,7 +72,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_packing, op6_chat_format, op7_sharding, op9_fingerprints, op10_token_counts)
+    found = (op1_packing, op5_near_dedup, op6_chat_format, op7_sharding, op9_fingerprints, op10_token_counts)
     return {query.__name__: query for query in found}
 
 
