@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystone.llm import chat_format, fingerprints, near_dedup, packing, sharding, token_counts
+from quarrystone.llm import chat_format, decontam, fingerprints, line_dedup, near_dedup, packing, sharding, substring_dedup, token_counts
 from quarrystone.llm.shared import small_batches
 
 #: Where the public tokenizer files lie; a parameter of the operators.
@@ -36,6 +36,53 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file(WORD_TOKENIZER))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP3_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+s AS (SELECT doc_id, i, line, trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g')) AS spaced FROM l),
+f AS (SELECT doc_id, i, line, regexp_replace(spaced, '[^ ]*[0-9][^ ]*', '<*>', 'g') AS form FROM s),
+w AS (SELECT doc_id, i, line, form, string_split(form, ' ') AS w FROM f WHERE form <> ''),
+k AS (SELECT *, concat_ws(' ', len(w)::VARCHAR, array_to_string(w[1:3], ' ')) AS leaf FROM w),
+forms AS (SELECT leaf, form, w, count(*) AS n FROM k WHERE leaf IN (SELECT leaf FROM k GROUP BY leaf HAVING count(*) >= 10) GROUP BY leaf, form, w),
+tok AS (SELECT leaf, form, n, unnest(w) AS token, generate_subscripts(w, 1) AS pos FROM forms),
+many AS (SELECT leaf FROM forms GROUP BY leaf HAVING count(*) > 1),
+con AS (SELECT leaf, pos, token FROM tok WHERE pos > 3 GROUP BY leaf, pos, token HAVING sum(n) >= 10),
+shown AS (SELECT t.leaf, t.form, t.pos, CASE WHEN t.token = '<*>' THEN '<*>' WHEN t.pos <= 3 OR c.token IS NOT NULL OR t.leaf NOT IN (SELECT leaf FROM many) THEN t.token ELSE '<*>' END AS tok
+  FROM tok t LEFT JOIN con c ON t.leaf = c.leaf AND t.pos = c.pos AND t.token = c.token),
+tem AS (SELECT form, string_agg(tok, ' ' ORDER BY pos) AS template, count(*) AS size, count(*) FILTER (WHERE tok <> '<*>') AS fixed FROM shown GROUP BY leaf, form),
+marked AS (SELECT k.doc_id, k.i, t.template FROM k JOIN tem t ON k.form = t.form WHERE t.fixed >= 0.5 * t.size),
+rec AS (SELECT template, min(doc_id) AS first FROM marked GROUP BY template HAVING count(DISTINCT doc_id) >= 10),
+gone AS (SELECT m.doc_id, m.i FROM marked m JOIN rec r ON m.template = r.template WHERE m.doc_id <> r.first),
+kept AS (SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_dropped, coalesce(string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE g.i IS NULL), '') AS text
+  FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(k.n_lines, 0)::BIGINT AS n_lines, coalesce(k.n_dropped, 0)::BIGINT AS n_dropped, CASE WHEN d.text IS NULL THEN NULL ELSE sha256(k.text) END AS kept_sha256
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def shingle_sql(source: str, key: str) -> str:
+    """SQL for the distinct five-word shingles of a table's texts."""
+    return rf"""SELECT DISTINCT id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+    FROM (SELECT {key} AS id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM {source})"""
+
+
+OP4_SQL = f"""
+WITH d AS ({shingle_sql("documents", "doc_id")}), b AS ({shingle_sql("benchmark", "item_id")}),
+q AS (SELECT id, count(*) AS n FROM b GROUP BY id),
+x AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS n_shared FROM d JOIN b ON d.s = b.s GROUP BY d.id, b.id)
+SELECT doc_id, item_id, n_shared::BIGINT AS n_shared, n::BIGINT AS n_item_shingles, n_shared / n AS containment
+FROM x JOIN q ON q.id = x.item_id WHERE 100 * n_shared >= 80 * n
+"""
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
@@ -58,6 +105,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return substring_dedup.remove_repeated(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents")
@@ -72,9 +124,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_packing, op5_near_dedup, op6_chat_format, op7_sharding, op9_fingerprints, op10_token_counts)
+    found = (op1_packing, op3_line_dedup, op4_decontamination, op5_near_dedup, op6_chat_format, op7_sharding, op8_substring_dedup, op9_fingerprints, op10_token_counts)
     return {query.__name__: query for query in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_line_dedup": OP3_SQL, "op4_decontamination": OP4_SQL}
