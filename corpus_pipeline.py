@@ -1,25 +1,58 @@
-"""The corpus pipeline: documents through the stages in order, each stage's result written and read again."""
+"""The corpus pipeline: documents through five stages, each stage's result written as Parquet and read again.
+
+Quality classifier, line dedup, near-dedup, benchmark decontamination, packing.  Every stage works on all that the one before
+kept, and all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarrystone.llm import packing
-from quarrystone.llm.queries import WORD_TOKENIZER, tokenizer_file
+from quarrystone.llm import decontam, line_dedup, near_dedup, packing, quality
+from quarrystone.llm.queries import WORD_TOKENIZER, table, tokenizer_file
 from quarrystone.llm.shared import materialize, small_batches
 
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled rows, predicts good."""
+    small_batches(spark)
+    return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def own_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without lines of recurring templates; n_chars follows the text."""
+    left = line_dedup.dedup_lines(docs)
+    n_chars = F.when(F.col("n_dropped") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
+    return left.withColumn("n_chars", n_chars).select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates: five-word shingles, similarity 0.8 or more."""
+    small_batches(spark)
+    return near_dedup.drop_near_duplicates(docs, size=5, percent=80)
+
+
+def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All that is left, packed into sequences of 4096 tokens."""
     small_batches(spark)
     return packing.pack(docs, tokenizer_file(WORD_TOKENIZER))
 
 
-STAGES = [("packing", pack)]
+STAGES = [("quality", good_quality), ("line_dedup", own_lines), ("near_dedup", one_of_each), ("decontamination", clean_of_benchmark), ("packing", packed)]
+
+#: A trained model and a tokenizer are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows."""
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

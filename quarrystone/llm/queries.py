@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystone.llm import chat_format, decontam, fingerprints, line_dedup, near_dedup, packing, sharding, substring_dedup, token_counts
+from quarrystone.llm import chat_format, decontam, fingerprints, line_dedup, near_dedup, packing, quality, sharding, substring_dedup, token_counts
 from quarrystone.llm.shared import small_batches
 
 #: Where the public tokenizer files lie; a parameter of the operators.
@@ -36,6 +36,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file(WORD_TOKENIZER))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -124,7 +130,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_packing, op3_line_dedup, op4_decontamination, op5_near_dedup, op6_chat_format, op7_sharding, op8_substring_dedup, op9_fingerprints, op10_token_counts)
+    found = (op1_packing, op2_quality, op3_line_dedup, op4_decontamination, op5_near_dedup, op6_chat_format, op7_sharding, op8_substring_dedup, op9_fingerprints, op10_token_counts)
     return {query.__name__: query for query in found}
 
 
