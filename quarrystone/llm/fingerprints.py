@@ -18,6 +18,7 @@ from hashlib import sha256
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,8 +60,9 @@ class Terms:
 
     def hashes(self, words: list[bytes]) -> np.ndarray:
         young, old = self.young, self.old
-        for word in set(words) - young.keys():
-            young[word] = old[word] if word in old else crc32(word) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
+        for word in set(words):
+            if word not in young:
+                young[word] = old[word] if word in old else crc32(word) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
         out = np.fromiter(map(young.__getitem__, words), np.uint64, len(words))
         if len(young) > self.cap:
             self.old, self.young = young, {}
@@ -143,10 +145,13 @@ def in_blocks(docs: DataFrame, n_blocks: int) -> DataFrame:
     base = id_and_text(docs)
     borders = base.approxQuantile("doc_id", [i / n_blocks for i in range(1, n_blocks)], 0.25 / n_blocks) if n_blocks > 1 else []
     borders = sorted(set(borders))
-    block = F.lit(0)
-    if borders:
-        block = F.size(F.filter(F.lit(borders), lambda b: b <= F.col("doc_id")))
-    base = base.withColumn("block", F.when(F.col("doc_id").isNull(), -1).otherwise(block))
+    shared = docs.sparkSession.sparkContext.broadcast(np.array(borders, np.float64))  # a number for each block
+
+    @F.pandas_udf("int")
+    def block_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(shared.value, ids.to_numpy(), side="right"), dtype="int32")
+
+    base = base.withColumn("block", F.when(F.col("doc_id").isNull(), -1).otherwise(block_of(F.coalesce("doc_id", F.lit(0)))))
     firsts = sorted((r["block"], r["first"]) for r in base.groupBy("block").agg(F.min("doc_id").alias("first")).collect())  # a row for each block
     before = {first: block for (block, _), (_, first) in zip(firsts, firsts[1:] + firsts[:1], strict=True)}
     if not before:
@@ -157,7 +162,11 @@ def in_blocks(docs: DataFrame, n_blocks: int) -> DataFrame:
     return base.withColumn("ghost", F.lit(False)).unionByName(ghosts.select("doc_id", "text", F.col("goes").alias("block"), F.lit(True).alias("ghost")))
 
 
-def edited_neighbours(docs: DataFrame, n_blocks: int, samples: int = SAMPLES, dimensions: int = DIMENSIONS) -> DataFrame:
+#: Blocks for each partition, so that hashing them deals out even shares.
+BLOCKS_EACH = 8
+
+
+def edited_neighbours(docs: DataFrame, partitions: int, samples: int = SAMPLES, dimensions: int = DIMENSIONS) -> DataFrame:
     """Fingerprints of each text, of its edited text and of the next document, compared.
 
     The edited text has its last floor(n/4) code points replaced by the first as many (or all) of the next document's.
@@ -188,6 +197,6 @@ def edited_neighbours(docs: DataFrame, n_blocks: int, samples: int = SAMPLES, di
         digest = sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
         return doc_id, len(text), digest, hex_text(sig), hex_text(other), likeness(sig, other), likeness(sig, next_sig)
 
-    dealt = in_blocks(docs, n_blocks).select("doc_id", "text", "block", "ghost")
-    dealt = dealt.repartition(n_blocks, "block").sortWithinPartitions("block", "ghost", F.col("doc_id").asc_nulls_first(), F.coalesce("text", F.lit("")))
+    dealt = in_blocks(docs, partitions * BLOCKS_EACH).select("doc_id", "text", "block", "ghost")
+    dealt = dealt.repartition(partitions, "block").sortWithinPartitions("block", "ghost", F.col("doc_id").asc_nulls_first(), F.coalesce("text", F.lit("")))
     return dealt.mapInArrow(compare, schema)

@@ -119,8 +119,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents")
-    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return fingerprints.edited_neighbours(docs, blocks)
+    return fingerprints.edited_neighbours(docs, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
