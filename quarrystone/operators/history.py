@@ -71,7 +71,7 @@ def delete_sessions(sessions: DataFrame, messages: DataFrame, feedback: DataFram
     left = messages.join(ids, "session_id", "left_anti")
     votes = feedback.join(ids, "session_id", "left_anti")
     alive = left.select("message_id").withColumn("alive", F.lit(True))
-    votes = votes.join(alive, "message_id", "left").withColumn("message_id", F.when("alive", F.col("message_id"))).drop("alive")
+    votes = votes.join(alive, "message_id", "left").withColumn("message_id", F.when(F.col("alive"), F.col("message_id"))).drop("alive")
     return sessions.join(ids, "session_id", "left_anti"), left, votes
 
 
