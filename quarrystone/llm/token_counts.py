@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrystone.llm.shared import id_and_text
+from quarrystone.llm.shared import id_and_text, materialize
 
 RANGE = 256
 _ENCODERS: dict[str, object] = {}
@@ -54,7 +54,8 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     truncated_total is what is left of all tokens at the limit n_tokens, lost_tokens what is cut there, and quantile the share
     of documents that fit into it.
     """
-    counts = lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")).withColumn("range", F.floor(F.col("n_tokens") / RANGE))
+    counts = materialize(lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")), "lengths")  # read twice: encode once
+    counts = counts.withColumn("range", F.floor(F.col("n_tokens") / RANGE))
     ranges = counts.groupBy("range").agg(F.sum("n_docs").alias("docs"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("tokens"))
     over = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
