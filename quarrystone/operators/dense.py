@@ -34,7 +34,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2sq"
 
 def _best_of_batches(vectors: DataFrame, queries: DataFrame, k: int, metric: str) -> DataFrame:
     asked = queries.select("query_id", "embedding").toPandas()
-    matrix = np.array(asked["embedding"].tolist(), np.float64).reshape(len(asked), -1)
+    matrix = np.array(asked["embedding"].tolist(), np.float64)
     shared = vectors.sparkSession.sparkContext.broadcast((asked["query_id"].to_numpy(), matrix))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
