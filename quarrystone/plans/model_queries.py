@@ -43,7 +43,6 @@ def hybrid_dense_sparse(spark, sf_dir):
 
 @query()
 def deep_retrieval(spark, sf_dir):
-    streams.work_folder(spark, "deep")  # a checkpoint folder is set
     docs = table(spark, sf_dir, "documents").withColumn("ord", F.col("doc_id"))
 
     def search(texts):

@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir`` that all executors share; a temporary one only where that is unset (local runs)."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        path = "file://" + tempfile.mkdtemp(prefix="quarrystone-")
+        spark.conf.set("spark.checkpoint.dir", path)
+        spark.sparkContext.setCheckpointDir(path)
+    return path.rstrip("/")
+
+
 def prepare(spark: SparkSession, batch_rows: int | None = None) -> None:
     """Let Python workers on this machine import the library, and bound the rows of an Arrow batch.
 

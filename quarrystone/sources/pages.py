@@ -12,7 +12,7 @@ from quarrystone.config import Settings
 from quarrystone.functions.html import page_links, page_text, parse
 from quarrystone.functions.text import normal_url
 from quarrystone.operators.chunking import structural_chunks
-from quarrystone.session import prepare
+from quarrystone.session import prepare, shared_dir
 
 
 def extract_pages(pages: DataFrame, mode: str = "mark") -> DataFrame:
@@ -71,6 +71,7 @@ def crawl_order(pages: DataFrame, max_pages: int = 1_000_000, max_depth: int = 2
 
     Each step is a join of the frontier with the link table and an anti join with what was seen; steps are checkpointed.
     """
+    shared_dir(pages.sparkSession)  # where the steps are checkpointed
     fetched = pages.select("page_id", normal_url("url").alias("url")).dropDuplicates(["url"]).checkpoint()
     edges = links(pages).join(fetched.select("page_id", "url"), "page_id").select(F.col("url").alias("origin"), "target").checkpoint()
     starts = fetched.groupBy(F.regexp_extract("url", r"^([^/]*//[^/]*)", 1).alias("host")).agg(F.min("url").alias("url"))

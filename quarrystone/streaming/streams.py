@@ -12,18 +12,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quarrystone.functions.models import strip_reasoning
 from quarrystone.operators.chunking import fixed_chunks
-from quarrystone.session import prepare
+from quarrystone.session import prepare, shared_dir
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder beside the checkpoints that the cluster shares."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="quarrystone-stream-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def file_stream(spark: SparkSession, sf_dir: str, name: str, files: int = 4) -> DataFrame:
