@@ -2,31 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrystone.session import prepare, shared_dir
+
 #: ASCII white space as the word contracts define it: space and \x09-\x0D.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Words are maximal runs of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset (tests, local runs)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="quarrystone-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut and the files survive executors."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
@@ -45,7 +38,7 @@ def discard(*tables: DataFrame) -> None:
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Bound the rows of an Arrow batch, since single texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    prepare(spark, rows)
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -61,32 +54,61 @@ def rows_per_bucket(n_rows: int, rows: int = 50_000) -> int:
 class WordIds:
     """Token ids of white-space separated words as little-endian uint32 bytes.
 
-    The tokenizer drops white space and never merges across it, so the ids of a text are the joined ids of its words.
-    Two generations of at most ``cap`` words bound the memory; a word that is met again moves to the young one.
+    The tokenizer lower-cases, drops white space and never merges across it, nor between a letter or digit and a punctuation mark
+    behind it.  So the ids of a text are the joined ids of its words, and a new word with a capital or with one full stop or
+    comma at its end takes those of the plain word; only plain words that are new reach the tokenizer, many at a time.  Two
+    generations of at most ``cap`` words bound the memory; a word that is met again moves to the young one.
     """
 
-    def __init__(self, path: str, cap: int = 250_000):
+    def __init__(self, path: str, cap: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cap, self.young, self.old = cap, {"": b""}, {}
+        self.marks = {mark: self._ids(mark) for mark in ".,"}
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, new: list[str]) -> None:
+        """Ids of new words, none of which holds white space: encoded as one text and cut at the words' places."""
+        found = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
+        starts = np.array([start for start, _ in found.offsets], np.int64)
+        ends = np.cumsum([len(word) + 1 for word in new])
+        cuts = [0, *(np.searchsorted(starts, ends) * 4).tolist()]
+        ids = np.array(found.ids, "<u4").tobytes()
+        for word, at, end in zip(new, cuts, cuts[1:], strict=False):
+            self.young[word] = ids[at:end]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [text.replace("\n", " ").replace("\r", " ").replace("\t", " ").split(" ") for text in texts]
         young, old = self.young, self.old
-        missing: set[str] = set()
-        for words in split:
-            for word in set(words) - young.keys():
-                if word in old:
-                    young[word] = old[word]
-                else:
-                    missing.add(word)
-        if missing:
-            import numpy as np
-
-            todo = list(missing)
-            for word, enc in zip(todo, self.tokenizer.encode_batch_fast(todo, add_special_tokens=False), strict=True):
-                young[word] = np.array(enc.ids, dtype="<u4").tobytes()
+        derived: list[tuple[str, str, bytes]] = []
+        new: dict[str, None] = {}
+        for word in set().union(*split):
+            if word in young:
+                continue
+            if word in old:
+                young[word] = old[word]
+                continue
+            plain, tail = word, b""
+            # Two letters are lower-cased by their context or into two; they and control strings stay as they are.
+            if "\u03a3" not in word and "\u0130" not in word and "<|" not in word:
+                if len(word) > 1 and word[-1] in ".," and word[-2].isalpha():
+                    plain, tail = word[:-1], self.marks[word[-1]]
+                plain = plain.lower()
+            if plain != word:
+                derived.append((word, plain, tail))
+            if plain in young:
+                continue
+            if plain in old:
+                young[plain] = old[plain]
+            else:
+                new[plain] = None
+        if new:
+            self._learn(list(new))
+        for word, plain, tail in derived:
+            young[word] = young[plain] + tail
         out = [b"".join(map(young.__getitem__, words)) for words in split]
         if len(young) > self.cap:
             self.old, self.young = young, {"": b""}
