@@ -181,11 +181,16 @@ def document_hits(docs: DataFrame, repeated: DataFrame, window: int, seed: int)
     return rows.join(repeated, "minimizer").groupBy("doc_id").agg(F.collect_set("minimizer").alias("hits"))  # no more than its windows
 
 
-def repeated_paths(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """(doc_id, start, n_windows, source_doc, source_start): spans that also occur in a document with a smaller doc_id."""
+def repeated_paths(docs: DataFrame, copies: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
+    """(doc_id, start, n_windows, source_doc, source_start): spans that also occur in a document with a smaller doc_id.
+
+    ``copies`` (doc_id) are later copies of whole texts: the first copy has all their edges with a smaller doc_id, so theirs
+    are left out.
+    """
     docs = id_and_text(docs).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     repeated = materialize(repeated_minimizers(docs, window, seed), "minimizers")
-    edges = materialize(candidate_edges(docs, repeated, window, seed), "edges")
+    own = docs.join(F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies, "doc_id", "left_anti")
+    edges = materialize(candidate_edges(own, repeated, window, seed), "edges")
     discard(repeated)
     first = edges.groupBy("edge", "check").agg(F.min(F.struct("doc_id", "pos")).alias("source"), F.max("doc_id").alias("last"))
     first = first.filter("source.doc_id < last").select("edge", "check", F.col("source.doc_id").alias("source_doc"), F.col("source.pos").alias("source_pos"))
@@ -207,8 +212,9 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
     digests = materialize(text_digests(docs), "digests")
     firsts = digests.filter("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first"))
     marked = digests.join(firsts, "digest", "left").withColumn("copy", F.coalesce((F.col("first") < F.col("doc_id")) & (F.col("n_words") >= window), F.lit(False)))
-    spans = repeated_paths(docs, window, seed).groupBy("doc_id").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("n_windows") + window - 1).alias("end"))).alias("spans"))
-    spans = materialize(spans.join(marked.filter("copy").select("doc_id"), "doc_id", "left_anti"), "spans")
+    copies = materialize(marked.filter("copy").select("doc_id"), "copies")
+    spans = repeated_paths(docs, copies, window, seed).groupBy("doc_id").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("n_windows") + window - 1).alias("end"))).alias("spans"))
+    spans = materialize(spans, "spans")
     ids = spans.select("doc_id")
     texts = docs.join(F.broadcast(ids) if spans.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi").join(spans, "doc_id")
 
