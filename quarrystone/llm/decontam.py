@@ -65,9 +65,13 @@ def band_rows(bound: Column) -> Column:
     return out
 
 
-def band_keys(shingles: Column, rows: int) -> Column:
-    """Hashes of the bands of ``rows`` MinHash positions of a set."""
-    minima = F.transform(F.sequence(F.lit(0), F.lit(POSITIONS - 1)), lambda k: F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, k))))
+def signature(shingles: Column) -> Column:
+    """The MinHash positions of a set."""
+    return F.transform(F.sequence(F.lit(0), F.lit(POSITIONS - 1)), lambda k: F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, k))))
+
+
+def band_keys(minima: Column, rows: int) -> Column:
+    """Hashes of the bands of ``rows`` positions of a signature, which must be a stored column."""
     return F.transform(F.sequence(F.lit(0), F.lit(POSITIONS // rows - 1)), lambda b: F.xxhash64(F.lit(rows), b, F.slice(minima, b * rows + 1, rows)))
 
 
@@ -83,28 +87,30 @@ def contained_items(docs: DataFrame, items: DataFrame, size: int = SHINGLE, perc
     small = n_asked <= BROADCAST_ROWS
     hint = F.broadcast if small else lambda table: table
     item_sets = asked.groupBy("item_id").agg(F.collect_list("shingle").alias("asked"), F.count("*").alias("q"))  # an item's own shingles
+    item_sets = materialize(item_sets.withColumn("minima", signature(F.col("asked"))), "item-sets")
 
     wanted = asked.select("shingle").distinct()
     shared = shingle_rows(docs, id_col, size).join(hint(wanted), "shingle", "left_semi").distinct()
-    sets = materialize(shared.groupBy("id").agg(F.collect_list("shingle").alias("held"), F.count("*").alias("n")).withColumn("part", log_size(F.col("n"))), "reduced")
+    sets = shared.groupBy("id").agg(F.collect_list("shingle").alias("held"), F.count("*").alias("n")).withColumn("part", log_size(F.col("n")))
+    sets = materialize(sets.withColumn("minima", signature(F.col("held"))), "reduced")
     parts = [r["part"] for r in sets.select("part").distinct().collect()]  # at most 31, powers of two
 
     # What an item needs in each partition: a band width, or the direct way.
-    plans = item_sets.select("item_id", "asked", "q", F.explode(F.array(*[F.lit(p) for p in parts]).cast("array<int>")).alias("part"))
+    plans = item_sets.select("item_id", "asked", "minima", "q", F.explode(F.array(*[F.lit(p) for p in parts]).cast("array<int>")).alias("part"))
     plans = plans.withColumn("top", F.pow(F.lit(2.0), F.col("part") + 1) - 1).filter(F.col("top") >= t * F.col("q"))
     plans = plans.withColumn("rows", band_rows(jaccard_bound(F.col("q"), F.greatest("top", F.col("q")), t)))
 
     found = None
     for rows in ROWS:
-        keys = plans.filter(F.col("rows") == rows).select("item_id", "part", F.explode(band_keys(F.col("asked"), rows)).alias("band"))
+        keys = plans.filter(F.col("rows") == rows).select("item_id", "part", F.explode(band_keys(F.col("minima"), rows)).alias("band"))
         fewer = n_asked * POSITIONS // rows <= BROADCAST_ROWS * 4
-        held = sets.select("id", "part", F.explode(band_keys(F.col("held"), rows)).alias("band"))
+        held = sets.select("id", "part", F.explode(band_keys(F.col("minima"), rows)).alias("band"))
         pairs = held.join(F.broadcast(keys) if small and fewer else keys, ["part", "band"]).select("id", "item_id")
         found = pairs if found is None else found.unionByName(pairs)
     direct = plans.filter("rows IS NULL").select("item_id", "part", F.explode("asked").alias("shingle"))
     found = found.unionByName(sets.select("id", "part", F.explode("held").alias("shingle")).join(hint(direct), ["part", "shingle"]).select("id", "item_id"))
 
-    checked = found.distinct().join(sets.select("id", "held"), "id").join(hint(item_sets), "item_id")
+    checked = found.distinct().join(sets.select("id", "held"), "id").join(hint(item_sets.drop("minima")), "item_id")
     checked = checked.withColumn("n_shared", F.size(F.array_intersect("held", "asked")).cast("bigint")).filter(F.col("n_shared") * 100 >= F.col("q") * percent)
     return checked.select(F.col("id").alias("doc_id"), "item_id", "n_shared", F.col("q").cast("bigint").alias("n_item_shingles"), (F.col("n_shared") / F.col("q")).alias("containment"))
 
