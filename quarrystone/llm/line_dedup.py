@@ -28,25 +28,36 @@ VARIABLE = "<*>"
 BROADCAST_ROWS = 500_000
 
 
+def spaced(line: Column) -> Column:
+    """The line with single spaces between its tokens and none at its ends."""
+    odd = F.contains(line, F.lit("  "))
+    for mark in "\t\x0b\x0c\r":
+        odd = odd | F.contains(line, F.lit(mark))
+    return F.trim(F.when(odd, F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(line))
+
+
+def generalised(tokens: Column) -> Column:
+    """Tokens that hold digits as variable fields."""
+    return F.when(tokens.rlike("[0-9]"), F.regexp_replace(tokens, r"[^ ]*[0-9][^ ]*", VARIABLE)).otherwise(tokens)
+
+
 def line_form(line: Column) -> Column:
-    """The line with single spaces and tokens that hold digits generalised."""
-    spaced = F.trim(F.when(line.rlike(r"[\x09-\x0D]|\x20\x20"), F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(line))
-    return F.when(spaced.rlike("[0-9]"), F.regexp_replace(spaced, r"[^ ]*[0-9][^ ]*", VARIABLE)).otherwise(spaced)
+    return generalised(spaced(line))
 
 
 def lines_of(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def count_tokens(form: Column) -> Column:
-    return F.length(form) - F.length(F.replace(form, F.lit(" "), F.lit(""))) + 1
+def count_tokens(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
 def document_lines(docs: DataFrame, depth: int) -> DataFrame:
-    """(doc_id, form, leaf) of every line that has tokens; the leaf is a hash of token count and leading tokens."""
+    """(doc_id, line, leaf) of every line that has tokens; the leaf is a hash of token count and leading tokens."""
     lines = docs.filter("doc_id IS NOT NULL").select("doc_id", F.explode(lines_of(F.col("text"))).alias("line"))
-    forms = lines.select("doc_id", line_form(F.col("line")).alias("form")).filter("form != ''")
-    return forms.withColumn("leaf", F.xxhash64(count_tokens(F.col("form")), F.substring_index("form", " ", depth)))
+    lines = lines.select("doc_id", spaced(F.col("line")).alias("line")).filter("line != ''")
+    return lines.withColumn("leaf", F.xxhash64(count_tokens(F.col("line")), generalised(F.substring_index("line", " ", depth))))
 
 
 def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, share: float = CONSTANT_SHARE) -> DataFrame:
@@ -54,7 +65,8 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOC
     lines = document_lines(docs.select("doc_id", "text"), depth)
     leaves = materialize(lines.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("leaf"), "leaves")
     small = F.broadcast(leaves) if leaves.count() <= BROADCAST_ROWS else leaves
-    open_lines = materialize(lines.join(small, "leaf", "left_semi").withColumn("form_key", F.xxhash64("form")), "open-lines")
+    open_lines = lines.join(small, "leaf", "left_semi").select("doc_id", "leaf", generalised(F.col("line")).alias("form"))
+    open_lines = materialize(open_lines.withColumn("form_key", F.xxhash64("form")), "open-lines")
     discard(leaves)
     forms = materialize(open_lines.groupBy("leaf", "form_key", "form").agg(F.count("*").alias("n")), "forms")
 
@@ -76,6 +88,9 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOC
     marked = open_lines.select("doc_id", "form_key").join(templates, "form_key").distinct()
     marked = materialize(marked, "marked-lines")
     recurring = marked.select("doc_id", "template").distinct().groupBy("template").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first")).filter(F.col("n_docs") >= min_docs)
+    # Stored, so that the join can split a very common template.
+    recurring = materialize(recurring.select("template", "first"), "recurring")
+    recurring = F.broadcast(recurring) if recurring.count() <= BROADCAST_ROWS else recurring
     drops = marked.join(recurring, "template").filter("doc_id != first").select("doc_id", "form_key")
     discard(open_lines, forms)
     return drops
