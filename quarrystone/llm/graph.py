@@ -12,11 +12,17 @@ from pyspark.sql import functions as F
 from quarrystone.llm.shared import discard, materialize
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _both_ways(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+
+
+def _least_neighbours(edges: DataFrame) -> DataFrame:
+    return _both_ways(edges).groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+
+
+def _large_star(edges: DataFrame, least: DataFrame) -> DataFrame:
     """Larger neighbours of a node are linked to its smallest one instead."""
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("b"), F.col("m").alias("a")).distinct()
+    return _both_ways(edges).filter("v > u").join(least, "u").select(F.col("v").alias("b"), F.col("m").alias("a")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -33,8 +39,9 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now = materialize(clean, "edges")
     seen = None
     for _ in range(rounds):
-        after = materialize(_small_star(_large_star(now)), "edges")
-        discard(now)
+        least = materialize(_least_neighbours(now), "least")  # stored, so that the join can split a node with very many neighbours
+        after = materialize(_small_star(_large_star(now, least)), "edges")
+        discard(now, least)
         now = after
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
