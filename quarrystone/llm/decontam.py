@@ -117,5 +117,6 @@ def contained_items(docs: DataFrame, items: DataFrame, size: int = SHINGLE, perc
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The documents that contain no item; columns as they came."""
-    bad = contained_items(docs, items, size, percent).select("doc_id").distinct()
+    bad = materialize(contained_items(docs, items, size, percent).select("doc_id").distinct(), "contaminated")
+    bad = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
     return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)

@@ -24,7 +24,7 @@ DEPTH = 3
 MIN_DOCS = 10
 CONSTANT_SHARE = 0.5
 VARIABLE = "<*>"
-#: Up to so many leaves are broadcast; beyond, they are joined by shuffle.
+#: Up to so many leaves, line forms or templates are broadcast; beyond, they are joined by shuffle.
 BROADCAST_ROWS = 500_000
 
 
@@ -85,7 +85,8 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOC
     # Token counts differ between leaves and are part of the template; so are the leading tokens.
     templates = materialize(templates.select("form_key", F.xxhash64("template").alias("template")), "templates")
 
-    marked = open_lines.select("doc_id", "form_key").join(templates, "form_key").distinct()
+    known = F.broadcast(templates) if templates.count() <= BROADCAST_ROWS else templates
+    marked = open_lines.select("doc_id", "form_key").join(known, "form_key").distinct()
     marked = materialize(marked, "marked-lines")
     recurring = marked.select("doc_id", "template").distinct().groupBy("template").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first")).filter(F.col("n_docs") >= min_docs)
     # Stored, so that the join can split a very common template.

@@ -361,5 +361,6 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The documents of each class that bear its smallest id; columns as they came."""
-    gone = near_duplicates(docs, size, percent).filter("NOT kept").select("doc_id")
+    gone = materialize(near_duplicates(docs, size, percent).filter("NOT kept").select("doc_id"), "later-copies")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
