@@ -100,15 +100,17 @@ def contained_items(docs: DataFrame, items: DataFrame, size: int = SHINGLE, perc
     plans = plans.withColumn("top", F.pow(F.lit(2.0), F.col("part") + 1) - 1).filter(F.col("top") >= t * F.col("q"))
     plans = plans.withColumn("rows", band_rows(jaccard_bound(F.col("q"), F.greatest("top", F.col("q")), t)))
 
+    n_items, n_parts = item_sets.count(), len(parts)
     found = None
     for rows in ROWS:
         keys = plans.filter(F.col("rows") == rows).select("item_id", "part", F.explode(band_keys(F.col("minima"), rows)).alias("band"))
-        fewer = n_asked * POSITIONS // rows <= BROADCAST_ROWS * 4
+        few = n_items * n_parts * (POSITIONS // rows) <= BROADCAST_ROWS  # an item has a key a band and partition
         held = sets.select("id", "part", F.explode(band_keys(F.col("minima"), rows)).alias("band"))
-        pairs = held.join(F.broadcast(keys) if small and fewer else keys, ["part", "band"]).select("id", "item_id")
+        pairs = held.join(F.broadcast(keys) if few else keys, ["part", "band"]).select("id", "item_id")
         found = pairs if found is None else found.unionByName(pairs)
     direct = plans.filter("rows IS NULL").select("item_id", "part", F.explode("asked").alias("shingle"))
-    found = found.unionByName(sets.select("id", "part", F.explode("held").alias("shingle")).join(hint(direct), ["part", "shingle"]).select("id", "item_id"))
+    direct = F.broadcast(direct) if n_asked * n_parts <= BROADCAST_ROWS else direct  # each shingle in every partition at most
+    found = found.unionByName(sets.select("id", "part", F.explode("held").alias("shingle")).join(direct, ["part", "shingle"]).select("id", "item_id"))
 
     checked = found.distinct().join(sets.select("id", "held"), "id").join(hint(item_sets.drop("minima")), "item_id")
     checked = checked.withColumn("n_shared", F.size(F.array_intersect("held", "asked")).cast("bigint")).filter(F.col("n_shared") * 100 >= F.col("q") * percent)
