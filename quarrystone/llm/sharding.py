@@ -28,6 +28,10 @@ BITS = 8
 CELLS = 1 << BITS
 DIGITS = 16
 TOLERANCE = 0.001
+#: About so many rows make a range in which slots are numbered; a range of over twice as many is dealt.
+RANGE_ROWS = 20_000
+#: Up to so many dealt ranges are broadcast; beyond, they are joined by shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def digit(level: int) -> Column:
@@ -103,25 +107,24 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, tolerance: float = TO
     shard = F.lit(0)
     for splitter in splitters:
         shard = shard + F.when(before(splitter), 0).otherwise(1)
-    # Number ranges: a prefix of the text hash long enough for about 20,000 rows, and a hash of the id where a range holds more.
-    want = rows_per_bucket(keys.count(), 20_000)
-    bits = max(1, min(20, want.bit_length()))
+    # Number ranges: a prefix of the text hash long enough for about RANGE_ROWS rows, and a hash of the id where a range holds more.
+    bits = max(1, min(40, rows_per_bucket(keys.count(), RANGE_ROWS).bit_length()))
     cell = F.shiftrightunsigned("text_key", 64 - bits)
-    placed = keys.withColumn("shard", shard).withColumn("cell", cell)
-    heavy = placed.groupBy("shard", "cell").agg(F.count("*").alias("n")).select("shard", "cell", F.ceil(F.col("n") / 40_000).alias("ways"))
-    ways = {}
-    for r in heavy.filter("ways > 1").collect():  # fewer than one for each 40,000 rows of 2**20 cells
-        ways[r["shard"], r["cell"]] = r["ways"]
-    deal = F.lit(0)
-    for (s, c), w in sorted(ways.items()):
-        deal = F.when((F.col("shard") == s) & (F.col("cell") == c), F.shiftrightunsigned("id_key", 32) * w / (1 << 32)).otherwise(deal)
-    deal = F.floor(deal).cast("int")
-    placed = placed.withColumn("deal", deal)
+    placed = keys.withColumn("shard", shard.cast("int")).withColumn("cell", cell)
+    heavy = placed.groupBy("shard", "cell").agg(F.count("*").alias("n")).filter(F.col("n") > 2 * RANGE_ROWS)
+    heavy = materialize(heavy.select("shard", "cell", F.ceil(F.col("n") / (2 * RANGE_ROWS)).alias("ways")), "heavy-ranges")
+    known = F.broadcast(heavy) if heavy.count() <= BROADCAST_ROWS else heavy
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        deal = F.floor(F.shiftrightunsigned("id_key", 32) * F.coalesce("ways", F.lit(1)) / (1 << 32)).cast("int")
+        return rows.join(known, ["shard", "cell"], "left").withColumn("deal", deal).drop("ways")
+
+    placed = dealt(placed)
     counts = placed.groupBy("shard", "cell", "deal").agg(F.count("*").alias("n"))
     counts = with_prefix_counts(counts.withColumn("at", F.struct("cell", "deal")), ["shard"], "at", "n", "first").select("shard", "cell", "deal", "first")
     counts = materialize(counts, "shard-counts")
     discard(keys)
-    rows = base.withColumn("shard", shard.cast("int")).withColumn("cell", cell).withColumn("deal", deal)
+    rows = dealt(base.withColumn("shard", shard.cast("int")).withColumn("cell", cell))
     order = Window.partitionBy("shard", "cell", "deal").orderBy("text_key", "id_key")
     rows = rows.withColumn("nth", F.row_number().over(order)).join(counts, ["shard", "cell", "deal"])
     added = {"size", "text_crc32", "shard", "slot"}

@@ -196,6 +196,14 @@ def test_a_text_of_a_third_of_all_rows_is_split(spark):
     check_shards(rows, sharding.shard_documents(documents(spark, rows, extra=False)).collect(), 2 * 150)
 
 
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_ranges_of_one_text_are_dealt_before_slots_are_numbered(spark, monkeypatch, most):
+    monkeypatch.setattr(sharding, "RANGE_ROWS", 20)
+    monkeypatch.setattr(sharding, "BROADCAST_ROWS", most)
+    rows = [(i, prose(i, 10) if i % 3 else "the same text again") for i in range(900)]
+    check_shards(rows, sharding.shard_documents(documents(spark, rows, extra=False)).collect(), 2 * 150)
+
+
 def test_shards_of_awkward_rows(spark):
     got = sharding.shard_documents(documents(spark))
     assert got.columns.count("shard") == 1 and got.columns.count("size") == 1
