@@ -1,7 +1,7 @@
 """Document fingerprints by consistent weighted sampling.
 
-A text is a weighted set: its pairs of neighbouring lower-cased words, hashed to ``DIMENSIONS`` terms and weighted by their
-counts.  For each term and sample there are two gamma(2, 1) variates and a uniform one, the same for every document; the
+A text is a weighted set: its pairs of neighbouring lower-cased words, hashed to 64-bit terms (of 32-bit word hashes) and weighted by their
+counts.  For each term and sample there are two gamma(2, 1) variates and a uniform one, hashed from both and so the same for every document; the
 sample of a document is the term, with its quantised log weight, that minimises Ioffe's exponential race.  Two documents
 agree on a sample with a probability that equals their generalised Jaccard similarity (sum of minima over sum of maxima),
 so the share of agreeing samples estimates it.  Each sample is kept as 16 bits, and the fingerprint is their hex text.
@@ -26,30 +26,62 @@ from pyspark.sql import functions as F
 from quarrystone.llm.shared import id_and_text
 
 SAMPLES = 64
-DIMENSIONS = 1 << 15
-_TABLES: dict[tuple[int, int], tuple[np.ndarray, ...]] = {}
 
 
-def _uniform(count: int, stream: int) -> np.ndarray:
-    """Uniform numbers in (0, 1) from a counter through the splitmix64 finaliser: the same on every machine."""
-    with np.errstate(over="ignore"):
-        x = np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(stream) * np.uint64(0xD1342543DE82EF95)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(31)
-    return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
+#: Terms that race at once, and buffers for them: one set a worker process and number of samples.
+BLOCK = 256
+_BUFFERS: dict[int, tuple[np.ndarray, ...]] = {}
+
+
+def _stir(x: np.ndarray, spare: np.ndarray) -> None:
+    """Mixes products of 64-bit numbers in place."""
+    np.right_shift(x, np.uint64(32), out=spare)
+    x ^= spare
+    x *= np.uint64(0xC4CEB9FE1A85EC53)
+    np.right_shift(x, np.uint64(32), out=spare)
+    x ^= spare
+
+
+def _buffers(samples: int) -> tuple[np.ndarray, ...]:
+    if samples not in _BUFFERS:
+        keys = np.arange(1, 2 * samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        _stir(keys, np.empty_like(keys))
+        keys |= np.uint64(1)
+        shape = (2, BLOCK, samples)
+        _BUFFERS[samples] = keys.reshape(2, 1, samples), np.empty(shape, np.uint64), np.empty(shape, np.uint64), np.empty((*shape, 2), np.float32), np.empty(shape, np.float32), np.empty(shape[1:], np.float32)
+    return _BUFFERS[samples]
+
 
+def variates(terms: np.ndarray, samples: int = SAMPLES) -> tuple[np.ndarray, ...]:
+    """r, ln c and beta for each sample of at most BLOCK 64-bit terms, hashed from both: the same on every machine.
 
-def variates(dimensions: int = DIMENSIONS, samples: int = SAMPLES) -> tuple[np.ndarray, ...]:
-    """r, ln c and beta for each term and sample.  A gamma(2, 1) variate is minus the log of a product of two uniforms."""
-    key = (dimensions, samples)
-    if key not in _TABLES:
-        n = dimensions * samples
-        r = -np.log(_uniform(n, 1) * _uniform(n, 2))
-        ln_c = np.log(-np.log(_uniform(n, 3) * _uniform(n, 4)))
-        beta = _uniform(n, 5)
-        _TABLES[key] = tuple(x.astype(np.float32).reshape(dimensions, samples) for x in (r, ln_c, beta))
-    return _TABLES[key]
+    A gamma(2, 1) variate is minus the log of a product of two uniforms; two hashes give the four, and one goes on to beta.
+    The arrays are overwritten by the next call.
+    """
+    n = len(terms)
+    keys, x, spare, uniform, gamma, beta = _buffers(samples)
+    x, spare, uniform, gamma, beta = x[:, :n], spare[:, :n], uniform[:, :n], gamma[:, :n], beta[:n]
+    base = (terms.astype(np.uint64) + np.uint64(1)) * np.uint64(0xFF51AFD7ED558CCD)
+    _stir(base, np.empty_like(base))
+    for k in range(2):
+        np.multiply(base[:, None], keys[k], out=x[k])
+        _stir(x[k], spare[k])
+        uniform[k] = x[k].view(np.uint32).reshape(n, samples, 2)
+    uniform += np.float32(0.5)
+    np.multiply(uniform[..., 0], uniform[..., 1], out=gamma)
+    gamma *= np.float32(2.0**-64)
+    np.log(gamma, out=gamma)
+    np.minimum(gamma, np.float32(-(2.0**-24)), out=gamma)  # a product can round to one
+    np.negative(gamma, out=gamma)
+    np.log(gamma[1], out=gamma[1])
+    more, spare = x[0], spare[0]
+    np.right_shift(more, np.uint64(29), out=spare)
+    more ^= spare
+    more *= np.uint64(0xBF58476D1CE4E5B9)
+    more >>= np.uint64(40)
+    beta[:] = more.view(np.int64)  # converts much faster
+    beta *= np.float32(2.0**-24)
+    return gamma[0], gamma[1], beta
 
 
 class Terms:
@@ -72,46 +104,73 @@ class Terms:
 _TERMS = Terms()
 
 
-def weighted_terms(text: str, dimensions: int = DIMENSIONS) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct term numbers and their counts."""
+def weighted_terms(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct 64-bit terms and their counts."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return np.empty(0, np.int64), np.empty(0, np.float32)
+        return np.empty(0, np.uint64), np.empty(0, np.float32)
     h = _TERMS.hashes(words)
     if len(h) > 1:
         h = h[:-1] * np.uint64(0xBF58476D1CE4E5B9) ^ (h[1:] >> np.uint64(7))
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) >> np.uint64(40)
-    terms, counts = np.unique((h % np.uint64(dimensions)).astype(np.int64), return_counts=True)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    terms, counts = np.unique(h, return_counts=True)
     return terms, counts.astype(np.float32)
 
 
-def signature(terms: np.ndarray, weights: np.ndarray, samples: int = SAMPLES, dimensions: int = DIMENSIONS, block: int = 4096) -> np.ndarray:
-    """One 16-bit value a sample, for the term and quantised weight that win the race; blocks bound the memory."""
-    if not len(terms):
-        return np.zeros(samples, np.uint16)
-    r_all, c_all, b_all = variates(dimensions, samples)
+def race(terms: np.ndarray, weights: np.ndarray, samples: int = SAMPLES) -> tuple[np.ndarray, ...]:
+    """For each sample the least value, its term and its quantised weight; blocks bound the memory."""
     best = np.full(samples, np.inf, np.float32)
-    term, step = np.zeros(samples, np.int64), np.zeros(samples, np.int64)
+    term, step = np.zeros(samples, np.uint64), np.zeros(samples, np.int64)
     column = np.arange(samples)
-    for at in range(0, len(terms), block):
-        some = terms[at : at + block]
-        r = r_all[some]
-        t = np.log(weights[at : at + block])[:, None] / r
-        t += b_all[some]
-        np.floor(t, out=t)
-        race = c_all[some] - r * (t - b_all[some] + 1)
-        row = race.argmin(axis=0)
-        value = race[row, column]
+    single = weights == 1
+    for some, counts in ((terms[single], None), (terms[~single], weights[~single])):
+        for at in range(0, len(some), BLOCK):
+            keys = some[at : at + BLOCK]
+            r, values, beta = variates(keys, samples)
+            t = None
+            if counts is not None:  # else the log of the weight is 0, and so is the step
+                t = np.log(counts[at : at + BLOCK])[:, None] / r
+                t += beta
+                np.floor(t, out=t)
+                beta -= t
+            beta -= 1
+            beta *= r
+            values += beta
+            row = values.argmin(axis=0)
+            value = values[row, column]
+            won = value < best
+            best[won], term[won], step[won] = value[won], keys[row][won], 0 if t is None else t[row, column][won].astype(np.int64)
+    return best, term, step
+
+
+def sealed(*races: tuple[np.ndarray, ...]) -> np.ndarray:
+    """One 16-bit value a sample, for the term and quantised weight that win over all races; zeros where none was run."""
+    best, term, step = races[0]
+    for value, other, steps in races[1:]:
         won = value < best
-        best[won], term[won], step[won] = value[won], some[row][won], t[row, column][won].astype(np.int64)
+        best, term, step = np.where(won, value, best), np.where(won, other, term), np.where(won, steps, step)
     with np.errstate(over="ignore"):
-        mixed = (term.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (step.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+        mixed = (term * np.uint64(0x9E3779B97F4A7C15)) ^ (step.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
         mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(44)
-    return (mixed % np.uint64(65535) + np.uint64(1)).astype(np.uint16)
+    return np.where(np.isinf(best), 0, mixed % np.uint64(65535) + np.uint64(1)).astype(np.uint16)
+
+
+def signature(terms: np.ndarray, weights: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
+    return sealed(race(terms, weights, samples))
 
 
-def text_signature(text: str, samples: int = SAMPLES, dimensions: int = DIMENSIONS) -> np.ndarray:
-    return signature(*weighted_terms(text, dimensions), samples, dimensions)
+def signatures(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray], samples: int = SAMPLES) -> tuple[np.ndarray, np.ndarray]:
+    """Both signatures; what has the same weight in both races once."""
+    (a, wa), (b, wb) = one, two
+    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    equal = wa[i] == wb[j]
+    i, j = i[equal], j[equal]
+    shared = race(a[i], wa[i], samples)
+    return tuple(sealed(shared, race(np.delete(t, at), np.delete(w, at), samples)) for t, w, at in ((a, wa, i), (b, wb, j)))
+
+
+def text_signature(text: str, samples: int = SAMPLES) -> np.ndarray:
+    return signature(*weighted_terms(text), samples)
 
 
 def hex_text(sig: np.ndarray) -> str:
@@ -123,13 +182,13 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float((a == b).mean())
 
 
-def fingerprint(docs: DataFrame, samples: int = SAMPLES, dimensions: int = DIMENSIONS) -> DataFrame:
+def fingerprint(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """(doc_id, n_chars, fingerprint) of every whole text; nothing is shuffled."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [text or "" for text in batch.column(1).to_pylist()]
-            prints = [hex_text(text_signature(text, samples, dimensions)) for text in texts]
+            prints = [hex_text(text_signature(text, samples)) for text in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array(prints, pa.string())], names=["doc_id", "n_chars", "fingerprint"])
 
     ids = docs.schema["doc_id"].dataType.simpleString()
@@ -166,7 +225,7 @@ def in_blocks(docs: DataFrame, n_blocks: int) -> DataFrame:
 BLOCKS_EACH = 8
 
 
-def edited_neighbours(docs: DataFrame, partitions: int, samples: int = SAMPLES, dimensions: int = DIMENSIONS) -> DataFrame:
+def edited_neighbours(docs: DataFrame, partitions: int, samples: int = SAMPLES) -> DataFrame:
     """Fingerprints of each text, of its edited text and of the next document, compared.
 
     The edited text has its last floor(n/4) code points replaced by the first as many (or all) of the next document's.
@@ -175,27 +234,43 @@ def edited_neighbours(docs: DataFrame, partitions: int, samples: int = SAMPLES,
     schema = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held = waiting = None  # a document without its next one, and the row before it that lacks only near_next
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text, block, ghost in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 text = text or ""
-                sig = text_signature(text, samples, dimensions)
+                terms = weighted_terms(text)
                 if held is not None and held[3] == block:
-                    rows.append(one(held, text, sig))
-                held = None if ghost else (doc_id, text, sig, block)
+                    row, sig = one(held, text)
+                    if waiting is not None:
+                        rows.append(done(waiting, sig))
+                    waiting = row, sig
+                elif waiting is not None:
+                    rows.append(done(waiting, signature(*held[2], samples)))
+                    waiting = None
+                if ghost and waiting is not None:
+                    rows.append(done(waiting, signature(*terms, samples)))
+                    waiting = None
+                held = None if ghost else (doc_id, text, terms, block)
             yield pa.RecordBatch.from_pylist([dict(zip(names, row, strict=True)) for row in rows], schema=kinds)
+        if waiting is not None:
+            last = done(waiting, signature(*held[2], samples))
+            yield pa.RecordBatch.from_pylist([dict(zip(names, last, strict=True))], schema=kinds)
 
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     kinds = pa.schema(list(zip(names, [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()], strict=True)))
 
-    def one(held: tuple, next_text: str, next_sig: np.ndarray) -> tuple:
-        doc_id, text, sig, _ = held
+    def one(held: tuple, next_text: str) -> tuple[tuple, np.ndarray]:
+        doc_id, text, terms, _ = held
         cut = len(text) // 4
         edited = text[: len(text) - cut] + next_text[:cut]
-        other = text_signature(edited, samples, dimensions)
+        sig, other = signatures(terms, weighted_terms(edited), samples)
         digest = sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-        return doc_id, len(text), digest, hex_text(sig), hex_text(other), likeness(sig, other), likeness(sig, next_sig)
+        return (doc_id, len(text), digest, hex_text(sig), hex_text(other), likeness(sig, other)), sig
+
+    def done(waiting: tuple[tuple, np.ndarray], next_sig: np.ndarray) -> tuple:
+        row, sig = waiting
+        return *row, likeness(sig, next_sig)
 
     dealt = in_blocks(docs, partitions * BLOCKS_EACH).select("doc_id", "text", "block", "ghost")
     dealt = dealt.repartition(partitions, "block").sortWithinPartitions("block", "ghost", F.col("doc_id").asc_nulls_first(), F.coalesce("text", F.lit("")))

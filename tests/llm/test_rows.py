@@ -264,3 +264,14 @@ def test_token_histogram_answers_every_limit(spark):
     assert token_counts.length_histogram(token_counts.token_lengths(documents(spark, []), tokenizer_file(BYTE_TOKENIZER), tokenizer_pattern())).count() == 0
 
 
+
+
+def test_unrelated_long_texts_have_unlike_fingerprints():
+    r = np.random.default_rng(5)
+    a, b = (" ".join(map(str, r.integers(0, 10**6, 200_000))) for _ in range(2))
+    one, two = fingerprints.text_signature(a), fingerprints.text_signature(b)
+    assert fingerprints.likeness(one, two) <= 0.05
+    mixed = a[: len(a) - len(a) // 4] + b[: len(a) // 4]
+    both = fingerprints.signatures(fingerprints.weighted_terms(a), fingerprints.weighted_terms(mixed))
+    assert (both[0] == one).all() and (both[1] == fingerprints.text_signature(mixed)).all()
+    assert fingerprints.likeness(*both) == pytest.approx(0.6, abs=0.2)
