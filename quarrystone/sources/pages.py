@@ -66,25 +66,36 @@ def preview(pages: DataFrame, shown: int = 3) -> DataFrame:
     return both.select("page_id", "n_chars", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.array_join(F.transform("heads", lambda h: h["head"]), "\n").alias("first"), warning.alias("warning"))
 
 
-def crawl_order(pages: DataFrame, max_pages: int = 1_000_000, max_depth: int = 20) -> DataFrame:
+def crawl_order(pages: DataFrame, max_pages: int | None = None, max_depth: int | None = None) -> DataFrame:
     """(url, depth) of the fetched pages in breadth-first order: host starts at depth 0, then what links reach.
 
     Each step is a join of the frontier with the link table and an anti join with what was seen; steps are checkpointed.
+    They go on until nothing new is reached, however long a chain is; only bounds that a caller gives cut the result:
+    depths below ``max_depth``, and the first ``max_pages`` rows.
     """
-    shared_dir(pages.sparkSession)  # where the steps are checkpointed
+    spark = pages.sparkSession
+    shared_dir(spark)  # where the steps are checkpointed
     fetched = pages.select("page_id", normal_url("url").alias("url")).dropDuplicates(["url"]).checkpoint()
     edges = links(pages).join(fetched.select("page_id", "url"), "page_id").select(F.col("url").alias("origin"), "target").checkpoint()
     starts = fetched.groupBy(F.regexp_extract("url", r"^([^/]*//[^/]*)", 1).alias("host")).agg(F.min("url").alias("url"))
     seen = starts.select("url", F.lit(0).alias("depth")).checkpoint()
     frontier = seen
-    for depth in range(1, max_depth):
+    most = fetched.count()  # each step but the last reaches a page that was not seen
+    for depth in range(1, most + 2):
+        if max_depth is not None and depth >= max_depth:
+            break
         reached = frontier.join(edges, frontier["url"] == edges["origin"]).select(F.col("target").alias("url")).distinct()
         frontier = reached.join(fetched.select("url"), "url", "left_semi").join(seen, "url", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if depth % 16 == 0:  # one table again, so that long chains do not make a union of thousands
+            seen = seen.coalesce(int(spark.conf.get("spark.sql.shuffle.partitions"))).checkpoint()
+    else:
+        raise RuntimeError(f"the frontier of {most} pages did not end")
     rest = fetched.join(seen, "url", "left_anti").select("url", F.lit(None).cast("int").alias("depth"))
-    return seen.unionByName(rest).orderBy(F.col("depth").asc_nulls_last(), "url").limit(max_pages)
+    ordered = seen.unionByName(rest).orderBy(F.col("depth").asc_nulls_last(), "url")
+    return ordered if max_pages is None else ordered.limit(max_pages)
 
 
 def clean_article(html: str | None, drop_classes: tuple[str, ...] = ("ad",)) -> str:

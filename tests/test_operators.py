@@ -1,5 +1,6 @@
 """Operators on small cases of their own."""
 
+import inspect
 import io
 import zipfile
 
@@ -248,3 +249,13 @@ def test_streams_keep_each_event_once(spark, tmp_path):
     for _ in range(2):  # a second run finds nothing new
         streams.take_events(stream(), f"file://{tmp_path}/out")
     assert spark.read.parquet(f"{tmp_path}/out/accepted").count() == 9 and spark.read.parquet(f"{tmp_path}/out/dead").count() == 6
+
+
+def test_crawl_order_follows_long_chains_and_keeps_every_page(spark):
+    n = 40
+    rows = [(i, f"http://a.x/{i:03}", f'<a href="/{i + 1:03}">next</a>') for i in range(n)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    assert {r["url"]: r["depth"] for r in pages.crawl_order(df).collect()} == {f"http://a.x/{i:03}": i for i in range(n)}
+    bounded = pages.crawl_order(df, max_pages=30, max_depth=20).collect()
+    assert len(bounded) == 30 and max(r["depth"] for r in bounded if r["depth"] is not None) == 19
+    assert inspect.signature(pages.crawl_order).parameters["max_pages"].default is None
