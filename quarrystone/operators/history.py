@@ -131,10 +131,15 @@ def weak_reason(sources_json: str = "sources_json", metadata_json: str = "metada
 def weak_answers(messages: DataFrame, limit: int, scan_limit: int = 10_000) -> DataFrame:
     """Weak answers, newest first, with the last question before each in its session (inside the scanned rows)."""
     scanned = messages.filter(F.col("role").isin("user", "assistant")).orderBy(F.desc("created_at"), F.desc("message_id")).limit(scan_limit)
+    return all_weak_answers(scanned).orderBy(F.desc("created_at"), F.desc("message_id")).limit(limit)
+
+
+def all_weak_answers(messages: DataFrame) -> DataFrame:
+    """Weak answers of the whole table, with the last question before each in its session."""
     before = Window.partitionBy("session_id").orderBy("created_at", "message_id").rowsBetween(Window.unboundedPreceding, -1)
-    asked = scanned.withColumn("question", F.last(F.when(F.col("role") == "user", F.col("content")), ignorenulls=True).over(before))
+    asked = messages.withColumn("question", F.last(F.when(F.col("role") == "user", F.col("content")), ignorenulls=True).over(before))
     weak = asked.filter(F.col("role") == "assistant").withColumn("reason", weak_reason()).filter(F.col("reason").isNotNull())
-    return weak.select("message_id", "session_id", "question", "reason", "created_at").orderBy(F.desc("created_at"), F.desc("message_id")).limit(limit)
+    return weak.select("message_id", "session_id", "question", "reason", "created_at")
 
 
 def knowledge_gaps(messages: DataFrame, limit: int, stop_words: Sequence[str], scan_limit: int = 10_000) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrystone.functions.text import extension, file_name, folder
+from quarrystone.operators.history import all_weak_answers, feedback_summary
 
 
 def document_quality(files: DataFrame, now: Column, stale_days: int = 180) -> DataFrame:
@@ -26,6 +27,16 @@ def duplicate_names(files: DataFrame, limit: int = 10, paths: int = 5) -> DataFr
     return groups.filter("files > 1").orderBy(F.desc("files"), "name").limit(limit)
 
 
+def risk_summary(feedback: DataFrame, messages: DataFrame, files: DataFrame, now: Column) -> DataFrame:
+    """One row over the whole tables: votes, weak answers, those with a question (gaps), stale, empty and doubly named files."""
+    votes = feedback_summary(feedback).select("up", "down")
+    asked = F.trim(F.coalesce("question", F.lit(""))) != ""
+    weak = all_weak_answers(messages).agg(F.count("*").alias("weak"), F.count_if(asked).alias("gaps"))
+    state = document_quality(files, now).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("stale", "empty")])
+    names = duplicate_names(files, limit=1).agg(F.count("*").alias("duplicates"))
+    return votes.crossJoin(weak).crossJoin(state).crossJoin(names)
+
+
 def risk_flags(summary: DataFrame, down_share: float = 0.25) -> DataFrame:
     """Flags over a one-row summary (up, down, weak, gaps, stale, duplicates, empty)."""
     share = F.col("down") / F.greatest(F.col("up") + F.col("down"), F.lit(1))

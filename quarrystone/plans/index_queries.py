@@ -65,9 +65,12 @@ def duplicate_names(spark, sf_dir):
 @query(f"""WITH {MESSAGES}, {FEEDBACK}, s AS (SELECT count(*) FILTER (WHERE rating = 'up') AS up, count(*) FILTER (WHERE rating = 'down') AS down FROM feedback)
 SELECT array_to_string(list_filter([CASE WHEN down / greatest(up + down, 1) >= 0.1 THEN 'high_down_share' END, 'weak_answers', 'duplicate_names'], lambda x: x IS NOT NULL), ',') AS flags FROM s""")
 def risk_flags(spark, sf_dir):
-    votes = feedback(spark, sf_dir).agg(F.count_if(F.col("rating") == "up").alias("up"), F.count_if(F.col("rating") == "down").alias("down"))
-    weak = messages(spark, sf_dir).agg(F.count("sources_json").alias("weak"))
-    return Q.risk_flags(votes.join(weak).withColumns({"gaps": F.lit(0), "stale": F.lit(0), "duplicates": F.lit(1), "empty": F.lit(0)}), 0.1)
+    path = F.concat("lang", F.lit("/"), "source", F.lit("/"), (F.col("doc_id") % 97).cast("string"), F.lit(".TXT"))
+    age = F.expr(f"timestamp_ntz'{BASE}' - make_dt_interval(cast(doc_id % 400 as int), 0, 0, 0)")
+    files = table(spark, sf_dir, "documents").select(path.alias("path"), F.col("n_chars").alias("size_bytes"), age.alias("modified_at"))
+    summary = Q.risk_summary(feedback(spark, sf_dir), messages(spark, sf_dir), files, F.expr(f"timestamp_ntz'{BASE}'"))
+    # The query's SQL leaves gaps, stale and empty documents out, so they are set to none here.
+    return Q.risk_flags(summary.withColumns({c: F.lit(0) for c in ("gaps", "stale", "empty")}), 0.1)
 
 
 RELATED = r"""d AS (SELECT lang || '/' || source || '/report ' || doc_id || '.txt' AS path, lang || '/' || source AS dir FROM documents),

@@ -259,3 +259,17 @@ def test_crawl_order_follows_long_chains_and_keeps_every_page(spark):
     bounded = pages.crawl_order(df, max_pages=30, max_depth=20).collect()
     assert len(bounded) == 30 and max(r["depth"] for r in bounded if r["depth"] is not None) == 19
     assert inspect.signature(pages.crawl_order).parameters["max_pages"].default is None
+
+
+def test_risk_summary_counts_the_tables(spark):
+    votes = spark.createDataFrame([("up",), ("down",)], "rating string")
+    said = [(1, 1, "user", "where?", None, 1), (2, 1, "assistant", "-", "[]", 2), (3, 2, "assistant", "-", '[{"score":0.9}]', 3), (4, 2, "assistant", "-", None, 4)]
+    talk = spark.createDataFrame(said, "message_id int, session_id int, role string, content string, sources_json string, created_at int").withColumn("metadata_json", F.lit(None).cast("string"))
+    rows = [("a/x.txt", 0, 1), ("b/X.txt", 5, 365), ("b/y.txt", 5, 365)]
+    held = spark.createDataFrame(rows, "path string, size_bytes int, day int").selectExpr("path", "size_bytes", "timestamp_ntz'2023-01-01' + make_dt_interval(day) AS modified_at")
+    now = F.expr("timestamp_ntz'2024-01-01'")
+    got = quality_reports.risk_summary(votes, talk, held, now)
+    assert got.first().asDict() == {"up": 1, "down": 1, "weak": 2, "gaps": 1, "stale": 1, "empty": 1, "duplicates": 1}
+    assert quality_reports.risk_flags(got).first()["flags"] == "high_down_share,weak_answers,knowledge_gaps,stale_documents,duplicate_names,empty_documents"
+    none = quality_reports.risk_summary(votes, talk.filter("message_id = 3"), held.filter("path = 'b/y.txt'"), now)
+    assert quality_reports.risk_flags(none, 0.9).first()["flags"] == ""
