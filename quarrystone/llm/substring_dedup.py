@@ -11,7 +11,8 @@ shuffled:
 
 Joining the edges back to their occurrences, runs of neighbouring occurrences whose sources are neighbours too are compacted to
 paths: a path goes on through nodes where occurrence and source take the same way, and ends where they branch.  So each path is
-a span of a document with the span of the source document that it repeats, and the coordinates of both verify its length.
+a span of a document with the span of the source document that it repeats.  Runs are numbered by a window over each document, and
+a span rests on its hashes: its words are not compared with the source.
 Spans of one document may overlap; what they cover is removed.
 
 The set of repeated minimizers goes to the tasks as a bitmap, whose size is checked; beyond ``BITMAP_BITS`` it is joined instead.
