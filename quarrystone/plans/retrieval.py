@@ -11,7 +11,7 @@ from quarrystone.config import Settings
 from quarrystone.operators.bm25 import bm25_topk
 from quarrystone.operators.dense import nearest
 from quarrystone.operators.fusion import fused_topk, merged_pool
-from quarrystone.session import shared_dir
+from quarrystone.session import checkpoint_dir
 
 
 def retrieve(corpus: DataFrame, vectors: DataFrame | None, queries: DataFrame, query_vectors: DataFrame | None, key: str, order: str, settings: Settings | None = None) -> DataFrame:
@@ -47,7 +47,7 @@ def deep_retrieve(search: Callable[[DataFrame], DataFrame], queries: DataFrame,
     why each round ended.  Rounds are checkpointed, so the plan does not grow with them.
     """
     s = settings or Settings()
-    shared_dir(queries.sparkSession)  # where the rounds are checkpointed
+    checkpoint_dir(queries.sparkSession)  # where the rounds are checkpointed
     pool, texts, reasons = None, queries, []
     for round_ in range(s.deep_iterations):
         found = search(texts).select("query_id", key, "score").withColumn("round", F.lit(round_))

@@ -7,15 +7,34 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Temporary folders of local sessions without a checkpoint folder, by application.
+_LOCAL: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir`` that all executors share; a temporary one only where that is unset (local runs)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="quarrystone-")
-        spark.conf.set("spark.checkpoint.dir", path)
+    """The folder that all executors share: ``spark.checkpoint.dir``, or ``spark.quarrystone.dir`` where that is unset.
+
+    Without either, a local session gets a temporary folder of this machine; on a cluster that is an error, since every executor
+    would write to its own disk.
+    """
+    context = spark.sparkContext
+    for name in ("spark.checkpoint.dir", "spark.quarrystone.dir"):
+        path = context.getConf().get(name) or spark.conf.get(name, None)
+        if path:
+            return path.rstrip("/")
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir (or spark.quarrystone.dir) to a folder that the driver and all executors share")
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="quarrystone-")
+    return _LOCAL[context.applicationId]
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """``shared_dir``, made the folder of ``DataFrame.checkpoint`` where the session has none."""
+    path = shared_dir(spark)
+    if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
+    return path
 
 
 def prepare(spark: SparkSession, batch_rows: int | None = None) -> None:

@@ -12,7 +12,7 @@ from quarrystone.config import Settings
 from quarrystone.functions.html import page_links, page_text, parse
 from quarrystone.functions.text import normal_url
 from quarrystone.operators.chunking import structural_chunks
-from quarrystone.session import prepare, shared_dir
+from quarrystone.session import prepare, checkpoint_dir
 
 
 def extract_pages(pages: DataFrame, mode: str = "mark") -> DataFrame:
@@ -74,7 +74,7 @@ def crawl_order(pages: DataFrame, max_pages: int | None = None, max_depth: int |
     depths below ``max_depth``, and the first ``max_pages`` rows.
     """
     spark = pages.sparkSession
-    shared_dir(spark)  # where the steps are checkpointed
+    checkpoint_dir(spark)  # where the steps are checkpointed
     fetched = pages.select("page_id", normal_url("url").alias("url")).dropDuplicates(["url"]).checkpoint()
     edges = links(pages).join(fetched.select("page_id", "url"), "page_id").select(F.col("url").alias("origin"), "target").checkpoint()
     starts = fetched.groupBy(F.regexp_extract("url", r"^([^/]*//[^/]*)", 1).alias("host")).agg(F.min("url").alias("url"))
