@@ -1,25 +1,31 @@
 """Repeated substrings by compaction of a token de Bruijn graph.
 
-Every window of ``window`` consecutive words is an edge of the graph, from its first to its last ``window - 1`` words.  Only
-edges that occur in more than one document matter, and they are found in two steps, so that the bulk of the windows is never
-shuffled:
+Every window of ``window`` consecutive words is an edge of the graph, from the node of its first to the node of its last
+``window - 1`` words.  Only edges that occur in more than one document matter, and they are found in two steps, so that the bulk of
+the windows is never shuffled:
 
 * each window has a minimizer, the least hash of its ``seed``-word runs; equal windows have equal minimizers.  A grouped minimum
   and maximum tells which minimizers occur in different texts (copies of one text count as one text);
-* windows with such a minimizer become edges (a 96-bit hash with the coordinate doc_id, position).  A grouped minimum gives the
-  source of each edge, its first coordinate; edges seen in one document only drop out.
+* windows with such a minimizer become edges (a 96-bit hash with the coordinate doc_id, place, and the words before and behind).
+  One grouped pass gives, for each edge, its source (a place in the smallest doc_id), its occurrences, and the degrees that
+  matter: whether one and the same word always follows (out-degree one behind the edge) and always precedes it.
 
-Joining the edges back to their occurrences, runs of neighbouring occurrences whose sources are neighbours too are compacted to
-paths: a path goes on through nodes where occurrence and source take the same way, and ends where they branch.  So each path is
-a span of a document with the span of the source document that it repeats.  Runs are numbered by a window over each document, and
-a span rests on its hashes: its words are not compared with the source.
-Spans of one document may overlap; what they cover is removed.
+An edge whose end leads on to one edge only, which in turn is reached from it only and occurs as often, does not branch there.
+Such edges follow each other at their source too, so edges are compacted within blocks of source places, and the blocks' runs are
+compacted to paths by rounds of joins that double the reach of each.  The beginning and the end of a text count as branches, so
+whoever holds the first edge of a path holds all of it: only occurrences of first edges are joined with the paths, however long
+these are.  Paths of very many occurrences are few, and are joined by broadcast instead of in one task.
 
-The set of repeated minimizers goes to the tasks as a bitmap, whose size is checked; beyond ``BITMAP_BITS`` it is joined instead.
+The source coordinate then verifies each span: a path's words are digested at its source, and a document loses the words of a span
+only if they have the same digest.  Spans of one document may overlap; what they cover is removed.
+
+The sets of repeated minimizers and of first edges go to the tasks as bitmaps, whose size is checked; beyond ``BITMAP_BITS`` the
+minimizers are joined and the first edges are not filtered beforehand.
 
 Defined results: a null text is an empty text; texts shorter than a window lose nothing; of equal texts (by words) all but the
-one with the smallest doc_id lose every word, if a window fits; rows that share a doc_id are one document; rows without doc_id
-are compared with nothing and lose nothing; an empty table gives no rows; extra columns are ignored.
+one with the smallest doc_id lose every word, if a window fits; rows that share a doc_id are never compared with each other, and
+each loses what it repeats of smaller doc_ids; there is one row for each input row; rows without doc_id are compared with
+nothing and lose nothing; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +35,8 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrystone.llm.near_dedup import MIX_A, MIX_B, WordHashes
@@ -43,6 +50,13 @@ BITS_EACH = 24
 CHUNK_BITS = 1 << 15
 #: Up to so many document ids are broadcast to pick texts.
 BROADCAST_ROWS = 500_000
+#: Source places (a power of two of them) whose edges are compacted in one task; joins go on from there.
+BLOCK_BITS = 10
+#: A path of more occurrences than this, and than one in ``HOT_PATHS`` of all, is broadcast: there are at most HOT_PATHS of them.
+HOT_OCCURRENCES = 20_000
+HOT_PATHS = 100_000
+#: Places of texts that share a doc_id are told apart by 32 bits of the text's hash above the position.
+PLACE_BITS = 31
 
 _HASHES = WordHashes()
 
@@ -72,16 +86,22 @@ def minimizers(w: np.ndarray, window: int, seed: int) -> np.ndarray:
     return least
 
 
+def text_slot(joined: bytes) -> int:
+    """What tells texts with the same doc_id apart, as the upper bits of their places."""
+    return (xxhash.xxh3_64_intdigest(joined) & 0xFFFFFFFF) << PLACE_BITS
+
+
 def text_digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, digest); the digest is of all words joined by one space, so it also tells equal texts."""
+    """(doc_id, n_words, slot, digest); the digest is of all words joined by one space, so it also tells equal texts."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = [words_of(text) for text in batch.column(1).to_pylist()]
-            digests = [sha256(b" ".join(x)).digest() for x in words]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, words), pa.int64()), pa.array(digests, pa.binary())], names=["doc_id", "n_words", "digest"])
+            joined = [b" ".join(x) for x in words]
+            columns = [pa.array(map(len, words), pa.int64()), pa.array(map(text_slot, joined), pa.int64()), pa.array([sha256(x).digest() for x in joined], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_words", "slot", "digest"])
 
-    return docs.mapInArrow(digest, "doc_id bigint, n_words bigint, digest binary")
+    return docs.mapInArrow(digest, "doc_id bigint, n_words bigint, slot bigint, digest binary")
 
 
 def repeated_minimizers(docs: DataFrame, window: int, seed: int) -> DataFrame:
@@ -93,7 +113,7 @@ def repeated_minimizers(docs: DataFrame, window: int, seed: int) -> DataFrame:
             for text in batch.column(1).to_pylist():
                 words = words_of(text)
                 if len(words) >= window:
-                    marks.append(int.from_bytes(sha256(b" ".join(words)).digest()[:8], "little", signed=True))
+                    marks.append(xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63))
                     found.append(np.unique(minimizers(_HASHES(words), window, seed)).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["mark", "seeds"])
 
@@ -137,21 +157,25 @@ def in_bitmap(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def candidate_edges(docs: DataFrame, repeated: DataFrame, window: int, seed: int) -> DataFrame:
-    """(edge, check, doc_id, pos) of the windows whose minimizer is (or, rarely, seems) repeated."""
+    """(edge, check, doc_id, place, context) of the windows whose minimizer is (or, rarely, seems) repeated.
+
+    ``docs`` has a flag ``shared`` for texts that share their doc_id with others.  The context holds 32 bits of the word before
+    the window and 32 of the one behind it, each 0 where the text begins or ends.
+    """
     n = repeated.count()
     bits = 1 << max(13, (n * BITS_EACH - 1).bit_length())
-    whole = docs.filter("doc_id IS NOT NULL")
     shared = None
     if bits <= BITMAP_BITS:
         shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(repeated, bits))
-        rows = whole.withColumn("hits", F.lit(None).cast("array<bigint>"))
+        rows = docs.withColumn("hits", F.lit(None).cast("array<bigint>"))
     else:
-        rows = whole.join(document_hits(whole, repeated, window, seed), "doc_id")
+        rows = docs.join(document_hits(docs, repeated, window, seed), "doc_id")
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (np.int64, np.int32, np.int64, np.int64, np.int64)
         for batch in batches:
-            parts: list[list[np.ndarray]] = [[], [], [], []]
-            for doc_id, text, hits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            parts: list[list[np.ndarray]] = [[], [], [], [], []]
+            for doc_id, text, many, hits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = words_of(text)
                 if len(words) < window:
                     continue
@@ -160,13 +184,17 @@ def candidate_edges(docs: DataFrame, repeated: DataFrame, window: int, seed: int
                 ok = in_bitmap(shared.value, least) if shared is not None else np.isin(least, np.array(hits, np.int64).view(np.uint64))
                 pos = np.nonzero(ok)[0]
                 if len(pos):
-                    values = (run_hashes(w, window)[pos].view(np.int64), (run_hashes(w, window, MIX_B)[pos] >> np.uint64(32)).astype(np.uint32).view(np.int32), np.full(len(pos), doc_id, np.int64), pos.astype(np.int32))
+                    around = np.zeros(len(w) + 2, np.uint64)
+                    around[1:-1] = w >> np.uint64(32) | np.uint64(1)
+                    context = around[pos] << np.uint64(32) | around[pos + window + 1]
+                    slot = text_slot(b" ".join(words)) if many else 0
+                    edge, check = run_hashes(w, window)[pos], run_hashes(w, window, MIX_B)[pos] >> np.uint64(32)
+                    values = (edge.view(np.int64), check.astype(np.uint32).view(np.int32), np.full(len(pos), doc_id, np.int64), pos + slot, context.view(np.int64))
                     for part, value in zip(parts, values, strict=True):
                         part.append(value)
-            kinds = (np.int64, np.int32, np.int64, np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, k), *p]).astype(k)) for p, k in zip(parts, kinds, strict=True)], names=["edge", "check", "doc_id", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, k), *p]).astype(k)) for p, k in zip(parts, kinds, strict=True)], names=["edge", "check", "doc_id", "place", "context"])
 
-    return rows.select("doc_id", "text", "hits").mapInArrow(edges, "edge bigint, check int, doc_id bigint, pos int")
+    return rows.select("doc_id", "text", "shared", "hits").mapInArrow(edges, "edge bigint, check int, doc_id bigint, place bigint, context bigint")
 
 
 def document_hits(docs: DataFrame, repeated: DataFrame, window: int, seed: int) -> DataFrame:
@@ -178,30 +206,149 @@ def document_hits(docs: DataFrame, repeated: DataFrame, window: int, seed: int)
             found = [np.unique(minimizers(_HASHES(x), window, seed)).view(np.int64) if len(x) >= window else None for x in words]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "seeds"])
 
-    rows = docs.mapInArrow(seeds, "doc_id bigint, seeds array<bigint>").select("doc_id", F.explode("seeds").alias("minimizer"))
+    rows = docs.select("doc_id", "text").mapInArrow(seeds, "doc_id bigint, seeds array<bigint>").select("doc_id", F.explode("seeds").alias("minimizer"))
     return rows.join(repeated, "minimizer").groupBy("doc_id").agg(F.collect_set("minimizer").alias("hits"))  # no more than its windows
 
 
-def repeated_paths(docs: DataFrame, copies: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """(doc_id, start, n_windows, source_doc, source_start): spans that also occur in a document with a smaller doc_id.
+def repeated_edges(edges: DataFrame) -> DataFrame:
+    """(edge, check, source_doc, source_place, n, leads_on, led_to) of the edges that occur in at least two doc_ids.
 
-    ``copies`` (doc_id) are later copies of whole texts: the first copy has all their edges with a smaller doc_id, so theirs
-    are left out.
+    ``leads_on``: all occurrences go on by one and the same word; ``led_to``: all come from one and the same.
+    """
+    found = edges.groupBy("edge", "check").agg(
+        F.min("doc_id").alias("source_doc"),
+        F.min_by("place", "doc_id").alias("source_place"),
+        F.max("doc_id").alias("last"),
+        F.count("*").alias("n"),
+        F.bit_and("context").alias("all"),
+        F.bit_or("context").alias("any"),
+    )
+
+    def same(shift: int) -> Column:
+        half = lambda c: F.shiftrightunsigned(c, shift).bitwiseAND(F.lit(0xFFFFFFFF))
+        return (half("all") == half("any")) & (half("all") != 0)
+
+    return found.filter("source_doc < last").select("edge", "check", "source_doc", "source_place", "n", same(0).alias("leads_on"), same(32).alias("led_to"))
+
+
+def compacted(edges: DataFrame) -> DataFrame:
+    """(edge, check, source_doc, start, end, n): maximal nonbranching paths, named by their first edge, over source places."""
+    block = F.shiftright("source_place", BLOCK_BITS)
+    by_place = Window.partitionBy("source_doc", "block").orderBy("source_place")
+    goes_on = F.col("led_to") & F.lag("leads_on").over(by_place) & (F.lag("source_place").over(by_place) == F.col("source_place") - 1) & (F.lag("n").over(by_place) == F.col("n"))
+    runs = edges.withColumn("block", block).withColumn("begins", F.when(goes_on, 0).otherwise(1))
+    runs = runs.withColumn("run", F.sum("begins").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
+    first = lambda c: F.min_by(c, "source_place").alias(c)
+    runs = runs.groupBy("source_doc", "block", "run").agg(first("edge"), first("check"), first("led_to"), F.max_by("leads_on", "source_place").alias("leads_on"), F.min("source_place").alias("start"), (F.max("source_place") + 1).alias("end"), F.min("n").alias("n"))
+    runs = materialize(runs.drop("block", "run"), "runs")
+
+    # Runs that touch the borders of their blocks go on by joins; each round doubles how many runs a path reaches over.
+    at_border = lambda c: F.col(c) % (1 << BLOCK_BITS) == 0
+    crosses = (F.col("leads_on") & at_border("end")) | (F.col("led_to") & at_border("start"))
+    reach = materialize(runs.filter(crosses).select("source_doc", "start", "end", "n", "leads_on", "led_to"), "reach")
+    inner = None
+    while True:
+        ahead = reach.filter("led_to").select("source_doc", F.col("start").alias("end"), "n", F.col("end").alias("next_end"), F.col("leads_on").alias("next_leads_on"), F.col("start").alias("inner_start"))
+        met = reach.filter("leads_on").join(ahead, ["source_doc", "end", "n"])
+        if inner is None:
+            inner = materialize(met.select("source_doc", F.col("inner_start").alias("start")), "inner-runs")
+        grown = reach.join(ahead, ["source_doc", "end", "n"], "left")
+        on = F.col("leads_on") & F.col("next_end").isNotNull()
+        grown = materialize(grown.select("source_doc", "start", F.when(on, F.col("next_end")).otherwise(F.col("end")).alias("end"), "n", (on & F.col("next_leads_on")).alias("leads_on"), "led_to"), "reach")
+        discard(reach)
+        reach = grown
+        if not reach.filter("leads_on").limit(1).count():
+            break
+    names = ["edge", "check", "source_doc", "start", "n"]
+    whole = runs.filter(~crosses).select(*names, "end")
+    joined = runs.filter(crosses).select(*names).join(inner, ["source_doc", "start"], "left_anti").join(reach.select("source_doc", "start", "end"), ["source_doc", "start"])
+    return whole.unionByName(joined.select(*names, "end"))
+
+
+def texts_of(docs: DataFrame, lists: DataFrame) -> DataFrame:
+    """Texts with what ``lists`` (one row a doc_id) holds for them; ids are broadcast where they are few, and texts shuffled once."""
+    ids = lists.select("doc_id")
+    return docs.join(F.broadcast(ids) if lists.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi").join(lists, "doc_id")
+
+
+def span_digest(words: list[bytes], start: int, end: int) -> bytes:
+    return xxhash.xxh3_128_digest(b" ".join(words[start:end]))
+
+
+def own_places(words: list[bytes], places: list[int]) -> list[int | None]:
+    """Positions of places in this text; none for those of another text with the same doc_id."""
+    slot = None
+    out: list[int | None] = []
+    for place in places:
+        if place >> PLACE_BITS and slot is None:
+            slot = text_slot(b" ".join(words))
+        out.append(place & ((1 << PLACE_BITS) - 1) if place >> PLACE_BITS == 0 or place >> PLACE_BITS == slot >> PLACE_BITS else None)
+    return out
+
+
+def with_source_digests(docs: DataFrame, paths: DataFrame, window: int) -> DataFrame:
+    """The paths with the digest of their words at their source."""
+    lists = materialize(paths.groupBy(F.col("source_doc").alias("doc_id")).agg(F.collect_list(F.struct("edge", "check", "start", "end", "n")).alias("paths")), "source-paths")  # no more than its windows
+    schema = pa.schema([("edge", pa.int64()), ("check", pa.int32()), ("source_doc", pa.int64()), ("start", pa.int64()), ("n_windows", pa.int64()), ("n", pa.int64()), ("digest", pa.binary())])
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for doc_id, text, held in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = words_of(text)
+                for path, at in zip(held, own_places(words, [p["start"] for p in held]), strict=True):
+                    n_windows = path["end"] - path["start"]
+                    if at is not None:
+                        rows.append((path["edge"], path["check"], doc_id, path["start"], n_windows, path["n"], span_digest(words, at, at + n_windows + window - 1)))
+            columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, schema.types, strict=True)], schema=schema)
+
+    told = texts_of(docs, lists).select("doc_id", "text", "paths").mapInArrow(digest, "edge bigint, check int, source_doc bigint, start bigint, n_windows bigint, n bigint, digest binary")
+    return told.dropDuplicates(["edge", "check"])  # the source may be in the table more than once
+
+
+def path_occurrences(edges: DataFrame, paths: DataFrame) -> DataFrame:
+    """Occurrences of the paths' first edges with their path; no key of the shuffle has more than a bounded share of the rows."""
+    total, n_paths = paths.agg(F.sum("n"), F.count("*")).first()
+    bits = 1 << max(13, (n_paths * BITS_EACH - 1).bit_length())
+    begins = edges.select("edge", "check", "doc_id", "place")
+    if bits <= BITMAP_BITS:
+        shared = edges.sparkSession.sparkContext.broadcast(bitmap_of(paths.select(F.col("edge").alias("minimizer")), bits))
+
+        def first_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(in_bitmap(shared.value, batch.column(0).to_numpy().view(np.uint64))))
+
+        begins = begins.mapInArrow(first_edges, begins.schema)
+    if n_paths <= HOT_PATHS:
+        return begins.join(F.broadcast(paths), ["edge", "check"])
+    hot = paths.filter(F.col("n") > max(HOT_OCCURRENCES, (total or 0) // HOT_PATHS))  # at most HOT_PATHS rows
+    hot = materialize(hot, "hot-paths")
+    cold = begins.join(F.broadcast(hot.select("edge", "check")), ["edge", "check"], "left_anti").join(paths, ["edge", "check"])
+    return cold.unionByName(begins.join(F.broadcast(hot), ["edge", "check"]).select(*cold.columns))
+
+
+def repeated_paths(docs: DataFrame, copies: DataFrame, shared_ids: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
+    """(doc_id, start, n_windows, source_doc, source_start, digest): spans that also occur in a document with a smaller doc_id.
+
+    Starts are places: positions, below 32 bits of the text's hash where its doc_id is one of ``shared_ids``.  ``copies`` (doc_id)
+    are later copies of whole texts: the first copy has all their edges with a smaller doc_id, so theirs are left out.
     """
     docs = id_and_text(docs).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     repeated = materialize(repeated_minimizers(docs, window, seed), "minimizers")
-    own = docs.join(F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies, "doc_id", "left_anti")
+    own = docs.filter("doc_id IS NOT NULL").join(F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies, "doc_id", "left_anti")
+    n_shared = shared_ids.count()
+    if n_shared:
+        told = shared_ids.withColumn("shared", F.lit(True))
+        own = own.join(F.broadcast(told) if n_shared <= BROADCAST_ROWS else told, "doc_id", "left").withColumn("shared", F.coalesce("shared", F.lit(False)))
+    else:
+        own = own.withColumn("shared", F.lit(False))
     edges = materialize(candidate_edges(own, repeated, window, seed), "edges")
     discard(repeated)
-    first = edges.groupBy("edge", "check").agg(F.min(F.struct("doc_id", "pos")).alias("source"), F.max("doc_id").alias("last"))
-    first = first.filter("source.doc_id < last").select("edge", "check", F.col("source.doc_id").alias("source_doc"), F.col("source.pos").alias("source_pos"))
-    seen = edges.join(first, ["edge", "check"]).filter("source_doc < doc_id").select("doc_id", "pos", "source_doc", "source_pos")
-    by_pos = Window.partitionBy("doc_id").orderBy("pos")
-    goes_on = (F.lag("pos").over(by_pos) == F.col("pos") - 1) & (F.lag("source_doc").over(by_pos) == F.col("source_doc")) & (F.lag("source_pos").over(by_pos) == F.col("source_pos") - 1)
-    seen = seen.withColumn("begins", F.when(goes_on, 0).otherwise(1))
-    seen = seen.withColumn("path", F.sum("begins").over(by_pos))
-    paths = seen.groupBy("doc_id", "path").agg(F.min("pos").alias("start"), F.count("*").alias("n_windows"), F.min("source_doc").alias("source_doc"), F.min("source_pos").alias("source_start"))
-    return paths.drop("path")
+    paths = compacted(materialize(repeated_edges(edges), "repeated-edges"))
+    paths = materialize(with_source_digests(docs, paths, window), "paths")
+    seen = path_occurrences(edges, paths).filter("source_doc < doc_id")
+    return seen.select("doc_id", F.col("place").alias("start"), "n_windows", "source_doc", F.col("start").alias("source_start"), "digest")
 
 
 def remove_repeated(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
@@ -213,31 +360,44 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
     digests = materialize(text_digests(docs), "digests")
     firsts = digests.filter("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first"))
     marked = digests.join(firsts, "digest", "left").withColumn("copy", F.coalesce((F.col("first") < F.col("doc_id")) & (F.col("n_words") >= window), F.lit(False)))
-    copies = materialize(marked.filter("copy").select("doc_id"), "copies")
-    spans = repeated_paths(docs, copies, window, seed).groupBy("doc_id").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("n_windows") + window - 1).alias("end"))).alias("spans"))
-    spans = materialize(spans, "spans")
-    ids = spans.select("doc_id")
-    texts = docs.join(F.broadcast(ids) if spans.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi").join(spans, "doc_id")
+    by_id = marked.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_and("copy").alias("all_copies"), (F.min("slot") < F.max("slot")).alias("shared"))
+    by_id = materialize(by_id.filter("all_copies OR shared"), "copies")
+    spans = repeated_paths(docs, by_id.filter("all_copies").select("doc_id"), by_id.filter("shared").select("doc_id"), window, seed)
+    spans = spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "n_windows", "digest")).alias("spans"))  # no more than its windows
+    # Under a shared doc_id some texts can be whole copies; they are settled, and not cut.
+    settled = marked.filter("copy").join(F.broadcast(by_id.filter("NOT all_copies").select("doc_id")) if by_id.count() <= BROADCAST_ROWS else by_id.filter("NOT all_copies").select("doc_id"), "doc_id", "left_semi")
+    settled = settled.groupBy("doc_id").agg(F.collect_set("slot").alias("settled"))
+    spans = materialize(spans.join(settled, "doc_id", "left"), "spans")
+    names = ["doc_id", "n_words", "n_removed", "digest", "kept_text"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            removed, digests, kept = [], [], []
-            for _, text, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            counts, removed, digests, kept = [], [], [], []
+            ids = []
+            for doc_id, text, spans, settled in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = words_of(text)
+                if settled and text_slot(b" ".join(words)) in settled:
+                    continue
+                ids.append(doc_id)
                 gone = np.zeros(len(words), bool)
-                for span in spans:
-                    gone[span["start"] : span["end"]] = True
+                for span, at in zip(spans, own_places(words, [s["start"] for s in spans]), strict=True):
+                    if at is not None and span_digest(words, at, at + span["n_windows"] + window - 1) == span["digest"]:
+                        gone[at : at + span["n_windows"] + window - 1] = True
                 left = b" ".join([word for word, x in zip(words, gone.tolist(), strict=True) if not x])
-                removed.append(int(gone.sum())), digests.append(sha256(left).digest()), kept.append(left.decode("utf-8", "surrogatepass"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, pa.int64()), pa.array(digests, pa.binary()), pa.array(kept, pa.string())], names=["doc_id", "removed", "left_digest", "left_text"])
+                counts.append(len(words)), removed.append(int(gone.sum())), digests.append(sha256(left).digest())
+                kept.append(left.decode("utf-8", "surrogatepass") if removed[-1] else None)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.binary()), pa.array(kept, pa.string())], names=names)
 
-    changed = texts.select("doc_id", "text", "spans").mapInArrow(cut, "doc_id bigint, removed bigint, left_digest binary, left_text string")
+    changed = texts_of(docs, spans).select("doc_id", "text", "spans", "settled").mapInArrow(cut, "doc_id bigint, n_words bigint, n_removed bigint, digest binary, kept_text string")
+    ids = spans.select("doc_id", F.lit(True).alias("has_spans"))
+    others = marked.join(F.broadcast(ids) if spans.count() <= BROADCAST_ROWS else ids, "doc_id", "left").filter("copy OR has_spans IS NULL")
     nothing = F.lit(bytearray(sha256(b"").digest()))
-    out = marked.join(changed, "doc_id", "left")
-    return out.select(
+    others = others.select(
         "doc_id",
         "n_words",
-        F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("removed", F.lit(0))).alias("n_removed"),
-        F.lower(F.hex(F.when(F.col("copy"), nothing).otherwise(F.coalesce("left_digest", "digest")))).alias("kept_sha256"),
-        F.when(F.col("copy"), F.lit("")).otherwise(F.col("left_text")).alias("kept_text"),
+        F.when(F.col("copy"), F.col("n_words")).otherwise(0).alias("n_removed"),
+        F.when(F.col("copy"), nothing).otherwise(F.col("digest")).alias("digest"),
+        F.when(F.col("copy"), F.lit("")).alias("kept_text"),
     )
+    out = others.unionByName(changed)
+    return out.select("doc_id", "n_words", "n_removed", F.lower(F.hex("digest")).alias("kept_sha256"), "kept_text")

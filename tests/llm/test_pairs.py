@@ -102,37 +102,67 @@ def test_components_of_chains_stars_and_loops(spark):
 
 
 def brute_removed(rows, k=13):
-    first, words = {}, {}
-    for i, text in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
-        words[i] = re.findall(r"[^\x20\x09-\x0D]+", text or "")
-        for at in range(len(words[i]) - k + 1):
-            first.setdefault(tuple(words[i][at : at + k]), i)
-    out = {}
-    for i, w in words.items():
+    """(n_words, n_removed, digest) of each row, in their order."""
+    first = {}
+    words = [re.findall(r"[^\x20\x09-\x0D]+", text or "") for _, text in rows]
+    for (i, _), w in zip(rows, words, strict=True):
+        for at in range(len(w) - k + 1):
+            key = tuple(w[at : at + k])
+            if i is not None:
+                first[key] = min(i, first.get(key, i))
+    out = []
+    for (i, _), w in zip(rows, words, strict=True):
         gone = [False] * len(w)
         for at in range(len(w) - k + 1):
-            if first[tuple(w[at : at + k])] < i:
+            if i is not None and first[tuple(w[at : at + k])] < i:
                 gone[at : at + k] = [True] * k
-        out[i] = (len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone, strict=True) if not g).encode()).hexdigest())
+        out.append((len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone, strict=True) if not g).encode()).hexdigest()))
     return out
 
 
-@pytest.mark.parametrize("bits", [1 << 28, 0])
-def test_repeated_substrings_are_removed(spark, monkeypatch, bits):
-    monkeypatch.setattr(substring_dedup, "BITMAP_BITS", bits)
+def check_removed(spark, rows):
+    got = substring_dedup.remove_repeated(documents(spark, rows)).collect()
+    want = [(i, *x) for (i, _), x in zip(rows, brute_removed(rows), strict=True)]
+    assert sorted(map(str, [tuple(r)[:4] for r in got])) == sorted(map(str, want))
+
+
+@pytest.mark.parametrize(("bits", "block", "hot_paths", "rows"), [(1 << 28, 10, 100_000, 500_000), (0, 10, 100_000, 500_000), (1 << 28, 3, 0, 500_000), (0, 4, 0, 0)])
+def test_repeated_substrings_are_removed(spark, monkeypatch, bits, block, hot_paths, rows):
+    for name, value in (("BITMAP_BITS", bits), ("BLOCK_BITS", block), ("HOT_PATHS", hot_paths), ("BROADCAST_ROWS", rows)):
+        monkeypatch.setattr(substring_dedup, name, value)
+    if not hot_paths:
+        monkeypatch.setattr(substring_dedup, "HOT_OCCURRENCES", 5)
+        monkeypatch.setattr(substring_dedup, "HOT_PATHS", 3)
     passage = prose(77, 60)
     rows = awkward_rows() + [(100 + i, f"{prose(200 + i, 40)} {passage} {prose(300 + i, 40)}") for i in range(12)] + [(150, passage + " " + passage), (151, prose(400, 13)), (152, prose(400, 13)), (153, prose(401, 12)), (154, prose(401, 12))]
-    want = brute_removed(rows)
-    got = substring_dedup.remove_repeated(documents(spark, rows)).collect()
-    assert len(got) == len(rows)
-    for r in got:
-        if r["doc_id"] is None:
-            assert r["n_removed"] == 0
-        else:
-            assert (r["n_words"], r["n_removed"], r["kept_sha256"]) == want[r["doc_id"]], r["doc_id"]
+    # Branches, loops and places where paths meet.
+    a, b, c = (prose(500 + i, 30) for i in range(3))
+    rows += [(160, f"{a} {b} {c}"), (161, f"{a} {c} {b}"), (162, f"{b} {a} {b} {a} {b}"), (163, f"x {a} {b} y"), (164, f"{a} {b}"), (165, ("tick tock " * 40).strip()), (166, ("tick tock " * 25).strip()), (167, c + " z"), (168, "z " + c)]
+    check_removed(spark, rows)
     assert substring_dedup.remove_repeated(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_repeated_substrings_of_mixed_texts(spark, monkeypatch, seed):
+    monkeypatch.setattr(substring_dedup, "BLOCK_BITS", 3)
+    r = random.Random(seed)
+    parts = [prose(900 + i, r.randint(5, 40)) for i in range(14)]
+    check_removed(spark, [(i, " ".join(r.choice(parts) for _ in range(r.randint(1, 8)))) for i in range(120)])
+
+
+def test_texts_that_share_a_doc_id(spark):
+    a, b, c = prose(61, 50), prose(62, 50), prose(63, 40)
+    rows = [(1, f"{a} {b}"), (2, f"{c} {a}"), (2, b), (3, f"{b} {c}"), (3, prose(64, 40)), (3, f"{b} {c}"), (4, f"{prose(65, 9)} {c}"), (4, f"{prose(66, 9)} {c}"), (5, f"{a} {b}"), (5, f"{a} new"), (6, f"{a} {b}"), (6, f"{a} {b}"), (7, c), (7, c)]
+    check_removed(spark, rows)
+    check_removed(spark, [(1, a), (1, b), (2, a), (2, prose(67, 30)), (2, prose(68, 10) + " " + b)])
+
+
+def test_spans_with_other_words_than_their_source_stay(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "span_digest", lambda words, start, end: bytes([start % 251]) * 16)
+    rows = [(1, prose(1, 40)), (2, "one two three " + prose(1, 40))]
+    assert [r["n_removed"] for r in substring_dedup.remove_repeated(documents(spark, rows)).orderBy("doc_id").collect()] == [0, 0]
+
+
 def brute_contained(rows, items, n=5, percent=80):
     docs = defaultdict(set)
     for i, text in rows:
