@@ -5,8 +5,9 @@ template: a text part into its escaped text, any other into a placeholder of its
 (message position, part position, type, reference, tokens) and the number of tokens that the placeholder expands to.  Turns are
 marked ``<|im_start|>role`` newline text ``<|im_end|>`` newline.
 
-Control strings all begin with ``<|``.  Inside texts and roles each ``<``, backslashes, ``|`` gets one more backslash, so no
-control string can occur there; taking one backslash away again restores any text exactly.
+Control strings all begin with ``<|``.  Inside texts and roles each ``<`` gets a backslash behind it, whatever follows, so no control
+string can arise there, nor where two parts meet; taking these backslashes away again restores any text exactly.  What is
+read back comes from the marks alone: a control string that got through would show as a turn of its own.
 
 Each turn becomes one row, so a conversation of any length is never gathered; readers order the rows by (conv_id, turn).
 
@@ -17,6 +18,7 @@ null conv_id is a conversation of its own; an empty table gives no rows; extra c
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from hashlib import sha256
 
@@ -33,11 +35,11 @@ IMAGE_PATCH, AUDIO_RATE, PAGE_TOKENS = 28, 12.5, 512
 
 
 def escape(text: Column) -> Column:
-    return F.regexp_replace(text, r"<(\\*)\|", r"<$1\\|")
+    return F.replace(text, F.lit("<"), F.lit("<\\"))
 
 
 def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, r"<(\\*)\\\|", r"<$1|")
+    return F.replace(text, F.lit("<\\"), F.lit("<"))
 
 
 class PartVisitor:
@@ -100,17 +102,24 @@ def format_messages(messages: DataFrame, visitor: PartVisitor | None = None, lea
 
 
 def parse_segments(formatted: DataFrame) -> DataFrame:
-    """Read turns and learned text back from formatted segments, without the columns they were made from."""
-    inner = F.substring(F.col("formatted"), F.lit(len(START) + 1), F.length("formatted") - len(START) - len(END) - len(NEWLINE))
-    cut = F.instr("inner", NEWLINE)
-    learned = F.substring(F.col("formatted"), F.col("loss_start") + 1, F.col("loss_chars"))
-    return formatted.withColumn("inner", inner).select(
+    """Read turns and learned text back from formatted segments by their marks, without the columns they were made from.
+
+    Every start mark begins a turn (``mark`` numbers them in a segment), whose role ends at the line feed and whose text at the
+    next end mark.  The learned text is what the mask covers; it goes with the segment's first turn.
+    """
+    marked = formatted.select("conv_id", "turn", "formatted", "loss_start", "loss_chars", F.posexplode(F.split("formatted", re.escape(START))).alias("mark", "piece"))
+    marked = marked.filter("mark > 0")  # nothing comes before the first
+    cut = F.instr("piece", NEWLINE)
+    first = F.col("mark") == 1
+    learned = F.when(first, F.substring(F.col("formatted"), F.col("loss_start") + 1, F.col("loss_chars"))).otherwise("")
+    return marked.select(
         "conv_id",
         "turn",
-        unescape(F.replace(F.substring(F.col("inner"), F.lit(1), cut - 1), F.lit(ROLE_NEWLINE), F.lit(NEWLINE))).alias("read_role"),
-        unescape(F.substring(F.col("inner"), cut + 1, F.length("inner"))).alias("read_text"),
+        "mark",
+        unescape(F.replace(F.substring(F.col("piece"), F.lit(1), cut - 1), F.lit(ROLE_NEWLINE), F.lit(NEWLINE))).alias("read_role"),
+        unescape(F.substring_index(F.substring(F.col("piece"), cut + 1, F.length("piece")), END, 1)).alias("read_text"),
         unescape(learned).alias("learned"),
-        F.length("formatted").cast("bigint").alias("n_formatted"),
+        F.when(first, F.length("formatted")).otherwise(0).cast("bigint").alias("n_formatted"),
     )
 
 
@@ -123,7 +132,7 @@ def conversation_digests(formatted: DataFrame) -> DataFrame:
         now: list | None = None
         for batch in batches:
             done: list[list] = []
-            for conv, _, role, text, learned, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for conv, _, _, role, text, learned, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if now is None or now[0] != conv:
                     if now is not None:
                         done.append(now)
@@ -141,5 +150,5 @@ def conversation_digests(formatted: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_pylist([{name: v.hexdigest() if hasattr(v, "hexdigest") else v for name, v in zip(kinds.names, row, strict=True)} for row in done], schema=kinds)
 
     turns = parse_segments(formatted)
-    ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "read_role", "read_text")
+    ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "mark", "read_role", "read_text")
     return ordered.mapInArrow(digest, schema)

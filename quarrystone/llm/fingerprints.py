@@ -8,7 +8,7 @@ so the share of agreeing samples estimates it.  Each sample is kept as 16 bits,
 
 Defined results: a null text is an empty text; an empty text has the fingerprint of the empty set, which agrees fully with
 itself and with nothing else; a text of one word has that word as its only term; equal texts have equal fingerprints;
-rows with equal ids are ordered by text; an empty table gives no rows; extra columns are ignored.
+rows with equal ids are ordered by text; rows without an id have no place in the order, so an empty text follows each; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -210,8 +210,9 @@ def in_blocks(docs: DataFrame, n_blocks: int) -> DataFrame:
     def block_of(ids: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(shared.value, ids.to_numpy(), side="right"), dtype="int32")
 
-    base = base.withColumn("block", F.when(F.col("doc_id").isNull(), -1).otherwise(block_of(F.coalesce("doc_id", F.lit(0)))))
-    firsts = sorted((r["block"], r["first"]) for r in base.groupBy("block").agg(F.min("doc_id").alias("first")).collect())  # a row for each block
+    # Rows without an id need no neighbour and are dealt by their text.
+    base = base.withColumn("block", F.when(F.col("doc_id").isNull(), -1 - F.pmod(F.xxhash64("text"), F.lit(n_blocks)).cast("int")).otherwise(block_of(F.coalesce("doc_id", F.lit(0)))))
+    firsts = sorted((r["block"], r["first"]) for r in base.filter("doc_id IS NOT NULL").groupBy("block").agg(F.min("doc_id").alias("first")).collect())  # a row for each block
     before = {first: block for (block, _), (_, first) in zip(firsts, firsts[1:] + firsts[:1], strict=True)}
     if not before:
         return base.withColumn("ghost", F.lit(False))
@@ -234,12 +235,16 @@ def edited_neighbours(docs: DataFrame, partitions: int, samples: int = SAMPLES)
     schema = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        empty = signature(*weighted_terms(""), samples)
         held = waiting = None  # a document without its next one, and the row before it that lacks only near_next
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text, block, ghost in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 text = text or ""
                 terms = weighted_terms(text)
+                if doc_id is None:  # sorted before all others of its partition
+                    rows.append(done(one((None, text, terms, block), ""), empty))
+                    continue
                 if held is not None and held[3] == block:
                     row, sig = one(held, text)
                     if waiting is not None:

@@ -6,11 +6,13 @@ is a variable field and generalised too.  What results is the line's template.
 ``min_docs`` documents hold it and at least half of its tokens are constant.  Recurring lines stay in the document with the
 smallest doc_id that holds them, whole, and are dropped from all others.
 
-All of it is joins and grouped sums over lines; only lines of leaves that can recur are shuffled with their words.
+All of it is joins and grouped sums over lines; only lines of leaves that can recur are shuffled with their words, and their forms
+are never gathered by leaf: a leaf of one form needs no rule of its own, as all its tokens are frequent enough to be constant.
 
 Defined results: a null text stays null and has no lines; empty lines and lines of white space are kept; a document whose
 lines are all dropped has an empty text; repeated rows count as one document; rows without doc_id count for nothing and
-lose nothing; an empty table gives no rows; extra columns are kept as they are.
+lose nothing; an empty table gives no rows; extra columns are kept as they are, whatever their names, but for own columns called
+n_lines or n_dropped where ``dedup_lines`` adds these.
 """
 
 from __future__ import annotations
@@ -70,17 +72,15 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOC
     discard(leaves)
     forms = materialize(open_lines.groupBy("leaf", "form_key", "form").agg(F.count("*").alias("n")), "forms")
 
-    # Leaves of one form have nothing to generalise; in the others, each position's frequent tokens are constant.
-    many = forms.groupBy("leaf").agg(F.count("*").alias("forms"))
-    tokens = forms.join(many.filter("forms > 1"), "leaf").select("leaf", "form_key", "n", F.posexplode(F.split("form", " ")).alias("pos", "token"))
-    constant = tokens.filter(F.col("pos") >= depth).groupBy("leaf", "pos", "token").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_docs).select("leaf", "pos", "token", F.lit(True).alias("constant"))
-    told = tokens.join(constant, ["leaf", "pos", "token"], "left")
+    # Each position's frequent tokens are constant.
+    tokens = forms.select("leaf", "form_key", "n", F.posexplode(F.split("form", " ")).alias("pos", "token"))
+    constant = tokens.filter(F.col("pos") >= depth).groupBy("leaf", "pos", "token").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_docs)
+    constant = materialize(constant.select("leaf", "pos", "token", F.lit(True).alias("constant")), "constants")
+    told = tokens.join(F.broadcast(constant) if constant.count() <= BROADCAST_ROWS else constant, ["leaf", "pos", "token"], "left")
     fixed = ((F.col("pos") < depth) | F.coalesce("constant", F.lit(False))) & (F.col("token") != VARIABLE)
     told = told.withColumn("shown", F.when(fixed, F.col("token")).otherwise(VARIABLE))
-    general = told.groupBy("form_key").agg(F.sort_array(F.collect_list(F.struct("pos", "shown"))).alias("parts"))  # as long as the line
-    general = general.select("form_key", F.transform("parts", lambda p: p["shown"]).alias("template"))
-    single = forms.join(many.filter("forms = 1"), "leaf", "left_semi").select("form_key", F.split("form", " ").alias("template"))
-    templates = general.unionByName(single)
+    templates = told.groupBy("form_key").agg(F.sort_array(F.collect_list(F.struct("pos", "shown"))).alias("parts"))  # as long as the line
+    templates = templates.select("form_key", F.transform("parts", lambda p: p["shown"]).alias("template"))
     templates = templates.withColumn("fixed", F.size(F.filter("template", lambda t: t != VARIABLE))).filter(F.col("fixed") >= share * F.size("template"))
     # Token counts differ between leaves and are part of the template; so are the leading tokens.
     templates = materialize(templates.select("form_key", F.xxhash64("template").alias("template")), "templates")
@@ -97,21 +97,33 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOC
     return drops
 
 
+def _left(docs: DataFrame, depth: int, min_docs: int, share: float) -> DataFrame:
+    """Columns own_0, own_1, ... of ``docs``, and left_text, n_lines and n_dropped: no name of ``docs`` can clash with an inner one."""
+    drops = recurring_lines(docs, depth, min_docs, share)
+    drops = drops.groupBy("doc_id").agg(F.collect_set("form_key").alias("drop_keys")).withColumnRenamed("doc_id", "drop_doc")  # no more than the document's lines
+    own = docs.toDF(*[f"own_{i}" for i in range(len(docs.columns))])
+    ident, text = (F.col(f"own_{docs.columns.index(c)}") for c in ("doc_id", "text"))
+    both = own.join(drops, ident == F.col("drop_doc"), "left")
+    lines = lines_of(text)
+    left = F.filter(lines, lambda line: ~F.array_contains(F.col("drop_keys"), F.xxhash64(line_form(line))))
+    both = both.withColumn("kept_lines", F.when(F.col("drop_keys").isNotNull() & text.isNotNull(), left))
+    n_lines = F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("bigint")
+    return both.select(
+        *own.columns,
+        F.when(F.col("kept_lines").isNotNull(), F.array_join("kept_lines", "\n")).otherwise(text).alias("left_text"),
+        n_lines.alias("n_lines"),
+        F.when(F.col("kept_lines").isNotNull(), n_lines - F.size("kept_lines")).otherwise(0).cast("bigint").alias("n_dropped"),
+    )
+
+
 def dedup_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, share: float = CONSTANT_SHARE) -> DataFrame:
     """All columns of ``docs`` with the text that is left, plus n_lines and n_dropped."""
-    drops = recurring_lines(docs, depth, min_docs, share)
-    drops = drops.groupBy("doc_id").agg(F.collect_set("form_key").alias("drop_keys"))  # no more than the document's lines
-    both = docs.alias("d").join(drops.alias("x"), F.col("d.doc_id") == F.col("x.doc_id"), "left")
-    lines = lines_of(F.col("d.text"))
-    left = F.filter(lines, lambda line: ~F.array_contains(F.col("x.drop_keys"), F.xxhash64(line_form(line))))
-    changed = F.col("x.drop_keys").isNotNull()
-    out = both.select(*[F.col(f"d.`{c}`") for c in docs.columns if c not in ("text", "n_lines", "n_dropped")], F.when(changed, left).alias("kept_lines"), F.col("d.text").alias("whole"))
-    n_lines = F.coalesce(F.size(lines_of(F.col("whole"))), F.lit(0)).cast("bigint")
-    n_lines = F.when(F.col("whole").isNull(), 0).otherwise(n_lines)
-    return out.withColumns(
-        {
-            "text": F.when(F.col("kept_lines").isNotNull(), F.array_join("kept_lines", "\n")).otherwise(F.col("whole")),
-            "n_lines": n_lines.cast("bigint"),
-            "n_dropped": F.when(F.col("kept_lines").isNotNull(), n_lines - F.size("kept_lines")).otherwise(0).cast("bigint"),
-        }
-    ).drop("kept_lines", "whole")
+    own = [F.col("left_text" if c == "text" else f"own_{i}").alias(c) for i, c in enumerate(docs.columns) if c not in ("n_lines", "n_dropped")]
+    return _left(docs, depth, min_docs, share).select(*own, "n_lines", "n_dropped")
+
+
+def strip_lines(docs: DataFrame, length_col: str = "n_chars", depth: int = DEPTH, min_docs: int = MIN_DOCS, share: float = CONSTANT_SHARE) -> DataFrame:
+    """The columns of ``docs`` and no more, with the text that is left; ``length_col`` follows where lines were dropped."""
+    length = lambda c: F.when(F.col("n_dropped") > 0, F.length("left_text")).otherwise(c).cast(docs.schema[length_col].dataType)
+    own = [F.col("left_text") if c == "text" else length(F.col(f"own_{i}")) if c == length_col else F.col(f"own_{i}") for i, c in enumerate(docs.columns)]
+    return _left(docs, depth, min_docs, share).select(*[x.alias(c) for x, c in zip(own, docs.columns, strict=True)])

@@ -5,17 +5,22 @@
 2. Equal word sequences meet by digest; one representative each goes on.
 3. Representatives that share a band are candidates.  Their signatures are compared batch by batch; a pair is pruned as soon as
    the posterior probability of reaching the threshold falls below the miss probability.  Only a spanning forest of the
-   survivors leaves a task.  Large buckets are cut into blocks, and tasks take pairs of blocks.
+   survivors leaves a task.
 4. Connected survivors are candidate clusters.  Each cluster is verified where its texts meet: pairs that pass the same
    Bayesian test, the likeliest of a piece first, are checked exactly on their full shingle sets, unless verified links already join them.
-   Large clusters are cut into blocks as before.
 5. Components of the verified links are the classes.
 
+In steps 3 and 4 a group of one chunk (``BLOCK_DOCS`` texts) is compared in one task.  A larger one is dealt into chunks, each of
+which first meets the same few pivots: rows and texts move once, and most of a group of near copies is joined by that.  Only texts that are then
+not joined with the group's largest part go on, in blocks that meet every chunk.  So the work is linear in a group but for what
+is left outside its largest part, and every pair of the group is either compared or already joined.
+
 No step writes all pairs of a group, and every link between different texts is either verified or implied by verified links.
 
 Defined results: a null text is an empty text; a text without words has an empty set and is linked with nothing; a text with
 fewer words than a shingle has its whole sequence as one shingle; a null doc_id is never linked and is kept; rows that share a
-doc_id are one node; an empty table gives no rows; extra columns are ignored.
+doc_id are one node, which all their texts link, and each has the number of its own shingles; an empty table gives no rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +43,8 @@ MISS = 1e-6
 BATCH = 24
 BLOCK_DOCS = 1024
 BLOCK_SHINGLES = 1_000_000
+#: Rows of a large group that all of its chunks meet first.
+PIVOTS = 16
 #: Up to so many rows of ids are broadcast to pick their texts; beyond, the texts are shuffled.
 BROADCAST_ROWS = 500_000
 
@@ -145,16 +152,16 @@ def surviving(sig: np.ndarray, i: np.ndarray, j: np.ndarray, tests: list[tuple[i
     return tuple(np.concatenate(x) for x in zip(*kept, strict=True))
 
 
-def pairs_in(n: int, split: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of a group of n rows in pieces: all i < j, or those across ``split`` only."""
-    step = max(1, 50_000 // max(1, n))
-    for at in range(0, n if split is None else split, step):
-        rows = np.arange(at, min(at + step, n if split is None else split))
-        if split is None:
-            i, j = np.nonzero(rows[:, None] < np.arange(n)[None, :])
-            yield rows[i], j
+def pairs_in(left: int, right: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs in pieces: all i < j of ``left`` rows if ``right`` is 0, else those across to the ``right`` rows behind them."""
+    step = max(1, 50_000 // max(1, right or left))
+    for at in range(0, left, step):
+        rows = np.arange(at, min(at + step, left))
+        if right:
+            yield np.repeat(rows, right), np.tile(np.arange(left, left + right), len(rows))
         else:
-            yield np.repeat(rows, n - split), np.tile(np.arange(split, n), len(rows))
+            i, j = np.nonzero(rows[:, None] < np.arange(left)[None, :])
+            yield rows[i], j
 
 
 class Forest:
@@ -205,10 +212,12 @@ def runs(batches: Iterator[pa.RecordBatch], n_keys: int, rows: int) -> Iterator[
         yield table, cut(table)
 
 
-def pairs_of_runs(starts: np.ndarray, low: np.ndarray, high: np.ndarray, block: np.ndarray, small: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs inside each run, in pieces.  Runs of two different blocks give the pairs across them only."""
+def pairs_of_runs(starts: np.ndarray, side: np.ndarray, within: bool, small: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of each run, in pieces: all pairs of a run of side 0 only; else those across to side 1, which lies behind, and
+    with ``within`` also those of side 0."""
     at, sizes = starts[:-1], np.diff(starts)
-    whole = low[at] == high[at]
+    lefts = np.add.reduceat(side == 0, at)
+    whole = lefts == sizes
     for n in np.unique(sizes[whole & (sizes > 1) & (sizes <= small)]).tolist():
         i, j = np.triu_indices(n, 1)
         begins = at[whole & (sizes == n)]
@@ -217,24 +226,24 @@ def pairs_of_runs(starts: np.ndarray, low: np.ndarray, high: np.ndarray, block:
             some = begins[k : k + step, None]
             yield (some + i).ravel(), (some + j).ravel()
     for k in np.nonzero(~whole | (sizes > small))[0].tolist():
-        begin, end = int(starts[k]), int(starts[k + 1])
-        split = None if whole[k] else int(np.searchsorted(block[begin:end], high[begin]))
-        for i, j in pairs_in(end - begin, split):
-            yield i + begin, j + begin
+        for right in {0} if whole[k] else {0, int(sizes[k] - lefts[k])} if within else {int(sizes[k] - lefts[k])}:
+            for i, j in pairs_in(int(lefts[k]), right):
+                yield i + at[k], j + at[k]
 
 
-EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+LINKS = "grp bigint, row bigint, a bigint, b bigint"
+LINK = pa.schema([(name, pa.int64()) for name in ("grp", "row", "a", "b")])
 
 
-def edge_batches(edges: Iterator[list[tuple[int, int]]], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
-    found: list[tuple[int, int]] = []
-    for some in edges:
+def link_batches(links: Iterator[list[tuple]], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
+    found: list[tuple] = []
+    for some in links:
         found += some
         if len(found) >= rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], schema=EDGE)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], schema=LINK)
             found = []
     if found:
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], schema=EDGE)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], schema=LINK)
 
 
 def sketches(docs: DataFrame, size: int, hasher: MinHasher) -> DataFrame:
@@ -258,73 +267,112 @@ def sketches(docs: DataFrame, size: int, hasher: MinHasher) -> DataFrame:
     return id_and_text(docs).withColumn("doc_id", F.col("doc_id").cast("bigint")).mapInArrow(sketch, "doc_id bigint, key binary, n_shingles bigint, sig binary, bands array<bigint>")
 
 
-def in_block_pairs(rows: DataFrame, key: str, blocks: str) -> DataFrame:
-    """Deal each group's rows into ``blocks`` blocks and repeat them for every pair of blocks; sorted for streaming."""
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col(blocks)).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col(blocks).cast("int") - 1)))
-    rows = rows.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other", blocks)
-    lead = [key, "low", "high", "block"]
-    rows = rows.select(*lead, *[c for c in rows.columns if c not in lead])
-    return rows.repartition(key, "low", "high").sortWithinPartitions(*lead, "doc_id")
-
+def compared(rows: DataFrame, tests: list[tuple[int, int]], percent: int, size: int, pivots: bool = False) -> DataFrame:
+    """Links of rows (grp, part, chunk, side, row, doc_id, key, sig, text), found where a (grp, part, chunk) meets; sorted for
+    streaming.  Rows with a text are checked exactly on its shingles, if it is the one of their key.
 
-def _columns(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Ids, signatures and block numbers of a table of runs."""
-    ids = table.column("doc_id").to_numpy()
-    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
-    return ids, sig, [table.column(c).to_numpy() for c in ("low", "high", "block")]
-
-
-def candidate_links(reps: DataFrame, tests: list[tuple[int, int]]) -> DataFrame:
-    """Spanning forests of what survives the Bayesian test in each shared band."""
-    members = reps.select(F.explode("bands").alias("band"), "doc_id")
-    shared = members.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
-    blocks = F.ceil(F.col("n") / BLOCK_DOCS).cast("int")
-    rows = members.join(shared.select("band", blocks.alias("blocks")), "band").join(reps.select("doc_id", "sig"), "doc_id")
+    Links have no grp.  With ``pivots``, side 0, every row of side 1 is told too, as b with the first pivot that joins it, or null.
+    """
+    exact = "text" in rows.columns
+    lead = ["grp", "part", "chunk", "side", "row"]
+    rows = rows.select(*lead, "doc_id", "key", "sig", *(["text"] if exact else []))
+    rows = rows.repartition("grp", "part", "chunk").sortWithinPartitions(*lead)
+
+    def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Shingle sets instead of texts; rows with another text of the same doc_id, and repeated ones, drop out."""
+        last = None
+        for batch in batches:
+            keep, sets = [], []
+            place = list(zip(*(batch.column(c).to_pylist() for c in (*lead, "key")), strict=True))
+            for here, text in zip(place, batch.column("text").to_pylist(), strict=True):
+                ok = here != last
+                words = words_of(text) if ok else []
+                ok = ok and blake2b(b" ".join(words), digest_size=16).digest() == here[-1]
+                keep.append(ok)
+                if ok:
+                    last = here
+                    sets.append(shingle_set(words, size).tobytes())
+            left = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*left.columns[:-1], pa.array(sets, pa.binary())], names=[*left.schema.names[:-1], "set"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def edges() -> Iterator[list[tuple[int, int]]]:
-            for table, starts in runs(batches, 3, 4096):
-                ids, sig, blocks = _columns(table)
+        def links() -> Iterator[list[tuple]]:
+            for table, starts in runs(with_sets(batches) if exact else batches, 3, 256 if exact else 4096):
+                ids, side = table.column("doc_id").to_numpy(), table.column("side").to_numpy()
+                sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
+                sets = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()] if exact else None
                 forest, found = Forest(len(ids)), []
-                for i, j in pairs_of_runs(starts, *blocks):
-                    for a, b in zip(*(x.tolist() for x in surviving(sig, *forest.open_pairs(i, j), tests)[:2]), strict=True):
-                        if forest.apart(a, b):
+                for i, j in pairs_of_runs(starts, side, pivots):
+                    i, j, matches = surviving(sig, *forest.open_pairs(i, j), tests)
+                    if exact:
+                        order = np.argsort(-matches, kind="stable")
+                        i, j = i[order], j[order]
+                    for a, b in zip(i.tolist(), j.tolist(), strict=True):
+                        if forest.apart(a, b) and (sets is None or linked(sets[a], sets[b], percent)):
                             forest.join(a, b)
-                            found.append((int(ids[a]), int(ids[b])))
+                            found.append((None, None, int(ids[a]), int(ids[b])))
+                if pivots:
+                    grp, row = table.column("grp").to_numpy(), table.column("row").to_numpy()
+                    for k in np.nonzero(side == 1)[0].tolist():
+                        first = int(forest.label[k])  # the first of its rows, and side 0 comes first
+                        found.append((int(grp[k]), int(row[k]), int(ids[k]), int(ids[first]) if side[first] == 0 else None))
                 yield found
 
-        yield from edge_batches(edges())
+        yield from link_batches(links())
 
-    return in_block_pairs(rows, "band", "blocks").mapInArrow(compare, "a bigint, b bigint")
+    return rows.mapInArrow(compare, LINKS)
 
 
-def verified_links(docs: DataFrame, reps: DataFrame, clusters: DataFrame, size: int, percent: int, tests: list[tuple[int, int]]) -> DataFrame:
-    """Spanning forests of the exact links inside each candidate cluster."""
-    nodes = clusters.join(reps.select(F.col("doc_id").alias("node"), "n_shingles", "sig"), "node")
-    weight = nodes.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    nodes = materialize(nodes.join(weight, "component").select("component", F.col("node").alias("doc_id"), "blocks", "sig"), "cluster-nodes")
-    picked = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes
-    rows = id_and_text(docs).join(picked, "doc_id")
+def group_links(rows: DataFrame, n_large: int, tests: list[tuple[int, int]], percent: int, size: int = 0) -> DataFrame:
+    """(a, b): links that join, in each group, all that its pairs link.
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def edges() -> Iterator[list[tuple[int, int]]]:
-            for table, starts in runs(batches, 3, 256):
-                ids, sig, blocks = _columns(table)
-                sets = [shingle_set(words_of(text), size) for text in table.column("text").to_pylist()]
-                forest, found = Forest(len(ids)), []
-                for i, j in pairs_of_runs(starts, *blocks):
-                    i, j, matches = surviving(sig, *forest.open_pairs(i, j), tests)
-                    order = np.argsort(-matches, kind="stable")
-                    for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True):
-                        if forest.apart(a, b) and linked(sets[a], sets[b], percent):
-                            forest.join(a, b)
-                            found.append((int(ids[a]), int(ids[b])))
-                yield found
+    ``rows`` (grp, chunks, row, doc_id, key, sig and, for an exact check, text); ``n_large`` groups have more than one chunk.
+    """
+    zero = F.lit(0)
+    small = compared(rows.filter("chunks = 1").withColumns({"part": zero, "chunk": zero, "side": zero}), tests, percent, size).select("a", "b")
+    if not n_large:
+        return small
+    large = materialize(rows.filter("chunks > 1").withColumn("chunk", F.pmod(F.xxhash64("row"), F.col("chunks")).cast("int")), "large-groups")
+    # The same few pivots for every chunk of a group: the least rows of so many hash classes.
+    least = large.groupBy("grp", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(PIVOTS)).alias("class")).agg(F.min("row").alias("row")).select("grp", "row")
+    every_chunk = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    pivots = large.join(F.broadcast(least) if n_large * PIVOTS <= BROADCAST_ROWS else least, ["grp", "row"], "left_semi").withColumn("chunk", every_chunk)
+    met = pivots.withColumn("side", zero).unionByName(large.withColumn("side", F.lit(1))).withColumn("part", zero)
+    told = materialize(compared(met, tests, percent, size, pivots=True), "pivot-links")
+
+    # What is not joined with the group's largest part meets all of its chunks.
+    labels = told.filter("grp IS NOT NULL").groupBy("grp", "row").agg(F.min("b").alias("label"))
+    parts = labels.filter("label IS NOT NULL").groupBy("grp", "label").agg(F.count("*").alias("n"))
+    largest = parts.groupBy("grp").agg(F.max_by("label", "n").alias("largest"))
+    largest = F.broadcast(largest) if n_large <= BROADCAST_ROWS else largest
+    rest = labels.join(largest, "grp", "left").filter("label IS NULL OR label != largest").select("grp", "row")
+    rest = materialize(rest, "pivot-rest")
+    n_rest = rest.groupBy("grp").agg(F.count("*").alias("n_rest"))
+    n_rest = F.broadcast(n_rest) if n_large <= BROADCAST_ROWS else n_rest
+    open_ = large.join(n_rest, "grp").withColumn("ways", F.ceil(F.col("n_rest") / (BLOCK_DOCS // 2)).cast("int"))
+    left = open_.join(rest, ["grp", "row"], "left_semi").withColumn("part", F.pmod(F.xxhash64("row", F.lit(2)), F.col("ways")).cast("int")).withColumn("chunk", every_chunk)
+    right = open_.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)))
+    met = left.withColumn("side", zero).unionByName(right.withColumn("side", F.lit(1)))
+    return small.unionByName(told.filter("grp IS NULL").select("a", "b")).unionByName(compared(met, tests, percent, size).select("a", "b"))
 
-        yield from edge_batches(edges())
 
-    return in_block_pairs(rows, "component", "blocks").mapInArrow(verify, "a bigint, b bigint")
+def candidate_links(reps: DataFrame, tests: list[tuple[int, int]]) -> DataFrame:
+    """Spanning forests of what survives the Bayesian test in each shared band."""
+    members = reps.select(F.explode("bands").alias("grp"), "row")
+    chunks = F.ceil(F.col("n") / BLOCK_DOCS).cast("int")
+    shared = materialize(members.groupBy("grp").agg(F.count("*").alias("n")).filter("n > 1").select("grp", chunks.alias("chunks")), "bands")
+    rows = members.join(shared, "grp").join(reps.select("row", "doc_id", "key", "sig"), "row")
+    return group_links(rows, shared.filter("chunks > 1").count(), tests, 0)
+
+
+def verified_links(docs: DataFrame, reps: DataFrame, clusters: DataFrame, size: int, percent: int, tests: list[tuple[int, int]]) -> DataFrame:
+    """Spanning forests of the exact links inside each candidate cluster."""
+    nodes = clusters.join(reps.select(F.col("doc_id").alias("node"), "row", "key", "n_shingles", "sig"), "node")
+    weight = nodes.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("chunks"))
+    weight = materialize(weight, "cluster-sizes")
+    nodes = materialize(nodes.join(weight, "component").select(F.col("component").alias("grp"), F.col("node").alias("doc_id"), "chunks", "row", "key", "sig"), "cluster-nodes")
+    picked = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes
+    return group_links(id_and_text(docs).join(picked, "doc_id"), weight.filter("chunks > 1").count(), tests, percent, size)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -345,15 +393,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     sketch = materialize(sketches(docs, size, hasher), "sketches")
     keyed = sketch.filter("key IS NOT NULL AND doc_id IS NOT NULL")
     firsts = materialize(keyed.groupBy("key").agg(F.min("doc_id").alias("rep")), "first-copies")
-    reps = keyed.join(firsts.select("key", F.col("rep").alias("doc_id")), ["key", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    reps = materialize(reps, "representatives")
+    # One row a text, told by a hash of its key; its node is the smallest doc_id that has it.
+    reps = keyed.join(firsts.select("key", F.col("rep").alias("doc_id")), ["key", "doc_id"], "left_semi").dropDuplicates(["key"])
+    reps = materialize(reps.withColumn("row", F.xxhash64("key")), "representatives")
+    # Documents with several texts join the nodes of all of them.
+    told = sketch.filter("doc_id IS NOT NULL").withColumn("text_hash", F.xxhash64("key"))
+    several = told.groupBy("doc_id").agg(F.min("text_hash").alias("least"), F.max("text_hash").alias("most")).filter("least < most").select("doc_id")
+    own = keyed.join(several, "doc_id", "left_semi").join(firsts, "key").filter("rep != doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    own = materialize(own.distinct(), "shared-ids")
     small_batches(spark, 4096)
     clusters = materialize(connected_components(candidate_links(reps, tests)), "clusters")
     small_batches(spark)
-    links = connected_components(verified_links(docs, reps, clusters, size, percent, tests))
+    links = materialize(connected_components(verified_links(docs, reps, clusters, size, percent, tests).unionByName(own)), "links")
     discard(reps)
     classes = firsts.join(links, firsts["rep"] == links["node"], "left").select("key", F.coalesce("component", "rep").alias("class"))
-    out = sketch.select("doc_id", "key", "n_shingles").join(classes, "key", "left")
+    out = sketch.filter("key IS NOT NULL").select("doc_id", "key", "n_shingles").join(classes, "key", "left").drop("key")
+    bare = sketch.filter("key IS NULL").join(links, F.col("doc_id") == links["node"], "left")  # another text of its doc_id can be linked
+    out = out.unionByName(bare.select("doc_id", "n_shingles", F.col("component").alias("class")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

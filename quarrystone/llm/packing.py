@@ -5,8 +5,8 @@ histogram of piece lengths, at most ``limit`` rows whatever the corpus holds, so
 for each bin the largest length left is fixed, a bitset subset-sum over the other available lengths finds the fullest
 feasible combination, and the combination is removed as often as the counts allow (repeating it is what the search would
 choose again while all its lengths last).  The outcome is a bounded table of rank ranges; every piece finds its place from
-its exact rank among the pieces of equal length, which is counted in hash buckets so that a very common length is never one
-task's work.
+its exact rank among the pieces of equal length, which is counted in hash buckets: as many a length as its own count asks for,
+so that a very common length is never one task's work and a rare one is a single bucket.
 
 Defined results: a null text is an empty text and gives one piece with only the end id; a null doc_id is kept as null;
 repeated rows are packed once each; an empty table gives no rows; extra columns are ignored.
@@ -26,6 +26,8 @@ from quarrystone.llm.shared import id_and_text, materialize, rows_per_bucket, wi
 
 LIMIT = 4096
 END_ID = 1
+#: About so many pieces of one length are ranked in one bucket.
+BUCKET_ROWS = 2_000
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PACKED = PIECES + ", sequence_id bigint, offset bigint"
@@ -113,11 +115,11 @@ def plan_bins(histogram: dict[int, int], limit: int = LIMIT) -> list[tuple[int,
 def pack(docs: DataFrame, tokenizer_file: str, limit: int = LIMIT, end_id: int = END_ID) -> DataFrame:
     """Place all documents in as few sequences of at most ``limit`` ids as the search finds."""
     cut = materialize(pieces(docs, tokenizer_file, limit, end_id), "pieces")
-    buckets = rows_per_bucket(cut.count())
-    cut = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)))
+    histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `limit` rows
+    ways = docs.sparkSession.createDataFrame([(length, rows_per_bucket(n, BUCKET_ROWS)) for length, n in histogram.items()], "length bigint, ways bigint")
+    cut = cut.join(F.broadcast(ways), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.col("ways"))).drop("ways")
     cells = cut.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     cells = materialize(with_prefix_counts(cells, ["length"], "bucket", "n", "before"), "cells")
-    histogram = {r["length"]: r["n"] for r in cells.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `limit` rows
 
     plan = np.array(sorted(plan_bins(histogram, limit)) or [(0, 0, 0, 1, 0)], dtype=np.int64)
     starts = (plan[:, 0] << 44) + plan[:, 1]

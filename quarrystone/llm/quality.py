@@ -14,7 +14,7 @@ Labels, language, source and doc_id are never part of a vector.
 
 Defined results: a null text is scored as an empty text; an empty text has no words and its statistics are 0; a null length
 counts as the text's own; without usable labels of both kinds every score is the smoothed share of label 1, or 0.5 without any;
-repeated rows are scored once each; rows that are labelled more than once count with their lowest label; a null doc_id is never
+repeated rows are scored once each; of several texts with one doc_id the least is fitted; rows that are labelled more than once count with their lowest label; a null doc_id is never
 held out; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -182,7 +182,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows
             columns = [pa.array(ids, pa.int64()), pa.array([x[0] for x in both], pa.list_(pa.int64())), pa.array([x[1] for x in both], pa.list_(pa.float64())), pa.array(label, pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "slots", "statistics", "label"])
 
-    rows = docs.select(*_inputs(docs)).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.select(*_inputs(docs)).join(F.broadcast(sample), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("text", "stated", "label")).alias("least")).select("doc_id", "least.*")
     rows = rows.select(F.col("doc_id").cast("bigint"), "text", "stated", F.col("label").cast("int")).mapInArrow(features, "doc_id bigint, slots array<bigint>, statistics array<double>, label int")
     found = sorted(rows.collect(), key=lambda r: r["doc_id"])  # at most max_rows rows
     return fit_rows([(np.array(r["slots"], np.int64), r["statistics"], r["label"]) for r in found])

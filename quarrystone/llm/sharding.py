@@ -3,12 +3,14 @@
 Rows are ordered by (hash of the text, doc_id), so that equal texts lie side by side.  Splitters between shards are found
 without sorting: exact bytes are counted in cells of the key space (probes at the cells' borders), and only the cells in which
 a target falls are refined by the next digit of the key, again and again, until the bytes below each splitter meet the
-tolerance or the key has no digits left.  A text that more rows share than fit the tolerance is refined by the hash of
-its doc_ids, so a third of all rows with one text is split as exactly as anything else.  One exchange follows.
+tolerance or the key has no digits left.  Equal texts stay together, on the side of the border that is nearer, unless their rows
+hold more than ``SPLIT_SHARE`` of a shard: only then are they refined by the hash of their doc_ids, so that a third of all rows
+with one text is split as exactly as anything else.  One exchange follows.
 
 A round is one grouped sum over (key, size); the driver sees at most ``CELLS`` rows a splitter and round, whatever the input.
 
-Law ``bytes``: the sizes of the shards differ by less than the tolerance, or by one cell of equal keys (equal rows).
+Law ``bytes``: a border is off its target by less than the tolerance, or by half of a text's rows that stay together (at most
+``SPLIT_SHARE`` / 2 of a shard, or half of a single larger row).
 
 Defined results: a null text has no bytes and counts its overhead only; repeated rows are placed once each, in any order among
 themselves; a null doc_id is a key like any other; an empty table gives no rows; extra columns are kept, but
@@ -28,6 +30,8 @@ BITS = 8
 CELLS = 1 << BITS
 DIGITS = 16
 TOLERANCE = 0.001
+#: Rows of one text are split only if they hold more than this share of a shard.
+SPLIT_SHARE = 0.1
 #: About so many rows make a range in which slots are numbered; a range of over twice as many is dealt.
 RANGE_ROWS = 20_000
 #: Up to so many dealt ranges are broadcast; beyond, they are joined by shuffle.
@@ -66,9 +70,10 @@ def find_splitters(keys: DataFrame, shards: int = SHARDS, tolerance: float = TOL
                 if below + inside >= targets[i]:
                     break
                 below += inside
-            # The border before or behind the cell, whichever is nearer; else go on inside, unless one row fills the cell.
+            # The border before or behind the cell, whichever is nearer; else go on inside, unless one row or one text fills the cell.
             near, at = min((abs(below - targets[i]), cell), (abs(below + inside - targets[i]), cell + 1))
-            if near <= tolerance * total / shards or n == 1 or level == DIGITS - 1:
+            whole_text = level == DIGITS // 2 - 1 and inside <= SPLIT_SHARE * total / shards
+            if near <= tolerance * total / shards or n == 1 or whole_text or level == DIGITS - 1:
                 done[i] = (*prefix, at)
                 del open_[i]
             else:

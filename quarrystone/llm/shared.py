@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 import numpy as np
@@ -51,10 +52,22 @@ def rows_per_bucket(n_rows: int, rows: int = 50_000) -> int:
     return max(1, -(-n_rows // rows))
 
 
+#: The normaliser and the pre-tokenizer of tokenizer files whose words can be encoded one by one.
+WORD_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORD_SPLIT = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 class WordIds:
-    """Token ids of white-space separated words as little-endian uint32 bytes.
+    """Token ids of texts as little-endian uint32 bytes; of tokenizer files whose normaliser and pre-tokenizer are ``WORD_NORMALIZER``
+    and ``WORD_SPLIT`` word by word, of any others text by text.
 
-    The tokenizer lower-cases, drops white space and never merges across it, nor between a letter or digit and a punctuation mark
+    Such a tokenizer lower-cases, drops white space and never merges across it, nor between a letter or digit and a punctuation mark
     behind it.  So the ids of a text are the joined ids of its words, and a new word with a capital or with one full stop or
     comma at its end takes those of the plain word; only plain words that are new reach the tokenizer, many at a time.  Two
     generations of at most ``cap`` words bound the memory; a word that is met again moves to the young one.
@@ -64,8 +77,11 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            told = json.load(file)
+        self.by_word = told.get("normalizer") == WORD_NORMALIZER and told.get("pre_tokenizer") == WORD_SPLIT
         self.cap, self.young, self.old = cap, {"": b""}, {}
-        self.marks = {mark: self._ids(mark) for mark in ".,"}
+        self.marks = {mark: self._ids(mark) for mark in ".,"} if self.by_word else {}
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -81,6 +97,8 @@ class WordIds:
             self.young[word] = ids[at:end]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_word:
+            return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         split = [text.replace("\n", " ").replace("\r", " ").replace("\t", " ").split(" ") for text in texts]
         young, old = self.young, self.old
         derived: list[tuple[str, str, bytes]] = []

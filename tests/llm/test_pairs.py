@@ -74,6 +74,40 @@ def test_large_groups_are_compared_in_blocks(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got} == want
 
 
+@pytest.mark.parametrize("weight", [10**6, 2000])
+def test_a_group_of_several_chunks_moves_linearly_many_rows(spark, monkeypatch, weight):
+    monkeypatch.setattr(near_dedup, "BLOCK_DOCS", 16)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", weight)
+    monkeypatch.setattr(near_dedup, "PIVOTS", 4)
+    moved, plain = [], near_dedup.compared
+    monkeypatch.setattr(near_dedup, "compared", lambda rows, *a, **k: moved.append(rows.count()) or plain(rows, *a, **k))
+    base = prose(31, 100).split()
+    counts = {}
+    for n in (100, 400):
+        moved.clear()
+        rows = [(i, " ".join([*base[: i % 90], f"z{i}", *base[i % 90 + 1 :]])) for i in range(n)]
+        got = near_dedup.near_duplicates(documents(spark, rows), 3, 85).collect()
+        assert {r["component_id"] for r in got} == {0}
+        counts[n] = sum(moved[-3:])  # the rows of the exact check
+    assert counts[400] <= 5 * counts[100] and counts[400] <= 400 * 4
+
+
+def test_links_of_texts_that_share_a_doc_id(spark, monkeypatch):
+    a, b, c = prose(71, 80), prose(72, 80), prose(73, 80)
+    near = lambda t, k: t.replace(t.split()[40], f"other{k}", 1)
+    cases = [
+        [(10, a), (10, b), (11, near(a, 1)), (12, near(b, 2))],
+        [(1, a), (10, a), (10, b), (12, b)],
+        [(5, b), (5, c), (6, a), (6, near(c, 3)), (7, ""), (7, near(a, 4)), (7, near(a, 4)), (8, None), (None, a)],
+    ]
+    for block in (1024, 2):
+        monkeypatch.setattr(near_dedup, "BLOCK_DOCS", block)
+        for rows in cases:
+            want = brute_classes(rows, 3, 85)
+            got = near_dedup.near_duplicates(documents(spark, rows), 3, 85).collect()
+            assert sorted((r["doc_id"], r["component_id"]) for r in got if r["doc_id"] is not None) == sorted((i, want[i]) for i, _ in rows if i is not None)
+
+
 def test_near_duplicates_without_broadcast_and_of_nothing(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", 0)
     rows = list(enumerate(chained(4, 20)))
@@ -189,6 +223,19 @@ def test_contained_items_are_found(spark, monkeypatch, rows):
     assert len(got) == len(want)
 
 
+def test_a_shingle_that_all_share_pairs_nothing_by_itself(spark, monkeypatch):
+    common = "this is the common notice of all texts"
+    items = [(i, f"{common} {prose(1100 + i, 40)}") for i in range(20)]
+    docs = [(i, f"{prose(1200 + i, 30)} {common} " + " ".join(" ".join(items[k % 20][1].split()[8:30]) for k in range(i, i + 9))) for i in range(60)]
+    docs += [(100 + i, f"{prose(1300 + i, 40)} {items[i][1]} {prose(1400 + i, 40)}") for i in range(20)]
+    seen, plain = [], decontam.candidate_pairs
+    monkeypatch.setattr(decontam, "candidate_pairs", lambda *a: seen.append(plain(*a)) or seen[-1])
+    got = decontam.contained_items(documents(spark, docs), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == set(brute_contained(docs, items)) >= {(100 + i, i) for i in range(20)}
+    # All 80 x 20 pairs share the notice; the search pairs only those with rare shingles in common.
+    assert seen[0].count() <= 60 * 9 + 20 < 80 * 20
+
+
 def test_decontamination_of_nothing_drops_nothing(spark):
     docs = documents(spark)
     none = spark.createDataFrame([], "item_id bigint, text string")
@@ -215,6 +262,21 @@ def test_lines_of_recurring_templates_go(spark):
     assert line_dedup.dedup_lines(documents(spark, [])).count() == 0
 
 
+def test_columns_of_any_name_are_kept(spark):
+    notice = "Printed copy number 7 of this internal report today"
+    names = ["whole", "kept_lines", "drop_keys", "drop_doc", "left_text", "own_0", "leaf", "form_key", "n_lines", "n_dropped", "a.b", "n_chars"]
+    rows = [(i, f"{prose(i, 20)}\n{notice}", *range(len(names))) for i in range(12)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    for r in line_dedup.dedup_lines(docs).collect():
+        assert (r["n_lines"], r["n_dropped"]) == (2, int(r["doc_id"] > 0))
+        assert [r[n] for n in names if n not in ("n_lines", "n_dropped")] == [k for k, n in enumerate(names) if n not in ("n_lines", "n_dropped")]
+    left = line_dedup.strip_lines(docs)
+    assert left.schema == docs.schema
+    for r in left.collect():
+        assert r["n_lines"] == names.index("n_lines") and r["whole"] == 0
+        assert r["n_chars"] == (len(r["text"]) if r["doc_id"] else names.index("n_chars"))
+
+
 def test_variable_fields_without_digits_are_generalised(spark):
     rows = [(i, f"Report written by the author {w} for internal use only") for i, w in enumerate(prose(3, 14).replace("w", "name").translate(str.maketrans("0123456789", "abcdefghij")).split())]
     dropped = sum(r["n_dropped"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())

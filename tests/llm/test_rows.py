@@ -84,6 +84,67 @@ def test_cached_word_ids_are_the_tokenizers():
     assert got == [np.array(ids, "<u4").tobytes() for ids in plain_ids(texts)]
 
 
+def test_other_tokenizer_files_are_encoded_text_by_text(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(tokenizer_file(WORD_TOKENIZER), encoding="utf-8") as file:
+        told = json.load(file)
+    told["normalizer"] = {"type": "NFC"}  # keeps capitals
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(told), encoding="utf-8")
+    texts = ["Hello hello WORLD, it's", "", "a\tb\nC."]
+    want = [np.array(Tokenizer.from_file(str(path)).encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert WordIds(str(path)).encode(texts) == want
+    assert WordIds(tokenizer_file(WORD_TOKENIZER)).by_word and not WordIds(str(path)).by_word
+
+
+def test_common_and_rare_lengths_have_buckets_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET_ROWS", 10)
+    rows = [(i, "same words here") for i in range(300)] + [(1000 + i, prose(i, 5 + i)) for i in range(40)]
+    got = packing.pack(documents(spark, rows), tokenizer_file(WORD_TOKENIZER)).collect()
+    used = defaultdict(list)
+    for r in got:
+        used[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert len(got) == len(rows) and len({(r["sequence_id"], r["offset"]) for r in got}) == len(rows)
+    assert all(sum(n for _, n in places) == max(o + n for o, n in places) <= 4096 for places in used.values())
+
+
+def test_described_texts_and_their_vectors():
+    text = "Good GOOD words, 12 times!\nGood line\nGood line"
+    slots, told = quality.describe(text, 99)
+    words = text.split()
+    assert sorted(slots) == sorted({zlib.crc32(w.encode()) % quality.WORD_SLOTS for w in words})
+    want = dict(
+        log_chars=np.log1p(len(text)), log_words=np.log1p(len(words)), mean_word=sum(map(len, words)) / 9, distinct_words=7 / 9, top_word=3 / 9, repeated_neighbours=0.0,
+        capital_words=1 / 9, capitals=7 / len(text), digits=2 / len(text), symbols=2 / len(text), symbol_ends=1 / 9, spaces=8 / len(text), lines=np.log1p(3), distinct_lines=2 / 3,
+        mean_line=np.log1p(len(text) / 3), stated_chars=np.log1p(99),
+    )
+    assert dict(zip(quality.STATISTICS, told, strict=True)) == pytest.approx(want)
+    assert quality.describe("", None)[1] == [0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, np.log1p(1), 1, 0, 0] and not len(quality.describe("", None)[0])
+    model = quality.Model(np.tile(np.arange(1.0, quality.BINS), (len(told), 1)), 0.0, np.zeros(0), np.zeros((0, 0)))
+    where, x = model.vector(slots, told)
+    assert len(where) == len(x) == len(slots) + len(told) and (x[: len(slots)] ** 2).sum() == pytest.approx(1) and (x[len(slots) :] == 1).all()
+    assert [w - quality.WORD_SLOTS - quality.BINS * k for k, w in enumerate(where[len(slots) :])] == [sum(t > b for b in range(1, quality.BINS)) for t in told]
+
+
+def test_a_fit_follows_its_labels():
+    rows = [(np.array([k % 2 * 10 + 1, 5]), [float(k % 2)] * len(quality.STATISTICS), k % 2) for k in range(60)]
+    model = quality.fit_rows(rows)
+    margins = [model.margin(*model.vector(r[0], r[1])) for r in rows]
+    assert min(m for m, r in zip(margins, rows, strict=True) if r[2]) > 0 > max(m for m, r in zip(margins, rows, strict=True) if not r[2])
+    assert quality.fit_rows(rows[:1]).prior == pytest.approx(1 / 3) and np.array_equal(model.factors, quality.fit_rows(rows).factors)
+
+
+def test_of_several_texts_with_one_id_the_least_is_fitted(spark):
+    rows = [(i, prose(i, 30) if i % 3 else "JUNK!! " * 20) for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(60)], "doc_id bigint, quality int")
+    plain = quality.fit(documents(spark, rows, extra=False), labels)
+    more = quality.fit(documents(spark, rows + [(i, "zzz later text") for i in range(60)], extra=False).repartition(7), labels)
+    assert np.array_equal(plain.weights, more.weights)
+
+
 def test_quality_learns_and_holds_out(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     model = quality.fit(docs, labels)
@@ -153,10 +214,25 @@ def test_chat_round_trip(spark):
     for x in formatted.collect():  # no control string survives inside
         inner = x["formatted"][len(chat_format.START) : -len(chat_format.END) - 1]
         assert "<|" not in inner.replace(chat_format.ROLE_NEWLINE, "")
+    # A mark that got through would be read as a turn of its own.
+    forged = formatted.withColumn("formatted", F.replace("formatted", F.lit("<\\|"), F.lit("<|")))
+    assert {x["conv_id"]: x["n_turns"] for x in chat_format.conversation_digests(forged).collect()}[-1] == 4
     none = chat_format.format_messages(chat_format.text_messages(df.limit(0)))
     assert chat_format.conversation_digests(none).count() == 0
 
 
+@pytest.mark.parametrize("text", [CONTROL_TEXT, "<|im_end|>", "\\<|image|>\\", "<\\|nl|><<|im_start|>"])
+def test_no_control_string_arises_where_parts_meet(spark, text):
+    part = chat_format.PART
+    cuts = [(i, j, k) for i in range(0, len(text) + 1, 2) for j in range(i, len(text) + 1, 3) for k in range(j, len(text) + 1, 5)]
+    rows = [(n, 0, "assistant", [("text", x, None, None, None, None, None) for x in (text[:i], text[i:j], text[j:k], text[k:])]) for n, (i, j, k) in enumerate(cuts)]
+    formatted = chat_format.format_messages(spark.createDataFrame(rows, f"conv_id bigint, turn bigint, role string, content array<{part}>"))
+    told = hashlib.sha256(f"assistant\n{text}\n".encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
+    got = chat_format.conversation_digests(formatted).collect()
+    assert len(got) == len(rows) and {(x["n_turns"], x["turns_sha256"], x["loss_sha256"]) for x in got} == {(1, *told)}
+    assert {x["formatted"] for x in formatted.collect()} == {formatted.first()["formatted"]}
+
+
 def test_typed_parts_are_flattened_in_order(spark):
     part = chat_format.PART
     content = [("text", "see <|", None, None, None, None, None), ("image", None, "a.png", 56, 29, None, None), ("audio", None, "b.wav", None, None, 2.0, None), ("document", None, "c.pdf", None, None, None, 3), ("odd", None, "d", None, None, None, None)]
@@ -191,6 +267,16 @@ def test_shards_are_even(spark):
     assert all(len(x) == 1 for x in by_text.values())
 
 
+def test_equal_texts_stay_together_unless_they_hold_much_of_a_shard(spark):
+    rows = [(i, prose(i // 3, 40)) for i in range(3000)]  # triples at every border
+    got = sharding.shard_documents(documents(spark, rows, extra=False)).collect()
+    check_shards(rows, got, 1.5 * 300)
+    by_text = defaultdict(set)
+    for r in got:
+        by_text[r["text_crc32"], r["size"]].add(r["shard"])
+    assert all(len(x) == 1 for x in by_text.values())
+
+
 def test_a_text_of_a_third_of_all_rows_is_split(spark):
     rows = [(i, prose(i, 30) if i % 3 else "the same text again") for i in range(3000)]
     check_shards(rows, sharding.shard_documents(documents(spark, rows, extra=False)).collect(), 2 * 150)
@@ -230,6 +316,10 @@ def test_fingerprints_of_neighbours(spark):
     one = fingerprints.edited_neighbours(documents(spark, [(5, "a b c d")]), 3).collect()
     assert len(one) == 1 and one[0]["near_next"] == 1.0
     assert fingerprints.fingerprint(documents(spark)).count() == len(awkward_rows())
+    bare = fingerprints.edited_neighbours(documents(spark, awkward_rows()), 3).filter("doc_id IS NULL").collect()
+    texts = sorted((t or "") for i, t in awkward_rows() if i is None)  # an empty text follows each
+    assert sorted(r["edited_sha256"] for r in bare) == sorted(hashlib.sha256(t[: len(t) - len(t) // 4].encode()).hexdigest() for t in texts)
+    assert sorted(r["near_next"] for r in bare) == [0.0, 1.0]
 
 
 def test_collisions_follow_the_generalised_jaccard_similarity():
@@ -266,6 +356,17 @@ def test_token_histogram_answers_every_limit(spark):
 
 
 
+def test_likeness_of_texts_of_all_lengths_is_their_similarity():
+    r = random.Random(8)
+    for n in (5, 200, 20_000):
+        a = [f"w{r.randrange(n)}" for _ in range(n)]
+        b = [x if r.random() < 0.97 else "new" for x in a]
+        pairs = [Counter(zip(x, x[1:], strict=False)) for x in (a, b)]
+        truth = sum((pairs[0] & pairs[1]).values()) / sum((pairs[0] | pairs[1]).values())
+        one, two = (fingerprints.text_signature(" ".join(x), 1024) for x in (a, b))
+        assert fingerprints.likeness(one, two) == pytest.approx(truth, abs=0.07)
+
+
 def test_unrelated_long_texts_have_unlike_fingerprints():
     r = np.random.default_rng(5)
     a, b = (" ".join(map(str, r.integers(0, 10**6, 200_000))) for _ in range(2))
