@@ -30,7 +30,7 @@ from quarrystone.llm.shared import materialize
 SHINGLE = 5
 PERCENT = 80
 POSITIONS = 128
-ROWS = (4, 2, 1)
+ROWS = (4, 2)
 MISS = 1e-7
 #: Up to so many shingles or band keys of the benchmark are broadcast.
 BROADCAST_ROWS = 1_000_000

@@ -38,7 +38,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     clean = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
     now = materialize(clean, "edges")
     seen = None
-    for _ in range(rounds):
+    for _ in range(rounds if now.limit(1).count() else 0):
         least = materialize(_least_neighbours(now), "least")  # stored, so that the join can split a node with very many neighbours
         after = materialize(_small_star(_large_star(now, least)), "edges")
         discard(now, least)
@@ -48,6 +48,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
         seen = state
     else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+        if seen is not None:
+            raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
     return now.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(roots)

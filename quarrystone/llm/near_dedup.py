@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrystone.llm.graph import connected_components
-from quarrystone.llm.shared import discard, id_and_text, materialize, small_batches
+from quarrystone.llm.shared import discard, id_and_text, join_counted, materialize, small_batches
 
 BAND_ROWS = 5
 MISS = 1e-6
@@ -360,8 +360,8 @@ def candidate_links(reps: DataFrame, tests: list[tuple[int, int]]) -> DataFrame:
     """Spanning forests of what survives the Bayesian test in each shared band."""
     members = reps.select(F.explode("bands").alias("grp"), "row")
     chunks = F.ceil(F.col("n") / BLOCK_DOCS).cast("int")
-    shared = materialize(members.groupBy("grp").agg(F.count("*").alias("n")).filter("n > 1").select("grp", chunks.alias("chunks")), "bands")
-    rows = members.join(shared, "grp").join(reps.select("row", "doc_id", "key", "sig"), "row")
+    shared = materialize(members.groupBy("grp").agg(F.count("*").alias("n")).filter("n > 1").select("grp", "n", chunks.alias("chunks")), "bands")
+    rows = join_counted(members, shared, ["grp"], "n").drop("n").join(reps.select("row", "doc_id", "key", "sig"), "row")
     return group_links(rows, shared.filter("chunks > 1").count(), tests, 0)
 
 
@@ -392,22 +392,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     tests = least_matches(percent, hasher.bands * hasher.rows)
     sketch = materialize(sketches(docs, size, hasher), "sketches")
     keyed = sketch.filter("key IS NOT NULL AND doc_id IS NOT NULL")
-    firsts = materialize(keyed.groupBy("key").agg(F.min("doc_id").alias("rep")), "first-copies")
+    firsts = materialize(keyed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "first-copies")
     # One row a text, told by a hash of its key; its node is the smallest doc_id that has it.
     reps = keyed.join(firsts.select("key", F.col("rep").alias("doc_id")), ["key", "doc_id"], "left_semi").dropDuplicates(["key"])
     reps = materialize(reps.withColumn("row", F.xxhash64("key")), "representatives")
     # Documents with several texts join the nodes of all of them.
     told = sketch.filter("doc_id IS NOT NULL").withColumn("text_hash", F.xxhash64("key"))
     several = told.groupBy("doc_id").agg(F.min("text_hash").alias("least"), F.max("text_hash").alias("most")).filter("least < most").select("doc_id")
-    own = keyed.join(several, "doc_id", "left_semi").join(firsts, "key").filter("rep != doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    own = keyed.join(several, "doc_id", "left_semi").join(firsts.drop("n"), "key").filter("rep != doc_id").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     own = materialize(own.distinct(), "shared-ids")
     small_batches(spark, 4096)
     clusters = materialize(connected_components(candidate_links(reps, tests)), "clusters")
     small_batches(spark)
     links = materialize(connected_components(verified_links(docs, reps, clusters, size, percent, tests).unionByName(own)), "links")
     discard(reps)
-    classes = firsts.join(links, firsts["rep"] == links["node"], "left").select("key", F.coalesce("component", "rep").alias("class"))
-    out = sketch.filter("key IS NOT NULL").select("doc_id", "key", "n_shingles").join(classes, "key", "left").drop("key")
+    # Texts that one document has alone, linked with nothing, need no row.
+    classes = firsts.join(links, firsts["rep"] == links["node"], "left").filter("n > 1 OR node IS NOT NULL").select("key", "n", F.coalesce("component", "rep").alias("class"))
+    out = join_counted(sketch.filter("key IS NOT NULL").select("doc_id", "key", "n_shingles"), materialize(classes, "classes"), ["key"], "n", "left").drop("key", "n")
     bare = sketch.filter("key IS NULL").join(links, F.col("doc_id") == links["node"], "left")  # another text of its doc_id can be linked
     out = out.unionByName(bare.select("doc_id", "n_shingles", F.col("component").alias("class")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id"))

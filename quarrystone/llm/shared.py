@@ -47,6 +47,25 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
 
 
+#: A key of more rows than this, and than one in ``HOT_KEYS`` of all, is broadcast: there are at most HOT_KEYS of them.
+HOT_ROWS = 20_000
+HOT_KEYS = 100_000
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, how: str = "inner") -> DataFrame:
+    """Join ``rows`` with ``keyed``, which has one row a key and in ``count`` how many rows have it (inner or left).
+
+    Few keys are broadcast.  Of many, the hot ones are, and their number is bounded; so no task of the shuffle gets more than a
+    bounded share of the rows.  ``keyed`` is read several times and should be a stored table.
+    """
+    total, n_keys = keyed.agg(F.sum(count), F.count("*")).first()
+    if n_keys <= HOT_KEYS:
+        return rows.join(F.broadcast(keyed), keys, how)
+    hot = materialize(keyed.filter(F.col(count) > max(HOT_ROWS, total // HOT_KEYS)), "hot-keys")
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(keyed, keys, how)
+    return cold.unionByName(rows.join(F.broadcast(hot), keys).select(*cold.columns))
+
+
 def rows_per_bucket(n_rows: int, rows: int = 50_000) -> int:
     """How many hash buckets hold about ``rows`` rows each."""
     return max(1, -(-n_rows // rows))

@@ -14,7 +14,8 @@ An edge whose end leads on to one edge only, which in turn is reached from it on
 Such edges follow each other at their source too, so edges are compacted within blocks of source places, and the blocks' runs are
 compacted to paths by rounds of joins that double the reach of each.  The beginning and the end of a text count as branches, so
 whoever holds the first edge of a path holds all of it: only occurrences of first edges are joined with the paths, however long
-these are.  Paths of very many occurrences are few, and are joined by broadcast instead of in one task.
+these are.  Paths of very many occurrences are few, and are joined by
+broadcast instead of in one task.
 
 The source coordinate then verifies each span: a path's words are digested at its source, and a document loses the words of a span
 only if they have the same digest.  Spans of one document may overlap; what they cover is removed.
@@ -40,7 +41,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrystone.llm.near_dedup import MIX_A, MIX_B, WordHashes
-from quarrystone.llm.shared import discard, id_and_text, materialize
+from quarrystone.llm.shared import discard, id_and_text, join_counted, materialize
 
 WINDOW = 13
 SEED = 5
@@ -52,9 +53,6 @@ CHUNK_BITS = 1 << 15
 BROADCAST_ROWS = 500_000
 #: Source places (a power of two of them) whose edges are compacted in one task; joins go on from there.
 BLOCK_BITS = 10
-#: A path of more occurrences than this, and than one in ``HOT_PATHS`` of all, is broadcast: there are at most HOT_PATHS of them.
-HOT_OCCURRENCES = 20_000
-HOT_PATHS = 100_000
 #: Places of texts that share a doc_id are told apart by 32 bits of the text's hash above the position.
 PLACE_BITS = 31
 
@@ -309,7 +307,7 @@ def with_source_digests(docs: DataFrame, paths: DataFrame, window: int) -> DataF
 
 def path_occurrences(edges: DataFrame, paths: DataFrame) -> DataFrame:
     """Occurrences of the paths' first edges with their path; no key of the shuffle has more than a bounded share of the rows."""
-    total, n_paths = paths.agg(F.sum("n"), F.count("*")).first()
+    n_paths = paths.count()
     bits = 1 << max(13, (n_paths * BITS_EACH - 1).bit_length())
     begins = edges.select("edge", "check", "doc_id", "place")
     if bits <= BITMAP_BITS:
@@ -320,12 +318,7 @@ def path_occurrences(edges: DataFrame, paths: DataFrame) -> DataFrame:
                 yield batch.filter(pa.array(in_bitmap(shared.value, batch.column(0).to_numpy().view(np.uint64))))
 
         begins = begins.mapInArrow(first_edges, begins.schema)
-    if n_paths <= HOT_PATHS:
-        return begins.join(F.broadcast(paths), ["edge", "check"])
-    hot = paths.filter(F.col("n") > max(HOT_OCCURRENCES, (total or 0) // HOT_PATHS))  # at most HOT_PATHS rows
-    hot = materialize(hot, "hot-paths")
-    cold = begins.join(F.broadcast(hot.select("edge", "check")), ["edge", "check"], "left_anti").join(paths, ["edge", "check"])
-    return cold.unionByName(begins.join(F.broadcast(hot), ["edge", "check"]).select(*cold.columns))
+    return join_counted(begins, paths, ["edge", "check"], "n")
 
 
 def repeated_paths(docs: DataFrame, copies: DataFrame, shared_ids: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
@@ -358,8 +351,8 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
     """
     docs = id_and_text(docs).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     digests = materialize(text_digests(docs), "digests")
-    firsts = digests.filter("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first"))
-    marked = digests.join(firsts, "digest", "left").withColumn("copy", F.coalesce((F.col("first") < F.col("doc_id")) & (F.col("n_words") >= window), F.lit(False)))
+    firsts = digests.filter("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    marked = join_counted(digests, materialize(firsts, "first-copies"), ["digest"], "n", "left").withColumn("copy", F.coalesce((F.col("first") < F.col("doc_id")) & (F.col("n_words") >= window), F.lit(False)))
     by_id = marked.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_and("copy").alias("all_copies"), (F.min("slot") < F.max("slot")).alias("shared"))
     by_id = materialize(by_id.filter("all_copies OR shared"), "copies")
     spans = repeated_paths(docs, by_id.filter("all_copies").select("doc_id"), by_id.filter("shared").select("doc_id"), window, seed)
