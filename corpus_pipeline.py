@@ -2,12 +2,16 @@
 
 Quality classifier, line dedup, near-dedup, benchmark decontamination, packing.  Every stage works on all that the one before
 kept, and all but the last return the columns of documents.
+
+Defined results, stage by stage: an empty table of documents gives an empty result of every stage; a null text is scored as an empty
+one, has no lines, is linked with nothing, holds no item and packs as its end id; rows without doc_id are scored, but neither
+compared nor dropped by a later stage; repeated rows are one document to line dedup and near-dedup, which keeps all rows of the
+doc_id that stays; further columns of documents, whatever their names, come through all stages but the last as they are.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quarrystone.llm import decontam, line_dedup, near_dedup, packing, quality
 from quarrystone.llm.queries import WORD_TOKENIZER, table, tokenizer_file
@@ -22,9 +26,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def own_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines of recurring templates; n_chars follows the text."""
-    left = line_dedup.dedup_lines(docs)
-    n_chars = F.when(F.col("n_dropped") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
-    return left.withColumn("n_chars", n_chars).select(*docs.columns)
+    return line_dedup.strip_lines(docs, length_col="n_chars")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
