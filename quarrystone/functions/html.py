@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
+from itertools import accumulate, islice
+from typing import NamedTuple
 
 #: Elements without content, elements that readers drop, elements that count as one block, struck-out elements.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -109,46 +112,68 @@ def page_text(html: str | None, fallback: str = "", mode: str = "mark") -> tuple
     return title, text_of(prune(content_root(root)), mode)
 
 
-def page_blocks(html: str | None, fallback: str = "", mode: str = "mark") -> list[tuple[str, str, str, list[str]]]:
-    """Blocks (text, section, kind, headings) in document order.
+class Piece(NamedTuple):
+    """What one element or string of a page contributes: its text, and its level if it is a heading."""
+
+    kind: str
+    text: str
+    level: int = 0
+
+
+def _children(node: Node, *tags: str) -> list[Node]:
+    return [child for child in node.children if isinstance(child, Node) and child.tag in tags]
+
+
+def _list_text(node: Node, mode: str) -> str:
+    bullet = "- " if node.tag == "ul" else ""
+    items = (text_of(item, mode) for item in _children(node, "li"))
+    return "\n".join(f"{bullet}{item}" for item in items if item)
+
+
+def _table_text(node: Node, mode: str) -> str:
+    rows = (" | ".join(text_of(cell, mode) for cell in _children(row, "td", "th")) for row in node.find_all("tr"))
+    return "\n".join(row for row in rows if row.strip(" |"))
+
 
-    A heading is a block and is walked again, so its text comes twice; a filled paragraph or section is one flat block.
-    """
+#: Elements that are one piece with all that they hold: kind, text, and whether they are opened up if that text is empty.
+WHOLE = {tag: ("code" if tag == "pre" else "text", text_of, True) for tag in BLOCKS}
+WHOLE |= dict.fromkeys(("ul", "ol"), ("list", _list_text, False)) | {"table": ("table", _table_text, False)}
+HEADING = re.compile("h[1-9]")
+
+
+def page_pieces(root: Node, mode: str) -> Iterator[Piece]:
+    """The pieces of a page in document order; a heading comes as such and then again as what it holds."""
+    ahead: list[Node | str] = [*reversed(root.children)]
+    while ahead:
+        item = ahead.pop()
+        if isinstance(item, str):
+            yield Piece("text", squeeze(item))
+            continue
+        kind, render, opens = WHOLE.get(item.tag, ("", None, True))
+        text = render(item, mode) if render else ""
+        if HEADING.fullmatch(item.tag):
+            yield Piece("heading", text_of(item, mode), int(item.tag[1]))
+        elif text:
+            yield Piece(kind, text)
+        if opens and not text:
+            ahead.extend(reversed(item.children))
+
+
+def outlines(pieces: list[Piece]) -> Iterator[tuple[str, ...]]:
+    """The headings above each piece, itself included: a heading of level n stands behind the first n - 1 of them."""
+
+    def under(above: tuple[str, ...], piece: Piece) -> tuple[str, ...]:
+        return (*above[: piece.level - 1], piece.text or f"section {piece.level}") if piece.level else above
+
+    return islice(accumulate(pieces, under, initial=()), 1, None)
+
+
+def page_blocks(html: str | None, fallback: str = "", mode: str = "mark") -> list[tuple[str, str, str, list[str]]]:
+    """Blocks (text, section, kind, headings) in document order: the pieces that have a text, each under its headings."""
     root = prune(parse(html))
     title = page_title(root, fallback)
-    outline: list[str] = []
-    blocks: list[tuple[str, str, str, list[str]]] = []
-
-    def add(text: str, kind: str) -> None:
-        if text:
-            blocks.append((text, " → ".join(x for x in [title, *outline] if x.strip()), kind, list(outline)))
-
-    def walk(node: Node) -> None:
-        for child in node.children:
-            if isinstance(child, str):
-                add(squeeze(child), "text")
-                continue
-            level = re.fullmatch(r"h([1-9])", child.tag)
-            if level:
-                text = text_of(child, mode)
-                del outline[max(0, int(level[1]) - 1) :]
-                outline.append(text or f"section {int(level[1])}")
-                add(text, "heading")
-                walk(child)
-            elif child.tag in ("ul", "ol"):
-                bullet = "- " if child.tag == "ul" else ""
-                items = [text_of(x, mode) for x in child.children if isinstance(x, Node) and x.tag == "li"]
-                add("\n".join(bullet + x for x in items if x), "list")
-            elif child.tag == "table":
-                rows = [" | ".join(text_of(c, mode) for c in r.children if isinstance(c, Node) and c.tag in ("td", "th")) for r in child.find_all("tr")]
-                add("\n".join(r for r in rows if r.strip(" |")), "table")
-            elif child.tag in BLOCKS and (text := text_of(child, mode)):
-                add(text, "code" if child.tag == "pre" else "text")
-            else:
-                walk(child)
-
-    walk(root.find("body") or root)
-    return blocks
+    pieces = list(page_pieces(root.find("body") or root, mode))
+    return [(piece.text, " → ".join(x for x in (title, *above) if x.strip()), piece.kind, list(above)) for piece, above in zip(pieces, outlines(pieces), strict=True) if piece.text]
 
 
 def page_links(html: str | None) -> list[str]:

@@ -1,21 +1,45 @@
-"""BM25 Okapi as postings, corpus statistics and a ranking join."""
+"""BM25 Okapi: postings and term statistics as a stored index, and rankings that read only what a query asks for."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import hashlib
+import json
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrystone.config import Settings
 from quarrystone.functions.text import tokens
+from quarrystone.session import shared_dir
 
 #: Up to so many query terms are broadcast to the postings; beyond, the join shuffles.
 BROADCAST_TERMS = 200_000
 
 
-def postings(corpus: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, term, tf, dl) of every document and term; dl counts tokens with repeats."""
-    words = corpus.select(key, tokens(text).alias("words")).withColumn("dl", F.size("words").cast("bigint"))
-    return words.select(key, "dl", F.explode("words").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+@dataclass(frozen=True)
+class Index:
+    """postings (key, ord, term, tf, dl), terms (term, df, idf), size (n_docs, avgdl: one row) and docs (key, ord, dl)."""
+
+    postings: DataFrame
+    terms: DataFrame
+    size: DataFrame
+    docs: DataFrame
+    key: str
+
+    @staticmethod
+    def read(spark: SparkSession, folder: str, key: str) -> Index:
+        return Index(*(spark.read.parquet(f"{folder}/{part}") for part in ("postings", "terms", "size", "docs")), key)
+
+
+def tokenized(corpus: DataFrame, key: str, order: str, text: str = "text") -> DataFrame:
+    return corpus.select(F.col(key), F.col(order).alias("ord"), tokens(text).alias("words")).withColumn("dl", F.size("words").cast("bigint"))
+
+
+def postings(corpus: DataFrame, key: str, text: str = "text", order: str | None = None) -> DataFrame:
+    """(key, ord, term, tf, dl) of every document and term; dl counts tokens with repeats."""
+    words = tokenized(corpus, key, order or key, text)
+    return words.select(key, "ord", "dl", F.explode("words").alias("term")).groupBy(key, "term").agg(F.first("ord").alias("ord"), F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
 def corpus_size(corpus: DataFrame, text: str = "text") -> DataFrame:
@@ -33,38 +57,89 @@ def term_statistics(posts: DataFrame, size: DataFrame, settings: Settings | None
     return raw.join(F.broadcast(mean)).select("term", "df", idf.alias("idf"))
 
 
+def write_index(corpus: DataFrame, key: str, order: str, folder: str, settings: Settings | None = None) -> Index:
+    """Tokenise the corpus once and store postings sorted by term, term statistics, sizes and the documents' order."""
+    spark = corpus.sparkSession
+    postings(corpus, key, order=order).repartition("term").sortWithinPartitions("term", "ord").write.mode("overwrite").parquet(f"{folder}/postings")
+    stored = spark.read.parquet(f"{folder}/postings")
+    # Documents without tokens have no postings but count; their order is all that is read of the corpus again.
+    lengths = stored.groupBy(key).agg(F.first("dl").alias("dl"))
+    docs = corpus.select(F.col(key), F.col(order).alias("ord")).join(lengths, key, "left").withColumn("dl", F.coalesce("dl", F.lit(0)))
+    docs.write.mode("overwrite").parquet(f"{folder}/docs")
+    docs = spark.read.parquet(f"{folder}/docs")
+    docs.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{folder}/size")
+    term_statistics(stored, spark.read.parquet(f"{folder}/size"), settings).write.mode("overwrite").parquet(f"{folder}/terms")
+    spark.createDataFrame([(key,)], "key string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/complete")
+    return Index.read(spark, folder, key)
+
+
+def corpus_version(spark: SparkSession, paths: list[str], settings: Settings | None = None, kind: str = "") -> str:
+    """A name for the state of the files that a corpus is read from: it changes if one is added, removed or rewritten, or if the
+    settings do.  File contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", "modificationTime", "length")
+    told = files.agg(F.count("*"), F.sum("length"), F.sum(F.xxhash64("path", "modificationTime", "length").cast("decimal(38,0)"))).first()
+    return hashlib.sha256(json.dumps([*map(str, told), kind, repr(settings or Settings())]).encode()).hexdigest()[:24]
+
+
+def stored_index(corpus: DataFrame, key: str, order: str, version: str, settings: Settings | None = None, root: str | None = None) -> Index:
+    """The index of this version of the corpus: read if it is complete, else built.
+
+    Readers of older versions are not disturbed, since every version has its own folder.  An interrupted build leaves no
+    ``complete`` mark and is done again.
+    """
+    spark = corpus.sparkSession
+    folder = f"{root or shared_dir(spark) + '/bm25'}/{version}"
+    if _exists(spark, f"{folder}/complete/_SUCCESS"):
+        return Index.read(spark, folder, key)
+    return write_index(corpus, key, order, folder, settings)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def bm25_scores(posts: DataFrame, terms: DataFrame, size: DataFrame, queries: DataFrame, key: str, settings: Settings | None = None) -> DataFrame:
-    """(query_id, key, score) of the documents that share a term; repeated query tokens count again."""
+    """(query_id, key, ord, score) of the documents that share a term; repeated query tokens count again."""
     s = settings or Settings()
     asked = queries.select("query_id", F.explode(tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    asked = asked.join(terms.select("term", "idf"), "term")
-    asked = F.broadcast(asked) if asked.count() <= BROADCAST_TERMS else asked
-    hits = posts.join(asked, "term").join(F.broadcast(size.select("avgdl")))
+    few = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    asked = terms.select("term", "idf").join(F.broadcast(asked) if few else asked, "term")
+    hits = posts.join(F.broadcast(asked) if few else asked, "term").join(F.broadcast(size.select("avgdl")))
     tf = F.col("tf")
     part = F.col("times") * F.col("idf") * tf * (s.bm25_k1 + 1) / (tf + s.bm25_k1 * (1 - s.bm25_b + s.bm25_b * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy("query_id", key).agg(F.sum(part).alias("score"))
+    return hits.groupBy("query_id", key).agg(F.sum(part).alias("score"), F.first("ord").alias("ord"))
 
 
 def ranked(scores: DataFrame, pool: int, order: str) -> DataFrame:
-    """The first ``pool`` of each query by score (to 9 decimals, so that equal texts tie), then ``order``; ranks count from 0."""
+    """The first ``pool`` of each query by score (to 9 decimals, so that equal texts tie), then ``order``; ranks count from 0.
+
+    The number is filtered before it is shifted, so that the planner limits every partition's rows before it shuffles them.
+    """
     by = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), order)
-    return scores.withColumn("rank", F.row_number().over(by) - 1).filter(F.col("rank") < pool)
+    return scores.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= pool).withColumn("rank", F.col("rank") - 1)
 
 
-def bm25_topk(corpus: DataFrame, queries: DataFrame, pool: int, key: str, order: str, zero_fill: bool = True, settings: Settings | None = None) -> DataFrame:
-    """(query_id, key, order, score, rank).
+def search(index: Index, queries: DataFrame, pool: int, zero_fill: bool = True, settings: Settings | None = None) -> DataFrame:
+    """(query_id, key, ord, score, rank) from a stored index.
 
     With ``zero_fill`` a query that has tokens always gets ``pool`` rows: documents of score 0 follow in corpus order.  Only the
     first rows of the corpus can be needed for that, so nothing else is sorted.  A query without tokens has no ranking.
     """
-    posts = postings(corpus, key)
-    size = corpus_size(corpus)
-    scores = bm25_scores(posts, term_statistics(posts, size, settings), size, queries, key, settings).join(corpus.select(key, order).distinct(), key)
-    best = ranked(scores, pool, order)
+    key = index.key
+    best = ranked(bm25_scores(index.postings, index.terms, index.size, queries, key, settings), pool, "ord")
     if not zero_fill:
         return best
     # Documents of negative or zero score rank below those that fill up, so they are ranked together.
-    head = corpus.select(key, order).orderBy(order).limit(2 * pool)
+    head = index.docs.select(key, "ord").orderBy("ord").limit(2 * pool)
     asked = queries.filter(F.size(tokens("text")) > 0).select("query_id")
     fill = asked.join(F.broadcast(head)).join(best.select("query_id", key), ["query_id", key], "left_anti").withColumn("score", F.lit(0.0))
-    return ranked(best.select("query_id", key, order, "score").unionByName(fill.select("query_id", key, order, "score")), pool, order)
+    return ranked(best.select("query_id", key, "ord", "score").unionByName(fill.select("query_id", key, "ord", "score")), pool, "ord")
+
+
+def bm25_topk(corpus: DataFrame, queries: DataFrame, pool: int, key: str, order: str, zero_fill: bool = True, settings: Settings | None = None) -> DataFrame:
+    """``search`` over a corpus that is indexed for this one plan and not stored."""
+    posts, size = postings(corpus, key, order=order), corpus_size(corpus)
+    index = Index(posts, term_statistics(posts, size, settings), size, corpus.select(F.col(key), F.col(order).alias("ord")), key)
+    found = search(index, queries, pool, zero_fill, settings)
+    return found.withColumnRenamed("ord", order) if order != "ord" else found

@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrystone.config import Settings
-from quarrystone.operators.bm25 import bm25_topk
+from quarrystone.operators import bm25
 from quarrystone.operators.dense import nearest
 from quarrystone.operators.fusion import fused_topk, merged_pool
 from quarrystone.session import checkpoint_dir
 
 
-def retrieve(corpus: DataFrame, vectors: DataFrame | None, queries: DataFrame, query_vectors: DataFrame | None, key: str, order: str, settings: Settings | None = None) -> DataFrame:
-    """(query_id, key, score, position, stage) of the best documents.
+def retrieve(corpus: DataFrame, vectors: DataFrame | None, queries: DataFrame, query_vectors: DataFrame | None, key: str, order: str, settings: Settings | None = None, index: bm25.Index | None = None) -> DataFrame:
+    """(query_id, key, score, position, stage) of the best documents, from a stored BM25 index where one is given.
 
     Without vectors, hybrid search degrades to the sparse ranking (stage ``sparse_fallback``) and dense search finds nothing.
     ``vectors`` has (vec_id, key, embedding), ``queries`` (query_id, text), ``query_vectors`` (query_id, embedding).
@@ -27,7 +27,7 @@ def retrieve(corpus: DataFrame, vectors: DataFrame | None, queries: DataFrame, q
         near = nearest(vectors, query_vectors, s.pool).join(vectors.select("vec_id", key), "vec_id")
         lists.append(near.select("query_id", F.lit(0).alias("list_id"), key, "rank"))
     if s.mode != "dense":
-        sparse = bm25_topk(corpus, queries, s.pool, key, order, settings=s)
+        sparse = bm25.search(index, queries, s.pool, settings=s) if index else bm25.bm25_topk(corpus, queries, s.pool, key, order, settings=s)
         lists.append(sparse.select("query_id", F.lit(1).alias("list_id"), key, "rank"))
     if not lists:
         empty = queries.sparkSession.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, list_id int, {key} {corpus.schema[key].dataType.simpleString()}, rank int")

@@ -9,6 +9,7 @@ from quarrystone.functions.text import relevance
 from quarrystone.operators import bm25, context, dense, fusion
 from quarrystone.operators.quality_reports import evaluation
 from quarrystone.plans.registry import query, table
+from quarrystone.plans.retrieval import retrieve
 from quarrystone.plans.text_queries import CHUNKS, fixed
 
 TOK = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
@@ -29,16 +30,27 @@ def questions(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+def document_index(spark, sf_dir):
+    """BM25 over documents, built once for a version of the table and read by all queries."""
+    version = bm25.corpus_version(spark, [f"{sf_dir}/documents.parquet"], kind="documents")
+    return bm25.stored_index(table(spark, sf_dir, "documents"), "doc_id", "doc_id", version)
+
+
+def chunk_index(spark, sf_dir):
+    """BM25 over the documents' fixed chunks."""
+    version = bm25.corpus_version(spark, [f"{sf_dir}/documents.parquet"], kind="fixed chunks")
+    chunks = fixed(spark, sf_dir).withColumn("chunk", F.col("doc_id") * 100_000 + F.col("chunk_index"))
+    return bm25.stored_index(chunks, "chunk", "chunk", version)
+
+
 @query(f"WITH {bm25_sql('documents', 'doc_id')} SELECT term, df, round(idf, 6) AS idf FROM terms")
 def term_stats(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    stats = bm25.term_statistics(bm25.postings(docs, "doc_id"), bm25.corpus_size(docs))
-    return stats.select("term", "df", F.round("idf", 6).alias("idf"))
+    return document_index(spark, sf_dir).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {bm25_sql('documents', 'doc_id')} SELECT query_id, doc_id, round(score, 6) AS score, rank - 1 AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scores) WHERE rank <= 24")
 def bm25_topk(spark, sf_dir):
-    found = bm25.bm25_topk(table(spark, sf_dir, "documents").withColumn("ord", F.col("doc_id")), questions(spark, sf_dir), 24, "doc_id", "ord", zero_fill=False)
+    found = bm25.search(document_index(spark, sf_dir), questions(spark, sf_dir), 24, zero_fill=False)
     return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -46,7 +58,7 @@ def bm25_topk(spark, sf_dir):
   WHERE NOT EXISTS (SELECT 1 FROM scores s WHERE s.query_id = q.query_id AND s.doc_id = d.doc_id))
 SELECT query_id, doc_id, round(score, 6) AS score, rank - 1 AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM filled) WHERE rank <= 1500""")
 def bm25_topk_zero_fill(spark, sf_dir):
-    found = bm25.bm25_topk(table(spark, sf_dir, "documents").withColumn("ord", F.col("doc_id")), questions(spark, sf_dir), 1500, "doc_id", "ord")
+    found = bm25.search(document_index(spark, sf_dir), questions(spark, sf_dir), 1500)
     return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -102,11 +114,9 @@ best AS (SELECT query_id, doc_id, least(1.0, rrf_score / 0.15) AS score, row_num
 
 
 def two_rankings(spark, sf_dir):
-    chunks = fixed(spark, sf_dir).withColumn("ord", F.col("doc_id") * 100_000 + F.col("chunk_index"))
-    posts = bm25.postings(chunks, "ord")
-    size = bm25.corpus_size(chunks)
-    scores = bm25.bm25_scores(posts, bm25.term_statistics(posts, size), size, questions(spark, sf_dir), "ord")
-    per_doc = scores.groupBy("query_id", F.expr("ord div 100000").alias("doc_id")).agg(F.max("score").alias("top"), F.sum("score").alias("total"))
+    index = chunk_index(spark, sf_dir)
+    scores = bm25.bm25_scores(index.postings, index.terms, index.size, questions(spark, sf_dir), "chunk")
+    per_doc = scores.groupBy("query_id", F.expr("chunk div 100000").alias("doc_id")).agg(F.max("score").alias("top"), F.sum("score").alias("total"))
     lists = [bm25.ranked(per_doc.withColumn("score", F.col(c)), 24, "doc_id").select("query_id", F.lit(i).alias("list_id"), "doc_id", "rank") for i, c in enumerate(("top", "total"))]
     return lists[0].unionByName(lists[1])
 
@@ -168,3 +178,51 @@ def eval_metrics(spark, sf_dir):
     found = fused_documents(spark, sf_dir, min_score=0.21)
     per = questions(spark, sf_dir).select("query_id").join(found, "query_id", "left").groupBy("query_id").agg(F.count("doc_id").alias("hits"), F.coalesce(F.max("score"), F.lit(0.0)).alias("best_score"))
     return evaluation(per.withColumn("latency_ms", F.col("hits") * 10.0).withColumn("error", F.lit(None).cast("string")))
+
+
+#: Questions with the vectors of their ids, against documents with the vectors of theirs: 24 of the dense and 24 of the sparse list.
+ZERO_FILLED = """filled AS (SELECT * FROM scores UNION ALL SELECT q.query_id, d.doc_id, 0.0 FROM (SELECT DISTINCT query_id FROM asked) q, documents d
+  WHERE NOT EXISTS (SELECT 1 FROM scores s WHERE s.query_id = q.query_id AND s.doc_id = d.doc_id)),
+sparse AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) - 1 AS rank FROM filled QUALIFY rank < 24)"""
+OWN_VECTORS = f"q AS (SELECT item_id AS query_id, embedding AS qe FROM benchmark JOIN embeddings ON vec_id = item_id), {near_sql(L2, 24)}"
+
+
+def both_sql(lists: str, stage: str) -> str:
+    return f"""WITH {bm25_sql('documents', 'doc_id')}, {ZERO_FILLED}, {OWN_VECTORS}, lists AS ({lists}),
+fused AS (SELECT query_id, doc_id, sum(1.0::DOUBLE / (61 + rank)) AS rrf_score, min((list_id, rank)) AS seen FROM lists GROUP BY query_id, doc_id),
+pool AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf_score, 12) DESC, seen) AS place FROM fused QUALIFY place <= 24),
+best AS (SELECT query_id, p.doc_id, least(1.0, rrf_score / 0.15) AS score, row_number() OVER (PARTITION BY query_id ORDER BY place) AS position FROM pool p JOIN documents d ON d.doc_id = p.doc_id)
+SELECT query_id, doc_id, round(score, 6) AS score, position, '{stage}' AS stage FROM best WHERE position <= 5"""
+
+
+DENSE_LIST = "SELECT query_id, 0 AS list_id, vec_id AS doc_id, rank FROM near"
+SPARSE_LIST = "SELECT query_id, 1 AS list_id, doc_id, rank FROM sparse"
+
+
+def searched(spark, sf_dir, vectors=True, **changes):
+    e, asked = table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), questions(spark, sf_dir)
+    asked_vectors = asked.join(e, F.col("query_id") == F.col("vec_id")).select("query_id", "embedding")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    mine = e.withColumn("doc_id", F.col("vec_id"))
+    found = retrieve(docs, mine if vectors else None, asked, asked_vectors if vectors else None, "doc_id", "doc_id", Settings(**changes), document_index(spark, sf_dir))
+    return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("position").cast("bigint").alias("position"), "stage")
+
+
+@query(both_sql(f"{DENSE_LIST} UNION ALL {SPARSE_LIST}", "hybrid"))
+def hybrid_search(spark, sf_dir):
+    return searched(spark, sf_dir)
+
+
+@query(both_sql(DENSE_LIST, "dense"))
+def dense_search(spark, sf_dir):
+    return searched(spark, sf_dir, mode="dense")
+
+
+@query(both_sql(SPARSE_LIST, "sparse"))
+def sparse_search(spark, sf_dir):
+    return searched(spark, sf_dir, mode="sparse")
+
+
+@query(both_sql(SPARSE_LIST, "sparse_fallback"))
+def sparse_fallback(spark, sf_dir):
+    return searched(spark, sf_dir, vectors=False)

@@ -89,6 +89,38 @@ def test_nearest_in_blocks(spark, monkeypatch):
     got = dense.nearest(vectors, vectors.filter("vec_id < 5").withColumnRenamed("vec_id", "query_id"), 3)
     assert {(r["query_id"], r["rank"]): r["vec_id"] for r in got.collect()}[4, 1] == 3  # a tie with 5
     assert got.count() == 15
+    monkeypatch.setattr(dense, "CELLS", 1)
+    same = dense.nearest(vectors, vectors.filter("vec_id < 5").withColumnRenamed("vec_id", "query_id"), 3, "l2sq")
+    assert sorted(map(tuple, same.collect())) == sorted(map(tuple, got.collect()))
+    odd = vectors.unionByName(spark.createDataFrame([(50, [1.0, None]), (51, [1.0]), (52, None)], vectors.schema))
+    assert dense.nearest(odd, vectors.filter("vec_id = 0").withColumnRenamed("vec_id", "query_id"), 99).count() == 20
+    assert dense.nearest(odd, odd.filter("vec_id = 52").withColumnRenamed("vec_id", "query_id"), 3).count() == 0
+
+
+def test_a_stored_index_is_reused_until_its_files_change(spark, tmp_path, monkeypatch):
+    built = []
+    plain = bm25.write_index
+    monkeypatch.setattr(bm25, "write_index", lambda *a, **k: built.append(1) or plain(*a, **k))
+    path, root = f"{tmp_path}/corpus", f"file://{tmp_path}/bm25"
+    spark.createDataFrame([(0, "a b"), (1, "a c c"), (2, None)], "id bigint, text string").write.parquet(path)
+
+    def index(settings=None):
+        return bm25.stored_index(spark.read.parquet(path), "id", "id", bm25.corpus_version(spark, [path], settings), settings, root)
+
+    first = index()
+    assert {(r["term"], r["df"]) for r in first.terms.collect()} == {("a", 2), ("b", 1), ("c", 1)} and first.size.first()["n_docs"] == 3
+    queries = spark.createDataFrame([(1, "c"), (2, "a b")], "query_id bigint, text string")
+    transient = bm25.bm25_topk(spark.read.parquet(path).withColumn("ord", F.col("id")), queries, 2, "id", "ord")
+    assert sorted(map(str, bm25.search(index(), queries, 2).select("query_id", "id", "score", "rank").collect())) == sorted(map(str, transient.select("query_id", "id", "score", "rank").collect()))
+    assert len(built) == 1
+    spark.createDataFrame([(3, "d")], "id bigint, text string").write.mode("append").parquet(path)
+    assert index().size.first()["n_docs"] == 4 and len(built) == 2
+    assert index(Settings(bm25_epsilon=0.5)).size.first()["n_docs"] == 4 and len(built) == 3
+
+
+def test_ranks_keep_the_window_limit(spark):
+    scores = spark.range(100).select((F.col("id") % 3).alias("query_id"), F.col("id").alias("ord"), F.rand(1).alias("score"))
+    assert "WindowGroupLimit" in bm25.ranked(scores, 5, "ord")._jdf.queryExecution().toString()
 
 
 def test_retrieval_modes_degrade(spark):
