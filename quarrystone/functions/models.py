@@ -11,7 +11,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrystone.config import Settings
@@ -63,15 +63,27 @@ class EchoGenerator:
         return [json.dumps(sorted(set(re.findall(r"\w{6,}", p.lower())), key=lambda w: (-len(w), w))[:4], ensure_ascii=False) for p in prompts]
 
 
+def vectors_of(embedder: Embedder, texts: list[str]) -> list[list[float]]:
+    """A batch's vectors; if the batch fails or comes back short, one text after the other.  A text that has none fails the job."""
+    try:
+        vectors = embedder(texts)
+        if len(vectors) == len(texts):
+            return vectors
+    except Exception as error:
+        if len(texts) == 1:
+            raise ValueError("a text could not be embedded, so nothing is stored") from error
+    if len(texts) == 1:
+        raise ValueError(f"{len(vectors)} vectors for one text, so nothing is stored")
+    return [vectors_of(embedder, [text])[0] for text in texts]
+
+
 def embed(texts: DataFrame, embedder: Embedder, key: str = "key", text: str = "text") -> DataFrame:
-    """(key, embedding) of every text; an embedder that returns too few vectors fails the job, so nothing partial is stored."""
+    """(key, embedding) of every text; what can't be embedded fails the job, so nothing partial is stored."""
     prepare(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = embedder([t or "" for t in batch.column(1).to_pylist()])
-            if len(vectors) != batch.num_rows:
-                raise ValueError(f"{len(vectors)} vectors for {batch.num_rows} texts")
+            vectors = vectors_of(embedder, [t or "" for t in batch.column(1).to_pylist()]) if batch.num_rows else []
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vectors, pa.list_(pa.float32()))], names=[key, "embedding"])
 
     kind = texts.schema[key].dataType.simpleString()
@@ -85,6 +97,26 @@ def embed_with_cache(texts: DataFrame, cache: DataFrame, embedder: Embedder, mod
     return cache.join(wanted.select("key"), "key", "left_semi").select("key", "embedding").unionByName(embed(missing, embedder))
 
 
+def cache_after(cache: DataFrame, used: DataFrame, at: Column, ttl_seconds: int, capacity: int) -> DataFrame:
+    """A stored cache (key, embedding, created_at, used_at) after a run that used (key, embedding) ``at`` a moment.
+
+    New keys are added, used ones touched, those older than the time to live are gone, and of the rest the last used stay.
+    """
+    hits = used.select("key", F.col("embedding").alias("new"), at.alias("now"))
+    both = cache.join(hits, "key", "full_outer").select(
+        "key", F.coalesce("embedding", "new").alias("embedding"), F.coalesce("created_at", "now").alias("created_at"), F.greatest("used_at", "now").alias("used_at")
+    )
+    alive = both.filter(F.col("created_at") > at - F.make_interval(secs=F.lit(ttl_seconds)))
+    return alive.orderBy(F.desc("used_at"), "key").limit(capacity)
+
+
+def cache_statistics(cache: DataFrame, requests: DataFrame) -> DataFrame:
+    """One row: requests (key, one row each), hits in the cache as it was, misses, the hit rate and the entries stored."""
+    told = requests.join(cache.select("key", F.lit(1).alias("hit")), "key", "left")
+    counts = told.agg(F.count("*").alias("requests"), F.count("hit").alias("hits")).join(cache.agg(F.count("*").alias("entries")))
+    return counts.select("requests", "hits", (F.col("requests") - F.col("hits")).alias("misses"), F.round(F.col("hits") / F.greatest("requests", F.lit(1)), 4).alias("hit_rate"), "entries")
+
+
 def rerank(found: DataFrame, queries: DataFrame, reranker: Reranker, settings: Settings | None = None, cap: int = 4000) -> DataFrame:
     """Reorder the first ``rerank_top_n`` documents of each query by a model; the rest follow in their old order.
 
@@ -143,7 +175,64 @@ def expand(queries: DataFrame, generator: Generator, variants: int = 4) -> DataF
     return queries.select("query_id", "text").mapInArrow(run, f"query_id {kind}, texts array<string>").select("query_id", F.posexplode("texts").alias("nth", "text"))
 
 
-def strip_reasoning(text: str) -> str:
-    """Without think blocks, closed or not, and without white space in front."""
-    text = re.sub(r"<think>.*?</think>", "", text, flags=re.S | re.I)
-    return re.sub(r"<think>.*\Z", "", text, flags=re.S | re.I).lstrip()
+REWRITE, VARIANTS, PASSAGE = "Rewrite the question so that it stands alone.", "Give other wordings as a JSON array.", "Write a passage that answers the question."
+
+
+def expand_with_history(queries: DataFrame, generator: Generator, dense: bool = True, variants: int = 4) -> DataFrame:
+    """(query_id, nth, kind, text) from (query_id, text, history), without repeats: the question, its rewriting in the light of the
+    history (none without one, or if it has at most three characters), up to ``variants`` wordings, and for dense search a passage that could
+    answer it.  If a generator fails on a batch, its questions stand alone.
+    """
+    prepare(queries.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def ask(task: str, texts: list[str]) -> list[str]:
+            try:
+                return [strip_reasoning(x or "").strip() for x in generator([f"{task}\n{t}" for t in texts])]
+            except Exception:  # widening is optional
+                return [""] * len(texts)
+
+        for batch in batches:
+            texts, past = ([t or "" for t in batch.column(i).to_pylist()] for i in (1, 2))
+            told = [bool(h.strip()) for h in past]
+            new = iter(ask(REWRITE, [f"{h}\n{t}" for t, h, ok in zip(texts, past, told, strict=True) if ok]))
+            rewritten = [next(new) if ok else "" for ok in told]
+            others, passages = ask(VARIANTS, texts), ask(PASSAGE, texts) if dense else [""] * len(texts)
+            lists = []
+            for text, again, more, passage in zip(texts, rewritten, others, passages, strict=True):
+                all_ = [("question", text), *[("rewriting", again)] * (len(again) > 3), *[("variant", x) for x in string_list(more)[:variants]], *[("passage", passage)] * bool(passage)]
+                first: dict[str, str] = {}
+                for kind, x in all_:
+                    first.setdefault(x, kind)
+                lists.append([{"kind": kind, "text": x} for x, kind in first.items()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.struct([("kind", pa.string()), ("text", pa.string())])))], names=["query_id", "texts"])
+
+    kind = queries.schema["query_id"].dataType.simpleString()
+    rows = queries.select("query_id", "text", "history").mapInArrow(run, f"query_id {kind}, texts array<struct<kind:string,text:string>>")
+    return rows.select("query_id", F.posexplode("texts").alias("nth", "x")).select("query_id", "nth", "x.kind", "x.text")
+
+
+FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
+
+
+def strip_reasoning(text: str, script: str | None = None) -> str:
+    """Without think blocks, closed or not, and without white space in front.
+
+    A JSON array is left as it is, and so is what stands in code fences.  With ``script`` (a character class, say ``"\u0400-\u04FF"``)
+    paragraphs before the first one in that script are taken for reasoning too, if there is such a paragraph.
+    """
+    if text.strip().startswith("[") and text.strip().endswith("]"):
+        return text.lstrip()
+    fences: list[str] = []
+
+    def mask(found: re.Match) -> str:
+        fences.append(found[0])
+        return f"\0{len(fences) - 1}\0"
+
+    bare = text if "\0" in text else FENCE.sub(mask, text)
+    bare = re.sub(r"<think>.*?(?:</think>|\Z)", "", bare, flags=re.S | re.I)
+    if script:
+        parts = re.split(r"(\n\s*\n)", bare)
+        at = next((i for i, part in enumerate(parts) if re.search(f"[{script}]", part)), 0)
+        bare = "".join(parts[at:])
+    return (re.sub("\0(\\d+)\0", lambda found: fences[int(found[1])], bare) if fences else bare).lstrip()

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quarrystone.config import Settings
 from quarrystone.functions.text import tokens
 from quarrystone.session import shared_dir
+from quarrystone.store import exists
 
 #: Up to so many query terms are broadcast to the postings; beyond, the join shuffles.
 BROADCAST_TERMS = 200_000
@@ -89,16 +90,11 @@ def stored_index(corpus: DataFrame, key: str, order: str, version: str, settings
     """
     spark = corpus.sparkSession
     folder = f"{root or shared_dir(spark) + '/bm25'}/{version}"
-    if _exists(spark, f"{folder}/complete/_SUCCESS"):
+    if exists(spark, f"{folder}/complete/_SUCCESS"):
         return Index.read(spark, folder, key)
     return write_index(corpus, key, order, folder, settings)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-
-
 def bm25_scores(posts: DataFrame, terms: DataFrame, size: DataFrame, queries: DataFrame, key: str, settings: Settings | None = None) -> DataFrame:
     """(query_id, key, ord, score) of the documents that share a term; repeated query tokens count again."""
     s = settings or Settings()

@@ -97,10 +97,21 @@ def follow_ups(answers: DataFrame, generator: Generator, most: int = 5) -> DataF
     return told.mapInArrow(read, f"query_id {kind}, questions array<string>").select("query_id", F.posexplode("questions").alias("nth", "question"))
 
 
+def answer_events(answers: DataFrame, key: str = "query_id", size: int = 200) -> DataFrame:
+    """(key, seq, type, payload): what a reader of a streamed answer sees, in order of seq: its status, the answer in deltas of at
+    most ``size`` characters and, when it is whole, done with their number; an error instead for an answer that is null or blank."""
+    event = lambda kind, payload: F.struct(F.lit(kind).alias("type"), payload.alias("payload"))
+    deltas = F.transform(F.regexp_extract_all("answer", F.lit(f"(?s).{{1,{size}}}"), F.lit(0)), lambda d: event("delta", d))
+    whole = F.concat(F.array(event("status", F.lit("answering"))), deltas, F.array(event("done", F.size(deltas).cast("string"))))
+    failed = F.array(event("status", F.lit("answering")), event("error", F.lit("no answer")))
+    rows = answers.select(key, F.posexplode(F.when(F.trim(F.coalesce("answer", F.lit(""))) != "", whole).otherwise(failed)).alias("seq", "event"))
+    return rows.select(key, "seq", "event.type", "event.payload")
+
+
 def build_index(spark: SparkSession, root: str, files: DataFrame, chunks: DataFrame, embedder: Embedder, settings_hash: str = "") -> str:
     """Write chunks, vectors and manifest as a new version below ``root`` and return its folder.
 
-    Nothing of an older version is touched.  The counts must agree before the caller moves the pointer (``publish``).
+    Nothing of an older version is touched.  The counts must agree before the caller moves the pointer (``store.publish``).
     """
     version = f"{root.rstrip('/')}/version-{uuid.uuid4().hex}"
     chunks.write.parquet(f"{version}/chunks")
@@ -113,15 +124,6 @@ def build_index(spark: SparkSession, root: str, files: DataFrame, chunks: DataFr
     return version
 
 
-def publish(spark: SparkSession, root: str, version: str) -> None:
-    """Point to a version; readers that opened the old one keep it."""
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").text(f"{root.rstrip('/')}/current")
-
-
-def current(spark: SparkSession, root: str) -> str:
-    return spark.read.text(f"{root.rstrip('/')}/current").first()[0]
-
-
 class TemplateGenerator:
     """Repeats the first passage of a prompt; verdicts and lists in JSON where they are asked for."""
 

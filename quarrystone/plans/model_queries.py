@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarrystone.functions import models
-from quarrystone.operators.bm25 import bm25_topk
+from quarrystone.operators import bm25
 from quarrystone.operators.fusion import fused_topk
 from quarrystone.plans.registry import query, table
+from quarrystone.plans.text_queries import CHUNKS
 from quarrystone.plans.retrieval import deep_retrieve, retrieve
-from quarrystone.plans.retrieval_queries import fused_documents, questions
+from quarrystone.plans.retrieval_queries import document_index, fused_documents, questions
 from quarrystone.streaming import streams
 
 
@@ -43,33 +44,33 @@ def hybrid_dense_sparse(spark, sf_dir):
 
 @query()
 def deep_retrieval(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").withColumn("ord", F.col("doc_id"))
+    docs, index = table(spark, sf_dir, "documents"), document_index(spark, sf_dir)
 
     def search(texts):
         # Every text is a list of its own; all lists of a question are fused.
         numbered = texts.select("query_id", "text").withColumn("list_id", F.xxhash64("text"))
         asked = numbered.select(F.struct("query_id", "list_id").alias("query_id"), "text")
-        lists = bm25_topk(docs, asked, 24, "doc_id", "ord").select("query_id.query_id", "query_id.list_id", "doc_id", "rank")
+        lists = bm25.search(index, asked, 24).select("query_id.query_id", "query_id.list_id", "doc_id", "rank")
         return fused_topk(lists, docs.select("doc_id"), "doc_id")
 
     def widen(texts, pool):
         return models.expand(texts, models.EchoGenerator()).filter("nth > 0").select("query_id", "text")
 
-    return deep_retrieve(search, questions(spark, sf_dir), widen, "doc_id")[0]
+    return deep_retrieve(search, questions(spark, sf_dir), widen, "doc_id")[0].select("query_id", "doc_id", "score", "position")
 
 
 @query("SELECT count(*) FILTER (WHERE event_type <> 'error') AS accepted, count(*) FILTER (WHERE event_type = 'error') AS dead FROM events")
 def stream_offsets(spark, sf_dir):
     folder = streams.work_folder(spark, "events")
     streams.take_events(streams.file_stream(spark, sf_dir, "events"), folder)
-    accepted = spark.read.parquet(f"{folder}/accepted").agg(F.count("*").alias("accepted"))
-    return accepted.join(spark.read.parquet(f"{folder}/dead").agg(F.count("*").alias("dead")))
+    kind = F.col("kind")
+    return spark.read.parquet(f"{folder}/taken").agg(F.count_if(kind == "accepted").alias("accepted"), F.count_if(kind == "dead").alias("dead"))
 
 
-@query()
+@query(f"WITH RECURSIVE {CHUNKS} SELECT doc_id, count(*) AS chunks FROM chunks GROUP BY doc_id")
 def stream_incremental(spark, sf_dir):
-    last = streams.maintain_chunks(streams.file_stream(spark, sf_dir, "documents", 2), streams.work_folder(spark, "chunks"))
-    return spark.read.parquet(last).groupBy("doc_id").agg(F.count("*").alias("chunks"))
+    corpus = streams.maintain_chunks(streams.file_stream(spark, sf_dir, "documents", 2), streams.work_folder(spark, "chunks"))
+    return corpus.groupBy("doc_id").agg(F.count("*").alias("chunks"))
 
 
 @query("SELECT conv_id * 100 + turn AS exchange, length(ltrim(text))::BIGINT AS shown_chars FROM conversations WHERE role = 'assistant' AND ltrim(text) <> ''")

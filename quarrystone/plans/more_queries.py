@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 from quarrystone.functions import models
 from quarrystone.functions.text import extension, first_filled, folder
 from quarrystone.operators import admission
+from quarrystone.operators.names import lookup_names
 from quarrystone.operators import history as H
+from quarrystone import store
+from quarrystone.operators import history_writes as history_writes_
 from quarrystone.plans import answering
 from quarrystone.plans.history_queries import WEAK
-from quarrystone.plans.inputs import BASE, FEEDBACK, MESSAGES, NOW, OLD_FILES, SESSIONS, TEXTS, feedback, line_chunks, messages, old_files, sessions, texts, users
+from quarrystone.plans.inputs import BASE, FEEDBACK, MESSAGES, NEW_FILES, NOW, OLD_FILES, SESSIONS, TEXTS, feedback, line_chunks, line_chunks_sql, messages, new_files, old_files, sessions, texts, users
 from quarrystone.plans.registry import query, table
+from quarrystone.plans.reindex import reindex
 from quarrystone.plans.retrieval_queries import fused_documents, questions
 from quarrystone.plans.text_queries import CHUNKS, fixed
 from quarrystone.streaming.streams import work_folder
@@ -47,13 +51,9 @@ def latest_jobs(spark, sf_dir):
 SELECT label, arg_min(source, (CASE WHEN lower(label) = source THEN 0 ELSE 1 END, length(source), source)) AS source FROM wanted, known
 WHERE lower(label) = source OR contains(source, lower(label)) OR contains(lower(label), source) GROUP BY label""")
 def source_lookup(spark, sf_dir):
-    """A label's source: the exact one, else one that holds it or is held by it.  Labels are few and broadcast only if counted so."""
+    """A label's source: the exact one, else one that holds it or is held by it."""
     wanted = table(spark, sf_dir, "conversations").select(F.concat(F.lit("SRC"), (F.col("conv_id") % 7 + F.col("turn")).cast("string")).alias("label")).distinct()
-    known = table(spark, sf_dir, "documents").select("source").distinct()
-    name = F.lower("label")
-    near = known.join(wanted, (name == F.col("source")) | F.contains("source", name) | F.contains(name, F.col("source")))
-    best = F.struct(F.when(name == F.col("source"), 0).otherwise(1), F.length("source"), "source")
-    return near.groupBy("label").agg(F.min_by("source", best).alias("source"))
+    return lookup_names(wanted, table(spark, sf_dir, "documents").select("source").distinct())
 
 
 @query("SELECT page_id, array_to_string(regexp_extract_all(html, '(?s)<h[1-6][^>]*>(.*?)</h', 1)[1:5], ' | ') AS headings FROM pages")
@@ -101,12 +101,10 @@ UNION ALL SELECT 'up', count(*) FROM feedback WHERE rating = 'up' UNION ALL SELE
 UNION ALL SELECT 'recent_sessions', count(*) FROM sessions WHERE updated_at >= TIMESTAMP '{BASE}' + INTERVAL 2 DAY""")
 def admin_overview(spark, sf_dir):
     s, m, f = sessions(spark, sf_dir), messages(spark, sf_dir), feedback(spark, sf_dir)
-    one = lambda name, df: df.agg(F.count("*").alias("value")).select(F.lit(name).alias("metric"), "value")
-    parts = [one("sessions", s), one("messages", m), one("up", f.filter("rating = 'up'")), one("down", f.filter("rating = 'down'")), one("weak", H.weak_answers(m, 1000)), one("recent_sessions", s.filter(F.col("updated_at") >= F.expr(f"timestamp_ntz'{BASE}' + interval 2 day")))]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    recent = F.col("updated_at") >= F.expr(f"timestamp_ntz'{BASE}' + interval 2 day")
+    one = s.agg(F.count("*").alias("sessions"), F.count_if(recent).alias("recent_sessions")).join(m.agg(F.count("*").alias("messages")))
+    one = one.join(f.agg(F.count_if(F.col("rating") == "up").alias("up"), F.count_if(F.col("rating") == "down").alias("down"))).join(H.weak_answers(m, 1000).agg(F.count("*").alias("weak")))
+    return one.unpivot([], ["sessions", "messages", "up", "down", "weak", "recent_sessions"], "metric", "value")
 
 
 @query()
@@ -121,11 +119,59 @@ def answer_with_citations(spark, sf_dir):
     return answering.answer(found, questions(spark, sf_dir), answering.TemplateGenerator())
 
 
-@query()
+@query(f"WITH {TEXTS}, {OLD_FILES}, {line_chunks_sql('c', 'old_files')} SELECT path, count(chunk_id)::INT AS chunks FROM old_files LEFT JOIN c USING (path) GROUP BY path")
 def index_build(spark, sf_dir):
     files = old_files(spark, sf_dir)
     root = work_folder(spark, "index")
-    version = answering.build_index(spark, root, files.drop("text"), line_chunks(files), models.HashEmbedder())
-    answering.publish(spark, root, version)
-    folder_ = answering.current(spark, root)
-    return spark.read.parquet(f"{folder_}/manifest").select("path", F.size("chunk_ids").alias("chunks"))
+    store.publish(spark, root, answering.build_index(spark, root, files.drop("text"), line_chunks(files), models.HashEmbedder()))
+    return spark.read.parquet(f"{store.current(spark, root)}/manifest").select("path", F.size("chunk_ids").alias("chunks"))
+
+
+@query(f"WITH {TEXTS}, {NEW_FILES}, {line_chunks_sql('c', 'new_files')} SELECT path, count(chunk_id)::INT AS chunks, count(chunk_id) AS vectors FROM new_files LEFT JOIN c USING (path) GROUP BY path")
+def reindex_incremental(spark, sf_dir):
+    """Built from the old snapshot, then brought up to the new one: only new and changed files are chunked and embedded."""
+    root = work_folder(spark, "reindex")
+    keep = ["path", "title", "size_bytes", "mtime", "sha256"]
+    for files in (old_files(spark, sf_dir), new_files(spark, sf_dir)):
+        texts_ = files.select("path", "text")
+        chunk = lambda some, texts_=texts_: line_chunks(some.join(texts_, "path"))
+        done = reindex(spark, root, files.select(*keep), chunk, models.HashEmbedder())
+    vectors = spark.read.parquet(f"{done.version}/chunks").join(spark.read.parquet(f"{done.version}/vectors"), "chunk_id").groupBy("path").agg(F.count("*").alias("vectors"))
+    rows = spark.read.parquet(f"{done.version}/manifest").join(vectors, "path", "left")
+    return rows.select("path", F.size("chunk_ids").alias("chunks"), F.coalesce("vectors", F.lit(0)).alias("vectors"))
+
+
+EVENTS = """a AS (SELECT conv_id * 100 + turn AS exchange, text AS answer FROM conversations WHERE role = 'assistant'),
+d AS (SELECT exchange, answer, regexp_extract_all(answer, '(?s).{1,200}') AS parts FROM a)"""
+
+
+@query(f"""WITH {EVENTS} SELECT exchange, 0 AS seq, 'status' AS type, 'answering' AS payload FROM d
+UNION ALL SELECT exchange, i, 'delta', parts[i] FROM (SELECT exchange, parts, unnest(range(1, len(parts) + 1)) AS i FROM d WHERE trim(coalesce(answer, '')) <> '')
+UNION ALL SELECT exchange, CASE WHEN trim(coalesce(answer, '')) = '' THEN 1 ELSE len(parts) + 1 END, CASE WHEN trim(coalesce(answer, '')) = '' THEN 'error' ELSE 'done' END, CASE WHEN trim(coalesce(answer, '')) = '' THEN 'no answer' ELSE len(parts)::VARCHAR END FROM d""")
+def answer_events(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").filter("role = 'assistant'").select((F.col("conv_id") * 100 + F.col("turn")).alias("exchange"), F.col("text").alias("answer"))
+    return answering.answer_events(rows, "exchange").withColumn("seq", F.col("seq").cast("bigint"))
+
+
+@query("""WITH s AS (SELECT conv_id AS session_id, max(turn) AS latest FROM conversations GROUP BY conv_id)
+SELECT session_id, latest + (session_id % 3 = 0)::INT AS turns, CASE WHEN session_id % 3 = 0 THEN 'added ' || session_id ELSE 'kept' END AS last FROM s""")
+def history_writes(spark, sf_dir):
+    """A message is added to every third session, twice under one id, and one to a session that isn't there."""
+    made = messages(spark, sf_dir)
+    schema = [c for c in made.columns if c != "turn"]
+    opened = sessions(spark, sf_dir)
+    late = made.groupBy("session_id").agg(F.max(F.struct("turn", "created_at")).alias("m"))
+    new = late.filter("session_id % 3 = 0").select((F.col("session_id") * 100 + F.col("m.turn") + 1).alias("message_id"), "session_id", F.lit("user").alias("role"), F.concat(F.lit("added "), F.col("session_id").cast("string")).alias("content"), F.lit(None).cast("string").alias("sources_json"), F.lit(None).cast("string").alias("metadata_json"), (F.col("m.created_at") + F.expr("interval 1 minute")).alias("created_at"))
+    lost = new.limit(1).withColumns({"message_id": F.lit(-1).cast("bigint"), "session_id": F.lit(-1).cast("bigint")})
+    after, told = history_writes_.add_messages(opened, made.select(*schema), new.unionByName(new).unionByName(lost).select(*schema))
+    last = told.groupBy("session_id").agg(F.max(F.struct("created_at", "message_id", "content")).alias("m"))
+    touched = after.join(last, "session_id").filter(F.col("updated_at") == F.col("m.created_at"))
+    return touched.select("session_id", (F.col("m.message_id") % 100).alias("turns"), F.when(F.col("m.content").startswith("added "), F.col("m.content")).otherwise("kept").alias("last"))
+
+
+@query("SELECT count(*) AS requests, count(*) FILTER (WHERE known) AS hits, count(*) FILTER (WHERE NOT known) AS misses, round(count(*) FILTER (WHERE known) / count(*), 4) AS hit_rate, (SELECT count(DISTINCT md5(text)) FROM conversations WHERE conv_id % 2 = 0) AS entries FROM (SELECT text IN (SELECT text FROM conversations WHERE conv_id % 2 = 0) AS known FROM conversations)")
+def cache_statistics(spark, sf_dir):
+    """Every message as a request to a cache that half of the conversations filled."""
+    told = table(spark, sf_dir, "conversations").withColumn("key", F.sha2("text", 256))
+    cache = told.filter("conv_id % 2 = 0").select("key").distinct()
+    return models.cache_statistics(cache, told.select("key"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quarrystone.functions.models import strip_reasoning
+from quarrystone import store
 from quarrystone.operators.chunking import fixed_chunks
 from quarrystone.session import prepare, shared_dir
 
@@ -28,60 +29,117 @@ def file_stream(spark: SparkSession, sf_dir: str, name: str, files: int = 4) ->
 
 
 def take_events(events: DataFrame, folder: str) -> None:
-    """Read all events there are: accepted ones go to ``accepted``, events that can't be handled to ``dead``.
+    """Read all events there are: accepted ones go to ``kind=accepted``, events that can't be handled to ``kind=dead``.
 
     The stream's checkpoint commits offsets after each batch; a batch that is repeated after a crash overwrites its own files, so
-    each event is kept once.
+    each event is kept once.  Both kinds are written in one pass over the batch.
     """
 
     def handle(batch: DataFrame, number: int) -> None:
         parsed = batch.withColumn("k", F.from_json("props", "k bigint")["k"])
         bad = (F.col("event_type") == "error") | F.col("user_id").isNull() | F.col("k").isNull()
-        parsed.filter(~bad).write.mode("overwrite").parquet(f"{folder}/accepted/batch={number}")
-        parsed.filter(bad).write.mode("overwrite").parquet(f"{folder}/dead/batch={number}")
+        kind = F.when(bad, "dead").otherwise("accepted")
+        parsed.withColumn("kind", kind).write.mode("overwrite").partitionBy("kind").parquet(f"{folder}/taken/batch={number}")
 
     query = events.writeStream.foreachBatch(handle).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start()
     query.awaitTermination()
 
 
-def maintain_chunks(documents: DataFrame, folder: str) -> str:
-    """Upsert the chunks of arriving documents: each batch writes the next version, and the pointer moves when it is whole.
+#: Parts of a maintained corpus, by a hash of doc_id: a batch rewrites only those that it touches.
+PARTS = 32
+MAINTAINED = "doc_id bigint, chunk_index int, start int, text string"
 
-    Returns the folder of the last version.
+
+def _parts(spark: SparkSession, folder: str) -> tuple[int, dict[str, int]]:
+    """The last batch that the pointer holds, and for each part that has chunks the batch that wrote it."""
+    told = json.loads(store.current(spark, folder) or '{"batch": -1, "parts": {}}')
+    return told["batch"], told["parts"]
+
+
+def maintained_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """The corpus that ``maintain_chunks`` keeps in a folder, as its pointer has it now."""
+    paths = [f"{folder}/data/batch={batch}/part={part}" for part, batch in _parts(spark, folder)[1].items()]
+    return spark.read.schema(MAINTAINED).parquet(*paths) if paths else spark.createDataFrame([], MAINTAINED)
+
+
+def maintain_chunks(documents: DataFrame, folder: str) -> DataFrame:
+    """Upsert the chunks of arriving documents; returns the corpus after all there are.
+
+    A batch writes new files for the parts it touches and then moves the stored pointer, so readers see it whole or not at all.
+    It can be started again on the same folder at any time: the stream goes on behind its checkpoint, and a batch that the pointer
+    already holds is not applied twice.  Of a document that comes twice in a batch the greatest text counts.
     """
     spark = documents.sparkSession
     prepare(spark, 512)
-    versions = [f"{folder}/version=0"]
-    spark.createDataFrame([], "doc_id bigint, chunk_index int, start int, text string").write.parquet(versions[0])
 
     def upsert(batch: DataFrame, number: int) -> None:
-        old = spark.read.parquet(versions[-1])
-        fresh = fixed_chunks(batch)
-        kept = old.join(batch.select("doc_id").distinct(), "doc_id", "left_anti")
-        target = f"{folder}/version={number + 1}"
-        kept.unionByName(fresh).write.mode("overwrite").parquet(target)
-        versions.append(target)
+        done, parts = _parts(spark, folder)
+        if number <= done:
+            return
+        part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int")
+        one = batch.groupBy("doc_id").agg(F.max("text").alias("text")).persist()
+        touched = [r["part"] for r in one.select(part.alias("part")).distinct().collect()]  # at most PARTS
+        old = [f"{folder}/data/batch={parts[str(k)]}/part={k}" for k in touched if str(k) in parts]
+        kept = (spark.read.schema(MAINTAINED).parquet(*old) if old else spark.createDataFrame([], MAINTAINED)).join(one.select("doc_id"), "doc_id", "left_anti")
+        target = f"{folder}/data/batch={number}"
+        kept.unionByName(fixed_chunks(one)).withColumn("part", part).repartition("part").write.mode("overwrite").partitionBy("part").parquet(target)
+        one.unpersist()
+        written = {name.split("=")[1] for name in store.children(spark, target) if name.startswith("part=")}
+        parts = {k: v for k, v in parts.items() if int(k) not in touched} | dict.fromkeys(written, number)
+        store.publish(spark, folder, json.dumps({"batch": number, "parts": parts}))
 
     query = documents.writeStream.foreachBatch(upsert).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
-    return versions[-1]
-
-
-def visible_text(pieces: DataFrame) -> DataFrame:
+    return maintained_chunks(spark, folder)
+
+
+OPEN, CLOSE = "<think>", "</think>"
+
+
+def shown_part(inside: bool, tail: str, started: bool, piece: str) -> tuple[bool, str, bool, str]:
+    """What a further piece of text adds to the visible text, and the state after it: whether a think block is open, the last few
+    characters (a mark can be split between pieces), and whether anything but white space was shown."""
+    text, out = tail + piece, []
+    at = len(tail)  # shown or passed over so far; a mark may begin before it
+    scan = 0
+    while True:
+        mark = CLOSE if inside else OPEN
+        found = text.lower().find(mark, scan)
+        if found < 0:
+            break
+        if not inside:
+            out.append(text[at : max(at, found)])
+        scan = at = found + len(mark)
+        inside = not inside
+    at = max(at, scan)
+    if not inside:
+        out.append(text[at:])
+    shown = "".join(out)
+    if not started:
+        shown = shown.lstrip()
+    keep = max(scan, len(text) - len(CLOSE) + 1)
+    return inside, text[keep:], started or bool(shown), shown
+
+
+def visible_text(pieces: DataFrame, idle: str = "1 hour") -> DataFrame:
     """(exchange, shown) of a stream of (exchange, seq, piece): what each batch adds to the text without reasoning.
 
-    The state of an exchange is the raw text so far and how much was shown.  If the visible text shrinks, nothing is shown.
+    The state of an exchange is a few characters, whatever its length, and is dropped when nothing has come for ``idle``.  A
+    part of a mark that was shown before the rest of it came is not taken back.
     """
     prepare(pieces.sparkSession)
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        raw, shown = state.get if state.exists else ("", 0)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        inside, tail, started = state.get if state.exists else (False, "", False)
         new = pd.concat(list(frames)).sort_values("seq")
-        raw += "".join(new["piece"])
-        clean = strip_reasoning(raw)
-        add = clean[shown:]
-        state.update((raw, max(shown, len(clean))))
-        if add:
-            yield pd.DataFrame({"exchange": [key[0]], "shown": [add]})
-
-    return pieces.groupBy("exchange").applyInPandasWithState(step, "exchange bigint, shown string", "raw string, shown int", "append", GroupStateTimeout.NoTimeout)
+        inside, tail, started, shown = shown_part(inside, tail, started, "".join(new["piece"]))
+        state.update((inside, tail, started))
+        state.setTimeoutDuration(wait)
+        if shown:
+            yield pd.DataFrame({"exchange": [key[0]], "shown": [shown]})
+
+    return pieces.groupBy("exchange").applyInPandasWithState(step, "exchange bigint, shown string", "inside boolean, tail string, started boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
