@@ -121,14 +121,15 @@ def shown_part(inside: bool, tail: str, started: bool, piece: str) -> tuple[bool
     return inside, text[keep:], started or bool(shown), shown
 
 
-def visible_text(pieces: DataFrame, idle: str = "1 hour") -> DataFrame:
+def visible_text(pieces: DataFrame, idle: str | None = None) -> DataFrame:
     """(exchange, shown) of a stream of (exchange, seq, piece): what each batch adds to the text without reasoning.
 
-    The state of an exchange is a few characters, whatever its length, and is dropped when nothing has come for ``idle``.  A
-    part of a mark that was shown before the rest of it came is not taken back.
+    The state of an exchange is a few characters, whatever its length.  With ``idle`` ("1 hour") it is dropped when nothing has
+    come for so long; that is for streams that go on, since one that ends with what there is would wait for it.  A part of a mark
+    that was shown before the rest of it came is not taken back.
     """
     prepare(pieces.sparkSession)
-    wait = int(pd.Timedelta(idle).total_seconds() * 1000)
+    wait = idle and int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -138,8 +139,9 @@ def visible_text(pieces: DataFrame, idle: str = "1 hour") -> DataFrame:
         new = pd.concat(list(frames)).sort_values("seq")
         inside, tail, started, shown = shown_part(inside, tail, started, "".join(new["piece"]))
         state.update((inside, tail, started))
-        state.setTimeoutDuration(wait)
+        if wait:
+            state.setTimeoutDuration(wait)
         if shown:
             yield pd.DataFrame({"exchange": [key[0]], "shown": [shown]})
 
-    return pieces.groupBy("exchange").applyInPandasWithState(step, "exchange bigint, shown string", "inside boolean, tail string, started boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return pieces.groupBy("exchange").applyInPandasWithState(step, "exchange bigint, shown string", "inside boolean, tail string, started boolean", "append", GroupStateTimeout.ProcessingTimeTimeout if wait else GroupStateTimeout.NoTimeout)
