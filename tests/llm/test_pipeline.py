@@ -1,7 +1,10 @@
 """The pipeline's stages, one after the other, each against brute force on its own input."""
 
+import hashlib
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from cases import awkward_rows
@@ -47,12 +50,13 @@ def test_line_dedup_equals_its_sql(stages):
     before = stages[1].filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).toPandas()
     con = duckdb.connect()
     con.register("documents", before)
-    want = {r[0]: r[2] for r in con.sql(queries.OP3_SQL).fetchall()}
+    want = {r[0]: (r[2], r[3]) for r in con.sql(queries.OP3_SQL).fetchall()}
     assert stages[2].count() == stages[1].count()
     rows = {r["doc_id"]: r for r in stages[2].collect() if r["doc_id"] is not None}
     had = dict(pairs(stages[1]))
     for i, r in rows.items():
-        assert (want[i] == 0) == (r["text"] == had[i])
+        assert (want[i][0] == 0) == (r["text"] == had[i])
+        assert want[i][1] == (None if r["text"] is None else hashlib.sha256(r["text"].encode()).hexdigest())
         assert r["text"] is None or r["n_chars"] == len(r["text"])
 
 
@@ -82,4 +86,13 @@ def test_run_gives_the_last_stage(spark, sf_dir):
 
 def test_queries_are_registered(spark):
     assert [name.split("_")[0] for name in queries.queries()] == [f"op{n}" for n in range(1, 11)]
-    assert set(queries.oracle_sql()) == {"op3_line_dedup", "op4_decontamination"}
+    assert set(queries.oracle_sql()) == {"op3_line_dedup", "op4_decontamination", "op5_near_dedup", "op6_chat_format", "op8_substring_dedup"}
+
+
+@pytest.mark.parametrize("stage", ["quality", "line_dedup", "near_dedup", "decontamination"])
+def test_stages_of_no_documents_and_of_further_columns(spark, sf_dir, stage):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(20).withColumns({name: F.lit(7) for name in ("n_lines", "whole", "kept", "key", "sig", "id", "held", "label", "text_key")})
+    run = dict(corpus_pipeline.STAGES)[stage]
+    assert run(spark, docs.limit(0), sf_dir).count() == 0
+    out = run(spark, docs, sf_dir)
+    assert out.columns == docs.columns and {r["n_lines"] for r in out.collect()} <= {7}
