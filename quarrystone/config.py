@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, fields, replace
+from math import isfinite
 
 
 @dataclass(frozen=True)
@@ -48,3 +49,25 @@ class Settings:
 
     def with_changes(self, **changes) -> Settings:
         return replace(self, **changes)
+
+    def from_text(self, told: dict[str, str]) -> Settings:
+        """Settings with changes that come as text, each read by the type of its field; a text that can't be read changes nothing at all.
+
+        Truth values are 1/true/yes/on and 0/false/no/off; numbers must be finite.
+        """
+        kinds = {f.name: type(getattr(self, f.name)) for f in fields(self)}
+        unknown = set(told) - set(kinds)
+        if unknown:
+            raise ValueError(f"unknown settings: {sorted(unknown)}")
+        return self.with_changes(**{name: _read(kinds[name], text.strip(), name) for name, text in told.items()})
+
+
+def _read(kind: type, text: str, name: str):
+    if kind is bool:
+        if text.lower() not in ("1", "true", "yes", "on", "0", "false", "no", "off"):
+            raise ValueError(f"{name}: {text!r} is no truth value")
+        return text.lower() in ("1", "true", "yes", "on")
+    value = kind(text)
+    if kind is float and not isfinite(value):
+        raise ValueError(f"{name}: {text!r} is not finite")
+    return value

@@ -111,7 +111,17 @@ def html_chunks(spark, sf_dir):
     return P.page_chunks(table(spark, sf_dir, "pages"))
 
 
-@query()
+#: Addresses as ``normal_url`` has them, and the distinct targets of each page's links with their first place.
+NORMAL = r"(lower(regexp_extract({u}, '^([A-Za-z][A-Za-z0-9+.-]*://[^/]*)', 1)) || regexp_replace(regexp_replace(substr({u}, length(regexp_extract({u}, '^([A-Za-z][A-Za-z0-9+.-]*://[^/]*)', 1)) + 1), '/{{2,}}', '/', 'g'), '/$', ''))"
+BARE = r"regexp_replace(trim({u}), '[?#].*$', '')"
+LINKS = rf"""a AS (SELECT page_id, url, regexp_extract_all(html, '<a [^>]*?href="([^"]+)"', 1) AS l FROM pages),
+h AS (SELECT page_id, url, l[i] AS href, i - 1 AS nth FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM a)),
+t AS (SELECT page_id, nth, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN href WHEN href[1] = '/' THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/]*)', 1) || href
+  ELSE regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') || href END AS target FROM h WHERE href[1] <> '#'),
+links AS (SELECT page_id, {NORMAL.format(u=BARE.format(u='target'))} AS target, min(nth) AS nth FROM t GROUP BY ALL)"""
+
+
+@query(f"WITH {LINKS} SELECT * FROM links")
 def page_links(spark, sf_dir):
     return P.links(table(spark, sf_dir, "pages"))
 
@@ -127,6 +137,11 @@ def preview(spark, sf_dir):
     return P.preview(table(spark, sf_dir, "pages"))
 
 
-@query()
+@query(rf"""WITH RECURSIVE {LINKS}, fetched AS (SELECT {NORMAL.format(u=BARE.format(u='url'))} AS url, min(page_id) AS page_id FROM pages GROUP BY ALL),
+edges AS (SELECT DISTINCT f.url AS origin, target FROM links JOIN fetched f USING (page_id) JOIN fetched g ON g.url = target),
+walk AS (SELECT min(url) AS url, 0 AS depth FROM fetched GROUP BY regexp_extract(url, '^([^/]*//[^/]*)', 1)
+  UNION SELECT target, depth + 1 FROM walk JOIN edges ON origin = walk.url WHERE depth < (SELECT count(*) FROM fetched))
+SELECT url, coalesce(min(depth), -1)::BIGINT AS depth FROM fetched LEFT JOIN walk USING (url) GROUP BY url""")
 def crawl_frontier(spark, sf_dir):
-    return P.crawl_order(table(spark, sf_dir, "pages"))
+    """Depths of all pages; -1 where no link leads."""
+    return P.crawl_order(table(spark, sf_dir, "pages")).select("url", F.coalesce("depth", F.lit(-1)).cast("bigint").alias("depth"))

@@ -57,12 +57,21 @@ def links(pages: DataFrame) -> DataFrame:
     return rows.groupBy("page_id", "target").agg(F.min("nth").cast("bigint").alias("nth"))
 
 
-def preview(pages: DataFrame, shown: int = 3) -> DataFrame:
-    """(page_id, n_chars, n_chunks, first, warning): what an index run would make of each page."""
+def preview(pages: DataFrame, shown: int = 3, known: DataFrame | None = None, largest: int = 50 * 1024 * 1024) -> DataFrame:
+    """(page_id, n_chars, n_chunks, first, warning): what an index run would make of each page.
+
+    Warnings, joined by commas: ``large`` above ``largest`` bytes, ``short`` below 200 characters, and ``duplicate`` if the page's address is
+    one of ``known`` (url).
+    """
     text = extract_pages(pages).select("page_id", F.length("text").cast("bigint").alias("n_chars"))
     chunks = page_chunks(pages).groupBy("page_id").agg(F.count("*").alias("n_chunks"), F.sort_array(F.collect_list(F.when(F.col("chunk_index") < shown, F.struct("chunk_index", F.substring("text", 1, 200).alias("head"))))).alias("heads"))
     both = text.join(chunks, "page_id", "left")
-    warning = F.when(F.coalesce("n_chars", F.lit(0)) < 200, "short")
+    raw = pages.select("page_id", (F.octet_length("html") > largest).alias("large"), normal_url("url").alias("url"))
+    twice = known.select(normal_url("url").alias("url"), F.lit(True).alias("twice")).distinct() if known is not None else None
+    raw = raw.join(twice, "url", "left") if twice is not None else raw.withColumn("twice", F.lit(False))
+    both = both.join(raw.drop("url"), "page_id")
+    told = F.array_compact(F.array(F.when(F.col("large"), "large"), F.when(F.coalesce("n_chars", F.lit(0)) < 200, "short"), F.when(F.col("twice"), "duplicate")))
+    warning = F.when(F.size(told) > 0, F.array_join(told, ","))
     return both.select("page_id", "n_chars", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.array_join(F.transform("heads", lambda h: h["head"]), "\n").alias("first"), warning.alias("warning"))
 
 
@@ -75,7 +84,7 @@ def crawl_order(pages: DataFrame, max_pages: int | None = None, max_depth: int |
     """
     spark = pages.sparkSession
     checkpoint_dir(spark)  # where the steps are checkpointed
-    fetched = pages.select("page_id", normal_url("url").alias("url")).dropDuplicates(["url"]).checkpoint()
+    fetched = pages.groupBy(normal_url("url").alias("url")).agg(F.min("page_id").alias("page_id")).checkpoint()  # of pages fetched twice the first
     edges = links(pages).join(fetched.select("page_id", "url"), "page_id").select(F.col("url").alias("origin"), "target").checkpoint()
     starts = fetched.groupBy(F.regexp_extract("url", r"^([^/]*//[^/]*)", 1).alias("host")).agg(F.min("url").alias("url"))
     seen = starts.select("url", F.lit(0).alias("depth")).checkpoint()

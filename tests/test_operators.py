@@ -305,3 +305,110 @@ def test_risk_summary_counts_the_tables(spark):
     assert quality_reports.risk_flags(got).first()["flags"] == "high_down_share,weak_answers,knowledge_gaps,stale_documents,duplicate_names,empty_documents"
     none = quality_reports.risk_summary(votes, talk.filter("message_id = 3"), held.filter("path = 'b/y.txt'"), now)
     assert quality_reports.risk_flags(none, 0.9).first()["flags"] == ""
+
+
+def test_settings_from_text():
+    got = Settings().from_text({"top_k": " 7 ", "min_score": "0.5", "mode": "dense"})
+    assert (got.top_k, got.min_score, got.mode) == (7, 0.5, "dense")
+    for bad in ({"top_k": "x"}, {"min_score": "nan"}, {"mode": "odd"}, {"none": "1"}):
+        with pytest.raises(ValueError):
+            Settings().from_text(bad)
+
+
+def test_files_are_chunked_by_their_type(spark):
+    long = "Some sentence that is long enough to stay. " * 4
+    rows = [(1, "a/x.HTML", "t", f"<html><body><h1>Head</h1><p>{long}</p></body></html>"), (2, "b.txt", "t", f"INTRO\n{long}\n\n{long}"), (3, "c.csv", "t", long), (4, "d.html", "t", "")]
+    files_ = spark.createDataFrame(rows, "doc_id bigint, path string, title string, text string")
+    assert {(r["doc_id"], r["strategy"]) for r in chunking.chunk_files(files_).collect()} == {(1, "html"), (2, "paragraphs"), (3, "fixed")}
+    assert {r["strategy"] for r in chunking.chunk_files(files_, structural=False).collect()} == {"fixed"}
+
+
+def test_attachments_and_wider_queries(spark):
+    from quarrystone.operators import attachments
+
+    rows = spark.createDataFrame([(1, 2, "b.txt", "second  text"), (1, 1, None, "x" * 5000), (1, 3, "c", " "), (2, 1, "d", None)], "query_id int, nth int, filename string, text string")
+    got = attachments.excerpts(rows).collect()
+    assert len(got) == 1 and got[0]["excerpt"] == "[attachment]\n" + "x" * 4000 + "\n\n[b.txt]\nsecond  text"
+    asked = spark.createDataFrame([(1, " why "), (2, None), (3, "how")], "query_id int, text string")
+    assert {r["query_id"]: r["text"] for r in attachments.search_texts(asked, rows).collect()} == {1: "why " + "x" * 500 + " second text", 2: "", 3: "how"}
+
+    class Told:
+        def __call__(self, prompts):
+            return [{"Rew": "<think>x</think>rewritten", "Giv": '["one way", "how"]', "Wri": "a passage"}[p[:3]] for p in prompts]
+
+    asked = spark.createDataFrame([(3, "how", "earlier talk"), (4, "what", None)], "query_id int, text string, history string")
+    got = [(r["query_id"], r["kind"], r["text"]) for r in models.expand_with_history(asked, Told()).orderBy("query_id", "nth").collect()]
+    assert got == [(3, "question", "how"), (3, "rewriting", "rewritten"), (3, "variant", "one way"), (3, "passage", "a passage"), (4, "question", "what"), (4, "variant", "one way"), (4, "variant", "how"), (4, "passage", "a passage")]
+
+
+def test_reasoning_fences_and_scripts():
+    assert models.strip_reasoning("<think>a```x```</think> b ```<think>y</think>``` c") == "b ```<think>y</think>``` c"
+    assert models.strip_reasoning(' ["<think>"] ') == '["<think>"] '
+    assert models.strip_reasoning("plain thoughts\n\nОтвет да\n\nmore", "Ѐ-ӿ") == "Ответ да\n\nmore"
+    state, shown = (False, "", False), ""
+    for piece in ("  <thi", "nk>secret</th", "ink> told ", "more"):
+        *state, more = streams.shown_part(*state, piece)
+        shown += more
+    assert shown.endswith("told more") and "secret" not in shown
+
+
+def test_one_failing_text_is_embedded_alone_or_fails_the_job():
+    class Fragile:
+        def __call__(self, texts):
+            if len(texts) > 1:
+                raise RuntimeError("too many")
+            return [[1.0]] if texts[0] != "bad" else []
+
+    assert models.vectors_of(Fragile(), ["a", "b"]) == [[1.0], [1.0]]
+    with pytest.raises(ValueError, match="nothing is stored"):
+        models.vectors_of(Fragile(), ["a", "bad"])
+
+
+def test_reindex_falls_back_aborts_and_carries_over(spark, tmp_path):
+    from quarrystone import store
+    from quarrystone.plans.reindex import NothingExtracted, reindex
+
+    root, told = f"file://{tmp_path}/index", []
+
+    def snapshot(rows):
+        return spark.createDataFrame([(p, len(t), 1, t, t) for p, t in rows], "path string, size_bytes bigint, mtime bigint, sha256 string, text string")
+
+    def chunk(some):
+        told.append(some.count())
+        lines = some.filter("text != 'unreadable'").select("path", F.posexplode(F.split("text", "\n")).alias("chunk_index", "text"))
+        return lines.withColumn("chunk_id", F.md5(F.concat("path", F.col("chunk_index").cast("string"), "text")))
+
+    def run(rows, **more):
+        return reindex(spark, root, snapshot(rows), chunk, models.HashEmbedder(8), **more)
+
+    first = run([("a", "x\ny"), ("b", "z")])
+    assert first.full_reason == "manifest_missing" and store.current(spark, root) == first.version
+    assert run([("a", "x\ny"), ("b", "z")]).version == first.version  # nothing to do
+    with pytest.raises(NothingExtracted):
+        run([("a", "unreadable"), ("b", "z")])
+    assert store.current(spark, root) == first.version
+    told.clear()
+    second = run([("a", "x\nnew"), ("c", "c")])
+    assert second.full_reason is None and second.counts == {"changed": 1, "deleted": 1, "new": 1} and told == [2]
+    chunks = {(r["path"], r["text"]) for r in spark.read.parquet(f"{second.version}/chunks").collect()}
+    assert chunks == {("a", "x"), ("a", "new"), ("c", "c")} and spark.read.parquet(f"{second.version}/vectors").count() == 3
+    assert spark.read.parquet(f"{first.version}/chunks").count() == 3  # readers of the old version keep it
+    assert run([("c", "c")], settings_hash="other").full_reason == "settings_changed" and run([("c", "c")], settings_hash="other", incremental=False).full_reason == "disabled"
+
+
+def test_chunk_maintenance_can_start_again(spark, tmp_path):
+    text = "A sentence that is long enough to be a chunk of its own, surely. "
+    source, folder = f"{tmp_path}/in", f"file://{tmp_path}/work"
+
+    def arrive(rows):
+        spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.mode("append").parquet(source)
+
+    def run():
+        stream = spark.readStream.schema("doc_id bigint, text string").parquet(source)
+        return {(r["doc_id"], r["chunk_index"], r["text"]) for r in streams.maintain_chunks(stream, folder).collect()}
+
+    arrive([(1, text + "one"), (2, text + "two"), (2, text + "zzz")])
+    assert {(i, t[-3:]) for i, _, t in run()} == {(1, "one"), (2, "zzz")}
+    assert {(i, t[-3:]) for i, _, t in run()} == {(1, "one"), (2, "zzz")}
+    arrive([(2, text + "new"), (3, text + "add")])
+    assert {(i, t[-3:]) for i, _, t in run()} == {(1, "one"), (2, "new"), (3, "add")}
