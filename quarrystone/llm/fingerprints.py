@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.llm.shared import id_and_text
+from quarrystone.llm.shared import id_and_text, remember
 
 SAMPLES = 64
 
@@ -89,6 +89,10 @@ class Terms:
 
     def __init__(self, cap: int = 250_000):
         self.cap, self.young, self.old = cap, {}, {}
+        remember(self)
+
+    def clear(self) -> None:
+        self.young, self.old = {}, {}
 
     def hashes(self, words: list[bytes]) -> np.ndarray:
         young, old = self.young, self.old

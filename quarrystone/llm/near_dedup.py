@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrystone.llm.graph import connected_components
-from quarrystone.llm.shared import discard, id_and_text, join_counted, materialize, small_batches
+from quarrystone.llm.shared import alone, discard, id_and_text, join_counted, materialize, remember, small_batches
 
 BAND_ROWS = 5
 MISS = 1e-6
@@ -56,6 +56,10 @@ class WordHashes:
 
     def __init__(self, cap: int = 250_000):
         self.cap, self.young, self.old = cap, {}, {}
+        remember(self)
+
+    def clear(self) -> None:
+        self.young, self.old = {}, {}
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         young, old, digest = self.young, self.old, xxhash.xxh3_64_intdigest
@@ -250,6 +254,7 @@ def sketches(docs: DataFrame, size: int, hasher: MinHasher) -> DataFrame:
     """(doc_id, key, n_shingles, sig, bands); a text without words has no key."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone(_HASHES)
         for batch in batches:
             keys, counts, sigs, bands = [], [], [], []
             for text in batch.column(1).to_pylist():
@@ -280,6 +285,7 @@ def compared(rows: DataFrame, tests: list[tuple[int, int]], percent: int, size:
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Shingle sets instead of texts; rows with another text of the same doc_id, and repeated ones, drop out."""
+        alone(_HASHES)
         last = None
         for batch in batches:
             keep, sets = [], []

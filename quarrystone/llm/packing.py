@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrystone.llm.shared import id_and_text, materialize, rows_per_bucket, with_prefix_counts, word_ids
+from quarrystone.llm.shared import alone, id_and_text, materialize, rows_per_bucket, with_prefix_counts, word_ids
 
 LIMIT = 4096
 END_ID = 1
@@ -39,6 +39,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, limit: int = LIMIT, end_id: int
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = word_ids(tokenizer_file)
+        alone(cache)
         for batch in batches:
             rows: list[tuple] = []
             texts = [text or "" for text in batch.column(1).to_pylist()]

@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrystone.llm.shared import alone, remember
+
 WORD_SLOTS = 1 << 14
 FACTORS = 8
 BINS = 8
@@ -52,6 +54,10 @@ class WordSlots:
 
     def __init__(self, cap: int = 200_000):
         self.cap, self.young, self.old = cap, {}, {}
+        remember(self)
+
+    def clear(self) -> None:
+        self.young, self.old = {}, {}
 
     def __call__(self, words: list[str]) -> np.ndarray:
         young, old = self.young, self.old
@@ -194,6 +200,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone(_SLOTS)
         model = shared.value
         for batch in batches:
             scores = [model.score(text, n) for text, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
@@ -210,6 +217,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
     stated = "n_chars" in docs.columns
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alone(_SLOTS)
         model = shared.value
         for batch in batches:
             lengths = batch.column("n_chars").to_pylist() if stated else [None] * batch.num_rows

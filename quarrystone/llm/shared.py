@@ -71,6 +71,21 @@ def rows_per_bucket(n_rows: int, rows: int = 50_000) -> int:
     return max(1, -(-n_rows // rows))
 
 
+#: Word caches of this worker process.
+_CACHES: list = []
+
+
+def remember(cache) -> None:
+    _CACHES.append(cache)
+
+
+def alone(mine) -> None:
+    """Empty the caches of other operators: workers are reused, and one that served several would hold the words of all."""
+    for cache in _CACHES:
+        if cache is not mine:
+            cache.clear()
+
+
 #: The normaliser and the pre-tokenizer of tokenizer files whose words can be encoded one by one.
 WORD_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 WORD_SPLIT = {
@@ -100,8 +115,12 @@ class WordIds:
             told = json.load(file)
         self.by_word = told.get("normalizer") == WORD_NORMALIZER and told.get("pre_tokenizer") == WORD_SPLIT
         self.cap, self.young, self.old = cap, {"": b""}, {}
+        remember(self)
         self.marks = {mark: self._ids(mark) for mark in ".,"} if self.by_word else {}
 
+    def clear(self) -> None:
+        self.young, self.old = {"": b""}, {}
+
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
