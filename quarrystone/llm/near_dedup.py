@@ -75,6 +75,11 @@ class WordHashes:
 _HASHES = WordHashes()
 
 
+def only_own_words() -> None:
+    """Called in a task, and by reference, so that it is the worker's cache that stays."""
+    alone(_HASHES)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words between ASCII white space, with A-Z (and nothing else) in lower case: what bytes.lower and bytes.split do."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -254,7 +259,7 @@ def sketches(docs: DataFrame, size: int, hasher: MinHasher) -> DataFrame:
     """(doc_id, key, n_shingles, sig, bands); a text without words has no key."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alone(_HASHES)
+        only_own_words()
         for batch in batches:
             keys, counts, sigs, bands = [], [], [], []
             for text in batch.column(1).to_pylist():
@@ -285,7 +290,7 @@ def compared(rows: DataFrame, tests: list[tuple[int, int]], percent: int, size:
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Shingle sets instead of texts; rows with another text of the same doc_id, and repeated ones, drop out."""
-        alone(_HASHES)
+        only_own_words()
         last = None
         for batch in batches:
             keep, sets = [], []

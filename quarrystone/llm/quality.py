@@ -71,6 +71,13 @@ class WordSlots:
 
 
 _SLOTS = WordSlots()
+
+
+def only_own_words() -> None:
+    """Called in a task, and by reference, so that it is the worker's cache that stays."""
+    alone(_SLOTS)
+
+
 _UPPER, _DIGIT, _SPACE = (np.frombuffer(x, np.uint8) for x in (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\n\r\x0b\x0c"))
 _SYMBOL = np.frombuffer(b"!\"#$%&'()*+-/:;<=>?@[\\]^_`{|}~", np.uint8)
 
@@ -200,7 +207,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alone(_SLOTS)
+        only_own_words()
         model = shared.value
         for batch in batches:
             scores = [model.score(text, n) for text, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
@@ -217,7 +224,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
     stated = "n_chars" in docs.columns
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alone(_SLOTS)
+        only_own_words()
         model = shared.value
         for batch in batches:
             lengths = batch.column("n_chars").to_pylist() if stated else [None] * batch.num_rows
