@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystone.llm import chat_format, decontam, fingerprints, line_dedup, near_dedup, packing, quality, sharding, substring_dedup, token_counts
+from quarrystone.llm import chat_format, collocations, decontam, fingerprints, lexical_search, license_scan, line_dedup, near_dedup, packing, quality, sharding, substring_dedup, token_counts
 from quarrystone.llm.shared import small_batches
 
 #: Where the public tokenizer files lie; a parameter of the operators.
@@ -160,10 +160,85 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.length_histogram(lengths)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return collocations.collocations(table(spark, sf_dir, "documents"), max_words=3, min_count=10, share=50, top=2000)
+
+
+#: DuckDB SQL for a text with A-Z lower-cased.
+LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: DuckDB SQL for the words of a lower-cased text where only letters, digits and what is beyond ASCII make words.
+WORDS_SQL = rf"list_filter(regexp_split_to_array({LOWER_SQL}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+OP11_SQL = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWER_SQL}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, 1 AS k, unnest(w) AS s FROM w
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i+1], ' '))) FROM w
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) FROM w),
+f AS (SELECT lang, k, s, count(*) AS f FROM g GROUP BY lang, k, s),
+total AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, s, f AS a, string_split(s, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+cuts AS (SELECT lang, k, s, a, unnest(range(1, k)) AS cut, w FROM c),
+parts AS (SELECT lang, k, s, a, cut, array_to_string(w[1:cut], ' ') AS x, array_to_string(w[cut+1:k], ' ') AS y FROM cuts),
+scores AS (SELECT parts.lang, parts.k, parts.s, a, cut, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS score
+  FROM parts JOIN f x ON x.lang = parts.lang AND x.s = parts.x JOIN f y ON y.lang = parts.lang AND y.s = parts.y),
+lowest AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, s ORDER BY score, cut) = 1),
+longer AS (SELECT lang, s, max(a) AS around FROM (SELECT lang, array_to_string(w[1:2], ' ') AS s, a FROM c WHERE k = 3 UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM c WHERE k = 3) GROUP BY lang, s),
+kept AS (SELECT lowest.* FROM lowest LEFT JOIN longer USING (lang, s) WHERE k = 3 OR coalesce(100 * around < 50 * a, true)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, s) AS rank FROM kept)
+SELECT lang, rank, s AS phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return lexical_search.ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=20)
+
+
+OP12_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS place, doc_id, {WORDS_SQL} AS w FROM documents),
+s AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_all FROM d WHERE len(w) > 0),
+q AS (SELECT item_id, term, count(*) AS repeats FROM (SELECT item_id, unnest({WORDS_SQL}) AS term FROM benchmark) GROUP BY item_id, term),
+t AS (SELECT place, doc_id, len(w) AS n, unnest(w) AS term FROM d),
+p AS (SELECT place, doc_id, n, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY place, doc_id, n, term),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+shares AS (SELECT place, doc_id, p.term, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * n_docs) // n_all)))) AS share
+  FROM p JOIN f ON f.term = p.term CROSS JOIN s),
+scores AS (SELECT item_id, doc_id, place, sum(repeats * share)::BIGINT AS score FROM q JOIN shares USING (term) GROUP BY item_id, doc_id, place),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def _license_sql() -> str:
+    phrases = " UNION ALL ".join(f"SELECT {phrase.split(' ')!r} AS p, '{label}' AS label" for phrase, label in license_scan.PHRASES.items())
+    matches = ", ".join(f"CASE WHEN regexp_matches(told, '{license_scan.template_pattern(t)}') THEN '{label}' END" for label, t in license_scan.TEMPLATES.items())
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS place, doc_id, {WORDS_SQL} AS w FROM documents),
+phrases AS ({phrases}),
+hits AS (SELECT place, label, i - 1 AS pos FROM (SELECT place, w, unnest(range(1, len(w) + 1)) AS i FROM d) JOIN phrases ON w[i] = p[1] AND w[i:i+len(p)-1] = p),
+base AS (SELECT place, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT label) AS labels FROM hits GROUP BY place),
+found AS (SELECT place, list_filter([{matches}], lambda x: x IS NOT NULL) AS labels FROM (SELECT place, ' ' || array_to_string(w, ' ') || ' ' AS told FROM d))
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(base.labels, found.labels))), ','), '') AS labels,
+  CASE WHEN len(found.labels) > 0 THEN 1.0 WHEN n_base > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score
+FROM d LEFT JOIN base USING (place) JOIN found USING (place)
+"""
+
+
+OP13_SQL = _license_sql()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_packing, op2_quality, op3_line_dedup, op4_decontamination, op5_near_dedup, op6_chat_format, op7_sharding, op8_substring_dedup, op9_fingerprints, op10_token_counts)
+    found = (op1_packing, op2_quality, op3_line_dedup, op4_decontamination, op5_near_dedup, op6_chat_format, op7_sharding, op8_substring_dedup, op9_fingerprints, op10_token_counts, op11_collocations, op12_lexical_search, op13_license_scan)
     return {query.__name__: query for query in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op4_decontamination": OP4_SQL, "op5_near_dedup": OP5_SQL, "op6_chat_format": OP6_SQL, "op8_substring_dedup": OP8_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op4_decontamination": OP4_SQL, "op5_near_dedup": OP5_SQL, "op6_chat_format": OP6_SQL, "op8_substring_dedup": OP8_SQL, "op11_collocations": OP11_SQL, "op12_lexical_search": OP12_SQL, "op13_license_scan": OP13_SQL}

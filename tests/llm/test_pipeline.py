@@ -85,8 +85,8 @@ def test_run_gives_the_last_stage(spark, sf_dir):
 
 
 def test_queries_are_registered(spark):
-    assert [name.split("_")[0] for name in queries.queries()] == [f"op{n}" for n in range(1, 11)]
-    assert set(queries.oracle_sql()) == {"op3_line_dedup", "op4_decontamination", "op5_near_dedup", "op6_chat_format", "op8_substring_dedup"}
+    assert [name.split("_")[0] for name in queries.queries()] == [f"op{n}" for n in range(1, 14)]
+    assert set(queries.oracle_sql()) == {"op3_line_dedup", "op4_decontamination", "op5_near_dedup", "op6_chat_format", "op8_substring_dedup", "op11_collocations", "op12_lexical_search", "op13_license_scan"}
 
 
 @pytest.mark.parametrize("stage", ["quality", "line_dedup", "near_dedup", "decontamination"])
