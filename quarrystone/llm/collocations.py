@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from quarrystone.llm.shared import discard, materialize
 
 #: Bytes of text of a block: what one task holds at a time, besides the rest of a piece.
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 6_000_000
 #: A place is block * 2^31 + number in the block; a block is partition * 4,096 + number in the partition.
 PLACE, BLOCKS_EACH = 31, 4096
 #: Rows of a language that one task ranks.
