@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.llm.shared import id_and_text, remember
+from quarrystone.llm.shared import forget_words, id_and_text
 
 SAMPLES = 64
 
@@ -31,6 +31,10 @@ SAMPLES = 64
 #: Terms that race at once, and buffers for them: one set a worker process and number of samples.
 BLOCK = 256
 _BUFFERS: dict[int, tuple[np.ndarray, ...]] = {}
+#: Terms of weight 1 that are compared in full first.
+FIRST = 64
+#: 2^-64 scales products of two 32-bit uniforms.
+SCALE = np.float32(2.0**-64)
 
 
 def _stir(x: np.ndarray, spare: np.ndarray) -> None:
@@ -52,15 +56,12 @@ def _buffers(samples: int) -> tuple[np.ndarray, ...]:
     return _BUFFERS[samples]
 
 
-def variates(terms: np.ndarray, samples: int = SAMPLES) -> tuple[np.ndarray, ...]:
-    """r, ln c and beta for each sample of at most BLOCK 64-bit terms, hashed from both: the same on every machine.
-
-    A gamma(2, 1) variate is minus the log of a product of two uniforms; two hashes give the four, and one goes on to beta.
-    The arrays are overwritten by the next call.
-    """
+def _products(terms: np.ndarray, samples: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each of at most BLOCK terms and each sample two products of two uniforms (times 2^64), the hash that beta comes from, and a spare
+    buffer.  The arrays are overwritten by the next call."""
     n = len(terms)
-    keys, x, spare, uniform, gamma, beta = _buffers(samples)
-    x, spare, uniform, gamma, beta = x[:, :n], spare[:, :n], uniform[:, :n], gamma[:, :n], beta[:n]
+    keys, x, spare, uniform, product, free = _buffers(samples)
+    x, spare, uniform, product = x[:, :n], spare[:, :n], uniform[:, :n], product[:, :n]
     base = (terms.astype(np.uint64) + np.uint64(1)) * np.uint64(0xFF51AFD7ED558CCD)
     _stir(base, np.empty_like(base))
     for k in range(2):
@@ -68,44 +69,24 @@ def variates(terms: np.ndarray, samples: int = SAMPLES) -> tuple[np.ndarray, ...
         _stir(x[k], spare[k])
         uniform[k] = x[k].view(np.uint32).reshape(n, samples, 2)
     uniform += np.float32(0.5)
-    np.multiply(uniform[..., 0], uniform[..., 1], out=gamma)
-    gamma *= np.float32(2.0**-64)
-    np.log(gamma, out=gamma)
-    np.minimum(gamma, np.float32(-(2.0**-24)), out=gamma)  # a product can round to one
-    np.negative(gamma, out=gamma)
-    np.log(gamma[1], out=gamma[1])
-    more, spare = x[0], spare[0]
-    np.right_shift(more, np.uint64(29), out=spare)
-    more ^= spare
-    more *= np.uint64(0xBF58476D1CE4E5B9)
-    more >>= np.uint64(40)
-    beta[:] = more.view(np.int64)  # converts much faster
-    beta *= np.float32(2.0**-24)
-    return gamma[0], gamma[1], beta
-
-
-class Terms:
-    """Hashes words once; two generations of at most ``cap`` words bound the memory."""
+    np.multiply(uniform[..., 0], uniform[..., 1], out=product)
+    return product, x[0], free[:n]
 
-    def __init__(self, cap: int = 250_000):
-        self.cap, self.young, self.old = cap, {}, {}
-        remember(self)
 
-    def clear(self) -> None:
-        self.young, self.old = {}, {}
-
-    def hashes(self, words: list[bytes]) -> np.ndarray:
-        young, old = self.young, self.old
-        for word in set(words):
-            if word not in young:
-                young[word] = old[word] if word in old else crc32(word) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
-        out = np.fromiter(map(young.__getitem__, words), np.uint64, len(words))
-        if len(young) > self.cap:
-            self.old, self.young = young, {}
-        return out
+def _variates(product: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """r, ln c and beta from two products and a hash: minus the log of a product of two uniforms is a gamma(2, 1) variate."""
+    gamma = np.log(product * SCALE)
+    np.minimum(gamma, np.float32(-(2.0**-24)), out=gamma)  # a product can round to one
+    np.negative(gamma, out=gamma)
+    more = (more ^ (more >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)
+    beta = more.view(np.int64).astype(np.float32)  # converts much faster
+    return gamma[0], np.log(gamma[1]), beta * np.float32(2.0**-24)
 
 
-_TERMS = Terms()
+def variates(terms: np.ndarray, samples: int = SAMPLES) -> tuple[np.ndarray, ...]:
+    """r, ln c and beta for each sample of at most BLOCK 64-bit terms, hashed from both: the same on every machine."""
+    product, more, _ = _products(terms, samples)
+    return _variates(product, more)
 
 
 def weighted_terms(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +94,8 @@ def weighted_terms(text: str) -> tuple[np.ndarray, np.ndarray]:
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, np.uint64), np.empty(0, np.float32)
-    h = _TERMS.hashes(words)
+    digest = {word: crc32(word) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF for word in set(words)}
+    h = np.fromiter(map(digest.__getitem__, words), np.uint64, len(words))
     if len(h) > 1:
         h = h[:-1] * np.uint64(0xBF58476D1CE4E5B9) ^ (h[1:] >> np.uint64(7))
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
@@ -121,15 +103,42 @@ def weighted_terms(text: str) -> tuple[np.ndarray, np.ndarray]:
     return terms, counts.astype(np.float32)
 
 
-def race(terms: np.ndarray, weights: np.ndarray, samples: int = SAMPLES) -> tuple[np.ndarray, ...]:
-    """For each sample the least value, its term and its quantised weight; blocks bound the memory."""
-    best = np.full(samples, np.inf, np.float32)
+def race(terms: np.ndarray, weights: np.ndarray, samples: int = SAMPLES, bound: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """For each sample the least value, its term and its quantised weight; blocks bound the memory.  With ``bound``, values of another race of the
+    same set, only what is below it counts, and a sample without any has an infinite value.
+
+    A term of weight 1 has the value ln c - r (1 - beta) > ln c - r, and c = -ln q is more than 1 - q.  So it can only win with p (1 - q) below
+    the exponential of the least value so far, p and q being the products that r and c are the logs of.  That needs no logs; they are taken
+    of the few that are left, after a first block that is compared in full.
+    """
+    best = np.full(samples, np.inf, np.float32) if bound is None else bound.copy()
     term, step = np.zeros(samples, np.uint64), np.zeros(samples, np.int64)
     column = np.arange(samples)
     single = weights == 1
-    for some, counts in ((terms[single], None), (terms[~single], weights[~single])):
-        for at in range(0, len(some), BLOCK):
-            keys = some[at : at + BLOCK]
+    for some, counts in ((terms[~single], weights[~single]), (terms[single], None)):
+        at = 0
+        while at < len(some):
+            if counts is None and np.isfinite(best[0]):
+                keys = some[at : at + BLOCK]
+                at += len(keys)
+                product, more, chance = _products(keys, samples)
+                np.multiply(product[1], -SCALE, out=chance)
+                chance += np.float32(1 - 1e-6)  # a little less than 1 - q, for what rounding adds
+                chance *= product[0]
+                row, col = np.nonzero(chance < (np.exp(best.astype(np.float64)) * 2.0**64 * 1.001).astype(np.float32))
+                if len(row):
+                    r, value, beta = _variates(product[:, row, col], more[row, col])
+                    value += (beta - 1) * r
+                    order = np.argsort(-value, kind="stable")  # of a sample's values the least is written last
+                    row, col, value = row[order], col[order], value[order]
+                    least = best.copy()
+                    least[col] = value
+                    held = np.zeros(samples, np.int64)
+                    held[col] = row
+                    won = least < best
+                    best[won], term[won], step[won] = least[won], keys[held][won], 0
+                continue
+            keys = some[at : at + (BLOCK if counts is not None else FIRST)]
             r, values, beta = variates(keys, samples)
             t = None
             if counts is not None:  # else the log of the weight is 0, and so is the step
@@ -137,6 +146,7 @@ def race(terms: np.ndarray, weights: np.ndarray, samples: int = SAMPLES) -> tupl
                 t += beta
                 np.floor(t, out=t)
                 beta -= t
+            at += len(keys)
             beta -= 1
             beta *= r
             values += beta
@@ -144,7 +154,7 @@ def race(terms: np.ndarray, weights: np.ndarray, samples: int = SAMPLES) -> tupl
             value = values[row, column]
             won = value < best
             best[won], term[won], step[won] = value[won], keys[row][won], 0 if t is None else t[row, column][won].astype(np.int64)
-    return best, term, step
+    return best if bound is None else np.where(best < bound, best, np.float32(np.inf)), term, step
 
 
 def sealed(*races: tuple[np.ndarray, ...]) -> np.ndarray:
@@ -170,7 +180,8 @@ def signatures(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.nda
     equal = wa[i] == wb[j]
     i, j = i[equal], j[equal]
     shared = race(a[i], wa[i], samples)
-    return tuple(sealed(shared, race(np.delete(t, at), np.delete(w, at), samples)) for t, w, at in ((a, wa, i), (b, wb, j)))
+    bound = shared[0] if len(i) else None
+    return tuple(sealed(shared, race(np.delete(t, at), np.delete(w, at), samples, bound)) for t, w, at in ((a, wa, i), (b, wb, j)))
 
 
 def text_signature(text: str, samples: int = SAMPLES) -> np.ndarray:
@@ -190,6 +201,7 @@ def fingerprint(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """(doc_id, n_chars, fingerprint) of every whole text; nothing is shuffled."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_words()
         for batch in batches:
             texts = [text or "" for text in batch.column(1).to_pylist()]
             prints = [hex_text(text_signature(text, samples)) for text in texts]
@@ -239,6 +251,7 @@ def edited_neighbours(docs: DataFrame, partitions: int, samples: int = SAMPLES)
     schema = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_words()
         empty = signature(*weighted_terms(""), samples)
         held = waiting = None  # a document without its next one, and the row before it that lacks only near_next
         for batch in batches:

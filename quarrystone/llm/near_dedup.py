@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrystone.llm.graph import connected_components
-from quarrystone.llm.shared import alone, discard, id_and_text, join_counted, materialize, remember, small_batches
+from quarrystone.llm.shared import discard, forget_words, id_and_text, join_counted, materialize, small_batches
 
 BAND_ROWS = 5
 MISS = 1e-6
@@ -45,51 +45,28 @@ BLOCK_DOCS = 1024
 BLOCK_SHINGLES = 1_000_000
 #: Rows of a large group that all of its chunks meet first.
 PIVOTS = 16
-#: Up to so many rows of ids are broadcast to pick their texts; beyond, the texts are shuffled.
-BROADCAST_ROWS = 500_000
+#: Up to so many rows of ids are broadcast, and of ids with their signatures (some 300 bytes each) to pick texts; beyond, rows are shuffled.
+BROADCAST_ROWS, BROADCAST_SKETCHES = 500_000, 100_000
 
 MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
-class WordHashes:
-    """64-bit hashes of words; two generations of at most ``cap`` words bound the memory."""
-
-    def __init__(self, cap: int = 250_000):
-        self.cap, self.young, self.old = cap, {}, {}
-        remember(self)
-
-    def clear(self) -> None:
-        self.young, self.old = {}, {}
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        young, old, digest = self.young, self.old, xxhash.xxh3_64_intdigest
-        for word in set(words):
-            if word not in young:
-                young[word] = old[word] if word in old else digest(word)
-        out = np.fromiter(map(young.__getitem__, words), np.uint64, len(words))
-        if len(young) > self.cap:
-            self.old, self.young = young, {}
-        return out
-
-
-_HASHES = WordHashes()
-
-
-def only_own_words() -> None:
-    """Called in a task, and by reference, so that it is the worker's cache that stays."""
-    alone(_HASHES)
-
-
 def words_of(text: str | None) -> list[bytes]:
     """Words between ASCII white space, with A-Z (and nothing else) in lower case: what bytes.lower and bytes.split do."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes; each distinct word of the text is hashed once, and nothing stays in the worker."""
+    digest = {word: xxhash.xxh3_64_intdigest(word) for word in set(words)}
+    return np.fromiter(map(digest.__getitem__, words), np.uint64, len(words))
+
+
 def shingle_set(words: list[bytes], size: int) -> np.ndarray:
     """Sorted distinct 64-bit shingle hashes."""
     if not words:
         return np.empty(0, np.uint64)
-    w = _HASHES(words)
+    w = word_hashes(words)
     n = max(1, len(w) - size + 1)
     h = np.full(n, min(len(w), size), np.uint64)
     for k in range(min(size, len(w))):
@@ -259,7 +236,7 @@ def sketches(docs: DataFrame, size: int, hasher: MinHasher) -> DataFrame:
     """(doc_id, key, n_shingles, sig, bands); a text without words has no key."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only_own_words()
+        forget_words()
         for batch in batches:
             keys, counts, sigs, bands = [], [], [], []
             for text in batch.column(1).to_pylist():
@@ -290,7 +267,7 @@ def compared(rows: DataFrame, tests: list[tuple[int, int]], percent: int, size:
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Shingle sets instead of texts; rows with another text of the same doc_id, and repeated ones, drop out."""
-        only_own_words()
+        forget_words()
         last = None
         for batch in batches:
             keep, sets = [], []
@@ -382,7 +359,7 @@ def verified_links(docs: DataFrame, reps: DataFrame, clusters: DataFrame, size:
     weight = nodes.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("chunks"))
     weight = materialize(weight, "cluster-sizes")
     nodes = materialize(nodes.join(weight, "component").select(F.col("component").alias("grp"), F.col("node").alias("doc_id"), "chunks", "row", "key", "sig"), "cluster-nodes")
-    picked = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes
+    picked = F.broadcast(nodes) if nodes.count() <= BROADCAST_SKETCHES else nodes
     return group_links(id_and_text(docs).join(picked, "doc_id"), weight.filter("chunks > 1").count(), tests, percent, size)
 
 

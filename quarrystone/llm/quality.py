@@ -21,7 +21,7 @@ held out; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import islice
 from math import log1p
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.llm.shared import alone, remember
+from quarrystone.llm.shared import forget_words
 
 WORD_SLOTS = 1 << 14
 FACTORS = 8
@@ -49,33 +49,8 @@ STATISTICS = (
 )
 
 
-class WordSlots:
-    """Slots of words; two generations of at most ``cap`` words bound the memory."""
-
-    def __init__(self, cap: int = 200_000):
-        self.cap, self.young, self.old = cap, {}, {}
-        remember(self)
-
-    def clear(self) -> None:
-        self.young, self.old = {}, {}
-
-    def __call__(self, words: list[str]) -> np.ndarray:
-        young, old = self.young, self.old
-        for word in words:
-            if word not in young:
-                young[word] = old[word] if word in old else crc32(word.encode("utf-8", "surrogatepass")) % WORD_SLOTS
-        out = np.fromiter(map(young.__getitem__, words), np.int64, len(words))
-        if len(young) > self.cap:
-            self.old, self.young = young, {}
-        return out
-
-
-_SLOTS = WordSlots()
-
-
-def only_own_words() -> None:
-    """Called in a task, and by reference, so that it is the worker's cache that stays."""
-    alone(_SLOTS)
+def word_slots(words: Iterable[str]) -> np.ndarray:
+    return np.unique(np.array([crc32(word.encode("utf-8", "surrogatepass")) % WORD_SLOTS for word in words], np.int64))
 
 
 _UPPER, _DIGIT, _SPACE = (np.frombuffer(x, np.uint8) for x in (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\n\r\x0b\x0c"))
@@ -107,7 +82,7 @@ def describe(text: str, stated: int | None) -> tuple[np.ndarray, list[float]]:
         log1p(len(text) / len(lines)),
         log1p(len(text) if stated is None else max(0, stated)),
     ]
-    return np.unique(_SLOTS(list(counts))), statistics
+    return word_slots(counts), statistics
 
 
 @dataclass
@@ -207,7 +182,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only_own_words()
+        forget_words()
         model = shared.value
         for batch in batches:
             scores = [model.score(text, n) for text, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
@@ -224,7 +199,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
     stated = "n_chars" in docs.columns
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only_own_words()
+        forget_words()
         model = shared.value
         for batch in batches:
             lengths = batch.column("n_chars").to_pylist() if stated else [None] * batch.num_rows

@@ -71,21 +71,6 @@ def rows_per_bucket(n_rows: int, rows: int = 50_000) -> int:
     return max(1, -(-n_rows // rows))
 
 
-#: Word caches of this worker process.
-_CACHES: list = []
-
-
-def remember(cache) -> None:
-    _CACHES.append(cache)
-
-
-def alone(mine) -> None:
-    """Empty the caches of other operators: workers are reused, and one that served several would hold the words of all."""
-    for cache in _CACHES:
-        if cache is not mine:
-            cache.clear()
-
-
 #: The normaliser and the pre-tokenizer of tokenizer files whose words can be encoded one by one.
 WORD_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 WORD_SPLIT = {
@@ -104,10 +89,10 @@ class WordIds:
     Such a tokenizer lower-cases, drops white space and never merges across it, nor between a letter or digit and a punctuation mark
     behind it.  So the ids of a text are the joined ids of its words, and a new word with a capital or with one full stop or
     comma at its end takes those of the plain word; only plain words that are new reach the tokenizer, many at a time.  Two
-    generations of at most ``cap`` words bound the memory; a word that is met again moves to the young one.
+    generations of about ``cap`` words of at most ``LONG_WORD`` characters bound the memory; a word that is met again moves to the young one.
     """
 
-    def __init__(self, path: str, cap: int = 500_000):
+    def __init__(self, path: str, cap: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -115,7 +100,6 @@ class WordIds:
             told = json.load(file)
         self.by_word = told.get("normalizer") == WORD_NORMALIZER and told.get("pre_tokenizer") == WORD_SPLIT
         self.cap, self.young, self.old = cap, {"": b""}, {}
-        remember(self)
         self.marks = {mark: self._ids(mark) for mark in ".,"} if self.by_word else {}
 
     def clear(self) -> None:
@@ -141,6 +125,7 @@ class WordIds:
         young, old = self.young, self.old
         derived: list[tuple[str, str, bytes]] = []
         new: dict[str, None] = {}
+        long: list[str] = []
         for word in set().union(*split):
             if word in young:
                 continue
@@ -148,6 +133,8 @@ class WordIds:
                 young[word] = old[word]
                 continue
             plain, tail = word, b""
+            if len(word) > LONG_WORD:
+                long += (word, word.lower(), word[:-1].lower())
             # Two letters are lower-cased by their context or into two; they and control strings stay as they are.
             if "\u03a3" not in word and "\u0130" not in word and "<|" not in word:
                 if len(word) > 1 and word[-1] in ".," and word[-2].isalpha():
@@ -166,14 +153,24 @@ class WordIds:
         for word, plain, tail in derived:
             young[word] = young[plain] + tail
         out = [b"".join(map(young.__getitem__, words)) for words in split]
+        for word in long:
+            young.pop(word, None)
         if len(young) > self.cap:
             self.old, self.young = young, {"": b""}
         return out
 
 
+#: Longer words are not kept.
+LONG_WORD = 64
 _WORD_IDS: dict[str, WordIds] = {}
 
 
+def forget_words() -> None:
+    """Empty the word caches of this worker: it is reused, and the next operator needs the room."""
+    for cache in _WORD_IDS.values():
+        cache.clear()
+
+
 def word_ids(path: str) -> WordIds:
     """One cache for each tokenizer file and worker process; workers are reused between tasks."""
     if path not in _WORD_IDS:

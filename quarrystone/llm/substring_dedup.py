@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrystone.llm.near_dedup import MIX_A, MIX_B, WordHashes
+from quarrystone.llm.near_dedup import MIX_A, MIX_B, word_hashes
 from quarrystone.llm.shared import discard, id_and_text, join_counted, materialize
 
 WINDOW = 13
@@ -56,7 +56,6 @@ BLOCK_BITS = 10
 #: Places of texts that share a doc_id are told apart by 32 bits of the text's hash above the position.
 PLACE_BITS = 31
 
-_HASHES = WordHashes()
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -112,7 +111,7 @@ def repeated_minimizers(docs: DataFrame, window: int, seed: int) -> DataFrame:
                 words = words_of(text)
                 if len(words) >= window:
                     marks.append(xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63))
-                    found.append(np.unique(minimizers(_HASHES(words), window, seed)).view(np.int64))
+                    found.append(np.unique(minimizers(word_hashes(words), window, seed)).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["mark", "seeds"])
 
     rows = docs.filter("doc_id IS NOT NULL").mapInArrow(seeds, "mark bigint, seeds array<bigint>")
@@ -177,7 +176,7 @@ def candidate_edges(docs: DataFrame, repeated: DataFrame, window: int, seed: int
                 words = words_of(text)
                 if len(words) < window:
                     continue
-                w = _HASHES(words)
+                w = word_hashes(words)
                 least = minimizers(w, window, seed)
                 ok = in_bitmap(shared.value, least) if shared is not None else np.isin(least, np.array(hits, np.int64).view(np.uint64))
                 pos = np.nonzero(ok)[0]
@@ -201,7 +200,7 @@ def document_hits(docs: DataFrame, repeated: DataFrame, window: int, seed: int)
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = [words_of(text) for text in batch.column(1).to_pylist()]
-            found = [np.unique(minimizers(_HASHES(x), window, seed)).view(np.int64) if len(x) >= window else None for x in words]
+            found = [np.unique(minimizers(word_hashes(x), window, seed)).view(np.int64) if len(x) >= window else None for x in words]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "seeds"])
 
     rows = docs.select("doc_id", "text").mapInArrow(seeds, "doc_id bigint, seeds array<bigint>").select("doc_id", F.explode("seeds").alias("minimizer"))
