@@ -81,13 +81,11 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
 
 
 def at_limits(histogram: DataFrame, limits: list[int]) -> DataFrame:
-    """Answers for given context limits: documents cut, tokens left and tokens lost at each."""
-    longer = F.col("n_tokens") > F.col("limit")
+    """Answers for given context limits, read from the suffix sums at the next longer length: documents cut, tokens left and tokens lost at each."""
+    sums = F.struct("n_tokens", "docs_at_least", "tokens_at_least")
     asked = F.explode(F.array(*[F.lit(x).cast("bigint") for x in limits])).alias("limit")
-    cut = histogram.select("n_tokens", "n_docs", asked).groupBy("limit")
-    return cut.agg(
-        F.sum("n_docs").alias("total_docs"),
-        F.sum(F.when(longer, F.col("n_docs")).otherwise(0)).alias("docs_cut"),
-        F.sum(F.least("n_tokens", "limit") * F.col("n_docs")).alias("truncated_total"),
-        F.sum(F.greatest(F.col("n_tokens") - F.col("limit"), F.lit(0)) * F.col("n_docs")).alias("lost_tokens"),
-    )
+    longer = F.min(F.when(F.col("n_tokens") > F.col("limit"), F.col("sums"))).alias("over")
+    found = histogram.select("total_docs", "total_tokens", sums.alias("sums"), "n_tokens", asked).groupBy("limit").agg(F.max("total_docs").alias("total_docs"), F.max("total_tokens").alias("total_tokens"), longer)
+    cut, tokens = F.coalesce("over.docs_at_least", F.lit(0)), F.coalesce("over.tokens_at_least", F.lit(0))
+    lost = tokens - F.col("limit") * cut
+    return found.select("limit", "total_docs", cut.alias("docs_cut"), (F.col("total_tokens") - lost).alias("truncated_total"), lost.alias("lost_tokens"))
