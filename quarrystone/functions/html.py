@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 from itertools import accumulate, islice
@@ -22,12 +22,17 @@ class Node:
     attrs: dict[str, str] = field(default_factory=dict)
     children: list[Node | str] = field(default_factory=list)
 
-    def find_all(self, tag: str):
-        for child in self.children:
+    def walk(self) -> Iterator[Node]:
+        """Elements below this one in document order, however deep they are nested."""
+        ahead = [*reversed(self.children)]
+        while ahead:
+            child = ahead.pop()
             if isinstance(child, Node):
-                if child.tag == tag:
-                    yield child
-                yield from child.find_all(tag)
+                yield child
+                ahead.extend(reversed(child.children))
+
+    def find_all(self, tag: str) -> Iterator[Node]:
+        return (element for element in self.walk() if element.tag == tag)
 
     def find(self, tag: str) -> Node | None:
         return next(self.find_all(tag), None)
@@ -65,9 +70,13 @@ def parse(html: str | None) -> Node:
     return tree.root
 
 
-def prune(node: Node, tags: set[str] = DROPPED) -> Node:
-    """Without the elements that readers drop."""
-    node.children = [child if isinstance(child, str) else prune(child, tags) for child in node.children if isinstance(child, str) or child.tag not in tags]
+def prune(node: Node, drop: Callable[[Node], bool] = lambda element: element.tag in DROPPED) -> Node:
+    """Without the elements that readers drop, or those that ``drop`` names."""
+    ahead = [node]
+    while ahead:
+        inner = ahead.pop()
+        inner.children = [child for child in inner.children if isinstance(child, str) or not drop(child)]
+        ahead.extend(child for child in inner.children if isinstance(child, Node))
     return node
 
 
@@ -79,18 +88,26 @@ def _struck(node: Node) -> bool:
     return node.tag in STRUCK or "line-through" in node.attrs.get("style", "").lower()
 
 
-def text_of(node: Node, mode: str = "mark", inside: bool = False) -> str:
+def text_of(node: Node, mode: str = "mark") -> str:
     """Index text: struck-out passages are marked, excluded or kept; an unknown mode marks."""
     parts: list[str] = []
-    for child in node.children:
-        if isinstance(child, str):
-            parts.append(child.strip())
-        elif mode != "keep" and not inside and _struck(child):
-            if mode != "exclude" and (struck := text_of(child, "keep", True)):
-                parts.append(f"[obsolete: {struck}]")
-        else:
-            parts.append(text_of(child, mode, inside))
-    return squeeze(" ".join(part for part in parts if part))
+    struck: list[str] | None = None  # texts of the struck-out passage that is being read
+    ahead: list[Node | str | None] = [*reversed(node.children)]  # None ends a struck-out passage
+    while ahead:
+        item = ahead.pop()
+        if item is None:
+            if text := squeeze(" ".join(struck)):
+                parts.append(f"[obsolete: {text}]")
+            struck = None
+        elif isinstance(item, str):
+            (parts if struck is None else struck).append(item)
+        elif mode == "keep" or struck is not None or not _struck(item):
+            ahead.extend(reversed(item.children))
+        elif mode != "exclude":
+            struck = []
+            ahead.append(None)
+            ahead.extend(reversed(item.children))
+    return squeeze(" ".join(parts))
 
 
 def page_title(root: Node, fallback: str) -> str:

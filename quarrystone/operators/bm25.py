@@ -1,46 +1,68 @@
-"""BM25 Okapi: postings and term statistics as a stored index, and rankings that read only what a query asks for."""
+"""BM25 Okapi: postings and term statistics as a stored index, and rankings that read only what a query asks for.
+
+Stored postings are dealt by document (bucketed by the document's key, sorted by term).  All that a query's score of a document needs is then in
+one bucket: scores are summed and the best of each query chosen where the postings lie, and only those best rows are shuffled.  A common
+term is spread over all buckets like its documents, and a bucket's files are read by the row groups that hold the terms asked for.
+"""
 
 from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarrystone import store
 from quarrystone.config import Settings
 from quarrystone.functions.text import tokens
 from quarrystone.session import shared_dir
-from quarrystone.store import exists
 
 #: Up to so many query terms are broadcast to the postings; beyond, the join shuffles.
 BROADCAST_TERMS = 200_000
+#: Up to so many are also named to the file scan, which then passes over row groups without them.
+NAMED_TERMS = 5_000
+#: About so many postings a bucket.
+BUCKET_POSTINGS = 4_000_000
+#: Changes with the layout of stored indexes: one that other code has written is not read.
+LAYOUT = 2
 
 
 @dataclass(frozen=True)
 class Index:
-    """postings (key, ord, term, tf, dl), terms (term, df, idf), size (n_docs, avgdl: one row) and docs (key, ord, dl)."""
+    """postings (key, ord, term, tf, dl; in parts that share no document), terms (term, df, idf), size (n_docs, avgdl: one row) and docs (key, ord, dl).
+
+    Postings are dealt by the key or, where documents belong to something larger, by that column, their ``home``, which they then have too.
+    """
 
-    postings: DataFrame
+    parts: tuple[DataFrame, ...]
     terms: DataFrame
     size: DataFrame
     docs: DataFrame
     key: str
+    home: tuple[str, ...] = ()
+
+    @property
+    def postings(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.parts)
 
     @staticmethod
-    def read(spark: SparkSession, folder: str, key: str) -> Index:
-        return Index(*(spark.read.parquet(f"{folder}/{part}") for part in ("postings", "terms", "size", "docs")), key)
+    def read(spark: SparkSession, folder: str, key: str, home: tuple[str, ...] = ()) -> Index:
+        terms, size, docs = (spark.read.parquet(f"{folder}/{part}") for part in ("terms", "size", "docs"))
+        return Index((bucketed(spark, f"{folder}/postings", *(home or (key,))),), terms, size, docs, key, home)
 
 
-def tokenized(corpus: DataFrame, key: str, order: str, text: str = "text") -> DataFrame:
-    return corpus.select(F.col(key), F.col(order).alias("ord"), tokens(text).alias("words")).withColumn("dl", F.size("words").cast("bigint"))
+def tokenized(corpus: DataFrame, key: str, order: str, text: str = "text", home: tuple[str, ...] = ()) -> DataFrame:
+    return corpus.select(*home, F.col(key), F.col(order).alias("ord"), tokens(text).alias("words")).withColumn("dl", F.size("words").cast("bigint"))
 
 
-def postings(corpus: DataFrame, key: str, text: str = "text", order: str | None = None) -> DataFrame:
+def postings(corpus: DataFrame, key: str, text: str = "text", order: str | None = None, home: tuple[str, ...] = ()) -> DataFrame:
     """(key, ord, term, tf, dl) of every document and term; dl counts tokens with repeats."""
-    words = tokenized(corpus, key, order or key, text)
-    return words.select(key, "ord", "dl", F.explode("words").alias("term")).groupBy(key, "term").agg(F.first("ord").alias("ord"), F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    words = tokenized(corpus, key, order or key, text, home)
+    return words.select(*home, key, "ord", "dl", F.explode("words").alias("term")).groupBy(*home, key, "term").agg(F.first("ord").alias("ord"), F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
 def corpus_size(corpus: DataFrame, text: str = "text") -> DataFrame:
@@ -48,21 +70,53 @@ def corpus_size(corpus: DataFrame, text: str = "text") -> DataFrame:
     return corpus.select(F.size(tokens(text)).alias("dl")).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
-def term_statistics(posts: DataFrame, size: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """(term, df, idf); a negative idf becomes epsilon times the mean raw idf of the vocabulary."""
+def with_idf(counts: DataFrame, size: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """(term, df, idf) of (term, df); a negative idf becomes epsilon times the mean raw idf of the vocabulary."""
     s = settings or Settings()
-    raw = posts.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(size.select("n_docs")))  # one row
+    raw = counts.join(F.broadcast(size.select("n_docs")))  # one row
     raw = raw.withColumn("raw_idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).drop("n_docs")
     mean = raw.agg((F.avg("raw_idf") * s.bm25_epsilon).alias("floor_idf"))
     idf = F.when(F.col("raw_idf") < 0, F.col("floor_idf")).otherwise(F.col("raw_idf"))
     return raw.join(F.broadcast(mean)).select("term", "df", idf.alias("idf"))
 
 
-def write_index(corpus: DataFrame, key: str, order: str, folder: str, settings: Settings | None = None) -> Index:
-    """Tokenise the corpus once and store postings sorted by term, term statistics, sizes and the documents' order."""
+def term_statistics(posts: DataFrame, size: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """(term, df, idf) of postings."""
+    return with_idf(posts.groupBy("term").agg(F.count("*").alias("df")), size, settings)
+
+
+def _table_name(folder: str) -> str:
+    return f"postings_{hashlib.md5(folder.encode()).hexdigest()}"
+
+
+def write_bucketed(posts: DataFrame, key: str, folder: str) -> DataFrame:
+    """Store postings (key, ord, term, tf, dl) by document; how many buckets follows from their number."""
+    spark = posts.sparkSession
+    aside = f"{folder}-aside"
+    posts.write.mode("overwrite").parquet(aside)  # counted before they are dealt, and tokenised once
+    told = spark.read.parquet(aside)
+    buckets = max(1, -(-told.count() // BUCKET_POSTINGS), min(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    spark.sql(f"DROP TABLE IF EXISTS {_table_name(folder)}")
+    told.repartition(buckets, key).sortWithinPartitions("term").write.bucketBy(buckets, key).sortBy("term").option("path", folder).mode("overwrite").saveAsTable(_table_name(folder))
+    spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("overwrite").parquet(f"{folder}-shape")
+    store.remove(spark, aside)
+    return spark.table(_table_name(folder))
+
+
+def bucketed(spark: SparkSession, folder: str, key: str) -> DataFrame:
+    """Stored postings as a table that knows its buckets, also in a session that did not write it."""
+    name = _table_name(folder)
+    if not spark.catalog.tableExists(name):
+        buckets = spark.read.parquet(f"{folder}-shape").first()[0]
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(folder).schema)
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY (`{key}`) SORTED BY (term) INTO {buckets} BUCKETS LOCATION '{folder}'")
+    return spark.table(name)
+
+
+def write_index(corpus: DataFrame, key: str, order: str, folder: str, settings: Settings | None = None, home: tuple[str, ...] = ()) -> Index:
+    """Tokenise the corpus once and store postings by document, term statistics, sizes and the documents' order."""
     spark = corpus.sparkSession
-    postings(corpus, key, order=order).repartition("term").sortWithinPartitions("term", "ord").write.mode("overwrite").parquet(f"{folder}/postings")
-    stored = spark.read.parquet(f"{folder}/postings")
+    stored = write_bucketed(postings(corpus, key, order=order, home=home), *(home or (key,)), f"{folder}/postings")
     # Documents without tokens have no postings but count; their order is all that is read of the corpus again.
     lengths = stored.groupBy(key).agg(F.first("dl").alias("dl"))
     docs = corpus.select(F.col(key), F.col(order).alias("ord")).join(lengths, key, "left").withColumn("dl", F.coalesce("dl", F.lit(0)))
@@ -70,72 +124,112 @@ def write_index(corpus: DataFrame, key: str, order: str, folder: str, settings:
     docs = spark.read.parquet(f"{folder}/docs")
     docs.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")).write.mode("overwrite").parquet(f"{folder}/size")
     term_statistics(stored, spark.read.parquet(f"{folder}/size"), settings).write.mode("overwrite").parquet(f"{folder}/terms")
-    spark.createDataFrame([(key,)], "key string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/complete")
-    return Index.read(spark, folder, key)
+    return Index.read(spark, folder, key, home)
 
 
 def corpus_version(spark: SparkSession, paths: list[str], settings: Settings | None = None, kind: str = "") -> str:
     """A name for the state of the files that a corpus is read from: it changes if one is added, removed or rewritten, or if the
-    settings do.  File contents are not read."""
+    settings or the layout of the index do.  File contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", "modificationTime", "length")
     told = files.agg(F.count("*"), F.sum("length"), F.sum(F.xxhash64("path", "modificationTime", "length").cast("decimal(38,0)"))).first()
-    return hashlib.sha256(json.dumps([*map(str, told), kind, repr(settings or Settings())]).encode()).hexdigest()[:24]
+    return hashlib.sha256(json.dumps([*map(str, told), kind, LAYOUT, repr(settings or Settings())]).encode()).hexdigest()[:24]
 
 
-def stored_index(corpus: DataFrame, key: str, order: str, version: str, settings: Settings | None = None, root: str | None = None) -> Index:
+def stored_index(corpus: DataFrame, key: str, order: str, version: str, settings: Settings | None = None, root: str | None = None, home: tuple[str, ...] = ()) -> Index:
     """The index of this version of the corpus: read if it is complete, else built.
 
-    Readers of older versions are not disturbed, since every version has its own folder.  An interrupted build leaves no
-    ``complete`` mark and is done again.
+    A build has a folder of its own and is published when it is whole, so readers of older versions and builds of the same one don't disturb
+    each other: all sessions read the build that was published first.  An interrupted one is done again.
     """
     spark = corpus.sparkSession
-    folder = f"{root or shared_dir(spark) + '/bm25'}/{version}"
-    if exists(spark, f"{folder}/complete/_SUCCESS"):
-        return Index.read(spark, folder, key)
-    return write_index(corpus, key, order, folder, settings)
+    pointer = f"{root or shared_dir(spark) + '/bm25'}/{version}"
+    folder = store.current(spark, pointer)
+    if folder is None:
+        mine = f"{pointer}/build-{uuid.uuid4().hex}"
+        write_index(corpus, key, order, mine, settings, home)
+        try:
+            store.publish(spark, pointer, mine, after=0)
+        except store.Conflict:
+            store.remove(spark, mine)
+        folder = store.current(spark, pointer)
+    return Index.read(spark, folder, key, home)
+
+
+def asked_terms(queries: DataFrame, terms: DataFrame) -> tuple[DataFrame, list[str] | None]:
+    """(query_id, term, times, idf) of the query terms that the index knows, broadcast if they are few, and the terms if they are very few."""
+    asked = queries.select("query_id", F.explode(tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    few = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    names = [r["term"] for r in asked.select("term").distinct().limit(NAMED_TERMS + 1).collect()] if few else []
+    found = (terms.filter(F.col("term").isin(names)) if 0 < len(names) <= NAMED_TERMS else terms).select("term", "idf").join(F.broadcast(asked) if few else asked, "term")
+    return (F.broadcast(found) if few else found), names if 0 < len(names) <= NAMED_TERMS else None
 
 
-def bm25_scores(posts: DataFrame, terms: DataFrame, size: DataFrame, queries: DataFrame, key: str, settings: Settings | None = None) -> DataFrame:
-    """(query_id, key, ord, score) of the documents that share a term; repeated query tokens count again."""
+def share(settings: Settings | None = None) -> Column:
+    """What one posting adds to the score of its document."""
     s = settings or Settings()
-    asked = queries.select("query_id", F.explode(tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    few = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    asked = terms.select("term", "idf").join(F.broadcast(asked) if few else asked, "term")
-    hits = posts.join(F.broadcast(asked) if few else asked, "term").join(F.broadcast(size.select("avgdl")))
     tf = F.col("tf")
-    part = F.col("times") * F.col("idf") * tf * (s.bm25_k1 + 1) / (tf + s.bm25_k1 * (1 - s.bm25_b + s.bm25_b * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy("query_id", key).agg(F.sum(part).alias("score"), F.first("ord").alias("ord"))
+    return F.col("times") * F.col("idf") * tf * (s.bm25_k1 + 1) / (tf + s.bm25_k1 * (1 - s.bm25_b + s.bm25_b * F.col("dl") / F.col("avgdl")))
+
+
+def bm25_scores(index: Index, queries: DataFrame, settings: Settings | None = None, within: DataFrame | None = None) -> DataFrame:
+    """(query_id, home, key, ord, score) of the documents that share a term; repeated query tokens count again.  ``within`` (key) picks documents.
+
+    Stored parts are grouped by document already, so the sums need no shuffle.
+    """
+    asked, names = asked_terms(queries, index.terms)
+    size = F.broadcast(index.size.select("avgdl"))  # one row
+
+    def summed(posts: DataFrame) -> DataFrame:
+        posts = posts if names is None else posts.filter(F.col("term").isin(names))
+        posts = posts if within is None else posts.join(within, index.key, "left_semi")
+        return posts.join(asked, "term").join(size).groupBy("query_id", *index.home, index.key).agg(F.sum(share(settings)).alias("score"), F.first("ord").alias("ord"))
 
+    return reduce(DataFrame.unionByName, map(summed, index.parts))
 
-def ranked(scores: DataFrame, pool: int, order: str) -> DataFrame:
-    """The first ``pool`` of each query by score (to 9 decimals, so that equal texts tie), then ``order``; ranks count from 0.
+
+def ranked(scores: DataFrame, pool: int, order: str, lists: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """The first ``pool`` of each list by score (to 9 decimals, so that equal texts tie), then ``order``; ranks count from 0.
 
     The number is filtered before it is shifted, so that the planner limits every partition's rows before it shuffles them.
     """
-    by = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), order)
+    by = Window.partitionBy(*lists).orderBy(F.desc(F.round("score", 9)), order)
     return scores.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= pool).withColumn("rank", F.col("rank") - 1)
 
 
 def search(index: Index, queries: DataFrame, pool: int, zero_fill: bool = True, settings: Settings | None = None) -> DataFrame:
-    """(query_id, key, ord, score, rank) from a stored index.
+    """(query_id, key, ord, score, rank) from an index.
 
-    With ``zero_fill`` a query that has tokens always gets ``pool`` rows: documents of score 0 follow in corpus order.  Only the
-    first rows of the corpus can be needed for that, so nothing else is sorted.  A query without tokens has no ranking.
+    With ``zero_fill`` a query that has tokens always gets ``pool`` rows: documents of score 0 follow in corpus order, before those whose score
+    is negative.  Only the first rows of the corpus can be needed for that, so nothing else is sorted.  A query without tokens has no ranking.
     """
     key = index.key
-    best = ranked(bm25_scores(index.postings, index.terms, index.size, queries, key, settings), pool, "ord")
+    scores = bm25_scores(index, queries, settings)
+    best = ranked(scores, pool, "ord")
     if not zero_fill:
         return best
-    # Documents of negative or zero score rank below those that fill up, so they are ranked together.
-    head = index.docs.select(key, "ord").orderBy("ord").limit(2 * pool)
-    asked = queries.filter(F.size(tokens("text")) > 0).select("query_id")
-    fill = asked.join(F.broadcast(head)).join(best.select("query_id", key), ["query_id", key], "left_anti").withColumn("score", F.lit(0.0))
+    # A document of the head that has a score is not one of score 0, whether it is among the best or not.
+    head = index.docs.select(key, "ord").orderBy("ord").limit(_head(index, scores, pool))
+    known = bm25_scores(index, queries, settings, within=F.broadcast(head.select(key))).select("query_id", key)
+    asked = queries.filter(F.size(tokens("text")) > 0).select("query_id").distinct()
+    fill = asked.join(F.broadcast(head)).join(known, ["query_id", key], "left_anti").withColumn("score", F.lit(0.0))
     return ranked(best.select("query_id", key, "ord", "score").unionByName(fill.select("query_id", key, "ord", "score")), pool, "ord")
 
 
+def _head(index: Index, scores: DataFrame, pool: int) -> int:
+    """How many documents of the corpus, in order, hold all that can fill a ranking up.
+
+    A query needs fewer than ``pool`` of them besides the documents that have a score but no positive one.  No term has a negative weight in
+    any but tiny or very uniform corpora; only there these are counted.
+    """
+    if index.terms.agg(F.min("idf")).first()[0] is None or index.terms.filter("idf < 0").isEmpty():
+        return 2 * pool
+    per = scores.groupBy("query_id").agg(F.count_if(F.col("score") > 0).alias("up"), F.count("*").alias("n"))
+    return pool + (per.filter(F.col("up") < pool).agg(F.max("n")).first()[0] or 0)
+
+
 def bm25_topk(corpus: DataFrame, queries: DataFrame, pool: int, key: str, order: str, zero_fill: bool = True, settings: Settings | None = None) -> DataFrame:
     """``search`` over a corpus that is indexed for this one plan and not stored."""
     posts, size = postings(corpus, key, order=order), corpus_size(corpus)
-    index = Index(posts, term_statistics(posts, size, settings), size, corpus.select(F.col(key), F.col(order).alias("ord")), key)
+    index = Index((posts,), term_statistics(posts, size, settings), size, corpus.select(F.col(key), F.col(order).alias("ord")), key)
     found = search(index, queries, pool, zero_fill, settings)
     return found.withColumnRenamed("ord", order) if order != "ord" else found

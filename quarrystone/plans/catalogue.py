@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrystone.plans import history_queries, index_queries, model_queries, more_queries, retrieval_queries, text_queries  # noqa: F401  (they register)
+from quarrystone.plans import history_queries, index_queries, maintenance_queries, model_queries, more_queries, retrieval_queries, text_queries  # noqa: F401  (they register)
 from quarrystone.plans.registry import QUERIES, SQL
 
 

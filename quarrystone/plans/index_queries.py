@@ -6,10 +6,14 @@ from pyspark.sql import functions as F
 
 from quarrystone.operators import manifest as M
 from quarrystone.operators import quality_reports as Q
+from quarrystone.plans.history_queries import WEAK
 from quarrystone.plans.inputs import BASE, FEEDBACK, MESSAGES, NEW_FILES, OLD_FILES, TEXTS, feedback, line_chunks, line_chunks_sql, messages, new_files, old_files
 from quarrystone.plans.registry import query, table
 from quarrystone.sources import pages as P
 
+#: Weak answers of the whole table.
+EVERY_WEAK = WEAK.replace(" ORDER BY created_at DESC, message_id DESC LIMIT 10000", "").replace(" ORDER BY created_at DESC, message_id DESC LIMIT {limit}", "")
+
 SNAPSHOTS = f"{TEXTS}, {OLD_FILES}, {NEW_FILES}"
 DIFF = f"""{SNAPSHOTS}, diff AS (SELECT coalesce(o.path, n.path) AS path, CASE WHEN o.path IS NULL THEN 'new' WHEN n.path IS NULL THEN 'deleted' WHEN o.size_bytes = n.size_bytes AND o.mtime = n.mtime AND o.sha256 = n.sha256 THEN 'unchanged' ELSE 'changed' END AS status
   FROM old_files o FULL OUTER JOIN new_files n ON o.path = n.path)"""
@@ -62,15 +66,17 @@ def duplicate_names(spark, sf_dir):
     return Q.duplicate_names(table(spark, sf_dir, "documents").select(path.alias("path")))
 
 
-@query(f"""WITH {MESSAGES}, {FEEDBACK}, s AS (SELECT count(*) FILTER (WHERE rating = 'up') AS up, count(*) FILTER (WHERE rating = 'down') AS down FROM feedback)
-SELECT array_to_string(list_filter([CASE WHEN down / greatest(up + down, 1) >= 0.1 THEN 'high_down_share' END, 'weak_answers', 'duplicate_names'], lambda x: x IS NOT NULL), ',') AS flags FROM s""")
+@query(f"""WITH {MESSAGES}, {FEEDBACK}, {EVERY_WEAK}, {NAMED}, s AS (SELECT count(*) FILTER (WHERE rating = 'up') AS up, count(*) FILTER (WHERE rating = 'down') AS down FROM feedback),
+w AS (SELECT count(*) AS weak, count(*) FILTER (WHERE trim(coalesce(question, '')) <> '') AS gaps FROM weak),
+d AS (SELECT count(*) FILTER (WHERE TIMESTAMP '{BASE}' - to_days((doc_id % 400)::INT) < TIMESTAMP '{BASE}' - INTERVAL 180 DAY) AS stale, count(*) FILTER (WHERE n_chars = 0) AS empty FROM documents),
+n AS (SELECT count(*) AS doubled FROM (SELECT name FROM named GROUP BY name HAVING count(*) > 1))
+SELECT array_to_string(list_filter([CASE WHEN down / greatest(up + down, 1) >= 0.1 THEN 'high_down_share' END, CASE WHEN weak > 0 THEN 'weak_answers' END, CASE WHEN gaps > 0 THEN 'knowledge_gaps' END,
+  CASE WHEN stale > 0 THEN 'stale_documents' END, CASE WHEN doubled > 0 THEN 'duplicate_names' END, CASE WHEN empty > 0 THEN 'empty_documents' END], lambda x: x IS NOT NULL), ',') AS flags FROM s, w, d, n""")
 def risk_flags(spark, sf_dir):
     path = F.concat("lang", F.lit("/"), "source", F.lit("/"), (F.col("doc_id") % 97).cast("string"), F.lit(".TXT"))
     age = F.expr(f"timestamp_ntz'{BASE}' - make_dt_interval(cast(doc_id % 400 as int), 0, 0, 0)")
     files = table(spark, sf_dir, "documents").select(path.alias("path"), F.col("n_chars").alias("size_bytes"), age.alias("modified_at"))
-    summary = Q.risk_summary(feedback(spark, sf_dir), messages(spark, sf_dir), files, F.expr(f"timestamp_ntz'{BASE}'"))
-    # The query's SQL leaves gaps, stale and empty documents out, so they are set to none here.
-    return Q.risk_flags(summary.withColumns({c: F.lit(0) for c in ("gaps", "stale", "empty")}), 0.1)
+    return Q.risk_flags(Q.risk_summary(feedback(spark, sf_dir), messages(spark, sf_dir), files, F.expr(f"timestamp_ntz'{BASE}'")), 0.1)
 
 
 RELATED = r"""d AS (SELECT lang || '/' || source || '/report ' || doc_id || '.txt' AS path, lang || '/' || source AS dir FROM documents),

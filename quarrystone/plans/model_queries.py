@@ -62,7 +62,8 @@ def deep_retrieval(spark, sf_dir):
 @query("SELECT count(*) FILTER (WHERE event_type <> 'error') AS accepted, count(*) FILTER (WHERE event_type = 'error') AS dead FROM events")
 def stream_offsets(spark, sf_dir):
     folder = streams.work_folder(spark, "events")
-    streams.take_events(streams.file_stream(spark, sf_dir, "events"), folder)
+    parse = lambda batch: batch.withColumn("k", F.from_json("props", "k bigint")["k"])
+    streams.take_events(streams.file_stream(spark, sf_dir, "events"), folder, (F.col("event_type") == "error") | F.col("user_id").isNull() | F.col("k").isNull(), parse)
     accepted = spark.read.parquet(f"{folder}/accepted").agg(F.count("*").alias("accepted"))
     return accepted.join(spark.read.parquet(f"{folder}/dead").agg(F.count("*").alias("dead")))
 

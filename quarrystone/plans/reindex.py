@@ -1,4 +1,4 @@
-"""Reindexing as one operation: what changed is chunked and embedded, the rest is carried over, and a whole version is published."""
+"""Reindexing as one operation: what changed is chunked, embedded and indexed, the rest is carried over, and a whole version is published."""
 
 from __future__ import annotations
 
@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystone import store
+from quarrystone.config import Settings
 from quarrystone.functions.models import Embedder, embed
+from quarrystone.operators import bm25, segments
 from quarrystone.operators import manifest as M
 from quarrystone.plans.answering import build_index
 
@@ -38,20 +40,26 @@ def reindex(
     ``chunk`` makes (path, chunk_index, chunk_id, text) of files.  A full build is made if increments are switched off, if there is
     no version, manifest or corpus yet, or if the settings have changed.  Nothing of the active version is ever written; a crash at any point
     leaves it current, and the next run starts anew.  ``progress`` hears each stage and the share done.
+
+    A version's BM25 index follows by segments: an increment writes postings of its own chunks only (``sparse_index`` reads them).  A run whose
+    start was overtaken by another's publication ends in ``store.Conflict`` and changes nothing.
     """
+    started = store.last(spark, root)
     active = store.current(spark, root)
-    parts = [active and store.exists(spark, f"{active}/{part}/_SUCCESS") for part in ("manifest", "chunks", "vectors")]
+    parts = [active and store.exists(spark, f"{active}/{part}") for part in ("manifest/_SUCCESS", "chunks/_SUCCESS", "vectors/_SUCCESS", "listing")]
     old = spark.read.parquet(f"{active}/manifest") if parts[0] else None
     same = old is not None and old.filter(F.col("settings_hash") != settings_hash).isEmpty()
     rows = 0 if old is None else old.limit(1).count()
-    reason = M.full_rebuild_reason(incremental, rows, bool(parts[2]), bool(parts[1]), same)
+    reason = M.full_rebuild_reason(incremental, rows, bool(parts[2]), bool(parts[1] and parts[3]), same)
     progress("compared", 0.1)
     if reason:
         version = build_index(spark, root, files, chunk(files), embedder, settings_hash)
         if files.limit(1).count() and spark.read.parquet(f"{version}/chunks").isEmpty():
             raise NothingExtracted(f"no chunks from any file; {active or 'nothing'} stays current")
+        listed = segments.increment(spark, f"{root.rstrip('/')}/segments", segments.empty_listing(), None, _keyed(spark.read.parquet(f"{version}/chunks")), ORDER)
+        segments.write_listing(spark, listed, f"{version}/listing")
         progress("built", 0.9)
-        store.publish(spark, root, version)
+        store.publish(spark, root, version, after=started)
         progress("published", 1.0)
         return Outcome(version, reason, {"new": files.count()})
 
@@ -74,12 +82,48 @@ def reindex(
     vectors = spark.read.parquet(f"{active}/vectors").join(kept, "chunk_id", "left_semi")
     fresh = embed(added.withColumnRenamed("chunk_id", "key"), embedder).withColumnRenamed("key", "chunk_id")
     vectors.unionByName(fresh).write.parquet(f"{version}/vectors")
-    progress("embedded", 0.8)
+    progress("embedded", 0.7)
+    touched = diff.filter(F.col("status").isin("changed", "deleted")).select("path")
+    went = old_chunks.join(touched, "path", "left_semi").select(F.col("chunk_id").alias("key"))
+    listed = segments.increment(spark, f"{root.rstrip('/')}/segments", segments.read_listing(spark, f"{active}/listing"), went, _keyed(added), ORDER)
+    segments.write_listing(spark, listed, f"{version}/listing")
+    progress("indexed", 0.8)
     rebuilt = M.build_manifest(work.select(*[c for c in old.columns if c not in ("chunk_ids", "settings_hash")]), added, settings_hash)
     M.merge_manifest(old, diff, rebuilt).write.parquet(f"{version}/manifest")
     n_chunks, n_vectors = (spark.read.parquet(f"{version}/{part}").count() for part in ("chunks", "vectors"))
     if n_chunks != n_vectors:
         raise RuntimeError(f"{n_vectors} vectors for {n_chunks} chunks: the version is not published")
-    store.publish(spark, root, version)
+    store.publish(spark, root, version, after=started)
     progress("published", 1.0)
     return Outcome(version, None, counts)
+
+
+#: The corpus' order within an increment.
+ORDER = ["path", "chunk_index"]
+
+
+def _keyed(chunks: DataFrame) -> DataFrame:
+    return chunks.select(F.col("chunk_id").alias("key"), "text", *ORDER)
+
+
+def sparse_index(spark: SparkSession, version: str, settings: Settings | None = None) -> bm25.Index:
+    """The BM25 index of a version's chunks (key: chunk_id)."""
+    return segments.index(spark, segments.read_listing(spark, f"{version}/listing"), settings)
+
+
+def exclusive_reindex(spark: SparkSession, root: str, owner: str, *args, seconds: float = 3600, progress: Progress = lambda stage, share: None, **options) -> Outcome:
+    """``reindex`` as the one active job below ``root``: ``store.Busy`` if another holds the lease.
+
+    Each stage renews the lease, so a job that was held up beyond its time and was replaced ends at its next stage, before it publishes.
+    """
+    lease = store.Lease.acquire(spark, root, owner, seconds)
+
+    def told(stage: str, share: float) -> None:
+        nonlocal lease
+        progress(stage, share)
+        lease = lease.renewed(spark, seconds)
+
+    try:
+        return reindex(spark, root, *args, progress=told, **options)
+    finally:
+        lease.release(spark)

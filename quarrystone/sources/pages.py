@@ -25,7 +25,7 @@ def extract_pages(pages: DataFrame, mode: str = "mark") -> DataFrame:
             for page_id, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 try:
                     rows.append((page_id, *page_text(html, f"page {page_id}", mode), None))
-                except (AssertionError, RecursionError, ValueError) as error:
+                except (AssertionError, ValueError) as error:
                     rows.append((page_id, None, None, str(error) or type(error).__name__))
             columns = list(zip(*rows, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.string()) for c in columns[1:])], names=["page_id", "title", "text", "error"])
@@ -40,13 +40,21 @@ def page_chunks(pages: DataFrame, settings: Settings | None = None) -> DataFrame
     return found.withColumnRenamed("doc_id", "page_id").withColumn("parent_headings", F.to_json("parent_headings"))
 
 
+def readable_links(html: str | None) -> list[str]:
+    """Links of a page; none of one that the parser refuses (``extract_pages`` tells its error)."""
+    try:
+        return page_links(html)
+    except (AssertionError, ValueError):
+        return []
+
+
 def links(pages: DataFrame) -> DataFrame:
     """(page_id, nth, target): distinct absolute link targets of each page, in the order they appear."""
     prepare(pages.sparkSession, 256)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [page_links(html) for html in batch.column(2).to_pylist()]
+            found = [readable_links(html) for html in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.string()))], names=["page_id", "url", "hrefs"])
 
     rows = pages.select("page_id", "url", "html").mapInArrow(read, "page_id bigint, url string, hrefs array<string>")
@@ -109,12 +117,7 @@ def crawl_order(pages: DataFrame, max_pages: int | None = None, max_depth: int |
 
 def clean_article(html: str | None, drop_classes: tuple[str, ...] = ("ad",)) -> str:
     """Text of a page without elements of the given classes."""
-    root = parse(html)
-
-    def prune(node):
-        node.children = [c if isinstance(c, str) else prune(c) for c in node.children if isinstance(c, str) or not set(c.attrs.get("class", "").split()) & set(drop_classes)]
-        return node
-
-    from quarrystone.functions.html import content_root, text_of
+    from quarrystone.functions.html import content_root, prune, text_of
 
-    return text_of(content_root(prune(root)), "keep")
+    root = prune(parse(html), lambda element: bool(set(element.attrs.get("class", "").split()) & set(drop_classes)))
+    return text_of(content_root(root), "keep")

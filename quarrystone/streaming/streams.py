@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quarrystone import store
@@ -28,46 +29,50 @@ def file_stream(spark: SparkSession, sf_dir: str, name: str, files: int = 4) ->
     return reader.parquet(f"{sf_dir}/{name}.parquet*")
 
 
-def take_events(events: DataFrame, folder: str) -> None:
-    """Read all events there are: accepted ones go to ``accepted``, events that can't be handled to ``dead``.
+def take_events(events: DataFrame, folder: str, bad: Column, parse: Callable[[DataFrame], DataFrame] = lambda batch: batch) -> None:
+    """Read all events there are: accepted ones go to ``accepted``, those that ``bad`` (over the parsed columns; null is no) tells to ``dead``.
 
     The stream's checkpoint commits offsets after each batch; a batch that is repeated after a crash overwrites its own files, so
     each event is kept once.
     """
 
     def handle(batch: DataFrame, number: int) -> None:
-        parsed = batch.withColumn("k", F.from_json("props", "k bigint")["k"])
-        bad = (F.col("event_type") == "error") | F.col("user_id").isNull() | F.col("k").isNull()
-        parsed = parsed.persist()  # read and parsed once for both
-        parsed.filter(~bad).write.mode("overwrite").parquet(f"{folder}/accepted/batch={number}")
-        parsed.filter(bad).write.mode("overwrite").parquet(f"{folder}/dead/batch={number}")
+        parsed = parse(batch).withColumn("_bad", F.coalesce(bad, F.lit(False))).persist()  # read and parsed once for both
+        for name, kept in (("accepted", ~F.col("_bad")), ("dead", F.col("_bad"))):
+            parsed.filter(kept).drop("_bad").write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
         parsed.unpersist()
 
     query = events.writeStream.foreachBatch(handle).option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start()
     query.awaitTermination()
 
 
-#: Parts of a maintained corpus, by a hash of doc_id: a batch rewrites only those that it touches.
-PARTS = 32
+#: About so many chunks a part of a maintained corpus; a batch rewrites only the parts that it touches.
+PART_CHUNKS = 200_000
 MAINTAINED = "doc_id bigint, chunk_index int, start int, text string"
 
 
-def _parts(spark: SparkSession, folder: str) -> tuple[int, dict[str, int]]:
-    """The last batch that the pointer holds, and for each part that has chunks the batch that wrote it."""
-    told = json.loads(store.current(spark, folder) or '{"batch": -1, "parts": {}}')
-    return told["batch"], told["parts"]
+def _parts(spark: SparkSession, folder: str) -> dict:
+    """What the pointer holds: the last batch, how many parts there are, and for each that has chunks the batch that wrote it and their number."""
+    return json.loads(store.current(spark, folder) or '{"batch": -1, "ways": 1, "parts": {}}')
+
+
+def _paths(folder: str, parts: dict, some: list[str]) -> list[str]:
+    return [f"{folder}/data/batch={parts[k][0]}/part={k}" for k in some if k in parts]
 
 
 def maintained_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """The corpus that ``maintain_chunks`` keeps in a folder, as its pointer has it now."""
-    paths = [f"{folder}/data/batch={batch}/part={part}" for part, batch in _parts(spark, folder)[1].items()]
+    parts = _parts(spark, folder)["parts"]
+    paths = _paths(folder, parts, list(parts))
     return spark.read.schema(MAINTAINED).parquet(*paths) if paths else spark.createDataFrame([], MAINTAINED)
 
 
-def maintain_chunks(documents: DataFrame, folder: str) -> DataFrame:
+def maintain_chunks(documents: DataFrame, folder: str, part_chunks: int = PART_CHUNKS) -> DataFrame:
     """Upsert the chunks of arriving documents; returns the corpus after all there are.
 
     A batch writes new files for the parts it touches and then moves the stored pointer, so readers see it whole or not at all.
+    Parts are by a hash of doc_id.  Their number follows the corpus: when they hold twice ``part_chunks`` on average, the batch deals all chunks
+    into enough of them, so a batch never rewrites more than its parts but at these doublings.
     It can be started again on the same folder at any time: the stream goes on behind its checkpoint, and a batch that the pointer
     already holds is not applied twice.  Of a document that comes twice in a batch the greatest text counts.
     """
@@ -75,26 +80,62 @@ def maintain_chunks(documents: DataFrame, folder: str) -> DataFrame:
     prepare(spark, 512)
 
     def upsert(batch: DataFrame, number: int) -> None:
-        done, parts = _parts(spark, folder)
-        if number <= done:
+        told = _parts(spark, folder)
+        if number <= told["batch"]:
             return
-        part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int")
+        held = sum(n for _, n in told["parts"].values())
+        ways, parts = told["ways"], told["parts"]
+        grown = held > 2 * part_chunks * ways
+        of = lambda n: F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")
         one = batch.groupBy("doc_id").agg(F.max("text").alias("text")).persist()
-        touched = [r["part"] for r in one.select(part.alias("part")).distinct().collect()]  # at most PARTS
-        old = [f"{folder}/data/batch={parts[str(k)]}/part={k}" for k in touched if str(k) in parts]
+        touched = list(parts) if grown else [str(r["part"]) for r in one.select(of(ways).alias("part")).distinct().collect()]  # at most ``ways``
+        ways = -(-held // part_chunks) if grown else ways
+        old = _paths(folder, parts, touched)
         kept = (spark.read.schema(MAINTAINED).parquet(*old) if old else spark.createDataFrame([], MAINTAINED)).join(one.select("doc_id"), "doc_id", "left_anti")
         target = f"{folder}/data/batch={number}"
-        kept.unionByName(fixed_chunks(one)).withColumn("part", part).repartition("part").write.mode("overwrite").partitionBy("part").parquet(target)
+        kept.unionByName(fixed_chunks(one)).withColumn("part", of(ways)).repartition("part").write.mode("overwrite").partitionBy("part").parquet(target)
         one.unpersist()
         written = {name.split("=")[1] for name in store.children(spark, target) if name.startswith("part=")}
-        parts = {k: v for k, v in parts.items() if int(k) not in touched} | dict.fromkeys(written, number)
-        store.publish(spark, folder, json.dumps({"batch": number, "parts": parts}))
+        counts = dict(spark.read.parquet(target).groupBy(F.col("part").cast("string")).count().collect()) if written else {}
+        parts = {} if grown else {k: v for k, v in parts.items() if k not in touched}
+        store.publish(spark, folder, json.dumps({"batch": number, "ways": ways, "parts": parts | {k: [number, counts.get(k, 0)] for k in written}}))
 
     query = documents.writeStream.foreachBatch(upsert).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
     return maintained_chunks(spark, folder)
 
 
+class ProgressLog(StreamingQueryListener):
+    """A row for each batch of every stream of the session: (query, name, batch, rows, seconds, offset), and why a stream ended."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.batches, self.ended = spark, [], []
+
+    def __enter__(self) -> ProgressLog:
+        self.spark.streams.addListener(self)
+        return self
+
+    def __exit__(self, *told) -> None:
+        self.spark.streams.removeListener(self)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        offset = p.sources[0].endOffset if p.sources else None
+        self.batches.append((str(p.runId), p.name, p.batchId, p.numInputRows, p.batchDuration / 1000, offset))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.append((str(event.runId), event.exception))
+
+    def rows(self) -> DataFrame:
+        return self.spark.createDataFrame(self.batches, "query string, name string, batch bigint, rows bigint, seconds double, offset string")
+
+
 OPEN, CLOSE = "<think>", "</think>"
 
 

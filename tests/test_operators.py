@@ -279,7 +279,7 @@ def test_streams_keep_each_event_once(spark, tmp_path):
     schema = "event_id bigint, event_type string, user_id bigint, props string"
     stream = lambda: spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     for _ in range(2):  # a second run finds nothing new
-        streams.take_events(stream(), f"file://{tmp_path}/out")
+        streams.take_events(stream(), f"file://{tmp_path}/out", (F.col("event_type") == "error") | F.col("k").isNull(), lambda batch: batch.withColumn("k", F.from_json("props", "k bigint")["k"]))
     assert spark.read.parquet(f"{tmp_path}/out/accepted").count() == 9 and spark.read.parquet(f"{tmp_path}/out/dead").count() == 6
 
 
