@@ -154,10 +154,10 @@ def in_bitmap(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def candidate_edges(docs: DataFrame, repeated: DataFrame, window: int, seed: int) -> DataFrame:
-    """(edge, check, doc_id, place, context) of the windows whose minimizer is (or, rarely, seems) repeated.
+    """(edge, check, doc_id, place, before, behind) of the windows whose minimizer is (or, rarely, seems) repeated.
 
-    ``docs`` has a flag ``shared`` for texts that share their doc_id with others.  The context holds 32 bits of the word before
-    the window and 32 of the one behind it, each 0 where the text begins or ends.
+    ``docs`` has a flag ``shared`` for texts that share their doc_id with others.  ``before`` and ``behind`` are hashes of the words around the
+    window (63 bits, the last one set), 0 where the text begins or ends.
     """
     n = repeated.count()
     bits = 1 << max(13, (n * BITS_EACH - 1).bit_length())
@@ -169,9 +169,9 @@ def candidate_edges(docs: DataFrame, repeated: DataFrame, window: int, seed: int
         rows = docs.join(document_hits(docs, repeated, window, seed), "doc_id")
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (np.int64, np.int32, np.int64, np.int64, np.int64)
+        kinds = (np.int64, np.int32, np.int64, np.int64, np.int64, np.int64)
         for batch in batches:
-            parts: list[list[np.ndarray]] = [[], [], [], [], []]
+            parts: list[list[np.ndarray]] = [[] for _ in kinds]
             for doc_id, text, many, hits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = words_of(text)
                 if len(words) < window:
@@ -182,16 +182,15 @@ def candidate_edges(docs: DataFrame, repeated: DataFrame, window: int, seed: int
                 pos = np.nonzero(ok)[0]
                 if len(pos):
                     around = np.zeros(len(w) + 2, np.uint64)
-                    around[1:-1] = w >> np.uint64(32) | np.uint64(1)
-                    context = around[pos] << np.uint64(32) | around[pos + window + 1]
+                    around[1:-1] = w | np.uint64(1)
                     slot = text_slot(b" ".join(words)) if many else 0
                     edge, check = run_hashes(w, window)[pos], run_hashes(w, window, MIX_B)[pos] >> np.uint64(32)
-                    values = (edge.view(np.int64), check.astype(np.uint32).view(np.int32), np.full(len(pos), doc_id, np.int64), pos + slot, context.view(np.int64))
+                    values = (edge.view(np.int64), check.astype(np.uint32).view(np.int32), np.full(len(pos), doc_id, np.int64), pos + slot, around[pos].view(np.int64), around[pos + window + 1].view(np.int64))
                     for part, value in zip(parts, values, strict=True):
                         part.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, k), *p]).astype(k)) for p, k in zip(parts, kinds, strict=True)], names=["edge", "check", "doc_id", "place", "context"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, k), *p]).astype(k)) for p, k in zip(parts, kinds, strict=True)], names=["edge", "check", "doc_id", "place", "before", "behind"])
 
-    return rows.select("doc_id", "text", "shared", "hits").mapInArrow(edges, "edge bigint, check int, doc_id bigint, place bigint, context bigint")
+    return rows.select("doc_id", "text", "shared", "hits").mapInArrow(edges, "edge bigint, check int, doc_id bigint, place bigint, before bigint, behind bigint")
 
 
 def document_hits(docs: DataFrame, repeated: DataFrame, window: int, seed: int) -> DataFrame:
@@ -217,15 +216,10 @@ def repeated_edges(edges: DataFrame) -> DataFrame:
         F.min_by("place", "doc_id").alias("source_place"),
         F.max("doc_id").alias("last"),
         F.count("*").alias("n"),
-        F.bit_and("context").alias("all"),
-        F.bit_or("context").alias("any"),
+        *[f(c).alias(f"{name}_{c}") for c in ("before", "behind") for name, f in (("all", F.bit_and), ("any", F.bit_or))],
     )
-
-    def same(shift: int) -> Column:
-        half = lambda c: F.shiftrightunsigned(c, shift).bitwiseAND(F.lit(0xFFFFFFFF))
-        return (half("all") == half("any")) & (half("all") != 0)
-
-    return found.filter("source_doc < last").select("edge", "check", "source_doc", "source_place", "n", same(0).alias("leads_on"), same(32).alias("led_to"))
+    same = lambda c: (F.col(f"all_{c}") == F.col(f"any_{c}")) & (F.col(f"all_{c}") != 0)
+    return found.filter("source_doc < last").select("edge", "check", "source_doc", "source_place", "n", same("behind").alias("leads_on"), same("before").alias("led_to"))
 
 
 def compacted(edges: DataFrame) -> DataFrame:
