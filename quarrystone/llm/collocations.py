@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from quarrystone.llm.shared import discard, materialize
 
 #: Bytes of text of a block: what one task holds at a time, besides the rest of a piece.
-BLOCK_BYTES = 6_000_000
+BLOCK_BYTES = 10_000_000
 #: A place is block * 2^31 + number in the block; a block is partition * 4,096 + number in the partition.
 PLACE, BLOCKS_EACH = 31, 4096
 #: Rows of a language that one task ranks.
@@ -171,14 +171,14 @@ def phrase_levels(docs: DataFrame, max_words: int, min_count: int, block_bytes:
     A gram has its id, parents a and b (its first and last k-1 words; none for words), lang, phrase, f, and f of its beginnings
     (``heads``) and ends (``tails``) by length, its own last.
     """
-    blocks = materialize(word_blocks(docs, block_bytes=block_bytes), "words")
+    blocks = materialize(word_blocks(docs, block_bytes=block_bytes), "words", "zstd")
     totals = materialize(blocks.filter("place IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("total")), "totals")
     names = materialize(named(blocks, ["lang", "word"], min_count), "names")
     own = F.array("f")
     none = F.lit(None).cast("bigint")
     levels = [materialize(names.filter("f IS NOT NULL").select("id", none.alias("a"), none.alias("b"), "lang", F.col("word").alias("phrase"), "f", own.alias("heads"), own.alias("tails")), "grams")]
     for n_words in range(2, max_words + 1):
-        pairs = materialize(pair_blocks(blocks, names, n_words == max_words), "pairs")
+        pairs = materialize(pair_blocks(blocks, names, n_words == max_words), "pairs", "zstd")
         discard(blocks, names)
         if n_words == max_words:  # no block needs these names
             grams = pairs.groupBy("a", "b").agg(F.sum("n").alias("f"), F.min("place").alias("id")).filter(F.col("f") >= min_count)

@@ -29,8 +29,10 @@ SAMPLES = 64
 
 
 #: Terms that race at once, and buffers for them: one set a worker process and number of samples.
-BLOCK = 256
+BLOCK = 512
 _BUFFERS: dict[int, tuple[np.ndarray, ...]] = {}
+#: The log of 2^64, which scales products of two 32-bit numbers to uniforms, and the least gamma variate.
+LOG_SCALE, LEAST = np.float32(64 * np.log(2)), np.float32(2.0**-24)
 
 
 def _stir(x: np.ndarray, spare: np.ndarray) -> None:
@@ -44,44 +46,44 @@ def _stir(x: np.ndarray, spare: np.ndarray) -> None:
 
 def _buffers(samples: int) -> tuple[np.ndarray, ...]:
     if samples not in _BUFFERS:
-        keys = np.arange(1, 2 * samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        keys = np.arange(1, samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         _stir(keys, np.empty_like(keys))
         keys |= np.uint64(1)
-        shape = (2, BLOCK, samples)
-        _BUFFERS[samples] = keys.reshape(2, 1, samples), np.empty(shape, np.uint64), np.empty(shape, np.uint64), np.empty((*shape, 2), np.float32), np.empty(shape, np.float32), np.empty(shape[1:], np.float32)
+        hashes = [np.empty((BLOCK, samples), np.uint64) for _ in range(3)]
+        halves = [np.empty((BLOCK, 2 * samples), np.float32) for _ in range(2)]
+        _BUFFERS[samples] = keys, *hashes, *halves, *[np.empty((BLOCK, samples), np.float32) for _ in range(2)]
     return _BUFFERS[samples]
 
 
 def variates(terms: np.ndarray, samples: int = SAMPLES) -> tuple[np.ndarray, ...]:
     """r, ln c and beta for each sample of at most BLOCK 64-bit terms, hashed from both: the same on every machine.
 
-    A gamma(2, 1) variate is minus the log of a product of two uniforms; two hashes give the four, and one goes on to beta.
-    The arrays are overwritten by the next call.
+    A gamma(2, 1) variate is minus the log of a product of two uniforms; the halves of two hashes, the second a mix of the first, give the
+    four, and the second goes on to beta.  The arrays are overwritten by the next call.
     """
     n = len(terms)
-    keys, x, spare, uniform, gamma, beta = _buffers(samples)
-    x, spare, uniform, gamma, beta = x[:, :n], spare[:, :n], uniform[:, :n], gamma[:, :n], beta[:n]
+    keys, *rest = _buffers(samples)
+    first, second, spare, gamma, other, log_c, beta = (buffer[:n] for buffer in rest)
     base = (terms.astype(np.uint64) + np.uint64(1)) * np.uint64(0xFF51AFD7ED558CCD)
     _stir(base, np.empty_like(base))
-    for k in range(2):
-        np.multiply(base[:, None], keys[k], out=x[k])
-        _stir(x[k], spare[k])
-        uniform[k] = x[k].view(np.uint32).reshape(n, samples, 2)
-    uniform += np.float32(0.5)
-    np.multiply(uniform[..., 0], uniform[..., 1], out=gamma)
-    gamma *= np.float32(2.0**-64)
+    np.multiply(base[:, None], keys, out=first)
+    _stir(first, second)
+    np.multiply(first, np.uint64(0xBF58476D1CE4E5B9), out=second)
+    np.right_shift(second, np.uint64(32), out=spare)
+    second ^= spare
+    np.copyto(gamma, first.view(np.uint32))
+    np.copyto(other, second.view(np.uint32))
+    gamma *= other
+    np.maximum(gamma, np.float32(1), out=gamma)  # a half can be zero
     np.log(gamma, out=gamma)
-    np.minimum(gamma, np.float32(-(2.0**-24)), out=gamma)  # a product can round to one
-    np.negative(gamma, out=gamma)
-    np.log(gamma[1], out=gamma[1])
-    more, spare = x[0], spare[0]
-    np.right_shift(more, np.uint64(29), out=spare)
-    more ^= spare
-    more *= np.uint64(0xBF58476D1CE4E5B9)
-    more >>= np.uint64(40)
-    beta[:] = more.view(np.int64)  # converts much faster
-    beta *= np.float32(2.0**-24)
-    return gamma[0], gamma[1], beta
+    np.subtract(LOG_SCALE, gamma, out=gamma)
+    np.maximum(gamma, LEAST, out=gamma)
+    np.log(gamma[:, 1::2], out=log_c)
+    second *= np.uint64(0x94D049BB133111EB)
+    second >>= np.uint64(40)
+    np.copyto(beta, second.view(np.int64), casting="unsafe")  # converts much faster
+    beta *= LEAST
+    return gamma[:, 0::2], log_c, beta
 
 
 def weighted_terms(text: str) -> tuple[np.ndarray, np.ndarray]:

@@ -11,9 +11,10 @@
 5. Components of the verified links are the classes.
 
 In steps 3 and 4 a group of one chunk (``BLOCK_DOCS`` texts) is compared in one task.  A larger one is dealt into chunks, each of
-which first meets the same few pivots: rows and texts move once, and most of a group of near copies is joined by that.  Only texts that are then
-not joined with the group's largest part go on, in blocks that meet every chunk.  So the work is linear in a group but for what
-is left outside its largest part, and every pair of the group is either compared or already joined.
+which first meets the same few pivots: rows and texts move once, and most of a group of near copies is joined by that.  In step 3 signatures
+that are then not joined with the group's largest part go on, in blocks that meet every chunk.  In step 4 no more texts are moved for that: rows
+that pivots left apart meet by the bands that they share, their signatures are compared, and only pairs that pass the Bayesian test fetch
+their texts.  So the texts moved are linear in a group and in its open pairs, however the group hangs together.
 
 No step writes all pairs of a group, and every link between different texts is either verified or implied by verified links.
 
@@ -311,10 +312,11 @@ def compared(rows: DataFrame, tests: list[tuple[int, int]], percent: int, size:
     return rows.mapInArrow(compare, LINKS)
 
 
-def group_links(rows: DataFrame, n_large: int, tests: list[tuple[int, int]], percent: int, size: int = 0) -> DataFrame:
+def group_links(rows: DataFrame, n_large: int, tests: list[tuple[int, int]], percent: int, size: int = 0, bands: DataFrame | None = None) -> DataFrame:
     """(a, b): links that join, in each group, all that its pairs link.
 
-    ``rows`` (grp, chunks, row, doc_id, key, sig and, for an exact check, text); ``n_large`` groups have more than one chunk.
+    ``rows`` (grp, chunks, row, doc_id, key, sig and, for an exact check, text); ``n_large`` groups have more than one chunk.  With ``bands`` (row,
+    bands) what pivots leave apart in a large group meets by them, else all of it meets all chunks.
     """
     zero = F.lit(0)
     small = compared(rows.filter("chunks = 1").withColumns({"part": zero, "chunk": zero, "side": zero}), tests, percent, size).select("a", "b")
@@ -327,9 +329,14 @@ def group_links(rows: DataFrame, n_large: int, tests: list[tuple[int, int]], per
     pivots = large.join(F.broadcast(least) if n_large * PIVOTS <= BROADCAST_ROWS else least, ["grp", "row"], "left_semi").withColumn("chunk", every_chunk)
     met = pivots.withColumn("side", zero).unionByName(large.withColumn("side", F.lit(1))).withColumn("part", zero)
     told = materialize(compared(met, tests, percent, size, pivots=True), "pivot-links")
+    joined = small.unionByName(told.filter("grp IS NULL").select("a", "b"))
+    labels = told.filter("grp IS NOT NULL").groupBy("grp", "row").agg(F.min("b").alias("label"))
+    if bands is not None:
+        own = materialize(labels.select(F.col("grp").alias("cluster"), "row", F.coalesce(F.col("label").cast("string"), F.concat(F.lit("row "), F.col("row").cast("string"))).alias("label")), "labels")
+        members = own.join(bands, "row").join(large.select("row", "sig").dropDuplicates(["row"]), "row")
+        return joined.unionByName(star_links(large, materialize(pairs_apart(members, tests).distinct(), "open-pairs"), tests, percent, size))
 
     # What is not joined with the group's largest part meets all of its chunks.
-    labels = told.filter("grp IS NOT NULL").groupBy("grp", "row").agg(F.min("b").alias("label"))
     parts = labels.filter("label IS NOT NULL").groupBy("grp", "label").agg(F.count("*").alias("n"))
     largest = parts.groupBy("grp").agg(F.max_by("label", "n").alias("largest"))
     largest = F.broadcast(largest) if n_large <= BROADCAST_ROWS else largest
@@ -341,7 +348,52 @@ def group_links(rows: DataFrame, n_large: int, tests: list[tuple[int, int]], per
     left = open_.join(rest, ["grp", "row"], "left_semi").withColumn("part", F.pmod(F.xxhash64("row", F.lit(2)), F.col("ways")).cast("int")).withColumn("chunk", every_chunk)
     right = open_.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)))
     met = left.withColumn("side", zero).unionByName(right.withColumn("side", F.lit(1)))
-    return small.unionByName(told.filter("grp IS NULL").select("a", "b")).unionByName(compared(met, tests, percent, size).select("a", "b"))
+    return joined.unionByName(compared(met, tests, percent, size).select("a", "b"))
+
+
+def pairs_apart(members: DataFrame, tests: list[tuple[int, int]]) -> DataFrame:
+    """(a, b): rows of a cluster that share a band, bear different labels and pass the Bayesian test, of members (cluster, row, label, bands, sig).
+
+    Only signatures are moved: once for each band that holds several labels.  In a band of more rows than a task compares, those outside its
+    commonest label meet all of it in blocks.
+    """
+    held = members.select("cluster", F.explode("bands").alias("band"), "row", "label", "sig").withColumn("grp", F.xxhash64("cluster", "band")).drop("cluster", "band")
+    by_label = held.groupBy("grp", "label").agg(F.count("*").alias("n"))
+    bands = by_label.groupBy("grp").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("label", "n").alias("commonest"), F.count("*").alias("labels")).filter("labels > 1")
+    ways, chunks = F.ceil((F.col("n") - F.col("most")) / (BLOCK_DOCS // 2)).cast("int"), F.ceil(F.col("n") / BLOCK_DOCS).cast("int")
+    bands = materialize(bands.select("grp", "n", "commonest", ways.alias("ways"), chunks.alias("chunks")), "mixed-bands")
+    rows = join_counted(held, bands, ["grp"], "n")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    left = rows.filter("label != commonest").withColumn("part", F.pmod(F.xxhash64("row", F.lit(2)), F.col("ways")).cast("int")).withColumn("chunk", every("chunks")).withColumn("side", F.lit(0))
+    right = rows.withColumn("chunk", F.pmod(F.xxhash64("row"), F.col("chunks")).cast("int")).withColumn("part", every("ways")).withColumn("side", F.lit(1))
+    names = ["grp", "part", "chunk", "side", "row", "label", "sig"]
+    met = left.select(*names).unionByName(right.select(*names)).repartition("grp", "part", "chunk").sortWithinPartitions(*names[:5])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in runs(batches, 3, 4096):
+            row, side = table.column("row").to_numpy(), table.column("side").to_numpy()
+            label = table.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+            sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(row), -1)
+            for at, end in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                n = int((side[at:end] == 0).sum())
+                for i, j in pairs_in(n, end - at - n) if 0 < n < end - at else ():
+                    i, j = i + at, j + at
+                    apart = label[i] != label[j]
+                    i, j, _ = surviving(sig, i[apart], j[apart], tests)
+                    if len(i):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(row[i], row[j])), pa.array(np.maximum(row[i], row[j]))], names=["a", "b"])
+
+    return met.mapInArrow(compare, "a bigint, b bigint")
+
+
+def star_links(rows: DataFrame, pairs: DataFrame, tests: list[tuple[int, int]], percent: int, size: int) -> DataFrame:
+    """(a, b): the links among pairs (a, b: rows), checked on the texts of ``rows`` (row, doc_id, key, sig, text): a row meets its partners, and a text is
+    moved once for each row that it is a partner of."""
+    partners = pairs.withColumn("chunk", F.lit(0)) if pairs.isEmpty() else pairs.join(pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK_DOCS).cast("int").alias("chunks")), "a").withColumn("chunk", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int")).drop("chunks")
+    centers = partners.select(F.col("a").alias("grp"), "chunk", F.col("a").alias("row")).distinct().withColumn("side", F.lit(0))
+    met = centers.unionByName(partners.select(F.col("a").alias("grp"), "chunk", F.col("b").alias("row")).withColumn("side", F.lit(1))).withColumn("part", F.lit(0))
+    texts = rows.select("row", "doc_id", "key", "sig", "text")
+    return compared(met.join(texts, "row"), tests, percent, size).select("a", "b")
 
 
 def candidate_links(reps: DataFrame, tests: list[tuple[int, int]]) -> DataFrame:
@@ -360,7 +412,7 @@ def verified_links(docs: DataFrame, reps: DataFrame, clusters: DataFrame, size:
     weight = materialize(weight, "cluster-sizes")
     nodes = materialize(nodes.join(weight, "component").select(F.col("component").alias("grp"), F.col("node").alias("doc_id"), "chunks", "row", "key", "sig"), "cluster-nodes")
     picked = F.broadcast(nodes) if nodes.count() <= BROADCAST_SKETCHES else nodes
-    return group_links(id_and_text(docs).join(picked, "doc_id"), weight.filter("chunks > 1").count(), tests, percent, size)
+    return group_links(id_and_text(docs).join(picked, "doc_id"), weight.filter("chunks > 1").count(), tests, percent, size, reps.select("row", "bands"))
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:

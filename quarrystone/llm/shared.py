@@ -17,11 +17,11 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut and the files survive executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
@@ -163,18 +163,26 @@ class WordIds:
 #: Longer words are not kept.
 LONG_WORD = 64
 _WORD_IDS: dict[str, WordIds] = {}
+#: All word caches of this worker process.
+_CACHES: list = []
+
+
+def keep(cache):
+    """Let ``forget_words`` know of a cache that has ``clear``; returns it."""
+    _CACHES.append(cache)
+    return cache
 
 
 def forget_words() -> None:
     """Empty the word caches of this worker: it is reused, and the next operator needs the room."""
-    for cache in _WORD_IDS.values():
+    for cache in _CACHES:
         cache.clear()
 
 
 def word_ids(path: str) -> WordIds:
     """One cache for each tokenizer file and worker process; workers are reused between tasks."""
     if path not in _WORD_IDS:
-        _WORD_IDS[path] = WordIds(path)
+        _WORD_IDS[path] = keep(WordIds(path))
     return _WORD_IDS[path]
 
 

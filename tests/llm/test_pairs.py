@@ -90,6 +90,21 @@ def test_a_group_of_several_chunks_moves_linearly_many_rows(spark, monkeypatch):
     assert counts[400] <= 5 * counts[100] and counts[400] <= 400 * 4
 
 
+def test_a_group_that_hangs_together_by_chains_moves_linearly_many_texts(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_DOCS", 16)
+    monkeypatch.setattr(near_dedup, "PIVOTS", 4)
+    moved, plain = [], near_dedup.compared
+    monkeypatch.setattr(near_dedup, "compared", lambda rows, *a, **k: moved.append(rows.count() if "text" in rows.columns else 0) or plain(rows, *a, **k))
+    base, counts = prose(32, 2000).split(), {}
+    for n in (64, 256):
+        moved.clear()
+        rows = [(i, " ".join(base[6 * i : 6 * i + 120])) for i in range(n)]  # each is near the next two only
+        got = near_dedup.near_duplicates(documents(spark, rows), 3, 85).collect()
+        assert {r["doc_id"]: r["component_id"] for r in got} == brute_classes(rows, 3, 85) == dict.fromkeys(range(n), 0)
+        counts[n] = sum(moved)
+    assert counts[256] <= 5 * counts[64] and counts[256] <= 256 * 8
+
+
 def test_links_of_texts_that_share_a_doc_id(spark, monkeypatch):
     a, b, c = prose(71, 80), prose(72, 80), prose(73, 80)
     near = lambda t, k: t.replace(t.split()[40], f"other{k}", 1)

@@ -50,7 +50,7 @@ def phrase_docs(spark):
     return spark.createDataFrame(PHRASE_ROWS, "doc_id bigint, text string, lang string").withColumns({c: F.lit(1) for c in ("word", "place", "n", "id", "f", "block", "seq", "rank", "a")})
 
 
-@pytest.mark.parametrize(("max_words", "block_bytes"), [(3, 6_000_000), (3, 100), (2, 1000), (5, 1000)])
+@pytest.mark.parametrize(("max_words", "block_bytes"), [(3, 10_000_000), (3, 100), (2, 1000), (5, 1000)])
 def test_phrases_equal_brute_force(phrase_docs, max_words, block_bytes):
     got = collocations.collocations(phrase_docs, max_words=max_words, block_bytes=block_bytes).collect()
     want = brute_phrases([(t, x) for _, t, x in PHRASE_ROWS], max_words)
