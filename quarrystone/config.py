@@ -6,6 +6,13 @@ from dataclasses import dataclass, fields, replace
 from math import isfinite
 
 
+#: The least and the greatest value that a text may set a number to.
+BOUNDS = {
+    "chunk_size": (50, 20_000), "chunk_overlap": (0, 10_000), "top_k": (1, 100), "fusion_candidates": (1, 1_000), "rerank_top_n": (1, 200), "min_score": (0.0, 1.0),
+    "max_context_chars": (500, 1_000_000), "max_citations": (0, 50), "deep_iterations": (1, 20), "deep_queries": (0, 20), "deep_good_score": (0.0, 1.0), "deep_pool": (1, 1_000), "bm25_b": (0.0, 1.0),
+}
+
+
 @dataclass(frozen=True)
 class Settings:
     """Defaults of the retrieval engine.  ``with_changes`` checks everything before anything is applied."""
@@ -32,6 +39,7 @@ class Settings:
     bm25_k1: float = 1.5
     bm25_b: float = 0.75
     bm25_epsilon: float = 0.25
+    extensions: tuple[str, ...] = ("html", "htm", "txt", "docx", "xlsx", "pptx")
 
     def __post_init__(self):
         if self.chunk_size < 1 or self.chunk_overlap < 0:
@@ -53,7 +61,8 @@ class Settings:
     def from_text(self, told: dict[str, str]) -> Settings:
         """Settings with changes that come as text, each read by the type of its field; a text that can't be read changes nothing at all.
 
-        Truth values are 1/true/yes/on and 0/false/no/off; numbers must be finite.
+        Truth values are 1/true/yes/on and 0/false/no/off; numbers must be finite and within ``BOUNDS``; lists are divided by commas, and blank
+        items drop out.
         """
         kinds = {f.name: type(getattr(self, f.name)) for f in fields(self)}
         unknown = set(told) - set(kinds)
@@ -67,7 +76,12 @@ def _read(kind: type, text: str, name: str):
         if text.lower() not in ("1", "true", "yes", "on", "0", "false", "no", "off"):
             raise ValueError(f"{name}: {text!r} is no truth value")
         return text.lower() in ("1", "true", "yes", "on")
+    if kind is tuple:
+        return tuple(part.strip() for part in text.split(",") if part.strip())
     value = kind(text)
     if kind is float and not isfinite(value):
         raise ValueError(f"{name}: {text!r} is not finite")
+    least, most = BOUNDS.get(name, (value, value))
+    if not least <= value <= most:
+        raise ValueError(f"{name}: {text!r} is not between {least} and {most}")
     return value

@@ -119,7 +119,8 @@ def page_title(root: Node, fallback: str) -> str:
 
 
 def content_root(root: Node) -> Node:
-    return root.find("article") or root.find("body") or root
+    """The article, else what a wiki marks as its content, else the body."""
+    return root.find("article") or next((n for n in root.walk() if n.attrs.get("id") == "xwikicontent"), None) or root.find("body") or root
 
 
 def page_text(html: str | None, fallback: str = "", mode: str = "mark") -> tuple[str, str]:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 import math
+import queue
 import re
-from collections.abc import Iterator
+import threading
+from collections.abc import Callable, Iterator
 from typing import Protocol
 from zlib import crc32
 
@@ -97,19 +99,6 @@ def embed_with_cache(texts: DataFrame, cache: DataFrame, embedder: Embedder, mod
     return cache.join(wanted.select("key"), "key", "left_semi").select("key", "embedding").unionByName(embed(missing, embedder))
 
 
-def cache_after(cache: DataFrame, used: DataFrame, at: Column, ttl_seconds: int, capacity: int) -> DataFrame:
-    """A stored cache (key, embedding, created_at, used_at) after a run that used (key, embedding) ``at`` a moment.
-
-    New keys are added, used ones touched, those older than the time to live are gone, and of the rest the last used stay.
-    """
-    hits = used.select("key", F.col("embedding").alias("new"), at.alias("now"))
-    both = cache.join(hits, "key", "full_outer").select(
-        "key", F.coalesce("embedding", "new").alias("embedding"), F.coalesce("created_at", "now").alias("created_at"), F.greatest("used_at", "now").alias("used_at")
-    )
-    alive = both.filter(F.col("created_at") > at - F.make_interval(secs=F.lit(ttl_seconds)))
-    return alive.orderBy(F.desc("used_at"), "key").limit(capacity)
-
-
 def cache_statistics(cache: DataFrame, requests: DataFrame) -> DataFrame:
     """One row: requests (key, one row each), hits in the cache as it was, misses, the hit rate and the entries stored."""
     told = requests.join(cache.select("key", F.lit(1).alias("hit")), "key", "left")
@@ -117,33 +106,64 @@ def cache_statistics(cache: DataFrame, requests: DataFrame) -> DataFrame:
     return counts.select("requests", "hits", (F.col("requests") - F.col("hits")).alias("misses"), F.round(F.col("hits") / F.greatest("requests", F.lit(1)), 4).alias("hit_rate"), "entries")
 
 
-def rerank(found: DataFrame, queries: DataFrame, reranker: Reranker, settings: Settings | None = None, cap: int = 4000) -> DataFrame:
+def rerank(found: DataFrame, queries: DataFrame, reranker: Reranker, settings: Settings | None = None, cap: int = 4000, seconds: float | None = None) -> DataFrame:
     """Reorder the first ``rerank_top_n`` documents of each query by a model; the rest follow in their old order.
 
-    A query's documents are a bounded list.  If the model fails on a query, that query keeps its order and its scores.
+    A query's documents are a bounded list.  If the model fails on a query, or takes longer than ``seconds`` for it, that query keeps its
+    order and its scores, and ``degraded`` says why (null otherwise).
     """
     s = settings or Settings()
     prepare(found.sparkSession)
 
+    def judged_by(model: Reranker, query: str, texts: list[str]) -> list[float]:
+        scores = [1 / (1 + math.exp(-max(-700.0, min(700.0, x)))) for x in model(query, [(t or "")[:cap] for t in texts])]
+        if len(scores) != len(texts):
+            raise ValueError(f"{len(scores)} scores for {len(texts)} texts")
+        return scores
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = []
+            scores, reasons = [], []
             for query, texts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 try:
-                    scores.append([1 / (1 + math.exp(-max(-700.0, min(700.0, x)))) for x in reranker(query, [t[:cap] for t in texts])])
-                except Exception:  # a model's failure must not lose the documents
+                    scores.append(within(seconds, judged_by, reranker, query, texts))
+                    reasons.append(None)
+                except Exception as error:  # a model's failure must not lose the documents
                     scores.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.list_(pa.float64()))], names=["query_id", "scores"])
+                    reasons.append("timeout" if isinstance(error, TimeoutError) else f"{type(error).__name__}: {error}")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.list_(pa.float64())), pa.array(reasons, pa.string())], names=["query_id", "scores", "degraded"])
 
     head = found.filter(F.col("position") <= s.rerank_top_n).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("position", "text"))).alias("list"))
     head = head.join(queries.select("query_id", F.col("text").alias("query")), "query_id").select("query_id", "query", F.transform("list", lambda x: x["text"]).alias("texts"))
     kind = found.schema["query_id"].dataType.simpleString()
-    judged = head.mapInArrow(run, f"query_id {kind}, scores array<double>")
+    judged = head.mapInArrow(run, f"query_id {kind}, scores array<double>, degraded string")
     both = found.join(judged, "query_id", "left").withColumn("new_score", F.get("scores", F.col("position") - 1))
     by = Window.partitionBy("query_id").orderBy(F.col("new_score").isNull(), F.desc("new_score"), "position")
     return both.withColumn("score", F.coalesce("new_score", "score")).withColumn("position", F.row_number().over(by)).drop("scores", "new_score")
 
 
+def within(seconds: float | None, call: Callable, *args):
+    """The call's result, or ``TimeoutError`` after so many seconds; the thread of a call that was given up ends by itself."""
+    if seconds is None:
+        return call(*args)
+    told: queue.Queue = queue.Queue()
+
+    def work() -> None:
+        try:
+            told.put((call(*args), None))
+        except Exception as error:
+            told.put((None, error))
+
+    threading.Thread(target=work, daemon=True).start()
+    try:
+        result, error = told.get(timeout=seconds)
+    except queue.Empty:
+        raise TimeoutError from None
+    if error:
+        raise error
+    return result
+
+
 def string_list(text: str | None, limit: int = 500) -> list[str]:
     """The strings of a JSON array in a model's answer: as it stands, with missing opening marks put back, or any quoted parts."""
     raw = (text or "").strip()
@@ -218,11 +238,15 @@ FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
 def strip_reasoning(text: str, script: str | None = None) -> str:
     """Without think blocks, closed or not, and without white space in front.
 
-    A JSON array is left as it is, and so is what stands in code fences.  With ``script`` (a character class, say ``"\u0400-\u04FF"``)
+    A text that is a JSON array is left as it is, and so is what stands in code fences.  With ``script`` (a character class, say ``"\u0400-\u04FF"``)
     paragraphs before the first one in that script are taken for reasoning too, if there is such a paragraph.
     """
     if text.strip().startswith("[") and text.strip().endswith("]"):
-        return text.lstrip()
+        try:
+            json.loads(text)
+            return text.lstrip()
+        except ValueError:  # only looks like a list, as "[1] ... [2]" does
+            pass
     fences: list[str] = []
 
     def mask(found: re.Match) -> str:

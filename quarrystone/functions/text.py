@@ -97,6 +97,13 @@ def normal_url(url: Column | str) -> Column:
     return F.concat(head, F.regexp_replace(F.regexp_replace(path, "/{2,}", "/"), "/$", ""))
 
 
+def view_url(url: Column | str, site: Column | str, prefix: str = "") -> Column:
+    """The canonical form of an address of the same host as ``site`` whose path begins with ``prefix``; null for any other."""
+    host = lambda c: F.lower(F.regexp_extract(col(c), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+    path = F.regexp_extract(normal_url(url), r"^[^/]*//[^/]*(/.*)?$", 1)
+    return F.when((host(url) == host(site)) & F.startswith(path, F.lit(prefix)), normal_url(url))
+
+
 def url_space(url: Column | str) -> Column:
     """The first folder of a URL's path; empty if there is none."""
     return F.regexp_extract(normal_url(url), r"^[^/]*//[^/]*/([^/]+)", 1)
@@ -121,8 +128,10 @@ def sentences(text: Column | str, shortest: int = 20) -> Column:
 
 
 def json_object(text: Column | str) -> Column:
-    """The outermost braces of a text, where a direct parse is to start."""
-    return F.regexp_extract(col(text), r"(?s)(\{.*\})", 1)
+    """The JSON object that a text is or, between its outermost braces, holds; empty where there is none that can be read."""
+    whole, held = F.trim(col(text)), F.regexp_extract(col(text), r"(?s)(\{.*\})", 1)
+    reads = lambda c: c.startswith("{") & F.get_json_object(c, "$").isNotNull()
+    return F.when(reads(whole), whole).when(reads(held), held).otherwise("")
 
 
 def without_controls(text: Column | str) -> Column:

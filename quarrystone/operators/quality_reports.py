@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -20,6 +21,23 @@ def document_quality(files: DataFrame, now: Column, stale_days: int = 180) -> Da
     return files.groupBy(extension("path").alias("file_type")).agg(F.count("*").alias("files"), F.count_if(stale).alias("stale"), F.count_if(F.col("size_bytes") == 0).alias("empty"), F.sum("size_bytes").alias("bytes"))
 
 
+def document_listings(files: DataFrame, now: Column, stale_days: int = 180, limit: int = 10) -> DataFrame:
+    """(list, place, path, modified_at): the files changed last, the stale ones from the oldest on, and empty ones by path; ``limit`` of each."""
+    stale = files.filter(F.col("modified_at") < now - F.make_interval(days=F.lit(stale_days)))
+    kinds = (("recent", files, [F.desc("modified_at"), F.col("path")]), ("stale", stale, [F.col("modified_at"), F.col("path")]), ("empty", files.filter("size_bytes = 0"), [F.col("path")]))
+    out = []
+    for name, some, order in kinds:
+        first = some.select("path", "modified_at").orderBy(*order).limit(limit)  # each task hands on ``limit`` rows
+        out.append(first.select(F.lit(name).alias("list"), F.row_number().over(Window.orderBy(*order)).alias("place"), "path", "modified_at"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def overview_days(asked: Column | str | int | None, default: int = 30) -> Column:
+    """The days that an overview covers: 1 to 365, ``default`` where none or 0 are asked for."""
+    days = F.lit(asked) if asked is None or isinstance(asked, int) else F.col(asked) if isinstance(asked, str) else asked
+    return F.greatest(F.lit(1), F.least(F.lit(365), F.coalesce(F.nullif(days.cast("int"), F.lit(0)), F.lit(default))))
+
+
 def duplicate_names(files: DataFrame, limit: int = 10, paths: int = 5) -> DataFrame:
     """File names (without regard to case) that occur more than once, the commonest first, with their first paths.
 

@@ -64,14 +64,45 @@ def prompts(packed: DataFrame, queries: DataFrame, mode: str = "default", histor
     return told.select("query_id", F.concat(F.lit(MODES.get(mode, MODES["default"]) + "\n\n"), past, passages, F.lit("\n\nQuestion: "), F.col("text")).alias("prompt"))
 
 
-def answer(found: DataFrame, queries: DataFrame, generator: Generator, settings: Settings | None = None, mode: str = "default") -> DataFrame:
-    """(query_id, answer, n_sources, footer): the whole way from retrieved documents to a cited answer."""
+def answer(found: DataFrame, queries: DataFrame, generator: Generator, settings: Settings | None = None, mode: str = "default", judged: bool = False, further: int = 0) -> DataFrame:
+    """(query_id, answer, n_sources, footer): the whole way from retrieved documents to a cited answer.
+
+    ``judged`` adds the generator's verdict on each answer and its citations, ``further`` up to so many questions that could follow.
+    """
     packed = context.packed_context(found.withColumn("label", context.source_label("source", "title")), settings)
     told = generate(prompts(packed, queries, mode), generator, "query_id")
-    cited = context.citations(told, found).join(found.select("query_id", "position", F.col("source").alias("label"), "score"), ["query_id", "position"])
+    quoted = context.citations(told, found)
+    cited = quoted.join(found.select("query_id", "position", F.col("source").alias("label"), "score"), ["query_id", "position"])
     footer = context.citation_footer(cited, settings)
     sources = found.groupBy("query_id").agg(F.count("*").alias("n_sources"))
-    return told.join(sources, "query_id", "left").join(footer, "query_id", "left").select("query_id", "answer", F.coalesce("n_sources", F.lit(0)).alias("n_sources"), "footer")
+    out = told.join(sources, "query_id", "left").join(footer, "query_id", "left").select("query_id", "answer", F.coalesce("n_sources", F.lit(0)).alias("n_sources"), "footer")
+    if judged:
+        out = out.join(verdicts(told, quoted, generator), "query_id", "left")
+    if further:
+        asked = follow_ups(told, generator, further).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "question"))), lambda x: x["question"]).alias("follow_ups"))
+        out = out.join(asked, "query_id", "left").withColumn("follow_ups", F.coalesce("follow_ups", F.array().cast("array<string>")))
+    return out
+
+
+#: What a reader of an answer is told of each source, with what stands where the source lacks it.
+SHOWN = {"title": "Untitled", "path": "N/A", "source": None, "chunk_id": None, "text": "", "file_type": "", "chunk_index": None, "total_chunks": None, "section_path": "", "chunk_kind": ""}
+
+
+def results(answers: DataFrame, found: DataFrame, cited: DataFrame) -> DataFrame:
+    """(query_id, answer, sources, citations): one row a question, as a reader takes it.
+
+    ``sources`` are structs of ``SHOWN`` with score and relevance, by position; columns that ``found`` lacks are filled, and a source without a name
+    has its title.  ``citations`` are structs (text, source, chunk_id, score).
+    """
+    has = lambda rows, name: F.col(name) if name in rows.columns else F.lit(None)
+    title = F.coalesce(has(found, "title").cast("string"), F.lit(SHOWN["title"]))
+    told = {name: F.coalesce(has(found, name), title if name == "source" else F.lit(default)) if default is not None or name == "source" else has(found, name) for name, default in SHOWN.items()}
+    shown = F.struct("position", *[c.cast("string").alias(name) for name, c in told.items()], F.col("score"), F.round("score", 2).alias("relevance"))
+    sources = found.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(shown)), lambda x: x.dropFields("position")).alias("sources"))
+    quote = F.struct("position", F.col("citation").alias("text"), has(cited, "label").cast("string").alias("source"), has(cited, "chunk_id").cast("string").alias("chunk_id"), F.round(has(cited, "score").cast("double"), 2).alias("score"))
+    quotes = cited.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(quote)), lambda x: x.dropFields("position")).alias("citations"))
+    rows = answers.select("query_id", "answer").join(sources, "query_id", "left").join(quotes, "query_id", "left")
+    return rows.select("query_id", "answer", F.coalesce("sources", F.array().cast(sources.schema["sources"].dataType)).alias("sources"), F.coalesce("citations", F.array().cast(quotes.schema["citations"].dataType)).alias("citations"))
 
 
 def verdicts(answers: DataFrame, cited: DataFrame, generator: Generator, most: int = 8) -> DataFrame:

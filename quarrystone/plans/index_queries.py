@@ -98,16 +98,32 @@ def related_documents(spark, sf_dir):
     return Q.related_documents(found, sources, 50)
 
 
-@query()
+#: A new version has its last line revised, or a further line where the old one ends in a line break.
+@query(rf"""WITH {SNAPSHOTS}, v AS (SELECT o.path, o.text AS old, n.text AS new, list_filter(list_transform(string_split_regex(o.text, '[\n\r]'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS l,
+  regexp_replace(regexp_extract(o.text, '[^\n\r]*$'), '^\s+|\s+$', '', 'g') AS tail FROM old_files o JOIN new_files n ON o.path = n.path)
+SELECT path, CASE WHEN old = new THEN 1.0 WHEN tail = '' THEN round_even(2.0::DOUBLE * len(l) / (2 * len(l) + 1), 3) ELSE round_even((len(l) - 1.0::DOUBLE) / len(l), 3) END AS ratio, (old <> new)::BIGINT AS n_added, (old <> new AND tail <> '')::BIGINT AS n_removed,
+  CASE WHEN old = new THEN '' ELSE trim(tail || ' (revised)') END AS added, CASE WHEN old = new THEN '' ELSE tail END AS removed FROM v""")
 def version_diff(spark, sf_dir):
     from quarrystone.session import prepare
 
     prepare(spark, 512)
     old, new = old_files(spark, sf_dir), new_files(spark, sf_dir)
-    return Q.version_diff(old.select("path", F.col("text").alias("old")).join(new.select("path", F.col("text").alias("new")), "path"))
+    told = Q.version_diff(old.select("path", F.col("text").alias("old")).join(new.select("path", F.col("text").alias("new")), "path"))
+    return told.withColumns({c: F.array_join(c, "\n") for c in ("added", "removed")})
 
 
-@query()
+def plain_sql(html: str) -> str:
+    """SQL for the text between tags, with the entities that pages hold."""
+    for entity, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+        html = f"replace({html}, '{entity}', '{mark}')" if entity != "&lt;" else f"replace(regexp_replace({html}, '<[^>]*>', ' ', 'g'), '{entity}', '{mark}')"
+    return rf"trim(regexp_replace({html}, '[\s\x{{A0}}\x{{2000}}-\x{{200A}}\x{{3000}}]+', ' ', 'g'))"
+
+
+ARTICLE = r"regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article[^>]*>(.*)</article>', 1), '(?s)<!--.*?-->', '', 'g'), '(?s)<(script|style|nav|footer|header)[ >].*?</(script|style|nav|footer|header)>', ' ', 'g')"
+TITLE = r"regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"
+
+
+@query(f"SELECT page_id, {plain_sql(TITLE)} AS title, {plain_sql(ARTICLE)} AS text, NULL::VARCHAR AS error FROM pages")
 def html_extract(spark, sf_dir):
     return P.extract_pages(table(spark, sf_dir, "pages"))
 

@@ -11,14 +11,15 @@ from quarrystone.functions import embedding_store, models
 from quarrystone.functions.docx import docx_blocks, docx_package
 from quarrystone.functions.text import strip
 from quarrystone.operators import bm25, lookup
+from quarrystone.operators.quality_reports import document_listings
 from quarrystone.operators.quality_reports import line_changes as changes
-from quarrystone.plans.index_queries import BOTH_CHUNKS, DIFF
-from quarrystone.plans.inputs import NEW_FILES, OLD_FILES, TEXTS, line_chunks, line_chunks_sql, new_files, old_files
+from quarrystone.plans.index_queries import BOTH_CHUNKS, DIFF, LINKS
+from quarrystone.plans.inputs import BASE, NEW_FILES, OLD_FILES, TEXTS, line_chunks, line_chunks_sql, new_files, old_files
 from quarrystone.plans.registry import query, table
 from quarrystone.plans.reindex import reindex, sparse_index
 from quarrystone.plans.retrieval_queries import bm25_sql, questions
 from quarrystone.session import prepare
-from quarrystone.sources import event_log, export
+from quarrystone.sources import event_log, export, pages
 from quarrystone.streaming import streams
 from quarrystone.streaming.streams import work_folder
 
@@ -125,3 +126,20 @@ SELECT o.path, coalesce(sum(lines), 0)::BIGINT AS n_lines, coalesce(sum(greatest
 def line_changes(spark, sf_dir):
     old, new = old_files(spark, sf_dir), new_files(spark, sf_dir)
     return changes(old.select("path", F.col("text").alias("old")).join(new.select("path", F.col("text").alias("new")), "path"))
+
+
+@query(f"""WITH {LINKS}, p AS (SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS host FROM pages)
+SELECT page_id, target, nth FROM links JOIN p USING (page_id) WHERE lower(regexp_extract(target, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) = host AND starts_with(regexp_extract(target, '^[^/]*//[^/]*(/.*)?$', 1), '/t')""")
+def site_links(spark, sf_dir):
+    """Links that stay on their page's host, below one prefix."""
+    return pages.links(table(spark, sf_dir, "pages"), same_host=True, prefix="/t")
+
+
+LISTED = """SELECT '{name}' AS list, place, path, modified_at FROM (SELECT path, modified_at, row_number() OVER (ORDER BY {order}) AS place FROM old_files WHERE {where}) WHERE place <= 10"""
+
+
+@query(f"""WITH {TEXTS}, {OLD_FILES} SELECT list, place, path, strftime(modified_at, '%Y-%m-%d') AS modified FROM ({LISTED.format(name="recent", order="modified_at DESC, path", where="true")}
+UNION ALL {LISTED.format(name="stale", order="modified_at, path", where=f"modified_at < TIMESTAMP '{BASE}' - INTERVAL 180 DAY")} UNION ALL {LISTED.format(name="empty", order="path", where="size_bytes = 0")})""")
+def document_lists(spark, sf_dir):
+    listed = document_listings(old_files(spark, sf_dir), F.expr(f"timestamp_ntz'{BASE}'"))
+    return listed.select("list", F.col("place").cast("bigint").alias("place"), "path", F.date_format("modified_at", "yyyy-MM-dd").alias("modified"))

@@ -10,22 +10,56 @@ from quarrystone.operators.fusion import fused_topk
 from quarrystone.plans.registry import query, table
 from quarrystone.plans.text_queries import CHUNKS
 from quarrystone.plans.retrieval import deep_retrieve, retrieve
-from quarrystone.plans.retrieval_queries import document_index, fused_documents, questions
+from quarrystone.plans.retrieval_queries import FUSED, document_index, fused_documents, questions
 from quarrystone.streaming import streams
 
 
-@query()
+def words_sql(text: str) -> str:
+    """SQL for the distinct words of a text."""
+    return rf"list_distinct(regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}_]+'))"
+
+
+def longest_sql(text: str) -> str:
+    """SQL for what the stand-in generator answers: the four longest words of six letters or more."""
+    return rf"list_transform(list_sort(list_transform(list_distinct(regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}_]{{6,}}')), lambda w: {{'n': -length(w), 'w': w}}))[1:4], lambda x: x.w)"
+
+
+@query(f"""WITH RECURSIVE {FUSED}, p AS (SELECT query_id, doc_id, position, {words_sql("b.text")} AS asked, {words_sql("substr(coalesce(d.text, ''), 1, 4000)")} AS held FROM best JOIN documents d USING (doc_id) JOIN benchmark b ON item_id = query_id WHERE position <= 5),
+s AS (SELECT query_id, doc_id, position, 1 / (1 + exp(3 - 6.0::DOUBLE * len(list_intersect(asked, held)) / greatest(1, len(asked)))) AS score FROM p)
+SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, position) AS position FROM s""")
 def rerank_stub(spark, sf_dir):
     found = fused_documents(spark, sf_dir).select("query_id", "doc_id", "text", "score", "position")
-    return models.rerank(found, questions(spark, sf_dir), models.OverlapReranker()).select("query_id", "doc_id", "score", "position")
+    judged = models.rerank(found, questions(spark, sf_dir), models.OverlapReranker())
+    return judged.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("position").cast("bigint").alias("position"))
 
 
-@query()
+@query(f"""WITH w AS (SELECT item_id AS query_id, text, {longest_sql("text")} AS l FROM benchmark)
+SELECT query_id, 0 AS nth, text FROM w UNION ALL SELECT query_id, i::INT, l[i] FROM (SELECT query_id, l, unnest(range(1, len(l) + 1)) AS i FROM w)""")
 def query_expansion(spark, sf_dir):
     return models.expand(questions(spark, sf_dir), models.EchoGenerator())
 
 
-@query()
+def told_sql(prompt: str) -> str:
+    """SQL for what the stand-in generator answers to a prompt, as text."""
+    return f"""'["' || array_to_string({longest_sql(prompt)}, '", "') || '"]'"""
+
+
+@query(f"""WITH h AS (SELECT conv_id AS query_id, arg_min(text, turn) AS history FROM conversations WHERE role = 'user' AND text IS NOT NULL GROUP BY conv_id),
+q AS (SELECT item_id AS query_id, text, coalesce(history, '') AS history FROM benchmark LEFT JOIN h ON query_id = item_id),
+v AS (SELECT query_id, {longest_sql("'Give other wordings as a JSON array.' || chr(10) || text")} AS l FROM q),
+a AS (SELECT query_id, 0 AS place, 'question' AS kind, text FROM q
+  UNION ALL SELECT query_id, 1, 'rewriting', {told_sql("'Rewrite the question so that it stands alone.' || chr(10) || history || chr(10) || text")} FROM q WHERE trim(history) <> ''
+  UNION ALL SELECT query_id, 1 + i, 'variant', l[i] FROM (SELECT query_id, l, unnest(range(1, len(l) + 1)) AS i FROM v)
+  UNION ALL SELECT query_id, 9, 'passage', {told_sql("'Write a passage that answers the question.' || chr(10) || text")} FROM q),
+d AS (SELECT query_id, text, arg_min(kind, place) AS kind, min(place) AS place FROM a GROUP BY query_id, text)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY place) - 1)::INT AS nth, kind, text FROM d""")
+def history_expansion(spark, sf_dir):
+    """Questions widened in the light of a conversation's first question."""
+    first = table(spark, sf_dir, "conversations").filter("role = 'user' AND text IS NOT NULL").groupBy(F.col("conv_id").alias("query_id")).agg(F.min_by("text", "turn").alias("history"))
+    return models.expand_with_history(questions(spark, sf_dir).join(first, "query_id", "left"), models.EchoGenerator())
+
+
+@query("SELECT DISTINCT sha256(concat_ws(':', 'hash', text)) AS key, 64 AS dimensions FROM documents")
 def embedding_cache(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("text")
     embedder = models.HashEmbedder()

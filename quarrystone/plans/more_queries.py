@@ -14,6 +14,7 @@ from quarrystone.operators import history_writes as history_writes_
 from quarrystone.plans import answering
 from quarrystone.plans.history_queries import WEAK
 from quarrystone.plans.inputs import BASE, FEEDBACK, MESSAGES, NEW_FILES, NOW, OLD_FILES, SESSIONS, TEXTS, feedback, line_chunks, line_chunks_sql, messages, new_files, old_files, sessions, texts, users
+from quarrystone.plans.model_queries import longest_sql
 from quarrystone.plans.registry import query, table
 from quarrystone.plans.reindex import reindex
 from quarrystone.plans.retrieval_queries import fused_documents, questions
@@ -107,7 +108,8 @@ def admin_overview(spark, sf_dir):
     return one.unpivot([], ["sessions", "messages", "up", "down", "weak", "recent_sessions"], "metric", "value")
 
 
-@query()
+@query(f"""WITH RECURSIVE {CHUNKS}, p AS (SELECT doc_id || '_' || chunk_index AS key, 'Situate this passage of doc ' || doc_id || ':' || chr(10) || substr(text, 1, 900) AS prompt FROM chunks WHERE chunk_index < 80 AND length(text) >= 40)
+SELECT key, substr('["' || array_to_string({longest_sql("prompt")}, '", "') || '"]', 1, 500) AS prefix FROM p""")
 def contextual_prefix(spark, sf_dir):
     chunks = fixed(spark, sf_dir).join(texts(spark, sf_dir).select("doc_id", "title"), "doc_id").withColumn("key", F.concat_ws("_", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")))
     return answering.contextual_prefixes(chunks, models.EchoGenerator(), "key")

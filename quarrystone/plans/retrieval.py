@@ -67,11 +67,11 @@ def deep_retrieve(search: Callable[[DataFrame], DataFrame], queries: DataFrame,
             merged = found if pool is None else pool.select("query_id", key, "score", "round").unionByName(found)
             merged = merged_pool(merged, key, s.deep_pool).checkpoint()
             best = found.groupBy("query_id").agg(F.max("score").alias("best")).filter(F.col("best") >= s.deep_good_score).select("query_id").checkpoint()
-        except Exception:
+        except Exception as error:
             if pool is None:
                 raise
             stop(open_, round_, "error")
-            reasons.append("error")
+            reasons.append(f"error: {type(error).__name__}: {str(error).splitlines()[0] if str(error) else ''}")
             break
         pool = merged
         stop(open_.join(best, "query_id", "left_semi"), round_, "good_enough")

@@ -43,7 +43,9 @@ def chunk_index(spark, sf_dir):
     return bm25.stored_index(chunks, "chunk", "chunk", version, home=("doc_id",))
 
 
-@query(f"WITH {bm25_sql('documents', 'doc_id')} SELECT term, df, round(idf, 6) AS idf FROM terms")
+@query(f"""WITH d AS (SELECT unnest(list_distinct({TOK})) AS term FROM documents), size AS (SELECT count(*) AS n FROM documents), counts AS (SELECT term, count(*) AS df FROM d GROUP BY term),
+raw AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS raw_idf FROM counts, size)
+SELECT term, df, round(CASE WHEN raw_idf < 0 THEN 0.25 * avg(raw_idf) OVER () ELSE raw_idf END, 6) AS idf FROM raw""")
 def term_stats(spark, sf_dir):
     return document_index(spark, sf_dir).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from pathlib import PurePosixPath
 from urllib.parse import unquote
@@ -25,6 +26,7 @@ from quarrystone.session import prepare
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
+R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 DC = "{http://purl.org/dc/elements/1.1/}"
 
 
@@ -55,16 +57,29 @@ def read_docx(content: bytes, name: str) -> tuple[str, str]:
     return _core_title(package) or (paragraphs[0][:100] if paragraphs else name), squeeze("\n".join(paragraphs + rows))
 
 
+def sheets_in_order(package: zipfile.ZipFile) -> list[tuple[str, str]]:
+    """(title, member) of a workbook's sheets as it lists them, by their relationship ids; by their numbers where it has none."""
+    listed = list(ElementTree.fromstring(package.read("xl/workbook.xml")).iter(f"{S}sheet"))
+    numbered = sorted((x for x in package.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", x)), key=lambda x: int(re.search(r"\d+", x)[0]))
+    targets = {}
+    if "xl/_rels/workbook.xml.rels" in package.namelist():
+        for link in ElementTree.fromstring(package.read("xl/_rels/workbook.xml.rels")):
+            target = link.get("Target", "")
+            targets[link.get("Id", "")] = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+    members = [targets.get(sheet.get(f"{R}id", "")) for sheet in listed]
+    if not all(member in package.namelist() for member in members):
+        members = numbered
+    return list(zip((sheet.get("name", "") for sheet in listed), members, strict=False))
+
+
 def read_xlsx(content: bytes, name: str) -> tuple[str, str]:
     """Every sheet with a header line; empty cells keep their place."""
     package = zipfile.ZipFile(io.BytesIO(content))
     shared: list[str] = []
     if "xl/sharedStrings.xml" in package.namelist():
         shared = ["".join(t.text or "" for t in item.iter(f"{S}t")) for item in ElementTree.fromstring(package.read("xl/sharedStrings.xml"))]
-    titles = [sheet.get("name", "") for sheet in ElementTree.fromstring(package.read("xl/workbook.xml")).iter(f"{S}sheet")]
-    sheets = sorted((x for x in package.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", x)), key=lambda x: int(re.search(r"\d+", x)[0]))
     lines = []
-    for title, sheet in zip(titles, sheets, strict=False):
+    for title, sheet in sheets_in_order(package):
         lines.append(f"Sheet: {title}")
         for row in ElementTree.fromstring(package.read(sheet)).iter(f"{S}row"):
             cells = []
@@ -121,23 +136,37 @@ def extract(files: DataFrame, readers: dict[str, Callable[[bytes, str], tuple[st
     return files.select("path", "file_type", "content").mapInArrow(read, "path string, title string, text string, error string")
 
 
-def archive_members(files: DataFrame) -> DataFrame:
-    """(path, member, content) of ZIP files: names are percent-decoded, and parts that lead upwards are dropped."""
+def archive_members(files: DataFrame, largest: int = 256 * 1024 * 1024) -> DataFrame:
+    """(path, member, content, error) of ZIP files: names are percent-decoded, and parts that lead upwards are dropped.
+
+    An archive or a member that can't be read, or a member of over ``largest`` bytes, is a row with an error and no content.
+    """
     prepare(files.sparkSession, 16)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row(path: str, member: str | None, content: bytes | None, error: str | None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([member], pa.string()), pa.array([content], pa.binary()), pa.array([error], pa.string())], names=["path", "member", "content", "error"])
+
         for batch in batches:
             for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 try:
                     package = zipfile.ZipFile(io.BytesIO(content or b""))
-                except zipfile.BadZipFile:
+                except zipfile.BadZipFile as error:
+                    yield row(path, None, None, f"BadZipFile: {error}")
                     continue
                 for info in package.infolist():
                     name = "/".join(p for p in unquote(info.filename).replace("\\", "/").split("/") if p not in ("", ".", ".."))
-                    if name and not info.is_dir():
-                        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([name]), pa.array([package.read(info)], pa.binary())], names=["path", "member", "content"])
+                    if not name or info.is_dir():
+                        continue
+                    if info.file_size > largest:
+                        yield row(path, name, None, f"{info.file_size} bytes are more than {largest}")
+                        continue
+                    try:
+                        yield row(path, name, package.read(info), None)
+                    except (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError) as error:  # damaged, of an unknown method, or encrypted
+                        yield row(path, name, None, f"{type(error).__name__}: {error}")
 
-    return files.select("path", "content").mapInArrow(read, "path string, member string, content binary")
+    return files.select("path", "content").mapInArrow(read, "path string, member string, content binary, error string")
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -145,6 +174,11 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).na.drop("all")
 
 
+def write_json_lines(rows: DataFrame, path: str) -> None:
+    """A folder of JSON-lines files that ``read_json_lines`` reads again; nulls are left out of their objects."""
+    rows.write.mode("overwrite").json(path)
+
+
 def append_log(rows: DataFrame, path: str, stage: str = "stage") -> None:
     """An exchange log: JSON lines, one folder a stage."""
     rows.write.mode("append").partitionBy(stage).json(path)
