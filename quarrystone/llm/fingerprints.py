@@ -78,7 +78,8 @@ def variates(terms: np.ndarray, samples: int = SAMPLES) -> tuple[np.ndarray, ...
     np.log(gamma, out=gamma)
     np.subtract(LOG_SCALE, gamma, out=gamma)
     np.maximum(gamma, LEAST, out=gamma)
-    np.log(gamma[:, 1::2], out=log_c)
+    np.copyto(log_c, gamma[:, 1::2])  # next to each other the logs are faster
+    np.log(log_c, out=log_c)
     second *= np.uint64(0x94D049BB133111EB)
     second >>= np.uint64(40)
     np.copyto(beta, second.view(np.int64), casting="unsafe")  # converts much faster
@@ -100,30 +101,33 @@ def weighted_terms(text: str) -> tuple[np.ndarray, np.ndarray]:
     return terms, counts.astype(np.float32)
 
 
-def race(terms: np.ndarray, weights: np.ndarray, samples: int = SAMPLES) -> tuple[np.ndarray, ...]:
-    """For each sample the least value, its term and its quantised weight; blocks bound the memory."""
-    best = np.full(samples, np.inf, np.float32)
-    term, step = np.zeros(samples, np.uint64), np.zeros(samples, np.int64)
+def races(terms: np.ndarray, weights: np.ndarray, ends: list[int], samples: int = SAMPLES) -> list[tuple[np.ndarray, ...]]:
+    """For each part of the terms, which ends where ``ends`` says, and each sample the least value, its term and its quantised weight.
+
+    All parts go through the same blocks, which bound the memory.  An empty part has infinite values.
+    """
+    out = [(np.full(samples, np.inf, np.float32), np.zeros(samples, np.uint64), np.zeros(samples, np.int64)) for _ in ends]
     column = np.arange(samples)
-    single = weights == 1
-    for some, counts in ((terms[single], None), (terms[~single], weights[~single])):
-        for at in range(0, len(some), BLOCK):
-            keys = some[at : at + BLOCK]
-            r, values, beta = variates(keys, samples)
-            t = None
-            if counts is not None:  # else the log of the weight is 0, and so is the step
-                t = np.log(counts[at : at + BLOCK])[:, None] / r
-                t += beta
-                np.floor(t, out=t)
-                beta -= t
-            beta -= 1
-            beta *= r
-            values += beta
-            row = values.argmin(axis=0)
-            value = values[row, column]
-            won = value < best
-            best[won], term[won], step[won] = value[won], keys[row][won], 0 if t is None else t[row, column][won].astype(np.int64)
-    return best, term, step
+    for at in range(0, len(terms), BLOCK):
+        keys, counts = terms[at : at + BLOCK], weights[at : at + BLOCK]
+        r, values, beta = variates(keys, samples)
+        heavy = np.flatnonzero(counts != 1)  # of a weight of 1 the log is 0, and so is the step
+        steps = np.zeros((1 + len(heavy), samples), np.float32)
+        steps[1:] = np.floor(np.log(counts[heavy])[:, None] / r[heavy] + beta[heavy])
+        beta[heavy] -= steps[1:]
+        beta -= 1
+        beta *= r
+        values += beta
+        place = np.zeros(len(keys), np.int64)
+        place[heavy] = np.arange(1, len(heavy) + 1)
+        for begin, end, (best, term, step) in zip([0, *ends], ends, out, strict=False):
+            low, high = max(begin - at, 0), min(end - at, len(keys))
+            if low < high:
+                row = values[low:high].argmin(axis=0) + low
+                value = values[row, column]
+                won = value < best
+                best[won], term[won], step[won] = value[won], keys[row[won]], steps[place[row[won]], column[won]].astype(np.int64)
+    return out
 
 
 def sealed(*races: tuple[np.ndarray, ...]) -> np.ndarray:
@@ -139,7 +143,7 @@ def sealed(*races: tuple[np.ndarray, ...]) -> np.ndarray:
 
 
 def signature(terms: np.ndarray, weights: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
-    return sealed(race(terms, weights, samples))
+    return sealed(*races(terms, weights, [len(terms)], samples))
 
 
 def signatures(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray], samples: int = SAMPLES) -> tuple[np.ndarray, np.ndarray]:
@@ -147,9 +151,11 @@ def signatures(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.nda
     (a, wa), (b, wb) = one, two
     _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
     equal = wa[i] == wb[j]
-    i, j = i[equal], j[equal]
-    shared = race(a[i], wa[i], samples)
-    return tuple(sealed(shared, race(np.delete(t, at), np.delete(w, at), samples)) for t, w, at in ((a, wa, i), (b, wb, j)))
+    own, other = np.ones(len(a), bool), np.ones(len(b), bool)
+    own[i[equal]], other[j[equal]] = False, False
+    parts = [(a[~own], wa[~own]), (a[own], wa[own]), (b[other], wb[other])]
+    shared, first, second = races(*map(np.concatenate, zip(*parts, strict=True)), np.cumsum([len(t) for t, _ in parts]).tolist(), samples)
+    return sealed(shared, first), sealed(shared, second)
 
 
 def text_signature(text: str, samples: int = SAMPLES) -> np.ndarray:
