@@ -40,8 +40,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrystone.llm.near_dedup import MIX_A, MIX_B
-from quarrystone.llm.shared import LONG_WORD, discard, id_and_text, join_counted, keep, materialize
+from quarrystone.llm.near_dedup import MIX_A, MIX_B, word_hashes
+from quarrystone.llm.shared import discard, id_and_text, join_counted, materialize
 
 WINDOW = 13
 SEED = 5
@@ -58,38 +58,6 @@ PLACE_BITS = 31
 
 
 
-class WordHashes:
-    """64-bit hashes of words, which three passes over the texts need; two generations of at most ``cap`` words of ``LONG_WORD`` bytes bound the memory."""
-
-    def __init__(self, cap: int = 200_000):
-        self.cap, self.young, self.old = cap, {}, {}
-
-    def clear(self) -> None:
-        self.young, self.old = {}, {}
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        young, old, digest, long = self.young, self.old, xxhash.xxh3_64_intdigest, []
-        for word in set(words):
-            if word not in young:
-                young[word] = old[word] if word in old else digest(word)
-                if len(word) > LONG_WORD:
-                    long.append(word)
-        out = np.fromiter(map(young.__getitem__, words), np.uint64, len(words))
-        for word in long:
-            del young[word]
-        if len(young) > self.cap:
-            self.old, self.young = young, {}
-        return out
-
-
-_HASHES = keep(WordHashes())
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """By a function, so that tasks of one worker share the cache and don't get one with their code."""
-    return _HASHES(words)
-
-
 def words_of(text: str | None) -> list[bytes]:
     """Words between ASCII white space, unchanged."""
     return (text or "").encode("utf-8", "surrogatepass").split()
@@ -98,10 +66,12 @@ def words_of(text: str | None) -> list[bytes]:
 def run_hashes(w: np.ndarray, size: int, mix: np.uint64 = MIX_A) -> np.ndarray:
     """A hash of each run of ``size`` words."""
     n = len(w) - size + 1
-    h = np.full(n, size, np.uint64)
+    h, spare, shift = np.full(n, size, np.uint64), np.empty(n, np.uint64), np.uint64(31)
     for k in range(size):
-        h = (h ^ w[k : k + n]) * mix
-        h ^= h >> np.uint64(31)
+        h ^= w[k : k + n]
+        h *= mix
+        np.right_shift(h, shift, out=spare)
+        h ^= spare
     return h
 
 
