@@ -134,6 +134,11 @@ def json_object(text: Column | str) -> Column:
     return F.when(reads(whole), whole).when(reads(held), held).otherwise("")
 
 
+def sniffed_headings(html: Column | str, most: int = 5) -> Column:
+    """The first headings of a page as they stand in its source, without a parser."""
+    return F.array_join(F.slice(F.regexp_extract_all(col(html), F.lit("(?s)<h[1-6][^>]*>(.*?)</h"), F.lit(1)), 1, most), " | ")
+
+
 def without_controls(text: Column | str) -> Column:
     return F.regexp_replace(col(text), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
 

@@ -88,3 +88,14 @@ def cache_survivors(entries: DataFrame, now: Column, ttl_seconds: int, capacity:
 def cache_misses(wanted: DataFrame, cache: DataFrame) -> DataFrame:
     """Distinct keys that still have to be computed."""
     return wanted.select("key").distinct().join(cache.select("key"), "key", "left_anti")
+
+
+def valid_text(text: Column, least: int = 3, most: int = 1000) -> Column:
+    """Whether a text has a length within bounds and no control characters but tabs and line breaks; null for null."""
+    return F.length(text).between(least, most) & ~text.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]")
+
+
+def latest(rows: DataFrame, key: str, at: str, tie: str, since: Column, most: int) -> DataFrame:
+    """The last ``most`` rows of each key after ``since``; each task hands on as many of a key at most, however common it is."""
+    by = Window.partitionBy(key).orderBy(F.desc(at), tie)
+    return rows.filter(F.col(at) > since).withColumn("place", F.row_number().over(by)).filter(F.col("place") <= most)

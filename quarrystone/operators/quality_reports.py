@@ -32,6 +32,11 @@ def document_listings(files: DataFrame, now: Column, stale_days: int = 180, limi
     return reduce(DataFrame.unionByName, out)
 
 
+def storage_sizes(files: DataFrame) -> DataFrame:
+    """Files and bytes by folder and type."""
+    return files.groupBy(folder("path").alias("folder"), extension("path").alias("file_type")).agg(F.count("*").alias("files"), F.sum("size_bytes").alias("bytes"))
+
+
 def overview_days(asked: Column | str | int | None, default: int = 30) -> Column:
     """The days that an overview covers: 1 to 365, ``default`` where none or 0 are asked for."""
     days = F.lit(asked) if asked is None or isinstance(asked, int) else F.col(asked) if isinstance(asked, str) else asked

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarrystone.functions import models
-from quarrystone.functions.text import extension, first_filled, folder
+from quarrystone.functions.text import sniffed_headings
 from quarrystone.operators import admission
+from quarrystone.operators.context import source_label
+from quarrystone.operators.quality_reports import storage_sizes as sizes
 from quarrystone.operators.names import lookup_names
 from quarrystone.operators import history as H
 from quarrystone import store
@@ -41,11 +43,8 @@ def basket_export(spark, sf_dir):
 
 @query(f"SELECT event_type, event_id FROM events WHERE ts > TIMESTAMP '{NOW}' - INTERVAL 5 DAY QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id) <= 50")
 def latest_jobs(spark, sf_dir):
-    from pyspark.sql import Window
-
-    fresh = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz")).filter(F.col("ts") > F.expr(f"timestamp_ntz'{NOW}' - interval 5 day"))
-    by = Window.partitionBy("event_type").orderBy(F.desc("ts"), "event_id")
-    return fresh.withColumn("n", F.row_number().over(by)).filter("n <= 50").select("event_type", "event_id")
+    rows = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return admission.latest(rows, "event_type", "ts", "event_id", F.expr(f"timestamp_ntz'{NOW}' - interval 5 day"), 50).select("event_type", "event_id")
 
 
 @query("""WITH wanted AS (SELECT DISTINCT 'SRC' || (conv_id % 7 + turn) AS label FROM conversations), known AS (SELECT DISTINCT source FROM documents)
@@ -59,8 +58,7 @@ def source_lookup(spark, sf_dir):
 
 @query("SELECT page_id, array_to_string(regexp_extract_all(html, '(?s)<h[1-6][^>]*>(.*?)</h', 1)[1:5], ' | ') AS headings FROM pages")
 def heading_sniff(spark, sf_dir):
-    found = F.regexp_extract_all("html", F.lit("(?s)<h[1-6][^>]*>(.*?)</h"), F.lit(1))
-    return table(spark, sf_dir, "pages").select("page_id", F.array_join(F.slice(found, 1, 5), " | ").alias("headings"))
+    return table(spark, sf_dir, "pages").select("page_id", sniffed_headings("html").alias("headings"))
 
 
 @query(f"""WITH {TEXTS}, {OLD_FILES} SELECT path, CASE WHEN size_bytes > 5000 THEN 'too_large' WHEN path LIKE '%.txt' THEN 'text' ELSE 'rejected' END AS kind FROM old_files""")
@@ -71,13 +69,12 @@ def upload_filter(spark, sf_dir):
 
 @query(r"SELECT conv_id, turn, length(text) BETWEEN 3 AND 1000 AND NOT regexp_matches(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]') AS valid FROM conversations")
 def input_validation(spark, sf_dir):
-    ok = F.length("text").between(3, 1000) & ~F.col("text").rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", ok.alias("valid"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", admission.valid_text(F.col("text")).alias("valid"))
 
 
 @query(f"WITH {TEXTS}, {OLD_FILES} SELECT regexp_replace(path, '/?[^/]*$', '') AS folder, lower(regexp_extract(path, '\\.([^./]+)$', 1)) AS file_type, count(*) AS files, sum(size_bytes)::BIGINT AS bytes FROM old_files GROUP BY 1, 2")
 def storage_sizes(spark, sf_dir):
-    return old_files(spark, sf_dir).groupBy(folder("path").alias("folder"), extension("path").alias("file_type")).agg(F.count("*").alias("files"), F.sum("size_bytes").alias("bytes"))
+    return sizes(old_files(spark, sf_dir))
 
 
 @query(f"WITH {MESSAGES}, {SESSIONS} SELECT session_id FROM sessions WHERE user_id = 31 OR (user_id IS NULL AND session_id IN (SELECT doc_id FROM labels WHERE quality = 0))")
@@ -94,7 +91,7 @@ def user_lookup(spark, sf_dir):
 @query(f"WITH {MESSAGES} SELECT message_id, coalesce(nullif(trim(s->>'source'), ''), nullif(trim(s->>'title'), ''), 'N/A') AS label FROM (SELECT message_id, unnest(from_json(sources_json::JSON, '[\"JSON\"]')) AS s FROM messages WHERE sources_json IS NOT NULL)")
 def source_labels(spark, sf_dir):
     rows = messages(spark, sf_dir).select("message_id", F.explode(F.from_json("sources_json", H.SOURCES)).alias("s"))
-    return rows.select("message_id", F.coalesce(first_filled("s.source", "s.title"), F.lit("N/A")).alias("label"))
+    return rows.select("message_id", source_label("s.source", "s.title").alias("label"))
 
 
 @query(f"""WITH {MESSAGES}, {SESSIONS}, {FEEDBACK}, {WEAK.format(limit=1000)} SELECT 'sessions' AS metric, count(*) AS value FROM sessions UNION ALL SELECT 'messages', count(*) FROM messages

@@ -8,6 +8,7 @@ from quarrystone.functions import text as T
 from quarrystone.operators import admission, chunking
 from quarrystone.plans.inputs import NOW, TEXTS, texts
 from quarrystone.plans.registry import query, table
+from quarrystone.streaming.streams import parsed_events
 
 #: Fixed chunks as a recursive query: each row carries where the next window starts.
 CHUNKS = r"""w AS (
@@ -122,8 +123,8 @@ def option_clamp(spark, sf_dir):
 
 @query("SELECT event_id, user_id, event_type, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE event_type IN ('view', 'click', 'signup', 'purchase') AND user_id IS NOT NULL AND props IS NOT NULL")
 def event_parse(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter(F.col("event_type").isin("view", "click", "signup", "purchase") & F.col("user_id").isNotNull() & F.col("props").isNotNull())
-    return e.select("event_id", "user_id", "event_type", F.from_json("props", "k bigint")["k"].alias("k"))
+    found = parsed_events(table(spark, sf_dir, "events"), ["view", "click", "signup", "purchase"], "props", "k bigint", needed=("user_id",))
+    return found.select("event_id", "user_id", "event_type", "k")
 
 
 @query("SELECT event_id // 1000 AS batch, count(*) AS accepted, max(event_id) + 1 AS next_offset FROM events WHERE event_type <> 'error' GROUP BY 1")

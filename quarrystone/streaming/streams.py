@@ -29,6 +29,14 @@ def file_stream(spark: SparkSession, sf_dir: str, name: str, files: int = 4) ->
     return reader.parquet(f"{sf_dir}/{name}.parquet*")
 
 
+def parsed_events(events: DataFrame, kinds: list[str], body: str, schema: str, needed: tuple[str, ...] = ()) -> DataFrame:
+    """Events of the given kinds whose body and ``needed`` columns are there, with the body's fields (null where it can't be read)."""
+    kept = F.col("event_type").isin(*kinds) & F.col(body).isNotNull()
+    for name in needed:
+        kept &= F.col(name).isNotNull()
+    return events.filter(kept).withColumn("_body", F.from_json(body, schema)).select("*", "_body.*").drop("_body")
+
+
 def take_events(events: DataFrame, folder: str, bad: Column, parse: Callable[[DataFrame], DataFrame] = lambda batch: batch) -> None:
     """Read all events there are: accepted ones go to ``accepted``, those that ``bad`` (over the parsed columns; null is no) tells to ``dead``.
 

@@ -1,6 +1,7 @@
 """What is kept and maintained: pointers and leases, segmented indexes, cells, logs, stores, exports, embeddings, structure, differences."""
 
 import random
+import re
 import time
 from collections import Counter
 from itertools import combinations
@@ -116,6 +117,18 @@ def test_segments_follow_the_corpus(spark, tmp_path):
     assert none["segments"] == [] and segment_ranking(spark, none, queries, 3) == []
 
 
+def test_scores_are_summed_where_postings_lie(spark, tmp_path):
+    corpus = spark.createDataFrame([(i % 7, i, f"w{i % 3} w{i % 5} both") for i in range(60)], "doc bigint, chunk bigint, text string")
+    queries = spark.createDataFrame([(1, "w1 both"), (2, "w4")], "query_id bigint, text string")
+    index = bm25.write_index(corpus, "chunk", "chunk", f"file://{tmp_path}/index", home=("doc",))
+    scores = bm25.bm25_scores(index, queries)
+    per_doc = scores.groupBy("query_id", "doc").agg(F.max("score").alias("score"))
+    plan = per_doc._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange hashpartitioning\(query_id#\d+L?, doc#", plan) and "term IN" in plan.replace("In(term", "term IN")
+    plain = bm25.bm25_topk(corpus, queries, 60, "chunk", "chunk", zero_fill=False).collect()
+    assert sorted((r["query_id"], r["chunk"], round(r["score"], 9)) for r in scores.collect()) == sorted((r["query_id"], r["chunk"], round(r["score"], 9)) for r in plain)
+
+
 def snapshot(spark, texts):
     return spark.createDataFrame([(p, len(t), 1, str(hash(t)), t) for p, t in texts.items()], "path string, size_bytes int, mtime int, sha256 string, text string")
 
