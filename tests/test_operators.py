@@ -412,3 +412,8 @@ def test_chunk_maintenance_can_start_again(spark, tmp_path):
     assert {(i, t[-3:]) for i, _, t in run()} == {(1, "one"), (2, "zzz")}
     arrive([(2, text + "new"), (3, text + "add")])
     assert {(i, t[-3:]) for i, _, t in run()} == {(1, "one"), (2, "new"), (3, "add")}
+
+
+def test_a_reference_counts_only_with_its_semicolon():
+    page = "<title>a &amp;&amp</title><article><h1>a &amp;&amp</h1><p>&lt;b&#62; &c &#x26;</p></article>"
+    assert html.page_text(page) == ("a &&amp", "a &&amp <b> &c &")
