@@ -67,24 +67,26 @@ def numbered(corpus: DataFrame, order: list[str], folder: str) -> DataFrame:
 
 def _describe(spark: SparkSession, folder: str) -> dict:
     docs = spark.read.parquet(f"{folder}/docs").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
-    return {"folder": folder, "docs": docs[0], "length": docs[1], "postings": bm25.bucketed(spark, f"{folder}/postings", "key").count(), "gone": 0}
+    return {"folder": folder, "docs": docs[0], "length": docs[1], "postings": bm25.bucketed(spark, f"{folder}/postings", "key").agg(F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()[0], "gone": 0}
 
 
-def _write(posts: DataFrame, docs: DataFrame, folder: str) -> dict:
-    """A segment of postings (key, ord, term, tf, dl) and docs (key, ord, dl)."""
-    spark = posts.sparkSession
-    stored = bm25.write_bucketed(posts.select("key", "ord", "term", "tf", "dl"), "key", f"{folder}/postings")
+def _write(docs: DataFrame, folder: str) -> dict:
+    """A segment of stored rows (key, ord, dl, terms, tfs)."""
+    spark = docs.sparkSession
+    stored = bm25.write_bucketed(docs.select("key", "ord", "dl", "terms", "tfs"), "key", f"{folder}/postings")
     docs.select("key", "ord", "dl").write.parquet(f"{folder}/docs")
-    stored.groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{folder}/terms")
+    stored.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{folder}/terms")
     return _describe(spark, folder)
 
 
 def _segment(corpus: DataFrame, order: list[str], folder: str, made: int) -> dict:
-    """A segment of (key, text) rows in ``order``."""
-    rows = numbered(corpus.select("key", "text", *order), order, f"{folder}/rows").withColumn("ord", F.col("place") + F.lit(made * PLACES))
-    words = bm25.tokenized(rows, "key", "ord")
-    segment = _write(bm25.postings(rows, "key", order="ord"), words, folder)
-    store.remove(corpus.sparkSession, f"{folder}/rows")
+    """A segment of (key, text) rows in ``order``; texts are counted before they are put in order, so what is moved are postings."""
+    spark = corpus.sparkSession
+    rows = corpus.select("key", "text", F.struct(*order).alias("_order"))
+    counts = bm25.counted(rows, "key", "_order").select("key", "dl", "terms", "tfs", *[F.col(f"ord.{c}").alias(c) for c in order])
+    placed = numbered(counts, order, f"{folder}/rows").withColumn("ord", F.col("place") + F.lit(made * PLACES))
+    segment = _write(bm25.one_each(placed.select("key", "ord", "dl", "terms", "tfs"), "key"), folder)
+    store.remove(spark, f"{folder}/rows")
     return segment
 
 
@@ -110,7 +112,7 @@ def increment(spark: SparkSession, root: str, listing: dict, removed: DataFrame
         told = spark.read.schema(GONE).parquet(new)
         counts = {r["segment"]: r["n"] for r in told.groupBy("segment").agg(F.count("*").alias("n")).collect()}  # a row a segment
         if counts:
-            posts = [bm25.bucketed(spark, f"{folder}/postings", "key").select("key", "term").join(told.filter(F.col("segment") == folder).select("key"), "key", "left_semi").select(F.lit(folder).alias("segment"), "term") for folder in counts]
+            posts = [bm25.bucketed(spark, f"{folder}/postings", "key").select("key", "terms").join(told.filter(F.col("segment") == folder).select("key"), "key", "left_semi").select(F.lit(folder).alias("segment"), F.explode("terms").alias("term")) for folder in counts]
             terms = f"{root}/went-{uuid.uuid4().hex}"
             reduce(DataFrame.unionByName, posts).groupBy("segment", "term").agg(F.count("*").alias("df")).write.parquet(terms)
             gone.append(new)
@@ -135,9 +137,8 @@ def _merged(spark: SparkSession, root: str, listing: dict) -> dict:
         if not chosen:
             return listing | {"segments": segments}
         gone = _tables(spark, listing["gone"], GONE)
-        live = lambda part: reduce(DataFrame.unionByName, [_without(part(s["folder"]), gone, s["folder"], s["gone"]) for s in chosen])
-        posts = live(lambda folder: bm25.bucketed(spark, f"{folder}/postings", "key"))
-        whole = _write(posts, live(lambda folder: spark.read.parquet(f"{folder}/docs")), f"{root}/segment-{uuid.uuid4().hex}")
+        live = [_without(bm25.bucketed(spark, f"{s['folder']}/postings", "key"), gone, s["folder"], s["gone"]) for s in chosen]
+        whole = _write(reduce(DataFrame.unionByName, live), f"{root}/segment-{uuid.uuid4().hex}")
         # Rows of segments that are no longer listed match nothing; the tables are written again without them when none is left of one.
         kept = [s for s in segments if s not in chosen]
         names = [s["folder"] for s in kept]
@@ -160,5 +161,5 @@ def index(spark: SparkSession, listing: dict, settings: Settings | None = None)
     went = _tables(spark, listing["went"], WENT).filter(F.col("segment").isin(names)).select("term", (-F.col("df")).alias("df"))
     counts = counts.unionByName(went).groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0")
     if not parts:
-        parts = (spark.createDataFrame([], "key string, ord bigint, term string, tf bigint, dl bigint"),)
+        parts = (spark.createDataFrame([], "key string, ord bigint, dl bigint, terms array<string>, tfs array<int>"),)
     return bm25.Index(parts, bm25.with_idf(counts, size, settings), size, docs, "key")

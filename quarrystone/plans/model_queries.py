@@ -73,7 +73,7 @@ def hybrid_dense_sparse(spark, sf_dir):
     embedder = models.HashEmbedder()
     vectors = models.embed(docs.select(F.col("doc_id").alias("vec_id"), "text"), embedder, "vec_id").withColumn("doc_id", F.col("vec_id"))
     asked = questions(spark, sf_dir)
-    return retrieve(docs, vectors, asked, models.embed(asked, embedder, "query_id"), "doc_id", "ord")
+    return retrieve(docs, vectors, asked, models.embed(asked, embedder, "query_id"), "doc_id", "ord", index=document_index(spark, sf_dir))
 
 
 @query()

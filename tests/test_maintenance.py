@@ -443,3 +443,22 @@ def test_duplicate_names_show_their_first_paths(spark):
     rows = spark.range(200).select(F.concat((F.col("id") % 100).cast("string"), F.lit("/"), F.when(F.col("id") < 150, "Same.txt").otherwise(F.concat("id", F.lit(".txt")))).alias("path"))
     got = quality_reports.duplicate_names(rows).collect()
     assert [(r["name"], r["files"], r["paths"].count(",")) for r in got] == [("same.txt", 150, 4)]
+
+
+def test_a_document_is_one_row_of_the_index(spark, tmp_path):
+    rows = [(1, "b a b"), (2, None), (3, "c"), (3, "c a"), (4, "...")]
+    corpus = spark.createDataFrame(rows, "id bigint, text string")
+    index = bm25.write_index(corpus, "id", "id", f"file://{tmp_path}/index")
+    assert sorted(r["id"] for r in index.parts[0].collect()) == [1, 2, 3, 4]
+    assert sorted((r["id"], r["term"], r["tf"]) for r in index.postings.collect()) == [(1, "a", 1), (1, "b", 2), (3, "a", 1), (3, "c", 2)]
+    assert {r["term"]: r["df"] for r in index.terms.collect()} == {"a": 2, "b": 1, "c": 1} and index.size.first()["n_docs"] == 5
+    plan = bm25.counted(corpus, "id", "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan  # postings are counted where their text is
+
+
+def test_contenders_lose_no_rank(spark):
+    scores = spark.range(4000).select((F.col("id") % 3).alias("query_id"), F.col("id").alias("ord"), F.floor(F.rand(1) * 50).cast("double").alias("score"))
+    scores = scores.unionByName(spark.createDataFrame([(9, 1, -1.0), (9, 2, -2.0)], scores.schema)).cache()
+    held = bm25.contenders(scores, 5, "ord")
+    told = lambda some: sorted(map(tuple, bm25.ranked(some, 5, "ord").collect()))
+    assert told(held) == told(scores) and held.count() < 0.2 * scores.count()
