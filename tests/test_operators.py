@@ -417,3 +417,9 @@ def test_chunk_maintenance_can_start_again(spark, tmp_path):
 def test_a_reference_counts_only_with_its_semicolon():
     page = "<title>a &amp;&amp</title><article><h1>a &amp;&amp</h1><p>&lt;b&#62; &c &#x26;</p></article>"
     assert html.page_text(page) == ("a &&amp", "a &&amp <b> &c &")
+
+
+def test_evaluation_reports_latency(spark, sf_dir):
+    from quarrystone.plans import catalogue
+
+    assert "avg_latency_ms" in catalogue.queries()["eval_metrics"](spark, sf_dir).columns
