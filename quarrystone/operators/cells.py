@@ -26,6 +26,8 @@ from quarrystone.session import checkpoint_dir, prepare, shared_dir
 
 #: At most so many pivots, with so many rings each: what the driver and every task hold of an index.
 MOST_PIVOTS, RINGS = 1024, 4
+#: A block that meets parts of the index has about so many times QUERY_BLOCK queries, a part about so many times VECTOR_BUCKET vectors.
+MEET_BLOCKS, MEET_BUCKETS = 4, 4
 #: What rounding may add to a bound.
 SLACK = 1e-6
 
@@ -117,6 +119,7 @@ class Bounds:
         centers = index.pivots.orderBy("pivot").collect()
         self.metric = index.metric
         self.cell, self.n = np.array([r["cell"] for r in rows], np.int64), np.array([r["n"] for r in rows], np.int64)
+        self.part = (np.cumsum(self.n) - self.n) // (MEET_BUCKETS * VECTOR_BUCKET)  # cells one after the other fill a part
         self.splits = {r["cell"]: r["splits"] for r in rows}
         self.low, self.high = (np.array([r[c] for r in rows], np.float64) for c in ("low", "high"))
         self.centers = np.array([r["center"] for r in centers], np.float64)
@@ -166,29 +169,39 @@ def _search_few(index: Cells, bounds: Bounds, ids: np.ndarray, q: np.ndarray, wa
     return rows.select("vec_id", "embedding", "cell").mapInArrow(search, FOUND)
 
 
-def _search_blocks(index: Cells, asked: DataFrame, splits: DataFrame, k: int) -> DataFrame:
-    """Queries (query_id, asked, block, wanted) against the parts of cells that they want: a task for each block and part that meet."""
+def _search_blocks(index: Cells, asked: DataFrame, bounds: Bounds, k: int) -> DataFrame:
+    """Queries (query_id, asked, block, part, split, wanted) against the parts of the index that they want: a task for each block and part that
+    meet.  A query comes once to a part, with the list of its cells that it wants, and gets its best there."""
     metric = index.metric
-    pairs = asked.select("query_id", "asked", "block", F.explode("wanted").alias("cell")).join(F.broadcast(splits), "cell")
-    pairs = pairs.select("query_id", "asked", "block", "cell", F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("split"))
-    meets = pairs.select(F.col("block").alias("to_block"), F.col("cell").alias("to_cell"), F.col("split").alias("to_split")).distinct()
-    held = index.vectors.join(meets, (F.col("cell") == F.col("to_cell")) & (F.col("split") == F.col("to_split"))).drop("cell", "split")
+    meets = asked.select(F.col("block").alias("to_block"), F.col("part").alias("to_part"), F.col("split").alias("to_split")).distinct()
+    parts = index.vectors.sparkSession.createDataFrame(list(zip(bounds.cell.tolist(), bounds.part.tolist(), strict=True)), "of int, part int")
+    held = index.vectors.join(F.broadcast(parts), F.col("cell") == F.col("of")).drop("of")  # a row a cell
+    held = held.join(meets, (F.col("part") == F.col("to_part")) & (F.col("split") == F.col("to_split"))).drop("part", "split")
 
     def meet(asked: pa.Table, held: pa.Table) -> pa.Table:
         found = []
         if asked.num_rows and held.num_rows:
-            found = list(best_of(asked.column("query_id").to_numpy(), _matrix(asked.column("asked")), held.column("vec_id").to_numpy(), _matrix(held.column("embedding")), k, metric))
+            names, cells = np.unique(held.column("cell").to_numpy(), return_inverse=True)
+            lists = asked.column("wanted").combine_chunks()
+            wanted = np.zeros((asked.num_rows, len(names)), bool)
+            rows, cols = np.repeat(np.arange(asked.num_rows), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+            at = np.minimum(np.searchsorted(names, cols), len(names) - 1)
+            there = names[at] == cols  # a cell may have no vector in this split
+            wanted[rows[there], at[there]] = True
+            found = list(best_of(asked.column("query_id").to_numpy(), _matrix(asked.column("asked")), held.column("vec_id").to_numpy(), _matrix(held.column("embedding")), k, metric, wanted, cells))
         return pa.Table.from_batches(found, pa.schema(zip(NAMES, (pa.int64(), pa.int64(), pa.float64()), strict=True)))
 
-    return pairs.groupBy("block", "cell", "split").cogroup(held.groupBy("to_block", "to_cell", "to_split")).applyInArrow(meet, FOUND)
+    return asked.groupBy("block", "part", "split").cogroup(held.groupBy("to_block", "to_part", "to_split")).applyInArrow(meet, FOUND)
 
 
 def _wanting(queries: DataFrame, bounds: Bounds, k: int) -> DataFrame:
-    """Queries with their home (the nearest pivot) and the cells of their next round; ``limit`` is null before the first."""
+    """Queries with their home (the nearest pivot) and the cells of their next round, a row for each part of the index that holds any; ``limit``
+    is null before the first."""
     shared = queries.sparkSession.sparkContext.broadcast(bounds)
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = shared.value
+        splits = np.array([b.splits[c] for c in b.cell.tolist()])
         for batch in batches:
             if batch.num_rows:
                 q, limit = _matrix(batch.column(1)), batch.column(2)
@@ -197,17 +210,32 @@ def _wanting(queries: DataFrame, bounds: Bounds, k: int) -> DataFrame:
                 else:
                     wanted = b.second(q, k, limit.to_numpy(zero_copy_only=False))
                 home = _apart(_placed(q, b.metric), b.centers).argmin(1)
-                lists = pa.array([b.cell[row].tolist() for row in wanted], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(home, pa.int32()), lists], names=["query_id", "asked", "home", "wanted"])
+                rows, parts, at, lists = [], [], [], []
+                for i, row in enumerate(wanted):
+                    for part in np.unique(b.part[row]).tolist():
+                        mine = row & (b.part == part)
+                        for split in range(splits[mine].max()):
+                            rows.append(i)
+                            parts.append(part)
+                            at.append(split)
+                            lists.append(b.cell[mine & (splits > split)].tolist())
+                rows = pa.array(rows, pa.int64())
+                columns = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(home, pa.int32()).take(rows), pa.array(parts, pa.int32()), pa.array(at, pa.int32()), pa.array(lists, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "asked", "home", "part", "split", "wanted"])
 
     kinds = dict((f.name, f.dataType.simpleString()) for f in queries.schema)
-    return queries.select("query_id", "asked", "limit").mapInArrow(tell, f"query_id {kinds['query_id']}, asked {kinds['asked']}, home int, wanted array<int>")
+    return queries.select("query_id", "asked", "limit").mapInArrow(tell, f"query_id {kinds['query_id']}, asked {kinds['asked']}, home int, part int, split int, wanted array<int>")
 
 
 def _dealt(wanting: DataFrame) -> DataFrame:
-    """Queries of one home in blocks of about QUERY_BLOCK."""
-    homes = wanting.groupBy("home").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
-    return wanting.join(F.broadcast(homes), "home").withColumn("block", F.concat_ws("-", "home", F.pmod(F.xxhash64("query_id"), F.col("blocks"))))  # a row a pivot
+    """Queries in blocks of about MEET_BLOCKS times QUERY_BLOCK: homes one after the other fill a block, and a home with more has several."""
+    most, at, begins = MEET_BLOCKS * QUERY_BLOCK, 0, []
+    for home, n in sorted(wanting.groupBy("home").agg(F.count_distinct("query_id")).collect()):  # a row a pivot
+        begins.append((home, at // most, -(-n // most)))
+        at += n
+    homes = wanting.sparkSession.createDataFrame(begins, "home int, base int, ways int")
+    block = F.when(F.col("ways") > 1, F.concat_ws("-", "base", "home", F.pmod(F.xxhash64("query_id"), F.col("ways")))).otherwise(F.col("base").cast("string"))
+    return wanting.join(F.broadcast(homes), "home").withColumn("block", block).drop("base", "ways")
 
 
 def nearest_in_cells(index: Cells, queries: DataFrame, k: int) -> tuple[DataFrame, dict[str, int]]:
@@ -236,12 +264,12 @@ def nearest_in_cells(index: Cells, queries: DataFrame, k: int) -> tuple[DataFram
         more = _search_few(index, bounds, ids, q, second, k)
         return _ranked(found.drop("rank").unionByName(more), k), {"searched": int(first.sum() + second.sum()), "all": first.size}
     asked = queries.select("query_id", F.col("embedding").alias("asked"))
-    splits = index.cells.select("cell", "splits")
+    n_asked = asked.count()
     started = _wanting(asked.withColumn("limit", F.lit(None).cast("double")), bounds, k).checkpoint()
-    found = _ranked(_search_blocks(index, _dealt(started), splits, k), k).checkpoint()
+    found = _ranked(_search_blocks(index, _dealt(started), bounds, k), k).checkpoint()
     limits = found.filter(F.col("rank") == k - 1).select("query_id", F.col("distance").alias("limit"))
     limited = asked.join(limits, "query_id", "left").withColumn("limit", F.coalesce("limit", F.lit(math.inf)))
     wanting = _wanting(limited, bounds, k).checkpoint()
-    more = _search_blocks(index, _dealt(wanting), splits, k)
-    pairs = started.unionByName(wanting).agg(F.sum(F.size("wanted"))).first()[0]
-    return _ranked(found.drop("rank").unionByName(more), k), {"searched": pairs, "all": started.count() * len(bounds.cell)}
+    more = _search_blocks(index, _dealt(wanting), bounds, k)
+    pairs = started.unionByName(wanting).filter("split = 0").agg(F.sum(F.size("wanted"))).first()[0]
+    return _ranked(found.drop("rank").unionByName(more), k), {"searched": pairs, "all": n_asked * len(bounds.cell)}

@@ -26,8 +26,11 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def best_of(query_ids: np.ndarray, q: np.ndarray, vec_ids: np.ndarray, v: np.ndarray, k: int, metric: str) -> Iterator[pa.RecordBatch]:
-    """The best ``k`` vectors of each query; ties to 9 decimals by vec_id, as in the final order."""
+def best_of(query_ids: np.ndarray, q: np.ndarray, vec_ids: np.ndarray, v: np.ndarray, k: int, metric: str, wanted: np.ndarray | None = None, cells: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """The best ``k`` vectors of each query; ties to 9 decimals by vec_id, as in the final order.
+
+    With ``wanted`` (queries by cells) and the ``cells`` of the vectors, a query meets those of the cells that it wants.
+    """
     step = max(1, CELLS // max(1, len(v)))
     vv, norms = (v * v).sum(1), np.linalg.norm(v, axis=1)
     for at in range(0, len(q), step):
@@ -37,6 +40,8 @@ def best_of(query_ids: np.ndarray, q: np.ndarray, vec_ids: np.ndarray, v: np.nda
         else:
             d = (some * some).sum(1)[:, None] + vv[None, :] - 2 * (some @ v.T)
         near = np.round(d, 9)
+        if wanted is not None:
+            near[~wanted[at : at + step][:, cells]] = np.inf
         if k < len(v):
             rows, cols = np.nonzero(near <= np.partition(near, k - 1, axis=1)[:, k - 1 : k])  # ties at the border included
         else:
@@ -44,7 +49,8 @@ def best_of(query_ids: np.ndarray, q: np.ndarray, vec_ids: np.ndarray, v: np.nda
         order = np.lexsort((vec_ids[cols], near[rows, cols], rows))
         rows, cols = rows[order], cols[order]
         nth = np.arange(len(rows)) - np.searchsorted(rows, rows)
-        rows, cols = rows[nth < k], cols[nth < k]
+        held = (nth < k) & (True if wanted is None else near[rows, cols] < np.inf)
+        rows, cols = rows[held], cols[held]
         yield pa.RecordBatch.from_arrays([pa.array(query_ids[at + rows]), pa.array(vec_ids[cols]), pa.array(d[rows, cols])], names=NAMES)
 
 

@@ -462,3 +462,12 @@ def test_contenders_lose_no_rank(spark):
     held = bm25.contenders(scores, 5, "ord")
     told = lambda some: sorted(map(tuple, bm25.ranked(some, 5, "ord").collect()))
     assert told(held) == told(scores) and held.count() < 0.2 * scores.count()
+
+
+def test_queries_come_once_to_a_part_of_the_cells(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(cells, "QUERY_BLOCK", 8)
+    vectors = spark.createDataFrame([(i, v) for i, v in enumerate(clusters(3, 400))], "vec_id bigint, embedding array<double>")
+    bounds = cells.Bounds(cells.write_cells(vectors, f"file://{tmp_path}/cells"))
+    asked = vectors.filter("vec_id % 4 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"), F.lit(None).cast("double").alias("limit"))
+    dealt = cells._dealt(cells._wanting(asked, bounds, 9)).collect()
+    assert len(dealt) == 100 and len({r["block"] for r in dealt}) <= 5  # one part; of 32 queries a block
