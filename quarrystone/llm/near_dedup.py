@@ -12,9 +12,10 @@
 
 In steps 3 and 4 a group of one chunk (``BLOCK_DOCS`` texts) is compared in one task.  A larger one is dealt into chunks, each of
 which first meets the same few pivots: rows and texts move once, and most of a group of near copies is joined by that.  In step 3 signatures
-that are then not joined with the group's largest part go on, in blocks that meet every chunk.  In step 4 no more texts are moved for that: rows
-that pivots left apart meet by the bands that they share, their signatures are compared, and only pairs that pass the Bayesian test fetch
-their texts.  So the texts moved are linear in a group and in its open pairs, however the group hangs together.
+that are then not joined with the group's largest part go on, in blocks that meet every chunk.  In step 4 a group whose rows that pivots left apart
+share few bands moves no more texts for that: such rows meet by the bands, their signatures are compared, and only pairs that pass the
+Bayesian test fetch their texts.  Where the pairs would be more than the rows that blocks move, they meet in blocks too.  So about as many
+texts are moved as by the cheaper of both ways.
 
 No step writes all pairs of a group, and every link between different texts is either verified or implied by verified links.
 
@@ -46,6 +47,8 @@ BLOCK_DOCS = 1024
 BLOCK_SHINGLES = 1_000_000
 #: Rows of a large group that all of its chunks meet first.
 PIVOTS = 16
+#: About so many bands a pair at the threshold shares; pairs counted by bands are taken for so many times their number.
+SHARED_BANDS = 8
 #: Up to so many rows of ids are broadcast, and of ids with their signatures (some 300 bytes each) to pick texts; beyond, rows are shuffled.
 BROADCAST_ROWS, BROADCAST_SKETCHES = 500_000, 100_000
 
@@ -151,10 +154,13 @@ def pairs_in(left: int, right: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 class Forest:
-    """Which rows of one group are joined so far, as a label a row."""
+    """Which rows of one group are joined so far, as a label a row; rows with equal codes are from the start."""
 
-    def __init__(self, n: int):
+    def __init__(self, n: int, codes: np.ndarray | None = None):
         self.label = np.arange(n)
+        if codes is not None:
+            _, first, place = np.unique(codes, return_index=True, return_inverse=True)
+            self.label = first[place]
 
     def open_pairs(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The pairs that no links join yet."""
@@ -258,11 +264,12 @@ def compared(rows: DataFrame, tests: list[tuple[int, int]], percent: int, size:
     """Links of rows (grp, part, chunk, side, row, doc_id, key, sig, text), found where a (grp, part, chunk) meets; sorted for
     streaming.  Rows with a text are checked exactly on its shingles, if it is the one of their key.
 
-    Links have no grp.  With ``pivots``, side 0, every row of side 1 is told too, as b with the first pivot that joins it, or null.
+    Links have no grp.  With ``pivots``, side 0, every row of side 1 is told too, as b with the first pivot that joins it, or null.  Rows that have
+    the same ``label``, if there is one, are joined already.
     """
-    exact = "text" in rows.columns
+    exact, known = "text" in rows.columns, "label" in rows.columns
     lead = ["grp", "part", "chunk", "side", "row"]
-    rows = rows.select(*lead, "doc_id", "key", "sig", *(["text"] if exact else []))
+    rows = rows.select(*lead, "doc_id", "key", "sig", *(["label"] if known else []), *(["text"] if exact else []))
     rows = rows.repartition("grp", "part", "chunk").sortWithinPartitions(*lead)
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,7 +296,8 @@ def compared(rows: DataFrame, tests: list[tuple[int, int]], percent: int, size:
                 ids, side = table.column("doc_id").to_numpy(), table.column("side").to_numpy()
                 sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
                 sets = [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()] if exact else None
-                forest, found = Forest(len(ids)), []
+                forest = Forest(len(ids), table.column("label").combine_chunks().dictionary_encode().indices.to_numpy() if known else None)
+                found: list[tuple] = []
                 for i, j in pairs_of_runs(starts, side, pivots):
                     i, j, matches = surviving(sig, *forest.open_pairs(i, j), tests)
                     if exact:
@@ -314,8 +322,8 @@ def compared(rows: DataFrame, tests: list[tuple[int, int]], percent: int, size:
 def group_links(rows: DataFrame, n_large: int, tests: list[tuple[int, int]], percent: int, size: int = 0, bands: DataFrame | None = None) -> DataFrame:
     """(a, b): links that join, in each group, all that its pairs link.
 
-    ``rows`` (grp, chunks, row, doc_id, key, sig and, for an exact check, text); ``n_large`` groups have more than one chunk.  With ``bands`` (row,
-    bands) what pivots leave apart in a large group meets by them, else all of it meets all chunks.
+    ``rows`` (grp, chunks, row, doc_id, key, sig and, for an exact check, text); ``n_large`` groups have more than one chunk.  What pivots leave apart
+    in a large group meets all of its chunks or, with ``bands`` (row, bands) and where that moves fewer rows, by the bands that it shares.
     """
     zero = F.lit(0)
     small = compared(rows.filter("chunks = 1").withColumns({"part": zero, "chunk": zero, "side": zero}), tests, percent, size).select("a", "b")
@@ -330,37 +338,54 @@ def group_links(rows: DataFrame, n_large: int, tests: list[tuple[int, int]], per
     told = materialize(compared(met, tests, percent, size, pivots=True), "pivot-links")
     joined = small.unionByName(told.filter("grp IS NULL").select("a", "b"))
     labels = told.filter("grp IS NOT NULL").groupBy("grp", "row").agg(F.min("b").alias("label"))
-    if bands is not None:
-        own = materialize(labels.select(F.col("grp").alias("cluster"), "row", F.coalesce(F.col("label").cast("string"), F.concat(F.lit("row "), F.col("row").cast("string"))).alias("label")), "labels")
-        members = own.join(bands, "row").join(large.select("row", "sig").dropDuplicates(["row"]), "row")
-        return joined.unionByName(star_links(large, materialize(pairs_apart(members, tests).distinct(), "open-pairs"), tests, percent, size))
+    name = F.coalesce(F.col("label").cast("string"), F.concat(F.lit("row "), F.col("row").cast("string")))
+    own = materialize(labels.select("grp", "row", "label", name.alias("name")), "labels")
+    hint = F.broadcast if n_large <= BROADCAST_ROWS else lambda table: table
 
     # What is not joined with the group's largest part meets all of its chunks.
-    parts = labels.filter("label IS NOT NULL").groupBy("grp", "label").agg(F.count("*").alias("n"))
+    parts = own.filter("label IS NOT NULL").groupBy("grp", "label").agg(F.count("*").alias("n"))
     largest = parts.groupBy("grp").agg(F.max_by("label", "n").alias("largest"))
-    largest = F.broadcast(largest) if n_large <= BROADCAST_ROWS else largest
-    rest = labels.join(largest, "grp", "left").filter("label IS NULL OR label != largest").select("grp", "row")
+    rest = own.join(hint(largest), "grp", "left").filter("label IS NULL OR label != largest").select("grp", "row")
     rest = materialize(rest, "pivot-rest")
-    n_rest = rest.groupBy("grp").agg(F.count("*").alias("n_rest"))
-    n_rest = F.broadcast(n_rest) if n_large <= BROADCAST_ROWS else n_rest
-    open_ = large.join(n_rest, "grp").withColumn("ways", F.ceil(F.col("n_rest") / (BLOCK_DOCS // 2)).cast("int"))
+    n_rest = rest.groupBy("grp").agg(F.count("*").alias("n_rest")).withColumn("ways", F.ceil(F.col("n_rest") / (BLOCK_DOCS // 2)).cast("int"))
+    if bands is not None:
+        members = own.select(F.col("grp").alias("cluster"), "row", F.col("name").alias("label")).join(bands, "row")
+        mixed = materialize(mixed_bands(members), "mixed-bands")
+        by_bands = mixed.groupBy(F.col("cluster").alias("grp")).agg(F.sum(F.col("n") * (F.col("n") - F.col("most"))).alias("pairs"))
+        sizes = large.groupBy("grp").agg(F.count_distinct("row").alias("n"), F.max("chunks").alias("chunks"))
+        moved = F.col("n") * F.col("ways") + F.col("n_rest") * F.col("chunks")
+        n_rest = materialize(n_rest.join(sizes, "grp").join(by_bands, "grp").filter(F.col("pairs") > SHARED_BANDS * moved).select("grp", "n_rest", "ways"), "groups-in-blocks")
+        gone = hint(n_rest.select(F.col("grp").alias("cluster")))
+        members = members.join(gone, "cluster", "left_anti").join(large.select("row", "sig").dropDuplicates(["row"]), "row")
+        pairs = pairs_apart(members, mixed.join(gone, "cluster", "left_anti"), tests)
+        joined = joined.unionByName(star_links(large, materialize(pairs.distinct(), "open-pairs"), tests, percent, size))
+        if n_rest.isEmpty():
+            return joined
+    open_ = large.join(hint(n_rest), "grp").join(own.select("grp", "row", F.col("name").alias("label")), ["grp", "row"])
     left = open_.join(rest, ["grp", "row"], "left_semi").withColumn("part", F.pmod(F.xxhash64("row", F.lit(2)), F.col("ways")).cast("int")).withColumn("chunk", every_chunk)
     right = open_.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)))
     met = left.withColumn("side", zero).unionByName(right.withColumn("side", F.lit(1)))
     return joined.unionByName(compared(met, tests, percent, size).select("a", "b"))
 
 
-def pairs_apart(members: DataFrame, tests: list[tuple[int, int]]) -> DataFrame:
-    """(a, b): rows of a cluster that share a band, bear different labels and pass the Bayesian test, of members (cluster, row, label, bands, sig).
+def mixed_bands(members: DataFrame) -> DataFrame:
+    """(cluster, grp, n, most, commonest): the bands, as grp, that rows of several labels share, of members (cluster, row, label, bands); how many rows each
+    has, and how many of its commonest label."""
+    held = members.select("cluster", F.explode("bands").alias("band"), "label").withColumn("grp", F.xxhash64("cluster", "band"))
+    by_label = held.groupBy("cluster", "grp", "label").agg(F.count("*").alias("n"))
+    bands = by_label.groupBy("cluster", "grp").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("label", "n").alias("commonest"), F.count("*").alias("labels"))
+    return bands.filter("labels > 1").drop("labels")
+
+def pairs_apart(members: DataFrame, mixed: DataFrame, tests: list[tuple[int, int]]) -> DataFrame:
+    """(a, b): rows of a cluster that share a band, bear different labels and pass the Bayesian test, of members (cluster, row, label, bands, sig) and
+    their ``mixed_bands``.
 
     Only signatures are moved: once for each band that holds several labels.  In a band of more rows than a task compares, those outside its
     commonest label meet all of it in blocks.
     """
     held = members.select("cluster", F.explode("bands").alias("band"), "row", "label", "sig").withColumn("grp", F.xxhash64("cluster", "band")).drop("cluster", "band")
-    by_label = held.groupBy("grp", "label").agg(F.count("*").alias("n"))
-    bands = by_label.groupBy("grp").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("label", "n").alias("commonest"), F.count("*").alias("labels")).filter("labels > 1")
     ways, chunks = F.ceil((F.col("n") - F.col("most")) / (BLOCK_DOCS // 2)).cast("int"), F.ceil(F.col("n") / BLOCK_DOCS).cast("int")
-    bands = materialize(bands.select("grp", "n", "commonest", ways.alias("ways"), chunks.alias("chunks")), "mixed-bands")
+    bands = materialize(mixed.select("grp", "n", "commonest", ways.alias("ways"), chunks.alias("chunks")), "bands-apart")
     rows = join_counted(held, bands, ["grp"], "n")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     left = rows.filter("label != commonest").withColumn("part", F.pmod(F.xxhash64("row", F.lit(2)), F.col("ways")).cast("int")).withColumn("chunk", every("chunks")).withColumn("side", F.lit(0))

@@ -105,6 +105,24 @@ def test_a_group_that_hangs_together_by_chains_moves_linearly_many_texts(spark,
     assert counts[256] <= 5 * counts[64] and counts[256] <= 256 * 8
 
 
+def test_a_group_of_many_pairs_just_below_the_threshold_meets_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_DOCS", 16)
+    monkeypatch.setattr(near_dedup, "PIVOTS", 4)
+    moved, plain = [], near_dedup.compared
+    monkeypatch.setattr(near_dedup, "compared", lambda rows, *a, **k: moved.append(rows.count() if "text" in rows.columns else 0) or plain(rows, *a, **k))
+    base, r, n = prose(33, 300).split(), random.Random(33), 128
+    rows = []
+    for i in range(n):
+        words = list(base)
+        for at in r.sample(range(300), r.choice((4, 9, 10, 11, 12))):
+            words[at] = f"z{i}x{at}"
+        rows.append((i, " ".join(words)))
+    want = brute_classes(rows, 3, 85)
+    got = near_dedup.near_duplicates(documents(spark, rows), 3, 85).collect()
+    assert {x["doc_id"]: x["component_id"] for x in got} == want and 1 < len(set(want.values())) < n
+    assert sum(moved) <= n * (n // 8) + n * (n // 16) + 2 * n  # all in blocks, and the pivots; pairs would be n * n / 2
+
+
 def test_links_of_texts_that_share_a_doc_id(spark, monkeypatch):
     a, b, c = prose(71, 80), prose(72, 80), prose(73, 80)
     near = lambda t, k: t.replace(t.split()[40], f"other{k}", 1)
