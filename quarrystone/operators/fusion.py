@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from quarrystone.config import Settings
 
+#: Up to so many rows of a fused pool are broadcast to the store; beyond, the join shuffles both.
+BROADCAST_POOL = 200_000
+
 
 def rrf(rankings: DataFrame, key: str, settings: Settings | None = None) -> DataFrame:
     """(query_id, key, rrf_score, seen) from rows (query_id, list_id, key, rank).
@@ -21,12 +24,16 @@ def rrf(rankings: DataFrame, key: str, settings: Settings | None = None) -> Data
     )
 
 
-def fused_topk(rankings: DataFrame, store: DataFrame, key: str, settings: Settings | None = None) -> DataFrame:
-    """The fused pool joined to the store, scored in 0..1, filtered by the least score and cut to the best ``top_k``."""
+def fused_topk(rankings: DataFrame, store: DataFrame, key: str, settings: Settings | None = None, n_queries: int | None = None) -> DataFrame:
+    """The fused pool joined to the store, scored in 0..1, filtered by the least score and cut to the best ``top_k``.
+
+    ``n_queries``, where it is known, bounds the pool: of few queries it is broadcast, so that the store's texts are not shuffled.
+    """
     s = settings or Settings()
     by = Window.partitionBy("query_id").orderBy(F.desc(F.round("rrf_score", 12)), "seen")
     pool = rrf(rankings, key, s).withColumn("place", F.row_number().over(by)).filter(F.col("place") <= s.pool)
-    found = pool.join(store, key)  # ids that the store lacks drop out
+    few = n_queries is not None and n_queries * s.pool <= BROADCAST_POOL
+    found = (F.broadcast(pool) if few else pool).join(store, key)  # ids that the store lacks drop out
     found = found.withColumn("score", F.least(F.lit(1.0), F.col("rrf_score") / s.rrf_normalizer)).filter(F.col("score") >= s.min_score)
     best = Window.partitionBy("query_id").orderBy("place")
     return found.withColumn("position", F.row_number().over(best)).filter(F.col("position") <= s.top_k).drop("seen", "place")

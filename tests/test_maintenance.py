@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quarrystone import store
 from quarrystone.functions import docx, embedding_store, html, lines, models
-from quarrystone.operators import bm25, cells, chunking, dense, lookup, quality_reports, segments
+from quarrystone.operators import bm25, cells, chunking, dense, fusion, lookup, quality_reports, segments
 from quarrystone.plans.reindex import exclusive_reindex, reindex, sparse_index
 from quarrystone.sources import event_log, export, pages
 from quarrystone.streaming import streams
@@ -456,6 +456,20 @@ def test_a_document_is_one_row_of_the_index(spark, tmp_path):
     assert "Exchange" not in plan  # postings are counted where their text is
 
 
+def test_a_fused_pool_of_few_queries_leaves_the_texts_where_they_are(spark):
+    rankings = spark.range(40).select((F.col("id") % 2).alias("query_id"), F.lit(0).alias("list_id"), F.col("id").alias("doc_id"), F.floor(F.col("id") / 2).alias("rank"))
+    store = spark.range(400).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 50).alias("text"))
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few, many = fusion.fused_topk(rankings, store, "doc_id", n_queries=2), fusion.fused_topk(rankings, store, "doc_id", n_queries=1_000_000)
+        assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect())) != []
+        plans = [found._jdf.queryExecution().executedPlan().toString() for found in (few, many)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    assert ["BroadcastHashJoin" in plan for plan in plans] == [True, False]
+
+
 def test_contenders_lose_no_rank(spark):
     scores = spark.range(4000).select((F.col("id") % 3).alias("query_id"), F.col("id").alias("ord"), F.floor(F.rand(1) * 50).cast("double").alias("score"))
     scores = scores.unionByName(spark.createDataFrame([(9, 1, -1.0), (9, 2, -2.0)], scores.schema)).cache()
