@@ -457,6 +457,24 @@ def test_a_document_is_one_row_of_the_index(spark, tmp_path):
     assert "array_sort" not in plan  # which would call a function for each comparison
 
 
+def test_an_index_build_moves_texts_not_counted_words(spark, tmp_path, monkeypatch):
+    plans, plain = [], bm25.write_bucketed
+    monkeypatch.setattr(bm25, "write_bucketed", lambda docs, *a: plans.append(docs._jdf.queryExecution().optimizedPlan().toString()) or plain(docs, *a))
+    monkeypatch.setattr(bm25, "BUCKET_POSTINGS", 20)
+    texts = {i: " ".join(random.Random(i).choices(WORDS, k=i % 9)) for i in range(120)} | {120: None, 121: ""}
+    corpus = spark.createDataFrame([(k, k % 11, t) for k, t in texts.items()], "id bigint, home bigint, text string")
+    for home in ((), ("home",)):
+        index = bm25.write_index(corpus, "id", "id", f"file://{tmp_path}/index{len(home)}", home=home)
+        want = {(k, w): n for k, t in texts.items() for w, n in Counter((t or "").split()).items()}
+        assert {(r["id"], r["term"]): r["tf"] for r in index.postings.collect()} == want
+        assert {r["id"]: r["dl"] for r in index.docs.collect()} == {k: len((t or "").split()) for k, t in texts.items()}
+        assert {r["term"]: r["df"] for r in index.terms.collect()} == Counter(w for _, w in want) and index.size.first()["n_docs"] == 122
+        assert spark.read.parquet(f"file://{tmp_path}/index{len(home)}/postings-shape").first()[0] > 8
+    assert all(plan.index("regexp_extract_all") < plan.index("RepartitionByExpression") for plan in plans) and len(plans) == 2  # dealt, then counted
+    none = bm25.write_index(corpus.limit(0), "id", "id", f"file://{tmp_path}/none")
+    assert none.terms.isEmpty() and none.docs.isEmpty() and none.size.first()["n_docs"] == 0
+
+
 def test_a_fused_pool_of_few_queries_leaves_the_texts_where_they_are(spark):
     rankings = spark.range(40).select((F.col("id") % 2).alias("query_id"), F.lit(0).alias("list_id"), F.col("id").alias("doc_id"), F.floor(F.col("id") / 2).alias("rank"))
     store = spark.range(400).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 50).alias("text"))
