@@ -11,6 +11,7 @@ from quarrystone.config import Settings
 from quarrystone.functions import html, models
 from quarrystone.functions import text as T
 from quarrystone.operators import admission, bm25, chunking, context, dense, fusion, history, manifest, quality_reports
+from quarrystone.plans import retrieval_queries
 from quarrystone.plans.retrieval import deep_retrieve, retrieve
 from quarrystone.sources import files, pages
 from quarrystone.streaming import streams
@@ -118,6 +119,17 @@ def test_a_stored_index_is_reused_until_its_files_change(spark, tmp_path, monkey
     assert index(Settings(bm25_epsilon=0.5)).size.first()["n_docs"] == 4 and len(built) == 3
 
 
+def test_a_dense_search_builds_no_index(spark, sf_dir, monkeypatch):
+    def built(*args, **options):
+        raise AssertionError("a dense search reads no postings")
+
+    monkeypatch.setattr(bm25, "stored_index", built)
+    monkeypatch.setattr(bm25, "bm25_topk", built)
+    assert {r["stage"] for r in retrieval_queries.dense_search(spark, sf_dir).collect()} == {"dense"}
+    with pytest.raises(AssertionError, match="no postings"):
+        retrieval_queries.hybrid_search(spark, sf_dir)
+
+
 def test_ranks_keep_the_window_limit(spark):
     scores = spark.range(100).select((F.col("id") % 3).alias("query_id"), F.col("id").alias("ord"), F.rand(1).alias("score"))
     assert "WindowGroupLimit" in bm25.ranked(scores, 5, "ord")._jdf.queryExecution().toString()
