@@ -44,8 +44,8 @@ def deep_retrieve(search: Callable[[DataFrame], DataFrame], queries: DataFrame,
 
     Each round searches with all texts so far of the queries that are still open and merges into a pool by the best score.  A
     query ends when its best of the round is good enough, after the last round, without a budget for new texts, or when
-    ``expand`` (texts, pool) adds nothing new for it; at most ``deep_queries`` new texts are taken for a query and round.  If a search
-    fails, what was found before stands.
+    ``expand`` (texts, pool) adds nothing new for it; at most ``deep_queries`` new texts are taken for a query and round.  A search that
+    fails fails the whole, whatever rounds went before: what they found is no result of all rounds.
 
     Returns (query_id, key, score, position, rounds, stopped) of the best of the pool, and why each round ended: widened, or the
     reason of the last query.  Rounds are checkpointed, so the plan does not grow with them.
@@ -62,18 +62,10 @@ def deep_retrieve(search: Callable[[DataFrame], DataFrame], queries: DataFrame,
 
     open_ = ids
     for round_ in range(s.deep_iterations):
-        try:
-            found = search(texts).select("query_id", key, "score").withColumn("round", F.lit(round_))
-            merged = found if pool is None else pool.select("query_id", key, "score", "round").unionByName(found)
-            merged = merged_pool(merged, key, s.deep_pool).checkpoint()
-            best = found.groupBy("query_id").agg(F.max("score").alias("best")).filter(F.col("best") >= s.deep_good_score).select("query_id").checkpoint()
-        except Exception as error:
-            if pool is None:
-                raise
-            stop(open_, round_, "error")
-            reasons.append(f"error: {type(error).__name__}: {str(error).splitlines()[0] if str(error) else ''}")
-            break
-        pool = merged
+        found = search(texts).select("query_id", key, "score").withColumn("round", F.lit(round_))
+        merged = found if pool is None else pool.select("query_id", key, "score", "round").unionByName(found)
+        pool = merged_pool(merged, key, s.deep_pool).checkpoint()
+        best = found.groupBy("query_id").agg(F.max("score").alias("best")).filter(F.col("best") >= s.deep_good_score).select("query_id").checkpoint()
         stop(open_.join(best, "query_id", "left_semi"), round_, "good_enough")
         open_ = open_.join(best, "query_id", "left_anti").checkpoint()
         reason = "good_enough" if open_.isEmpty() else "max_iterations" if round_ == s.deep_iterations - 1 else "no_budget_for_queries" if s.deep_queries < 1 else "widened"

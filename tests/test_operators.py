@@ -161,6 +161,23 @@ def test_deep_search_says_why_it_ends(spark):
     assert deep_retrieve(search, queries, lambda texts, pool: texts, "id")[1] == ["no_new_queries"]
 
 
+@pytest.mark.parametrize("broken", ["plan", "task"])
+def test_a_failed_round_of_a_deep_search_is_no_result(spark, broken):
+    queries = spark.createDataFrame([(1, "q")], "query_id bigint, text string")
+    rounds = []
+
+    def search(texts):
+        rounds.append(texts)
+        if len(rounds) == 2 and broken == "plan":
+            raise RuntimeError("no such index")
+        score = F.raise_error(F.lit("no such index")).cast("double") if len(rounds) == 2 else F.lit(0.2)
+        return texts.select("query_id", F.lit(7).cast("bigint").alias("id"), score.alias("score"))
+
+    with pytest.raises(Exception, match="no such index"):
+        deep_retrieve(search, queries, lambda texts, pool: texts.withColumn("text", F.concat("text", F.lit("+"))), "id")[0].collect()
+    assert len(rounds) == 2
+
+
 def test_context_takes_what_fits(spark):
     rows = spark.createDataFrame([(1, 1, "a", "x" * 40), (1, 2, "b", "y" * 100), (1, 3, "c", "z")], "query_id int, position int, label string, text string")
     got = context.packed_context(rows, Settings(max_context_chars=120)).orderBy("position").collect()
