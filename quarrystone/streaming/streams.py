@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections import Counter
 from collections.abc import Callable, Iterator
+from math import log
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,33 +56,64 @@ def take_events(events: DataFrame, folder: str, bad: Column, parse: Callable[[Da
     query.awaitTermination()
 
 
-#: About so many chunks a part of a maintained corpus; a batch rewrites only the parts that it touches.
+#: A part of a maintained corpus that holds so many chunks is left as it is; smaller ones are written as one now and then.
 PART_CHUNKS = 200_000
+#: So many parts (or tables of documents that came again) of one step of size are written as one; a step is a factor.
+MERGED, STEP = 4, 4
+#: Up to so many documents are broadcast.
+BROADCAST_DOCUMENTS = 500_000
 MAINTAINED = "doc_id bigint, chunk_index int, start int, text string"
+GONE = "part string, doc_id bigint, chunks bigint"
 
 
 def _parts(spark: SparkSession, folder: str) -> dict:
-    """What the pointer holds: the last batch, how many parts there are, and for each that has chunks the batch that wrote it and their number."""
-    return json.loads(store.current(spark, folder) or '{"batch": -1, "ways": 1, "parts": {}}')
+    """What the pointer holds: the last batch, how many parts there are, for each the chunks written in it and those that still count, and the
+    tables of documents whose chunks in a part don't count any more, with their rows of each part."""
+    told = json.loads(store.current(spark, folder) or '{"batch": -1, "ways": 0, "parts": {}, "gone": {}}')
+    if "gone" not in told:  # written when a part was what its last batch made of it
+        told |= {"parts": {f"batch={number}/part={k}": [n, n] for k, (number, n) in told["parts"].items()}, "gone": {}}
+    return told
 
 
-def _paths(folder: str, parts: dict, some: list[str]) -> list[str]:
-    return [f"{folder}/data/batch={parts[k][0]}/part={k}" for k in some if k in parts]
+def _counting(spark: SparkSession, folder: str, told: dict, names: list[str]) -> DataFrame:
+    """The chunks of some parts that still count, each with its ``part``."""
+
+    def read(some: list[str]) -> DataFrame:
+        rows = spark.read.schema(MAINTAINED).parquet(*[f"{folder}/data/{name}" for name in some]) if some else spark.createDataFrame([], MAINTAINED)
+        return rows.withColumn("part", F.regexp_extract("_metadata.file_path", ".*/data/(.+)/[^/]+$", 1) if some else F.lit(""))
+
+    left = [name for name in names if told["parts"][name][0] > told["parts"][name][1]]  # parts that have lost chunks
+    if not left:
+        return read(names)
+    tables = [name for name, rows in told["gone"].items() if set(rows) & set(left)]
+    gone = spark.read.schema(GONE).parquet(*[f"{folder}/gone/{name}" for name in tables]).filter(F.col("part").isin(left)).select("part", "doc_id")
+    few = sum(rows.get(name, 0) for rows in told["gone"].values() for name in left) <= BROADCAST_DOCUMENTS
+    rest = read(left).join(F.broadcast(gone) if few else gone, ["part", "doc_id"], "left_anti").select(*gone.columns, "chunk_index", "start", "text")
+    whole = [name for name in names if name not in left]
+    return read(whole).unionByName(rest) if whole else rest
 
 
 def maintained_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """The corpus that ``maintain_chunks`` keeps in a folder, as its pointer has it now."""
-    parts = _parts(spark, folder)["parts"]
-    paths = _paths(folder, parts, list(parts))
-    return spark.read.schema(MAINTAINED).parquet(*paths) if paths else spark.createDataFrame([], MAINTAINED)
+    told = _parts(spark, folder)
+    return _counting(spark, folder, told, list(told["parts"])).select("doc_id", "chunk_index", "start", "text")
+
+
+def _alike(sizes: dict[str, int]) -> list[str]:
+    """Names of one step of size, the smallest first, where there are ``MERGED`` of them."""
+    steps: dict[int, list[str]] = {}
+    for name, n in sizes.items():
+        steps.setdefault(int(log(max(1, n), STEP)), []).append(name)
+    return next((names for _, names in sorted(steps.items()) if len(names) >= MERGED), [])
 
 
 def maintain_chunks(documents: DataFrame, folder: str, part_chunks: int = PART_CHUNKS) -> DataFrame:
     """Upsert the chunks of arriving documents; returns the corpus after all there are.
 
-    A batch writes new files for the parts it touches and then moves the stored pointer, so readers see it whole or not at all.
-    Parts are by a hash of doc_id.  Their number follows the corpus: when they hold twice ``part_chunks`` on average, the batch deals all chunks
-    into enough of them, so a batch never rewrites more than its parts but at these doublings.
+    A batch writes its own chunks as a new part, and a row for each document that older parts hold chunks of; then it moves the stored pointer, so
+    readers see it whole or not at all.  Chunks of other documents are not written again, but where parts of fewer than ``part_chunks`` are
+    written as one (a chunk so about once for each step of size below that) or a part is mostly gone, and texts are shuffled only where a
+    document comes twice in a batch.
     It can be started again on the same folder at any time: the stream goes on behind its checkpoint, and a batch that the pointer
     already holds is not applied twice.  Of a document that comes twice in a batch the greatest text counts.
     """
@@ -91,28 +124,55 @@ def maintain_chunks(documents: DataFrame, folder: str, part_chunks: int = PART_C
         told = _parts(spark, folder)
         if number <= told["batch"]:
             return
-        held = sum(n for _, n in told["parts"].values())
-        ways, parts = told["ways"], told["parts"]
-        grown = held > 2 * part_chunks * ways
-        of = lambda n: F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")
-        one = batch.groupBy("doc_id").agg(F.max("text").alias("text")).persist()
-        touched = list(parts) if grown else [str(r["part"]) for r in one.select(of(ways).alias("part")).distinct().collect()]  # at most ``ways``
-        ways = -(-held // part_chunks) if grown else ways
-        old = _paths(folder, parts, touched)
-        kept = (spark.read.schema(MAINTAINED).parquet(*old) if old else spark.createDataFrame([], MAINTAINED)).join(one.select("doc_id"), "doc_id", "left_anti")
-        target = f"{folder}/data/batch={number}"
-        kept.unionByName(fixed_chunks(one)).withColumn("part", of(ways)).repartition("part").write.mode("overwrite").partitionBy("part").parquet(target)
-        one.unpersist()
-        written = {name.split("=")[1] for name in store.children(spark, target) if name.startswith("part=")}
-        counts = dict(spark.read.parquet(target).groupBy(F.col("part").cast("string")).count().collect()) if written else {}
-        parts = {} if grown else {k: v for k, v in parts.items() if k not in touched}
-        store.publish(spark, folder, json.dumps({"batch": number, "ways": ways, "parts": parts | {k: [number, counts.get(k, 0)] for k in written}}))
+        ids = batch.groupBy("doc_id").agg(F.count("*").alias("rows")).persist()
+        n, most, least, greatest = ids.agg(F.count("*"), F.max("rows"), F.min("doc_id"), F.max("doc_id")).first()
+        one = batch.groupBy("doc_id").agg(F.max("text").alias("text")) if (most or 0) > 1 else batch
+        parts, gone, new = dict(told["parts"]), dict(told["gone"]), f"batch={number}"
+        fixed_chunks(one).write.mode("overwrite").parquet(f"{folder}/data/{new}")
+        if parts and least is not None:
+            known = ids.select("doc_id")
+            older = _counting(spark, folder, told, list(parts)).filter(F.col("doc_id").between(least, greatest)).select("part", "doc_id")
+            again = older.join(F.broadcast(known) if n <= BROADCAST_DOCUMENTS else known, "doc_id", "left_semi").groupBy("part", "doc_id").agg(F.count("*").alias("chunks"))
+            again.write.mode("overwrite").parquet(f"{folder}/gone/{new}")
+            lost = {r["part"]: r for r in spark.read.schema(GONE).parquet(f"{folder}/gone/{new}").groupBy("part").agg(F.count("*").alias("rows"), F.sum("chunks").alias("less")).collect()}  # a row a part
+            parts = {name: [held, left - (lost[name]["less"] if name in lost else 0)] for name, (held, left) in parts.items()}
+            gone |= {new: {name: r["rows"] for name, r in lost.items()}} if lost else {}
+        ids.unpersist()
+        held = spark.read.schema(MAINTAINED).parquet(f"{folder}/data/{new}").count()
+        told = _merged(spark, folder, {"batch": number, "parts": parts | {new: [held, held]}, "gone": gone}, part_chunks)
+        store.publish(spark, folder, json.dumps(told | {"ways": len(told["parts"])}))
 
     query = documents.writeStream.foreachBatch(upsert).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
     return maintained_chunks(spark, folder)
 
 
+def _merged(spark: SparkSession, folder: str, told: dict, part_chunks: int) -> dict:
+    """What a pointer is to hold, after small parts of one step of size were written as one and those that are mostly gone anew; then the tables of
+    what is gone."""
+    times = 0
+    while True:
+        parts = {name: sizes for name, sizes in told["parts"].items() if sizes[1]}
+        gone = {table: listed for table, rows in told["gone"].items() if (listed := {name: n for name, n in rows.items() if name in parts})}
+        told, new = told | {"parts": parts, "gone": gone}, f"batch={told['batch']}-{times}"
+        chosen = _alike({name: left for name, (_, left) in parts.items() if left < part_chunks}) or [name for name, (held, left) in parts.items() if 2 * left < held][:1]
+        tables = [] if chosen else _alike({table: sum(rows.values()) for table, rows in gone.items()})
+        if chosen:
+            n = sum(parts[name][1] for name in chosen)
+            _counting(spark, folder, told, chosen).drop("part").coalesce(max(1, n // part_chunks)).write.mode("overwrite").parquet(f"{folder}/data/{new}")
+            told["parts"] = {name: sizes for name, sizes in parts.items() if name not in chosen} | {new: [n, n]}
+        elif tables:
+            listed = Counter()
+            for table in tables:
+                listed.update(gone[table])
+            rows = spark.read.schema(GONE).parquet(*[f"{folder}/gone/{table}" for table in tables]).filter(F.col("part").isin(list(parts)))
+            rows.coalesce(max(1, sum(listed.values()) // BROADCAST_DOCUMENTS)).write.mode("overwrite").parquet(f"{folder}/gone/{new}")
+            told["gone"] = {table: rows for table, rows in gone.items() if table not in tables} | {new: dict(listed)}
+        else:
+            return told
+        times += 1
+
+
 class ProgressLog(StreamingQueryListener):
     """A row for each batch of every stream of the session: (query, name, batch, rows, seconds, offset), and why a stream ended."""
 

@@ -433,6 +433,46 @@ def test_a_maintained_corpus_gets_more_parts_as_it_grows(spark, tmp_path):
     assert {r["doc_id"] for r in got.collect()} == set(range(30)) and all(r["text"].startswith("5 again") for r in got.filter("doc_id = 0 AND chunk_index = 0").collect())
 
 
+@pytest.mark.parametrize(("size", "few"), [(8, 500_000), (40, 0)])
+def test_a_maintained_corpus_equals_the_last_texts(spark, tmp_path, monkeypatch, size, few):
+    monkeypatch.setattr(streams, "BROADCAST_DOCUMENTS", few or 1)
+    r, last, folder = random.Random(size), {}, f"file://{tmp_path}/data/kept"
+    told = lambda n: " ".join(r.choices(WORDS, k=n)) + "."
+    for n in range(7):
+        rows = [(r.randrange(60), told(r.choice([1, 30, 400]))) for _ in range(7)] + [(100 + 3 * n + i, told(60)) for i in range(3)]
+        rows += [(rows[0][0], "z" + rows[0][1])] * (n % 2)
+        rows += [(100 + 3 * n - 3, None)] * (n == 4)  # a document that is empty now
+        last |= {i: max((t or "" for k, t in rows if k == i)) for i, _ in rows}
+        spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+        stream = spark.readStream.schema("doc_id bigint, text string").option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+        got = streams.maintain_chunks(stream, folder, part_chunks=size)
+        want = {(k, c["chunk_index"], c["start"], c["text"]) for k, c in ((c["doc_id"], c) for c in chunking.fixed_chunks(spark.createDataFrame(list(last.items()), "doc_id bigint, text string")).collect())}
+        assert sorted(tuple(c) for c in got.collect()) == sorted(want)
+        state = streams._parts(spark, folder)
+        assert state["batch"] == n and sum(left for _, left in state["parts"].values()) == len(want) and state["ways"] == len(state["parts"])
+    assert len(state["gone"]) < 6 and (size == 8 or len(state["parts"]) < 7)
+
+
+def test_a_batch_writes_its_own_chunks_only(spark, tmp_path):
+    folder = f"file://{tmp_path}/kept"
+    for n in range(8):
+        spark.createDataFrame([(n * 10 + i, f"{n} {i} " + "Some sentence that is long enough to be kept. " * 30) for i in range(10)], "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    stream = spark.readStream.schema("doc_id bigint, text string").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = streams.maintain_chunks(stream, folder, part_chunks=25)
+    written = spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/data").count()
+    assert streams._parts(spark, folder)["batch"] == 7 and written == got.count() == 8 * 10 * 4
+
+
+def test_a_corpus_of_the_old_layout_goes_on(spark, tmp_path):
+    folder, text = f"file://{tmp_path}/kept", "Some sentence that is long enough to be kept, surely so. "
+    old = chunking.fixed_chunks(spark.createDataFrame([(1, "a " + text), (2, "b " + text)], "doc_id bigint, text string"))
+    old.withColumn("part", F.lit(0)).write.partitionBy("part").parquet(f"{folder}/data/batch=-1")
+    store.publish(spark, folder, '{"batch": -1, "ways": 1, "parts": {"0": [-1, 2]}}')
+    spark.createDataFrame([(2, "c " + text)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/in")
+    got = streams.maintain_chunks(spark.readStream.schema("doc_id bigint, text string").parquet(f"{tmp_path}/in"), folder)
+    assert {(c["doc_id"], c["text"][0]) for c in got.collect()} == {(1, "a"), (2, "c")}
+
+
 def test_line_changes_count_equal_lines_each(spark):
     pairs = spark.createDataFrame([("p", "a\na\n b", "b\na\nc\n\n"), ("q", None, "x"), ("r", None, None)], "path string, old string, new string")
     got = {r["path"]: (r["n_lines"], r["n_added"], r["n_removed"]) for r in quality_reports.line_changes(pairs).collect()}
