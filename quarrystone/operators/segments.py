@@ -51,9 +51,9 @@ def _tables(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
 
 
 def numbered(corpus: DataFrame, order: list[str], folder: str) -> DataFrame:
-    """Rows with ``place``, counted from 0 in ``order``: ranges are sorted by tasks and begin where those before them end."""
+    """The other columns of rows with ``place``, counted from 0 in ``order``: ranges are sorted by tasks and begin where those before them end."""
     spark = corpus.sparkSession
-    corpus.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).write.parquet(folder)
+    corpus.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).drop(*order).write.parquet(folder, compression="zstd")
     rows = spark.read.parquet(folder).withColumn("_range", F.shiftright("_at", 33))
     begins, at = [], 0
     for number, n in sorted(rows.groupBy("_range").count().collect()):  # a row a range
@@ -66,26 +66,43 @@ def numbered(corpus: DataFrame, order: list[str], folder: str) -> DataFrame:
 
 
 def _describe(spark: SparkSession, folder: str) -> dict:
-    docs = spark.read.parquet(f"{folder}/docs").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
-    return {"folder": folder, "docs": docs[0], "length": docs[1], "postings": bm25.bucketed(spark, f"{folder}/postings", "key").agg(F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()[0], "gone": 0}
+    told = bm25.bucketed(spark, f"{folder}/postings", "key").agg(*[F.coalesce(c, F.lit(0)) for c in (F.count("*"), F.sum("dl"), F.sum(F.size("terms")))]).first()
+    return {"folder": folder, "docs": told[0], "length": told[1], "postings": told[2], "gone": 0}
 
 
-def _write(docs: DataFrame, folder: str) -> dict:
-    """A segment of stored rows (key, ord, dl, terms, tfs)."""
+def _docs(spark: SparkSession, folder: str) -> DataFrame:
+    """(key, ord, dl) of a segment's documents; only these columns of its postings are read."""
+    return bm25.bucketed(spark, f"{folder}/postings", "key").select("key", "ord", "dl")
+
+
+def _write(docs: DataFrame, folder: str, buckets: int | None = None) -> dict:
+    """A segment of stored rows (key, ord, dl, terms, tfs), or of rows that come dealt by key into so many buckets."""
     spark = docs.sparkSession
-    stored = bm25.write_bucketed(docs.select("key", "ord", "dl", "terms", "tfs"), "key", f"{folder}/postings")
-    docs.select("key", "ord", "dl").write.parquet(f"{folder}/docs")
-    stored.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{folder}/terms")
+    stored = bm25.write_bucketed(docs.select("key", "ord", "dl", "terms", "tfs"), "key", f"{folder}/postings", buckets, "zstd")
+    stored.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{folder}/terms", compression="zstd")
     return _describe(spark, folder)
 
 
 def _segment(corpus: DataFrame, order: list[str], folder: str, made: int) -> dict:
-    """A segment of (key, text) rows in ``order``; texts are counted before they are put in order, so what is moved are postings."""
+    """A segment of (key, text) rows in ``order``.
+
+    Only keys are put in order.  Then texts and places are dealt by key, and texts are counted where they lie, as a text is smaller than its
+    counted words.  Rows that share a key lie together then; where there are such, they are made one document and stored again.
+    """
     spark = corpus.sparkSession
-    rows = corpus.select("key", "text", F.struct(*order).alias("_order"))
-    counts = bm25.counted(rows, "key", "_order").select("key", "dl", "terms", "tfs", *[F.col(f"ord.{c}").alias(c) for c in order])
-    placed = numbered(counts, order, f"{folder}/rows").withColumn("ord", F.col("place") + F.lit(made * PLACES))
-    segment = _write(bm25.one_each(placed.select("key", "ord", "dl", "terms", "tfs"), "key"), folder)
+    buckets = bm25.buckets_for(spark, (corpus.agg(F.sum(F.length("text"))).first()[0] or 0) // bm25.POSTING_CHARS)
+    keyed = corpus.select("key", "text", *[F.col(c).alias(f"_by_{c}") for c in order])
+    placed = numbered(keyed.drop("text"), [f"_by_{c}" for c in order], f"{folder}/rows")
+    places = placed.repartition(buckets, "key").groupBy("key").agg((F.min("place") + F.lit(made * PLACES)).alias("ord"))
+    texts = keyed.select("key", "text").repartition(buckets, "key")
+    rows = bm25.counted(texts.join(places.hint("shuffle_hash"), "key", "left").withColumn("ord", F.coalesce("ord", F.lit(made * PLACES))), "key", "ord")
+    segment = _write(rows, folder, buckets)
+    stored = bm25.bucketed(spark, f"{folder}/postings", "key")
+    one = bm25.one_each(stored, "key")
+    if one is not stored:
+        store.remove(spark, f"{folder}/terms")
+        one.write.mode("overwrite").parquet(f"{folder}/rows")
+        segment = _write(spark.read.parquet(f"{folder}/rows"), folder)
     store.remove(spark, f"{folder}/rows")
     return segment
 
@@ -106,7 +123,7 @@ def increment(spark: SparkSession, root: str, listing: dict, removed: DataFrame
     if removed is not None and segments:
         old = _tables(spark, gone, GONE)
         keys = removed.select(F.col("key").cast("string")).distinct()
-        docs = [_without(spark.read.parquet(f"{s['folder']}/docs"), old, s["folder"], s["gone"]).select(F.lit(s["folder"]).alias("segment"), "key", "dl") for s in segments]
+        docs = [_without(_docs(spark, s["folder"]), old, s["folder"], s["gone"]).select(F.lit(s["folder"]).alias("segment"), "key", "dl") for s in segments]
         new = f"{root}/gone-{uuid.uuid4().hex}"
         reduce(DataFrame.unionByName, docs).join(keys, "key", "left_semi").select("segment", "key", "dl").write.parquet(new)
         told = spark.read.schema(GONE).parquet(new)
@@ -153,7 +170,7 @@ def index(spark: SparkSession, listing: dict, settings: Settings | None = None)
     gone = _tables(spark, listing["gone"], GONE).filter(F.col("segment").isin(names))
     parts = tuple(_without(bm25.bucketed(spark, f"{s['folder']}/postings", "key"), gone, s["folder"], s["gone"]) for s in segments)
     schema = "key string, ord bigint, dl bigint"
-    docs = reduce(DataFrame.unionByName, [_without(spark.read.parquet(f"{s['folder']}/docs"), gone, s["folder"], s["gone"]) for s in segments]) if segments else spark.createDataFrame([], schema)
+    docs = reduce(DataFrame.unionByName, [_without(_docs(spark, s["folder"]), gone, s["folder"], s["gone"]) for s in segments]) if segments else spark.createDataFrame([], schema)
     lengths = gone.agg(F.coalesce(F.sum("dl"), F.lit(0)).alias("less"))
     n, length = sum(s["docs"] - s["gone"] for s in segments), sum(s["length"] for s in segments)
     size = lengths.select(F.lit(n).cast("bigint").alias("n_docs"), ((F.lit(length) - F.col("less")) / F.lit(max(1, n))).alias("avgdl"))

@@ -145,10 +145,10 @@ def build_index(spark: SparkSession, root: str, files: DataFrame, chunks: DataFr
     Nothing of an older version is touched.  The counts must agree before the caller moves the pointer (``store.publish``).
     """
     version = f"{root.rstrip('/')}/version-{uuid.uuid4().hex}"
-    chunks.write.parquet(f"{version}/chunks")
+    chunks.write.parquet(f"{version}/chunks", compression="zstd")
     stored = spark.read.parquet(f"{version}/chunks")
-    embed(stored.withColumnRenamed("chunk_id", "key"), embedder).withColumnRenamed("key", "chunk_id").write.parquet(f"{version}/vectors")
-    build_manifest(files, stored, settings_hash).write.parquet(f"{version}/manifest")
+    embed(stored.withColumnRenamed("chunk_id", "key"), embedder).withColumnRenamed("key", "chunk_id").write.parquet(f"{version}/vectors", compression="zstd")
+    build_manifest(files, stored, settings_hash).write.parquet(f"{version}/manifest", compression="zstd")
     n_chunks, n_vectors = (spark.read.parquet(f"{version}/{part}").count() for part in ("chunks", "vectors"))
     if n_chunks != n_vectors:
         raise RuntimeError(f"{n_vectors} vectors for {n_chunks} chunks: the version is not published")

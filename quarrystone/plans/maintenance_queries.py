@@ -30,10 +30,9 @@ SELECT query_id, chunk_id, round(score, 6) AS score, rank - 1 AS rank FROM (SELE
 def bm25_incremental(spark, sf_dir):
     """Rankings from an index that was built over the old snapshot and followed a reindex to the new one."""
     root = work_folder(spark, "segments")
-    keep = ["path", "title", "size_bytes", "mtime", "sha256"]
+    keep = ["path", "title", "size_bytes", "mtime", "sha256", "text"]
     for files in (old_files(spark, sf_dir), new_files(spark, sf_dir)):
-        texts_ = files.select("path", "text")
-        done = reindex(spark, root, files.select(*keep), lambda some, texts_=texts_: line_chunks(some.join(texts_, "path")), models.HashEmbedder())
+        done = reindex(spark, root, files.select(*keep), line_chunks, models.HashEmbedder(), body=("text",))
     found = bm25.search(sparse_index(spark, done.version), questions(spark, sf_dir), 10, zero_fill=False)
     return found.select("query_id", F.col("key").alias("chunk_id"), F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 

@@ -130,11 +130,9 @@ def index_build(spark, sf_dir):
 def reindex_incremental(spark, sf_dir):
     """Built from the old snapshot, then brought up to the new one: only new and changed files are chunked and embedded."""
     root = work_folder(spark, "reindex")
-    keep = ["path", "title", "size_bytes", "mtime", "sha256"]
+    keep = ["path", "title", "size_bytes", "mtime", "sha256", "text"]
     for files in (old_files(spark, sf_dir), new_files(spark, sf_dir)):
-        texts_ = files.select("path", "text")
-        chunk = lambda some, texts_=texts_: line_chunks(some.join(texts_, "path"))
-        done = reindex(spark, root, files.select(*keep), chunk, models.HashEmbedder())
+        done = reindex(spark, root, files.select(*keep), line_chunks, models.HashEmbedder(), body=("text",))
     vectors = spark.read.parquet(f"{done.version}/chunks").join(spark.read.parquet(f"{done.version}/vectors"), "chunk_id").groupBy("path").agg(F.count("*").alias("vectors"))
     rows = spark.read.parquet(f"{done.version}/manifest").join(vectors, "path", "left")
     return rows.select("path", F.size("chunk_ids").alias("chunks"), F.coalesce("vectors", F.lit(0)).alias("vectors"))

@@ -17,6 +17,8 @@ from quarrystone.operators import manifest as M
 from quarrystone.plans.answering import build_index
 
 Progress = Callable[[str, float], None]
+#: Up to so many paths of changed files are broadcast, so that texts and chunks stay where they are.
+BROADCAST_PATHS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -33,11 +35,11 @@ class NothingExtracted(RuntimeError):
 
 
 def reindex(
-    spark: SparkSession, root: str, files: DataFrame, chunk: Callable[[DataFrame], DataFrame], embedder: Embedder, settings_hash: str = "", incremental: bool = True, progress: Progress = lambda stage, share: None
+    spark: SparkSession, root: str, files: DataFrame, chunk: Callable[[DataFrame], DataFrame], embedder: Embedder, settings_hash: str = "", incremental: bool = True, progress: Progress = lambda stage, share: None, body: tuple[str, ...] = ()
 ) -> Outcome:
     """Bring the index below ``root`` up to the snapshot ``files`` (path, size_bytes, mtime, sha256, ...).
 
-    ``chunk`` makes (path, chunk_index, chunk_id, text) of files.  A full build is made if increments are switched off, if there is
+    ``chunk`` makes (path, chunk_index, chunk_id, text) of files; columns that only it reads, ``body``, are in no manifest.  A full build is made if increments are switched off, if there is
     no version, manifest or corpus yet, or if the settings have changed.  Nothing of the active version is ever written; a crash at any point
     leaves it current, and the next run starts anew.  ``progress`` hears each stage and the share done.
 
@@ -53,7 +55,7 @@ def reindex(
     reason = M.full_rebuild_reason(incremental, rows, bool(parts[2]), bool(parts[1] and parts[3]), same)
     progress("compared", 0.1)
     if reason:
-        version = build_index(spark, root, files, chunk(files), embedder, settings_hash)
+        version = build_index(spark, root, files.drop(*body), chunk(files), embedder, settings_hash)
         if files.limit(1).count() and spark.read.parquet(f"{version}/chunks").isEmpty():
             raise NothingExtracted(f"no chunks from any file; {active or 'nothing'} stays current")
         listed = segments.increment(spark, f"{root.rstrip('/')}/segments", segments.empty_listing(), None, _keyed(spark.read.parquet(f"{version}/chunks")), ORDER)
@@ -70,26 +72,31 @@ def reindex(
     if not set(counts) - {"unchanged"}:
         progress("unchanged", 1.0)
         return Outcome(active, None, counts)
-    work = files.join(diff.filter(F.col("status").isin("changed", "new")).select("path"), "path", "left_semi")
-    chunk(work).write.parquet(f"{version}/added")
+
+    def paths(*kinds: str) -> DataFrame:
+        some = diff.filter(F.col("status").isin(*kinds)).select("path")
+        return F.broadcast(some) if sum(counts.get(kind, 0) for kind in kinds) <= BROADCAST_PATHS else some
+
+    work = files.join(paths("changed", "new"), "path", "left_semi")
+    chunk(work).write.parquet(f"{version}/added", compression="zstd")
     added = spark.read.parquet(f"{version}/added")
     if counts.get("changed", 0) + counts.get("new", 0) and added.isEmpty():
         raise NothingExtracted(f"no chunks from {counts}; {active} stays current")
     progress("chunked", 0.3)
     old_chunks = spark.read.parquet(f"{active}/chunks")
-    M.apply_increment(old_chunks, diff, added).drop("origin").select(*old_chunks.columns).write.parquet(f"{version}/chunks")
-    kept = old_chunks.join(diff.filter("status = 'unchanged'").select("path"), "path", "left_semi").select("chunk_id")
-    vectors = spark.read.parquet(f"{active}/vectors").join(kept, "chunk_id", "left_semi")
+    kept = old_chunks.join(paths("changed", "deleted"), "path", "left_anti")
+    kept.unionByName(added).select(*old_chunks.columns).write.parquet(f"{version}/chunks", compression="zstd")
+    went = old_chunks.join(paths("changed", "deleted"), "path", "left_semi").select("chunk_id")
+    few = went.limit(segments.BROADCAST_GONE + 1).count() <= segments.BROADCAST_GONE
+    vectors = spark.read.parquet(f"{active}/vectors").join(F.broadcast(went) if few else went, "chunk_id", "left_anti")
     fresh = embed(added.withColumnRenamed("chunk_id", "key"), embedder).withColumnRenamed("key", "chunk_id")
-    vectors.unionByName(fresh).write.parquet(f"{version}/vectors")
+    vectors.unionByName(fresh).write.parquet(f"{version}/vectors", compression="zstd")
     progress("embedded", 0.7)
-    touched = diff.filter(F.col("status").isin("changed", "deleted")).select("path")
-    went = old_chunks.join(touched, "path", "left_semi").select(F.col("chunk_id").alias("key"))
-    listed = segments.increment(spark, f"{root.rstrip('/')}/segments", segments.read_listing(spark, f"{active}/listing"), went, _keyed(added), ORDER)
+    listed = segments.increment(spark, f"{root.rstrip('/')}/segments", segments.read_listing(spark, f"{active}/listing"), went.withColumnRenamed("chunk_id", "key"), _keyed(added), ORDER)
     segments.write_listing(spark, listed, f"{version}/listing")
     progress("indexed", 0.8)
     rebuilt = M.build_manifest(work.select(*[c for c in old.columns if c not in ("chunk_ids", "settings_hash")]), added, settings_hash)
-    M.merge_manifest(old, diff, rebuilt).write.parquet(f"{version}/manifest")
+    M.merge_manifest(old, diff, rebuilt).write.parquet(f"{version}/manifest", compression="zstd")
     n_chunks, n_vectors = (spark.read.parquet(f"{version}/{part}").count() for part in ("chunks", "vectors"))
     if n_chunks != n_vectors:
         raise RuntimeError(f"{n_vectors} vectors for {n_chunks} chunks: the version is not published")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quarrystone import store
 from quarrystone.functions import docx, embedding_store, html, lines, models
 from quarrystone.operators import bm25, cells, chunking, dense, fusion, lookup, quality_reports, segments
+from quarrystone.plans import reindex as reindexing
 from quarrystone.plans.reindex import exclusive_reindex, reindex, sparse_index
 from quarrystone.sources import event_log, export, pages
 from quarrystone.streaming import streams
@@ -117,6 +118,36 @@ def test_segments_follow_the_corpus(spark, tmp_path):
     assert none["segments"] == [] and segment_ranking(spark, none, queries, 3) == []
 
 
+def test_a_segment_moves_texts_not_counted_words(spark, tmp_path, monkeypatch):
+    plans, plain = [], bm25.write_bucketed
+    monkeypatch.setattr(bm25, "write_bucketed", lambda docs, *a: plans.append(docs._jdf.queryExecution().optimizedPlan().toString()) or plain(docs, *a))
+    monkeypatch.setattr(bm25, "BUCKET_POSTINGS", 20)
+    frame = lambda rows: spark.createDataFrame(rows, "key string, text string, at int, nth int")
+    made = lambda rows: segments.index(spark, segments.increment(spark, f"file://{tmp_path}/s", segments.empty_listing(), None, frame(rows), ["at", "nth"]))
+    rows = [(f"k{i}", " ".join(random.Random(i).choices(WORDS, k=i % 9)), -i // 3, i) for i in range(120)] + [("none", None, 7, 0)]
+    index = made(rows)
+    assert len(plans) == 1 and plans[0].index("regexp_extract_all") < plans[0].index("RepartitionByExpression")  # dealt, then counted
+    want = {(k, w): n for k, t, *_ in rows for w, n in Counter((t or "").split()).items()}
+    assert {(r["key"], r["term"]): r["tf"] for r in index.postings.collect()} == want and index.size.first()["n_docs"] == 121
+    assert [r["key"] for r in index.docs.orderBy("ord").collect()] == [k for k, *_ in sorted(rows, key=lambda r: r[2:])]
+    again = made([("a", "x y", 3, 0), ("b", "y", 2, 0), ("a", "y z", 1, 0), (None, "w", 0, 0)])  # rows of one key are one document
+    assert [r["key"] for r in again.docs.orderBy("ord").collect()] == [None, "a", "b"]
+    assert {r["term"]: r["df"] for r in again.terms.collect()} == {"x": 1, "y": 2, "z": 1, "w": 1} and {(r["key"], r["term"]): r["tf"] for r in again.postings.collect()}["a", "y"] == 2
+
+
+def test_what_only_chunks_need_is_in_no_manifest(spark, tmp_path, monkeypatch):
+    root, plans = f"file://{tmp_path}/index", []
+    monkeypatch.setattr(reindexing, "BROADCAST_PATHS", 1)
+    chunk = lambda files: plans.append(files._jdf.queryExecution().optimizedPlan().toString()) or chunked(files)
+    for texts in ({"a": "red fox\nblue bird", "b": "green frog", "d": "last"}, {"a": "red fox", "c": "blue whale\nred kite", "d": "last"}):
+        done = reindex(spark, root, snapshot(spark, texts), chunk, models.HashEmbedder(8), body=("text",))
+        assert "text" not in spark.read.parquet(f"{done.version}/manifest").columns
+    assert "Join" not in plans[0] and len(plans) == 2  # texts are not looked up by path
+    rows = {(r["chunk_id"], r["text"]) for r in spark.read.parquet(f"{done.version}/chunks").collect()}
+    assert rows == {("a_0", "red fox"), ("c_0", "blue whale"), ("c_1", "red kite"), ("d_0", "last")}
+    assert {r["chunk_id"] for r in spark.read.parquet(f"{done.version}/vectors").collect()} == {k for k, _ in rows}
+
+
 def test_scores_are_summed_where_postings_lie(spark, tmp_path):
     corpus = spark.createDataFrame([(i % 7, i, f"w{i % 3} w{i % 5} both") for i in range(60)], "doc bigint, chunk bigint, text string")
     queries = spark.createDataFrame([(1, "w1 both"), (2, "w4")], "query_id bigint, text string")
