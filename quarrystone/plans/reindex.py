@@ -100,6 +100,7 @@ def reindex(
     n_chunks, n_vectors = (spark.read.parquet(f"{version}/{part}").count() for part in ("chunks", "vectors"))
     if n_chunks != n_vectors:
         raise RuntimeError(f"{n_vectors} vectors for {n_chunks} chunks: the version is not published")
+    store.remove(spark, f"{version}/added")  # its rows are among the chunks
     store.publish(spark, root, version, after=started)
     progress("published", 1.0)
     return Outcome(version, None, counts)
